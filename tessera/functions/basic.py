@@ -147,11 +147,16 @@ def current_date(run_ts: str | _dt.date | _dt.datetime | None = None) -> Column:
     return F.to_date(F.lit(str(run_ts)))
 
 
+def run_clock(run_ts: str | _dt.datetime) -> Column:
+    """A fixed run timestamp (wall clock, no time zone) so replays agree."""
+    return F.to_timestamp_ntz(F.lit(str(run_ts)))
+
+
 def current_timestamp(run_ts: str | _dt.datetime | None = None) -> Column:
     """CurrentTimestamp()/CurrentTime(): the run clock when given."""
     if run_ts is None:
-        return F.current_timestamp()
-    return F.to_timestamp(F.lit(str(run_ts)))
+        return F.localtimestamp()
+    return run_clock(run_ts)
 
 
 def years_from_date(d: ColumnOrName, run_date) -> Column:
@@ -283,7 +288,7 @@ def translate_mask(mask: str) -> str:
 
 def string_to_date(c: ColumnOrName, mask: str = "%yyyy-%mm-%dd") -> Column:
     """StringToDate(s, mask): invalid text gives null."""
-    return F.try_to_date(_c(c), F.lit(translate_mask(mask)))
+    return F.try_to_date(_c(c), translate_mask(mask))
 
 
 def to_string(c: ColumnOrName) -> Column:

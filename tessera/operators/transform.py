@@ -115,7 +115,7 @@ def with_audit(df: DataFrame, job: str, run_id: str, run_ts: str | _dt.datetime,
                processed_by: str | None = None, prefix: str = "") -> DataFrame:
     """Audit/metadata columns (C10) from a fixed run clock so replays agree."""
     return df.withColumns({
-        f"{prefix}process_ts": F.to_timestamp(F.lit(str(run_ts))),
+        f"{prefix}process_ts": F.to_timestamp_ntz(F.lit(str(run_ts))),
         f"{prefix}job_name": F.lit(job),
         f"{prefix}run_id": F.lit(run_id),
         f"{prefix}processed_by": F.lit(processed_by or job),

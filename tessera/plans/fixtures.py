@@ -133,8 +133,8 @@ def dim_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k * 2 + ver).cast("int").alias("DimensionKey"),
         k.cast("int").alias("CustomerID"),
         *_dim_attrs(k, "c_name", "c_nationkey", seg),
-        F.to_timestamp(eff).alias("EffectiveDate"),
-        F.to_timestamp(end).alias("EndDate"),
+        F.to_timestamp_ntz(eff).alias("EffectiveDate"),
+        F.to_timestamp_ntz(end).alias("EndDate"),
         F.when(end.isNull(), 1).otherwise(0).alias("IsCurrent"),
         ver.cast("int").alias("RecordVersion"),
     )
@@ -146,8 +146,7 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text transaction file with every error class of job 04 present."""
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
-    amount_txt = F.format_number(F.col("value"), 2)
-    amount_txt = F.replace(amount_txt, F.lit(","), F.lit(""))
+    amount_txt = F.col("value").cast("decimal(18,2)").cast("string")
     amount = (F.when(k % 31 == 0, F.lit("abc")).when(k % 29 == 0, F.lit("0.001"))
               .when(k % 23 == 0, F.lit("2000000")).otherwise(amount_txt))
     cur = (F.when(k % 19 == 0, F.lit(None).cast("string")).when(k % 19 == 1, F.lit("usd"))
