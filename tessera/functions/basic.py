@@ -310,7 +310,7 @@ def uuid_key() -> Column:
     return F.expr("uuid()")
 
 
-NULL_MARK = "\u0000"
+NULL_MARK = "\\N"  # marks a null inside row text, so null and '' differ
 
 
 def row_hash(*cols: ColumnOrName, algo: str = "md5") -> Column:
