@@ -25,13 +25,19 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFr
     projection of ``updates`` is what gets shuffled or broadcast against target.
     """
     keep = target.join(updates.select(*keys), list(keys), "left_anti")
-    return keep.unionByName(updates.select(*target.columns))
+    return keep.unionByName(_as_target(updates, target))
+
+
+def _as_target(updates: DataFrame, target: DataFrame) -> DataFrame:
+    """Updates projected and cast to the target's columns and types."""
+    return updates.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
 
 
 def update_by_keys(target: DataFrame, updates: DataFrame, keys: Sequence[str],
                    cols: Sequence[str]) -> DataFrame:
     """Update ``cols`` of rows whose key matches; no inserts."""
-    u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols]).withColumn("_hit", F.lit(True))
+    types = {f.name: f.dataType for f in target.schema.fields}
+    u = updates.select(*keys, *[F.col(c).cast(types[c]).alias(f"_u_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = target.join(u, list(keys), "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
                       else F.col(c) for c in target.columns])

@@ -30,19 +30,23 @@ def sort_exprs(keys: Sequence[SortKey], nulls: str = "first") -> list[Column]:
 
 
 def sort_stage(df: DataFrame, keys: Sequence[SortKey], nulls: str = "first",
-               stable: bool = False, key_change: str | None = None) -> DataFrame:
+               stable: bool = False, key_change: str | None = None,
+               change_keys: Sequence[str] | None = None) -> DataFrame:
     """Sort stage.
 
     A global sort is a range shuffle plus per-partition sorts.  ``stable``
     appends every other column as a tie-break, so equal keys come out in one
     fixed order on every run.  ``key_change`` adds a 1/0 column that is 1 on
-    the first row of each run of equal sort keys.
+    the first row of each run of equal sort keys (or of ``change_keys``, a
+    leading subset of them).
     """
     exprs = sort_exprs(keys, nulls)
     out = df
     if key_change:
         names = [k if isinstance(k, str) else k[0] for k in keys if not isinstance(k, Column)]
-        out = numbering.is_first(out, names, exprs[len(names):], "_kc")
+        group = list(change_keys) if change_keys else names
+        rest = [e for n, e in zip(names, exprs) if n not in group] + exprs[len(names):]
+        out = numbering.is_first(out, group, rest, "_kc")
         out = out.withColumn(key_change, F.col("_kc").cast("int")).drop("_kc")
     if stable:
         exprs = numbering.total_order(df, [], exprs)

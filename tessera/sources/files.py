@@ -62,9 +62,13 @@ def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType,
     full = T.StructType(fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])
     df = read_delimited(spark, path, schema=full, mode="PERMISSIVE", **options)
     good = df.filter(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL)
-    # Rejects keep the parsed fields as well: a scan whose only required
-    # column is the corrupt-record column is refused by Spark.
-    bad = df.filter(F.col(CORRUPT_COL).isNotNull()).withColumnRenamed(CORRUPT_COL, "raw_record")
+    # Spark refuses a scan whose only required column is the corrupt-record
+    # column (it would skip parsing).  The filter also reads the first parsed
+    # field (hash is never null), so the reject output can be projected to the
+    # raw line alone without caching the whole parse.
+    first = fields[0].name
+    bad = (df.filter(F.col(CORRUPT_COL).isNotNull() & F.hash(F.col(first)).isNotNull())
+           .withColumnRenamed(CORRUPT_COL, "raw_record"))
     return good, bad
 
 
