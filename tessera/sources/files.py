@@ -50,25 +50,30 @@ def read_fixed_width(spark: SparkSession, path: str,
     return spark.read.text(path).select(*cols)
 
 
-def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType,
-                      **options) -> tuple[DataFrame, DataFrame]:
+def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",",
+                      quote: str = '"', escape: str = "\\", header: bool = True, null_value: str = "",
+                      date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
     """Scan keeping malformed rows on a reject output (A3).
 
-    The corrupt-record column must be part of the schema or Spark drops it;
-    it is added here.  Good rows lose the column; rejects carry it as ``raw_record``.
-    Both outputs derive from the same scan plan.
+    The file is read as lines and each line parsed with ``from_csv`` in
+    PERMISSIVE mode with a corrupt-record column.  Parsing every line as a
+    whole keeps the malformed-row test exact whatever columns a consumer
+    selects (a CSV scan would prune unread columns and miss their errors).
+    Returns (good rows in ``schema``, rejects with the raw line in
+    ``raw_record``).  Records spanning several lines are not supported here.
     """
     fields = [f for f in schema.fields if f.name != CORRUPT_COL]
     full = T.StructType(fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])
-    df = read_delimited(spark, path, schema=full, mode="PERMISSIVE", **options)
-    good = df.filter(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL)
-    # Spark refuses a scan whose only required column is the corrupt-record
-    # column (it would skip parsing).  The filter also reads the first parsed
-    # field (hash is never null), so the reject output can be projected to the
-    # raw line alone without caching the whole parse.
-    first = fields[0].name
-    bad = (df.filter(F.col(CORRUPT_COL).isNotNull() & F.hash(F.col(first)).isNotNull())
-           .withColumnRenamed(CORRUPT_COL, "raw_record"))
+    opts = {"sep": delimiter, "quote": quote, "escape": escape, "nullValue": null_value,
+            "dateFormat": date_format, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
+    lines = spark.read.text(path)
+    if header:
+        first = lines.limit(1).collect()
+        if first:
+            lines = lines.filter(F.col("value") != F.lit(first[0][0]))
+    parsed = lines.select(F.from_csv(F.col("value"), full.simpleString(), opts).alias("_r")).select("_r.*")
+    good = parsed.filter(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL)
+    bad = parsed.filter(F.col(CORRUPT_COL).isNotNull()).withColumnRenamed(CORRUPT_COL, "raw_record")
     return good, bad
 
 
