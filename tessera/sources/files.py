@@ -130,7 +130,7 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
 
 def read_whole_files(spark: SparkSession, path_glob: str) -> DataFrame:
     """One row per file: (path, body).  Each file is read by one task."""
-    return (spark.read.option("wholetext", "true").text(path_glob)
+    return (spark.read.text(path_glob, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
 
 
