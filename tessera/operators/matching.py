@@ -7,9 +7,11 @@ segment of ``a`` occurs unchanged in ``b``, shifted by at most k positions,
 and |len(a) - len(b)| <= k.  So
 
 * every distinct string ``a`` emits its k+1 segments keyed by (L, i, text);
-* every distinct string ``b`` emits, for each length L within k of its own,
-  each segment slot i of that length and each shift d in [-k, k], the
-  substring of ``b`` at that place;
+* every distinct string ``b`` emits, for each length L within k of its own
+  and each segment slot i of that length, the substrings of ``b`` at the
+  shifts d the segment can have: |d| <= i and |len(b) - L - d| <= k - i
+  (position-aware selection of Pass-Join, Li et al., VLDB 2011 -- the first
+  exactly matching segment has at most i edits before it and k - i after);
 * an equi-join on (L, i, text) gives candidate pairs, which are deduplicated
   and verified with the thresholded ``levenshtein``.
 
@@ -55,12 +57,17 @@ def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None,
             .withColumn("sl", _seg_start(F.col("a_len"), F.col("i") + 1, k) - F.col("s0"))
             .select("a", F.col("a_len").alias("L"), "i", F.expr("substring(a, s0 + 1, sl)").alias("seg")))
 
-    # probes of the other side
+    # probes of the other side, position-aware (Pass-Join): for segment i of
+    # an indexed string of length L and delta = len(b) - L, a match can only
+    # start at shift d with |d| <= i and |delta - d| <= k - i
+    delta = F.col("b_len") - F.col("L")
     probes = (b.withColumn("L", F.explode(F.sequence(F.greatest(F.col("b_len") - k, F.lit(k + 1)),
                                                      F.col("b_len") + k)))
-              .filter(F.col("L") >= F.col("b_len") - k)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
-              .withColumn("d", F.explode(F.sequence(F.lit(-k), F.lit(k))))
+              .withColumn("d_lo", F.greatest(-F.col("i"), delta - (F.lit(k) - F.col("i"))))
+              .withColumn("d_hi", F.least(F.col("i"), delta + (F.lit(k) - F.col("i"))))
+              .filter(F.col("d_lo") <= F.col("d_hi"))
+              .withColumn("d", F.explode(F.sequence("d_lo", "d_hi")))
               .withColumn("s0", _seg_start(F.col("L"), F.col("i"), k))
               .withColumn("sl", _seg_start(F.col("L"), F.col("i") + 1, k) - F.col("s0"))
               .withColumn("p", F.col("s0") + F.col("d"))
