@@ -113,6 +113,20 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     return {"dimension": history.unionByName(old).unionByName(new), "changes": changes, "rejects": rejects}
 
 
+def with_scd_columns(df: DataFrame, run_ts, key_col: str | None = "DimensionKey",
+                     order: Sequence[str] | None = None, start_key: int = 1) -> DataFrame:
+    """Type-2 audit columns for a first load (H3): EffectiveDate = run clock,
+    EndDate null, IsCurrent 1, RecordVersion 1, and contiguous surrogate keys
+    over ``order`` (distributed numbering) when ``key_col`` is given."""
+    ts = F.to_timestamp_ntz(F.lit(str(run_ts)))
+    out = df.withColumns({"EffectiveDate": ts, "EndDate": F.lit(None).cast("timestamp_ntz"),
+                          "IsCurrent": F.lit(1), "RecordVersion": F.lit(1)})
+    if key_col:
+        out = numbering.assign_keys(out, key_col, list(order or df.columns[:1]), start=start_key)
+        out = out.select(F.col(key_col).cast("int").alias(key_col), *[c for c in out.columns if c != key_col])
+    return out
+
+
 class DimensionInvariantBroken(AssertionError):
     pass
 

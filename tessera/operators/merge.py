@@ -66,3 +66,17 @@ def load(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str] | No
         raise ValueError("incremental load needs keys")
     current = spark.read.parquet(path)
     return write_dataset(upsert(current, df, keys), path, partition_by=partition_by)
+
+
+def incremental_load(spark: SparkSession, path: str, source: DataFrame, watermark_col: str, last,
+                     keys: Sequence[str], load_type: str = "INCREMENTAL"):
+    """Incremental load (H10): rows of ``source`` above the last watermark are
+    upserted into the table at ``path`` (FULL reloads everything).  Returns the
+    new watermark value (one scalar read; the old one when nothing is new)."""
+    from tessera.operators.dimension import incremental
+    if load_type.upper() == "FULL":
+        rows, wm = source, source.agg(F.max(watermark_col).alias("new_watermark"))
+    else:
+        rows, wm = incremental(source, watermark_col, last)
+    load(spark, path, rows, keys, load_type)
+    return wm.first()[0]

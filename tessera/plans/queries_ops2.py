@@ -660,3 +660,27 @@ SELECT c_custkey,
        CASE WHEN c_custkey % 5 = 0 THEN 3 WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS seq
 FROM customer
 """)(_stream_upsert)
+
+
+# ------------------------------------------------------------------ first load and incremental load
+
+register("h3_first_load_scd_columns", dim_customer.ORACLE_INPUTS + """
+SELECT CAST(row_number() OVER (ORDER BY CustomerID) AS INTEGER) AS DimensionKey, CustomerID, CustomerSegment,
+       TIMESTAMP '2024-01-15 14:30:00' AS EffectiveDate, CAST(NULL AS TIMESTAMP) AS EndDate, 1 AS IsCurrent,
+       1 AS RecordVersion
+FROM src
+""")(lambda spark, d: dimension.with_scd_columns(
+    fixtures.source_customers(spark, d).select("CustomerID", "CustomerSegment"), fixtures.RUN_TS,
+    order=["CustomerID"]))
+
+
+def _incremental_load(spark, d):
+    path = scratch_path(spark, "events-incremental")
+    ev = _events(spark, d)
+    first = ev.filter(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    wm = merge.incremental_load(spark, path, first, "ts", None, ["event_id"], load_type="FULL")
+    merge.incremental_load(spark, path, ev, "ts", wm, ["event_id"])
+    return spark.read.parquet(path)
+
+
+register("h10_incremental_load", "SELECT event_id, user_id, ts, event_type, value FROM events")(_incremental_load)

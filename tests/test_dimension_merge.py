@@ -89,3 +89,16 @@ def test_load_first_then_incremental(spark, tmp_dir):
     merge.load(spark, tmp_dir, t, ["k"])
     merge.load(spark, tmp_dir, spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string"), ["k"])
     assert rows(spark.read.parquet(tmp_dir)) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_first_load_columns_and_incremental_load(spark, tmp_dir):
+    src = spark.createDataFrame([(20, "x"), (10, "y")], "CustomerID int, Seg string")
+    first = dimension.with_scd_columns(src, RUN, order=["CustomerID"], start_key=1)
+    assert rows(first, "DimensionKey", "CustomerID", "IsCurrent", "RecordVersion") == [(1, 10, 1, 1), (2, 20, 1, 1)]
+    assert first.first().EffectiveDate == RUN_DT and first.first().EndDate is None
+    ev = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, ts int, v string")
+    wm = merge.incremental_load(spark, tmp_dir, ev, "ts", None, ["k"])
+    assert wm == 5
+    ev2 = spark.createDataFrame([(2, 7, "B"), (3, 2, "old")], "k int, ts int, v string")
+    assert merge.incremental_load(spark, tmp_dir, ev2, "ts", wm, ["k"]) == 7
+    assert rows(spark.read.parquet(tmp_dir)) == [(1, 1, "a"), (2, 7, "B")]

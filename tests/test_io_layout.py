@@ -140,3 +140,19 @@ def test_reused_cache(spark):
     with layout.reused(df) as d:
         assert d.is_cached and d.count() == 10
     assert not df.is_cached
+
+
+def test_append_mode_and_attach_file_body(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "a", None)], SCHEMA)
+    sinks.write_delimited(df, tmp_dir)
+    sinks.write_delimited(df, tmp_dir, mode="append")
+    assert sources.read_delimited(spark, tmp_dir, SCHEMA).count() == 2
+    d = tmp_dir.replace("file:", "") + "-files"
+    os.makedirs(d)
+    with open(f"{d}/job_a.dsx", "w") as f:
+        f.write("<Job>A</Job>")
+    files = sources.read_whole_files(spark, f"{d}/*.dsx")
+    cases = spark.createDataFrame([(1, "Migrate test-artifacts/job_a.dsx please"), (2, "no file")], "id int, q string")
+    out = {r.id: r for r in sources.attach_file_body(cases, "q", files, r"([\w.-]+\.dsx)").collect()}
+    assert out[1].q.endswith("<Job>A</Job>") and out[1].attached == "<Job>A</Job>"
+    assert out[2].q == "no file" and out[2].attached is None
