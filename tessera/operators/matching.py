@@ -1,24 +1,29 @@
 """Fuzzy matching (Match stage): all string pairs within edit distance k,
 exactly, without comparing every pair.
 
-Blocking by pigeonhole: cut a string of length L into k+1 contiguous
-segments.  If lev(a, b) <= k, the k edits touch at most k segments, so one
-segment of ``a`` occurs unchanged in ``b``, shifted by at most k positions,
-and |len(a) - len(b)| <= k.  So
-
-* every distinct string ``a`` emits its k+1 segments keyed by (L, i, text);
-* every distinct string ``b`` emits, for each length L within k of its own
-  and each segment slot i of that length, the substrings of ``b`` at the
-  shifts d the segment can have: |d| <= i and |len(b) - L - d| <= k - i
-  (position-aware selection of Pass-Join, Li et al., VLDB 2011 -- the first
-  exactly matching segment has at most i edits before it and k - i after);
-* an equi-join on (L, i, text) gives candidate pairs, which are deduplicated
-  and verified with the thresholded ``levenshtein``.
-
-The result equals the all-pairs comparison.  Strings shorter than k+1 cannot
-be cut; they are matched against the (short) strings of length <= 2k in a
-separate join on their length pair.  Everything is native Spark (explode,
-substring, join); hot segments are split by AQE's skew-join handling.
+Two exact blocking methods, chosen by string length ``L`` against a cut-off
+``T`` (default depends on k):
+
+* short strings (L <= T): deletion neighbourhoods.  If lev(a, b) <= k there is
+  a string reachable from both by at most k deletions each (a substitution is
+  a deletion on both sides, an insertion a deletion on the other).  Each
+  string emits its distinct deletion variants; an equi-join on the variant
+  gives candidates.  Variants keep at least L - k characters, so the join key
+  is selective even for short words, and the fan-out sum_{d<=k} C(L, d) stays
+  small because L <= T.
+* long strings (L > T): segment pigeonhole (Pass-Join, Li et al., VLDB 2011).
+  Cut a string of length L into k+1 segments; with at most k edits one
+  segment appears unchanged in the other string, at a shift d with |d| <= i
+  and |len(b) - L - d| <= k - i for segment i (position-aware selection).
+  Strings emit (L, i, segment) and probes (L, i, substring); the segments of
+  long strings are long, hence selective.
+
+A pair with min length <= T (then both are <= T + k) is found by the first
+method, a pair of two long strings by the second.  Candidates are
+deduplicated and verified with the thresholded ``levenshtein``.  Everything
+is native Spark (explode, substring, equi-joins); join inputs are
+hash-partitioned explicitly, since adaptive coalescing sees only their small
+byte size and not the size of the candidate output.
 """
 
 from __future__ import annotations
@@ -26,43 +31,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# length cut-off between the two methods, by edit distance
+_DEFAULT_CUTOFF = {0: 1 << 30, 1: 48, 2: 16, 3: 10}
 
-def _distinct(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct() \
-        .withColumn(f"{out}_len", F.length(out))
+
+def default_cutoff(k: int) -> int:
+    return _DEFAULT_CUTOFF.get(k, 2 * k + 2)
+
+
+def _distinct(df: DataFrame, col: str, out: str, n: int) -> DataFrame:
+    # an explicit partition count keeps the explodes that follow spread over n tasks
+    return (df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).repartition(n, out).distinct()
+            .withColumn(f"{out}_len", F.length(out)))
 
 
 def _seg_start(L, i, k: int):
     return F.floor(i * L / F.lit(k + 1)).cast("int")
 
 
-def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None, right_col: str | None = None,
-                max_dist: int = 2, out=("left_value", "right_value", "distance")) -> DataFrame:
-    """Pairs (left value, right value, distance) with distance <= max_dist.
+def deletion_variants(df: DataFrame, col: str, k: int) -> DataFrame:
+    """(col, v): every distinct string obtained from ``col`` by <= k deletions."""
+    level = df.select(col, F.col(col).alias("v"))
+    out = level
+    for _ in range(k):
+        nxt = (level.filter(F.length("v") > 0)
+               .withColumn("_p", F.explode(F.sequence(F.lit(0), F.length("v") - 1)))
+               .select(col, F.concat(F.expr("substring(v, 1, _p)"), F.expr("substring(v, _p + 2)")).alias("v"))
+               .distinct())
+        out = out.unionByName(nxt)
+        level = nxt
+    return out.distinct()
 
-    With ``right`` omitted the column is matched against itself and each
-    unordered pair is returned once (left value < right value).
-    """
-    k = int(max_dist)
-    self_match = right is None
-    a = _distinct(left, left_col, "a")
-    b = a.withColumnsRenamed({"a": "b", "a_len": "b_len"}) if self_match else \
-        _distinct(right, right_col or left_col, "b")
-    lo, ro, do = out
 
-    # segments of the indexed side
-    segs = (a.filter(F.col("a_len") >= k + 1)
+def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int) -> DataFrame:
+    segs = (a.filter(F.col("a_len") > cutoff)
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
             .withColumn("s0", _seg_start(F.col("a_len"), F.col("i"), k))
             .withColumn("sl", _seg_start(F.col("a_len"), F.col("i") + 1, k) - F.col("s0"))
             .select("a", F.col("a_len").alias("L"), "i", F.expr("substring(a, s0 + 1, sl)").alias("seg")))
-
-    # probes of the other side, position-aware (Pass-Join): for segment i of
-    # an indexed string of length L and delta = len(b) - L, a match can only
-    # start at shift d with |d| <= i and |delta - d| <= k - i
     delta = F.col("b_len") - F.col("L")
-    probes = (b.withColumn("L", F.explode(F.sequence(F.greatest(F.col("b_len") - k, F.lit(k + 1)),
-                                                     F.col("b_len") + k)))
+    lo = F.greatest(F.col("b_len") - k, F.lit(cutoff + 1), F.lit(k + 1))
+    probes = (b.filter(F.col("b_len") + k > cutoff)
+              .withColumn("L", F.explode(F.sequence(lo, F.greatest(lo, F.col("b_len") + k))))
+              .filter(F.col("L") <= F.col("b_len") + k)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
               .withColumn("d_lo", F.greatest(-F.col("i"), delta - (F.lit(k) - F.col("i"))))
               .withColumn("d_hi", F.least(F.col("i"), delta + (F.lit(k) - F.col("i"))))
@@ -74,22 +85,40 @@ def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None,
               .filter((F.col("p") >= 0) & (F.col("p") + F.col("sl") <= F.col("b_len")))
               .select("b", "L", "i", F.expr("substring(b, p + 1, sl)").alias("seg"))
               .distinct())
+    keys = ["L", "i", "seg"]
+    return segs.repartition(n, *keys).join(probes.repartition(n, *keys), keys).select("a", "b")
 
-    cand = segs.join(probes, ["L", "i", "seg"]).select("a", "b")
 
-    # strings too short to cut are compared with the strings of length <= 2k
-    # (the only ones within reach), joined on the length pair
-    short_a = a.filter(F.col("a_len") <= k)
-    near_b = b.filter(F.col("b_len") <= 2 * k)
-    short = (short_a.withColumn("bl", F.explode(F.sequence(F.lit(0), F.col("a_len") + k)))
-             .join(near_b, F.col("bl") == F.col("b_len")).select("a", "b"))
-    cand = cand.unionByName(short)
+def _deletion_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int) -> DataFrame:
+    va = deletion_variants(a.filter(F.col("a_len") <= cutoff + k).select("a"), "a", k)
+    vb = deletion_variants(b.filter(F.col("b_len") <= cutoff + k).select("b"), "b", k)
+    j = va.repartition(n, "v").join(vb.repartition(n, "v"), "v").select("a", "b")
+    return j.filter(F.least(F.length("a"), F.length("b")) <= cutoff)
+
+
+def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None, right_col: str | None = None,
+                max_dist: int = 2, out=("left_value", "right_value", "distance"),
+                num_partitions: int | None = None, cutoff: int | None = None) -> DataFrame:
+    """Pairs (left value, right value, distance) with distance <= max_dist.
+
+    With ``right`` omitted the column is matched against itself and each
+    unordered pair is returned once (left value < right value).
+    """
+    k = int(max_dist)
+    # strings of length <= k cannot be cut into k+1 segments: the cut-off is at least k
+    T = max(default_cutoff(k) if cutoff is None else int(cutoff), k)
+    self_match = right is None
+    n = num_partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = _distinct(left, left_col, "a", n)
+    b = a.withColumnsRenamed({"a": "b", "a_len": "b_len"}) if self_match else \
+        _distinct(right, right_col or left_col, "b", n)
+    lo, ro, do = out
+    cand = _deletion_candidates(a, b, k, T, n).unionByName(_segment_candidates(a, b, k, T, n))
     if self_match:
         # each unordered pair once, whichever side found it
         cand = (cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 .filter(F.col("a") != F.col("b")))
     cand = cand.distinct()
-
     dist = F.levenshtein(F.col("a"), F.col("b"), k)
     return (cand.withColumn(do, dist).filter((F.col(do) >= 0) & (F.col(do) <= k))
             .select(F.col("a").alias(lo), F.col("b").alias(ro), F.col(do).cast("int").alias(do)))

@@ -67,10 +67,12 @@ def _brute(words, k):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.text(alphabet="abc", min_size=0, max_size=7), min_size=2, max_size=40), st.integers(1, 2))
-def test_fuzzy_pairs_equal_all_pairs(spark, words, k):
+@given(st.lists(st.text(alphabet="abc", min_size=0, max_size=9), min_size=2, max_size=40), st.integers(1, 2),
+       st.sampled_from([None, 0, 3, 5]))
+def test_fuzzy_pairs_equal_all_pairs(spark, words, k, cutoff):
+    # cut-off 0 forces the segment method for all cuttable strings, 3/5 mix both methods
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = sorted(tuple(r) for r in matching.fuzzy_pairs(df, "w", max_dist=k).collect())
+    got = sorted(tuple(r) for r in matching.fuzzy_pairs(df, "w", max_dist=k, cutoff=cutoff).collect())
     assert got == _brute(words, k)
 
 
@@ -80,10 +82,11 @@ def test_fuzzy_two_sided(spark):
     b = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 8))) for _ in range(60)]
     da = spark.createDataFrame([(w,) for w in a], "w string")
     db = spark.createDataFrame([(w,) for w in b], "w string")
-    got = sorted(tuple(r) for r in matching.fuzzy_pairs(da, "w", db, "w", 2).collect())
     exp = sorted({(x, y, d) for x in set(a) for y in set(b)
                   for d in [_brute([x, y], 99)[0][2] if x != y else 0] if d <= 2})
-    assert got == exp
+    for cutoff in (None, 2, 4):
+        got = sorted(tuple(r) for r in matching.fuzzy_pairs(da, "w", db, "w", 2, cutoff=cutoff).collect())
+        assert got == exp
 
 
 def test_fuzzy_plan_has_no_cartesian(spark):
