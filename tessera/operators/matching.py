@@ -50,20 +50,23 @@ def _seg_start(L, i, k: int):
 
 
 def deletion_variants(df: DataFrame, col: str, k: int) -> DataFrame:
-    """(col, v): every distinct string obtained from ``col`` by <= k deletions."""
-    level = df.select(col, F.col(col).alias("v"))
-    out = level
+    """(col, v): every distinct string obtained from ``col`` by <= k deletions.
+
+    All variants of a string are built in one projection with higher-order
+    functions (one deletion per level, de-duplicated per row), so no shuffle
+    is needed until the join on the variant.
+    """
+    level = F.array(F.col(col))
+    everything = level
     for _ in range(k):
-        nxt = (level.filter(F.length("v") > 0)
-               .withColumn("_p", F.explode(F.sequence(F.lit(0), F.length("v") - 1)))
-               .select(col, F.concat(F.expr("substring(v, 1, _p)"), F.expr("substring(v, _p + 2)")).alias("v"))
-               .distinct())
-        out = out.unionByName(nxt)
-        level = nxt
-    return out.distinct()
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0))),
+            lambda p: F.concat(F.substring(s, 1, p), F.substring(s, p + 2, 1 << 30))))))
+        everything = F.concat(everything, level)
+    return df.select(col, F.explode(F.array_distinct(everything)).alias("v"))
 
 
-def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int) -> DataFrame:
+def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int, ordered: bool) -> DataFrame:
     segs = (a.filter(F.col("a_len") > cutoff)
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
             .withColumn("s0", _seg_start(F.col("a_len"), F.col("i"), k))
@@ -86,13 +89,16 @@ def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int)
               .select("b", "L", "i", F.expr("substring(b, p + 1, sl)").alias("seg"))
               .distinct())
     keys = ["L", "i", "seg"]
-    return segs.repartition(n, *keys).join(probes.repartition(n, *keys), keys).select("a", "b")
+    j = segs.repartition(n, *keys).join(probes.repartition(n, *keys), keys).select("a", "b")
+    return j.filter(F.col("a") < F.col("b")) if ordered else j
 
 
-def _deletion_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int) -> DataFrame:
+def _deletion_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int, ordered: bool) -> DataFrame:
     va = deletion_variants(a.filter(F.col("a_len") <= cutoff + k).select("a"), "a", k)
     vb = deletion_variants(b.filter(F.col("b_len") <= cutoff + k).select("b"), "b", k)
     j = va.repartition(n, "v").join(vb.repartition(n, "v"), "v").select("a", "b")
+    if ordered:
+        j = j.filter(F.col("a") < F.col("b"))
     return j.filter(F.least(F.length("a"), F.length("b")) <= cutoff)
 
 
@@ -113,12 +119,11 @@ def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None,
     b = a.withColumnsRenamed({"a": "b", "a_len": "b_len"}) if self_match else \
         _distinct(right, right_col or left_col, "b", n)
     lo, ro, do = out
-    cand = _deletion_candidates(a, b, k, T, n).unionByName(_segment_candidates(a, b, k, T, n))
-    if self_match:
-        # each unordered pair once, whichever side found it
-        cand = (cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                .filter(F.col("a") != F.col("b")))
-    cand = cand.distinct()
+    # both methods are symmetric: in a self-match every pair is found in both
+    # orientations, so only a < b is kept inside the joins
+    cand = (_deletion_candidates(a, b, k, T, n, self_match)
+            .unionByName(_segment_candidates(a, b, k, T, n, self_match))
+            .distinct())
     dist = F.levenshtein(F.col("a"), F.col("b"), k)
     return (cand.withColumn(do, dist).filter((F.col(do) >= 0) & (F.col(do) <= k))
             .select(F.col("a").alias(lo), F.col("b").alias(ro), F.col(do).cast("int").alias(do)))
