@@ -60,6 +60,42 @@ RUBRIC_PARTS = ["syntax_valid", "schema_fidelity", "transformations", "all_stage
                 "delta_lake", "partitioning", "error_handling", "documentation", "notebook_structure"]
 CATEGORIES = ["expression_translation", "full_migration", "component_explanation", "pattern_explanation",
               "optimization", "troubleshooting", "best_practices"]
+MIGRATION_QUERY_MARKS = ["migra", "migrate"]
+MIGRATION_CODE_MARKS = ["spark.read", "df.write", "```python"]
+MIGRATION_STAGE_WORDS = ["read", "transform", "write", "validation"]
+SOURCE_TOOL_TERMS = ["datastage", "basic", "transformer"]
+SPARK_TERMS = ["pyspark", "f.", "spark"]
+EXAMPLE_MARK = "ejemplo"
+SOLUTION_MARK = "solución"
+FENCE = "```"
+COMPONENT_PURPOSE = ["propósito", "purpose", "qué hace", "what"]
+COMPONENT_EQUIVALENT = ["pyspark", "spark", "equivalent", "equivalente"]
+STEP_WORDS = ["paso", "step", "primero", "first"]
+EXPRESSION_SOURCE = ["DataStage", "BASIC", "expression"]
+EXPRESSION_TARGET = ["PySpark", "Spark", "F."]
+LIST_MARKS = ["- ", "* ", "1."]
+DELTA_ADVANCED = ["OPTIMIZE", "merge"]
+NOTEBOOK_HEADER = "# Databricks notebook source"
+NOTEBOOK_CELL_MARKS = ["# MAGIC %md", "# COMMAND"]
+WIDGETS = "dbutils.widgets"
+GLOBAL_NAMES = ["spark", "F", "dbutils"]
+WRITE_MODE_MARKS = ["mode('overwrite')", "mode('append')"]
+HEADER_OPTION = "option('header'"
+SIMPLE_CODE_MARKS = ["```python", "F.", "spark.", "df."]
+SIMPLE_STAGE_WORDS = ["read", "transform", "write", "validate"]
+SIMPLE_PURPOSE = ["purpose", "propósito", "qué hace"]
+SIMPLE_SPARK = ["pyspark", "spark"]
+PARTITION_MARKS = ["partitionBy", "repartition", "coalesce"]
+READ_MARKS = ["spark.read", "spark.table"]
+WRITE_MARK = ".write."
+DF_MARK = "df."
+READ_RX = r"spark\.read|spark\.table"
+WRITE_RX = r"\.write\."
+TRANSFORM_RX = r"\.withColumn|\.select|\.filter"
+FLOW_TRANSFORM_RX = r"\.withColumn|\.select|\.filter|\.groupBy"
+VALIDATION_RX = r"(?i)isNotNull|isNull|filter.*!=|constraint"
+CONTRADICTIONS = [(r"mode\(['\"]overwrite['\"]", r"mode\(['\"]append['\"]"),
+                  (r"format\(['\"]delta['\"]", r"format\(['\"]parquet['\"]")]
 
 # Regular expressions of the evaluator; (?U) gives Python's Unicode \s and \w.
 PY_BLOCK = r"(?sU)```python\s*\n(.*?)```"
@@ -119,19 +155,19 @@ def valid_python_blocks(blocks: pd.Series) -> pd.Series:
 def code_features(code: Column) -> dict[str, Column]:
     """Read/write/transform/validation/parameter flags and best-practice tags."""
     practices = F.array_compact(F.array(
-        F.when(has(code, "mode('overwrite')") | has(code, "mode('append')"), F.lit("explicit_write_mode")),
-        F.when(has(code, "option('header'"), F.lit("csv_headers")),
-        F.when(has(code, "partitionBy"), F.lit("partitioning")),
+        F.when(has_any(code, WRITE_MODE_MARKS), F.lit("explicit_write_mode")),
+        F.when(has(code, HEADER_OPTION), F.lit("csv_headers")),
+        F.when(has(code, PARTITION_MARKS[0]), F.lit("partitioning")),
         F.when(has(code, "OPTIMIZE"), F.lit("optimization")),
-        F.when(has(code, "# MAGIC %md") | has(code, "# COMMAND"), F.lit("notebook_structure"))))
+        F.when(has_any(code, NOTEBOOK_CELL_MARKS), F.lit("notebook_structure"))))
     return {
         "columns": distinct_matches(code, QUOTED_NAME),
-        "has_read": code.rlike(r"spark\.read|spark\.table"),
-        "has_write": code.rlike(r"\.write\."),
+        "has_read": code.rlike(READ_RX),
+        "has_write": code.rlike(WRITE_RX),
         "has_delta": has(F.lower(code), "delta"),
-        "has_transforms": code.rlike(r"\.withColumn|\.select|\.filter"),
-        "has_validation": code.rlike(r"(?i)isNotNull|isNull|filter.*!=|constraint"),
-        "has_parameters": has(code, "dbutils.widgets"),
+        "has_transforms": code.rlike(TRANSFORM_RX),
+        "has_validation": code.rlike(VALIDATION_RX),
+        "has_parameters": has(code, WIDGETS),
         "best_practices": practices,
     }
 
@@ -150,20 +186,20 @@ def _groundedness(text: Column, code: Column, has_code: Column, system_prompt: b
 
 def _relevance(text: Column, query: Column, cat: Column) -> Column:
     tl, ql = F.lower(text), F.lower(query)
-    mig_pys = has_any(text, ["spark.read", "df.write", "```python"])
-    mig_stages = count_present(tl, ["read", "transform", "write", "validation"])
-    full_mig = F.when(~(has(ql, "migra") | has(ql, "migrate")), 0.0) \
+    mig_pys = has_any(text, MIGRATION_CODE_MARKS)
+    mig_stages = count_present(tl, MIGRATION_STAGE_WORDS)
+    full_mig = F.when(~has_any(ql, MIGRATION_QUERY_MARKS), 0.0) \
         .when(mig_pys & (mig_stages >= 2), 1.0).when(mig_pys, 0.7).otherwise(0.3)
-    ds, ps = has_any(tl, ["datastage", "basic", "transformer"]), has_any(tl, ["pyspark", "f.", "spark"])
+    ds, ps = has_any(tl, SOURCE_TOOL_TERMS), has_any(tl, SPARK_TERMS)
     expr = F.when(ds & ps, 1.0).when(ps, 0.7).otherwise(0.4)
     qcomp = F.coalesce(*[F.when(has(ql, c), F.lit(c)) for c in COMPONENTS])
     comp = F.when(qcomp.isNotNull() & tl.contains(qcomp),
                   F.when(has_any(tl, EXPLANATION_MARKS), 1.0).otherwise(0.6)).otherwise(0.3)
-    pexp, pex = has_any(tl, PATTERN_TERMS), has(text, "```") | has(tl, "ejemplo")
+    pexp, pex = has_any(tl, PATTERN_TERMS), has(text, FENCE) | has(tl, EXAMPLE_MARK)
     patt = F.when(pexp & pex, 1.0).when(pexp, 0.7).otherwise(0.5)
     nopt = count_present(tl, OPTIMIZATION_TERMS)
     opt = F.when(nopt >= 3, 1.0).when(nopt >= 2, 0.7).otherwise(0.4)
-    diag, sol = has_any(tl, TROUBLE_MARKS), has(text, "```") | has(tl, "solución")
+    diag, sol = has_any(tl, TROUBLE_MARKS), has(text, FENCE) | has(tl, SOLUTION_MARK)
     trouble = F.when(diag & sol, 1.0).when(diag, 0.6).otherwise(0.3)
     nbp = count_present(tl, BEST_PRACTICE_TERMS)
     bp = F.when(nbp >= 2, 1.0).when(nbp >= 1, 0.7).otherwise(0.4)
@@ -175,22 +211,25 @@ def _relevance(text: Column, query: Column, cat: Column) -> Column:
 
 def _coherence(code: Column, has_code: Column) -> Column:
     """No upper cap: a fully coherent read->write flow scores 1.1, as in the evaluator."""
-    has_read = code.rlike(r"spark\.read|spark\.table")
-    has_tr = code.rlike(r"\.withColumn|\.select|\.filter|\.groupBy")
-    has_wr = code.rlike(r"\.write\.")
-    read_pos = F.when(has(code, "spark.read"), F.instr(code, "spark.read")).otherwise(F.instr(code, "spark.table"))
-    order_bonus = F.when(has_read & has_tr & has_wr & (read_pos < F.instr(code, ".write.")), 0.1).otherwise(0.0)
+    has_read = code.rlike(READ_RX)
+    has_tr = code.rlike(FLOW_TRANSFORM_RX)
+    has_wr = code.rlike(WRITE_RX)
+    read_pos = F.when(has(code, READ_MARKS[0]), F.instr(code, READ_MARKS[0])).otherwise(F.instr(code, READ_MARKS[1]))
+    order_bonus = F.when(has_read & has_tr & has_wr & (read_pos < F.instr(code, WRITE_MARK)), 0.1).otherwise(0.0)
     undefined = F.array_except(F.array_except(distinct_matches(code, DF_USAGE), distinct_matches(code, ASSIGNMENT)),
-                               F.array(F.lit("spark"), F.lit("F"), F.lit("dbutils")))
+                               F.array(*[F.lit(g) for g in GLOBAL_NAMES]))
     defined_cols, used_cols = distinct_matches(code, WITH_COLUMN_NAME), distinct_matches(code, COL_NAME)
     col_pen = F.when((F.size(used_cols) > 0) & (F.size(defined_cols) > 0) &
                      (F.size(F.array_except(used_cols, defined_cols)) > 5), 0.1).otherwise(0.0)
-    contra = (F.when(code.rlike(r"mode\(['\"]overwrite['\"]") & code.rlike(r"mode\(['\"]append['\"]"), 0.1)
-              .otherwise(0.0) +
-              F.when(code.rlike(r"format\(['\"]delta['\"]") & code.rlike(r"format\(['\"]parquet['\"]"), 0.1)
-              .otherwise(0.0))
-    incomplete = count_present(code, INCOMPLETE_MARKS) * 0.1
-    s = F.lit(1.0) + order_bonus - F.size(undefined) * 0.15 - col_pen - contra - incomplete
+    contra = [F.when(code.rlike(p1) & code.rlike(p2), 0.1).otherwise(0.0) for p1, p2 in CONTRADICTIONS]
+    # deductions applied one by one, in the evaluator's order (same float results)
+    s = F.lit(1.0) + order_bonus
+    s = s - F.size(undefined) * 0.15
+    s = s - col_pen
+    for c in contra:
+        s = s - c
+    for m in INCOMPLETE_MARKS:
+        s = s - F.when(has(code, m), 0.1).otherwise(0.0)
     return F.when(~has_code, F.lit(0.8)).otherwise(F.greatest(s, F.lit(0.0)))
 
 
@@ -209,18 +248,18 @@ def rubric(text: Column, blocks: Column, code: Column) -> Column:
     transforms = ngroups / F.lit(len(TRANSFORM_GROUPS)) * 0.15
     nstages = (feats["has_read"].cast("int") + feats["has_transforms"].cast("int") + feats["has_write"].cast("int"))
     stages = F.when(nonempty, nstages / F.lit(3.0) * 0.15).otherwise(0.0)
-    params = F.when(has(code, "dbutils.widgets"), 0.07).otherwise(0.0)
+    params = F.when(has(code, WIDGETS), 0.07).otherwise(0.0)
     validations = F.when(nonempty & feats["has_validation"], 0.05).otherwise(0.0)
     delta = F.when(nonempty & feats["has_delta"],
-                   F.when(has(code, "OPTIMIZE") | has(cl, "merge"), 0.08).otherwise(0.05)).otherwise(0.0)
-    partitioning = F.when(has(code, "partitionBy"), 0.06) \
-        .when(has(code, "repartition") | has(code, "coalesce"), 0.03).otherwise(0.0)
+                   F.when(has(code, DELTA_ADVANCED[0]) | has(cl, DELTA_ADVANCED[1]), 0.08).otherwise(0.05)).otherwise(0.0)
+    partitioning = F.when(has(code, PARTITION_MARKS[0]), 0.06) \
+        .when(has_any(code, PARTITION_MARKS[1:]), 0.03).otherwise(0.0)
     nerr = count_present(cl, ERROR_PATTERNS)
     errors = F.when(nerr >= 2, 0.06).when(nerr == 1, 0.03).otherwise(0.0)
     ndoc = count_present(text, DOC_MARKS)
     docs = F.when(ndoc >= 3, 0.05).when(ndoc >= 2, 0.03).when(ndoc >= 1, 0.02).otherwise(0.0)
-    nb = F.when(has(text, "# Databricks notebook source"), 0.05) \
-        .when(has(text, "# MAGIC %md") | has(text, "# COMMAND"), 0.03).otherwise(0.0)
+    nb = F.when(has(text, NOTEBOOK_HEADER), 0.05) \
+        .when(has_any(text, NOTEBOOK_CELL_MARKS), 0.03).otherwise(0.0)
     parts = [syntax, schema, transforms, stages, params, validations, delta, partitioning, errors, docs, nb]
     return F.struct(*[p.cast("double").alias(n) for p, n in zip(parts, RUBRIC_PARTS)])
 
@@ -228,17 +267,17 @@ def rubric(text: Column, blocks: Column, code: Column) -> Column:
 def _category_specific(text: Column, cat: Column, min_len: Column, rub: Column) -> Column:
     tl = F.lower(text)
     n = F.length(text)
-    expr = F.when(has_any(text, ["DataStage", "BASIC", "expression"]) & has_any(text, ["PySpark", "Spark", "F."]),
+    expr = F.when(has_any(text, EXPRESSION_SOURCE) & has_any(text, EXPRESSION_TARGET),
                   1.0).otherwise(0.5)
     migration = F.least(reduce(lambda a, b: a + b, [rub[p] for p in RUBRIC_PARTS]), F.lit(1.0))
-    comp = (F.when(has_any(tl, ["propósito", "purpose", "qué hace", "what"]), 0.4).otherwise(0.0) +
-            F.when(has_any(tl, ["pyspark", "spark", "equivalent", "equivalente"]), 0.3).otherwise(0.0) +
-            F.when(has(text, "```") | has(text, "df."), 0.3).otherwise(0.0))
-    patt = (F.when(has(text, "```"), 0.5).otherwise(0.0) +
-            F.when(has_any(tl, ["paso", "step", "primero", "first"]), 0.25).otherwise(0.0) +
+    comp = (F.when(has_any(tl, COMPONENT_PURPOSE), 0.4).otherwise(0.0) +
+            F.when(has_any(tl, COMPONENT_EQUIVALENT), 0.3).otherwise(0.0) +
+            F.when(has(text, FENCE) | has(text, DF_MARK), 0.3).otherwise(0.0))
+    patt = (F.when(has(text, FENCE), 0.5).otherwise(0.0) +
+            F.when(has_any(tl, STEP_WORDS), 0.25).otherwise(0.0) +
             F.when(n >= F.coalesce(min_len, F.lit(300)), 0.25).otherwise(0.0))
     opt = F.least(count_present(text, OPT_KEYWORDS) / F.lit(3.0), F.lit(1.0))
-    other = F.when(has_any(text, ["- ", "* ", "1."]) & (n >= 200), 1.0).otherwise(0.5)
+    other = F.when(has_any(text, LIST_MARKS) & (n >= 200), 1.0).otherwise(0.5)
     return (F.when(cat == "expression_translation", expr).when(cat == "full_migration", migration)
             .when(cat == "component_explanation", comp).when(cat == "pattern_explanation", patt)
             .when(cat == "optimization", opt).otherwise(other)).cast("double")
@@ -349,19 +388,19 @@ def simple_scores(responses: DataFrame, cases: DataFrame, text_col: str = "text"
     found = F.size(F.filter(kws, lambda k: F.instr(tl, F.lower(k)) > 0))
     cat = F.col("category")
     headers = has_any(text, HEADER_MARKS)
-    stages = count_present(tl, ["read", "transform", "write", "validate"])
+    stages = count_present(tl, SIMPLE_STAGE_WORDS)
     s = {
         "keyword_coverage": F.when(F.coalesce(F.size(kws), F.lit(0)) > 0, found / F.size(kws)).otherwise(0.0),
-        "includes_code": F.when(has_any(text, ["```python", "F.", "spark.", "df."]), 1.0).otherwise(0.0),
+        "includes_code": F.when(has_any(text, SIMPLE_CODE_MARKS), 1.0).otherwise(0.0),
         "well_structured": F.when(headers & (F.length(text) > 200), 1.0).when(headers, 0.5).otherwise(0.0),
         "category_specific": (
             F.when(cat == "expression_translation",
-                   F.when(has(text, "DataStage") & has(text, "PySpark"), 1.0).otherwise(0.0))
+                   F.when(has(text, EXPRESSION_SOURCE[0]) & has(text, EXPRESSION_TARGET[0]), 1.0).otherwise(0.0))
             .when(cat == "full_migration", stages / F.lit(4.0))
             .when(cat == "pattern_explanation",
-                  F.when(has(text, "```") & (F.length(text) > 300), 1.0).otherwise(0.5))
-            .otherwise(F.when(has_any(tl, ["purpose", "propósito", "qué hace"]) &
-                              (has(tl, "pyspark") | has(tl, "spark")), 1.0).otherwise(0.5))),
+                  F.when(has(text, FENCE) & (F.length(text) > 300), 1.0).otherwise(0.5))
+            .otherwise(F.when(has_any(tl, SIMPLE_PURPOSE) &
+                              has_any(tl, SIMPLE_SPARK), 1.0).otherwise(0.5))),
     }
     j = j.withColumns({k: v.cast("double") for k, v in s.items()})
     j = j.withColumn("overall", reduce(lambda a, b: a + b, [F.col(k) for k in s]) / F.lit(len(s)))

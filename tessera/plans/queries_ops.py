@@ -550,13 +550,13 @@ FROM a, b WHERE levenshtein(a.word, b.word) <= 2
 
 register("e7_e8_stddev_median", """
 SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS qty_stddev,
-       CAST(quantile_cont(l_quantity, 0.5) AS DOUBLE) AS qty_median,
-       CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE) AS price_median
+       round(CAST(quantile_cont(l_quantity, 0.5) AS DOUBLE), 6) AS qty_median,
+       round(CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE), 6) AS price_median
 FROM lineitem GROUP BY l_returnflag
 """)(lambda spark, d: agg.aggregate(T(spark, d, "lineitem"), ["l_returnflag"], {
     "qty_stddev": F.round(agg.agg_expr("stddev", "l_quantity"), 6),
-    "qty_median": agg.agg_expr("median", "l_quantity"),
-    "price_median": agg.agg_expr("median", "l_extendedprice"),
+    "qty_median": F.round(agg.agg_expr("median", "l_quantity"), 6),
+    "price_median": F.round(agg.agg_expr("median", "l_extendedprice"), 6),
 }))
 
 register("e9_distinct_count", """

@@ -9,11 +9,17 @@ form -- the oracle knows which generated block is the broken one ('if (').
 
 from __future__ import annotations
 
-from tessera.operators.scoring import (BEST_PRACTICE_TERMS, CATEGORIES, CODE_SIGNALS, COMPONENTS, DOC_MARKS,
-                                       ERROR_PATTERNS, EXPLANATION_MARKS, HEADER_MARKS, BULLET_MARKS, INCOMPLETE_MARKS,
-                                       INVALID_API_PATTERNS, KNOWLEDGE_CONCEPTS, KNOWLEDGE_PATTERNS, OPT_KEYWORDS,
-                                       OPTIMIZATION_TERMS, PATTERN_TERMS, RUBRIC_PARTS, TRANSFORM_GROUPS, TROUBLE_MARKS,
-                                       WEIGHTS)
+from tessera.operators.scoring import (BEST_PRACTICE_TERMS, BULLET_MARKS, CATEGORIES, CODE_SIGNALS,
+                                       COMPONENT_EQUIVALENT, COMPONENT_PURPOSE, COMPONENTS, CONTRADICTIONS, DELTA_ADVANCED,
+                                       DF_MARK, DOC_MARKS, ERROR_PATTERNS, EXAMPLE_MARK, EXPLANATION_MARKS,
+                                       EXPRESSION_SOURCE, EXPRESSION_TARGET, FENCE, FLOW_TRANSFORM_RX, GLOBAL_NAMES,
+                                       HEADER_MARKS, INCOMPLETE_MARKS, INVALID_API_PATTERNS, KNOWLEDGE_CONCEPTS,
+                                       KNOWLEDGE_PATTERNS, LIST_MARKS, MIGRATION_CODE_MARKS, MIGRATION_QUERY_MARKS,
+                                       MIGRATION_STAGE_WORDS, NOTEBOOK_CELL_MARKS, NOTEBOOK_HEADER, OPT_KEYWORDS,
+                                       OPTIMIZATION_TERMS, PARTITION_MARKS, PATTERN_TERMS, READ_MARKS, READ_RX, RUBRIC_PARTS,
+                                       SIMPLE_CODE_MARKS, SIMPLE_PURPOSE, SIMPLE_SPARK, SIMPLE_STAGE_WORDS, SOLUTION_MARK,
+                                       SOURCE_TOOL_TERMS, SPARK_TERMS, STEP_WORDS, TRANSFORM_GROUPS, TRANSFORM_RX,
+                                       TROUBLE_MARKS, VALIDATION_RX, WEIGHTS, WIDGETS, WRITE_MARK, WRITE_RX)
 
 
 def lit(s: str) -> str:
@@ -93,7 +99,7 @@ bs AS (SELECT *, CASE WHEN has_code THEN code ELSE text END AS scope FROM bc)"""
 def _undefined_count() -> str:
     used = r"list_distinct(regexp_extract_all(code, '(?:^|[^A-Za-z0-9_])(df[A-Za-z0-9_]*)\.', 1))"
     defined = r"list_distinct(regexp_extract_all(code, '([A-Za-z0-9_]+)\s*=\s*(?:spark\.read|[A-Za-z0-9_]+\.withColumn|[A-Za-z0-9_]+\.filter)', 1))"
-    return (f"len(list_filter({used}, lambda x: NOT list_contains({defined}, x) AND x NOT IN ('spark', 'F', 'dbutils')))")
+    return (f"len(list_filter({used}, lambda x: NOT list_contains({defined}, x) AND x NOT IN ({', '.join(lit(g) for g in GLOBAL_NAMES)})))")
 
 
 def _metrics_sql() -> str:
@@ -109,20 +115,20 @@ def _metrics_sql() -> str:
     g2 = when(f"{count_present('scope', KNOWLEDGE_PATTERNS)} >= 2", f"least({g1} + {d(0.1)}, {d(1.0)})", g1)
     ground = f"greatest({g2}, {d(0.0)})"
 
-    mig_pys = has_any("text", ["spark.read", "df.write", "```python"])
-    mig_st = count_present("tl", ["read", "transform", "write", "validation"])
-    full_mig = (f"(CASE WHEN NOT ({has('ql', 'migra')} OR {has('ql', 'migrate')}) THEN {d(0.0)} "
+    mig_pys = has_any("text", MIGRATION_CODE_MARKS)
+    mig_st = count_present("tl", MIGRATION_STAGE_WORDS)
+    full_mig = (f"(CASE WHEN NOT {has_any('ql', MIGRATION_QUERY_MARKS)} THEN {d(0.0)} "
                 f"WHEN {mig_pys} AND {mig_st} >= 2 THEN {d(1.0)} WHEN {mig_pys} THEN {d(0.7)} ELSE {d(0.3)} END)")
-    ds, ps = has_any("tl", ["datastage", "basic", "transformer"]), has_any("tl", ["pyspark", "f.", "spark"])
+    ds, ps = has_any("tl", SOURCE_TOOL_TERMS), has_any("tl", SPARK_TERMS)
     expr = f"(CASE WHEN {ds} AND {ps} THEN {d(1.0)} WHEN {ps} THEN {d(0.7)} ELSE {d(0.4)} END)"
     qcomp = "(CASE " + " ".join(f"WHEN {has('ql', c)} THEN {lit(c)}" for c in COMPONENTS) + " END)"
     comp = (f"(CASE WHEN {qcomp} IS NOT NULL AND contains(tl, {qcomp}) THEN "
             f"{when(has_any('tl', EXPLANATION_MARKS), d(1.0), d(0.6))} ELSE {d(0.3)} END)")
-    pexp, pex = has_any("tl", PATTERN_TERMS), f"({has('text', '```')} OR {has('tl', 'ejemplo')})"
+    pexp, pex = has_any("tl", PATTERN_TERMS), f"({has('text', FENCE)} OR {has('tl', EXAMPLE_MARK)})"
     patt = f"(CASE WHEN {pexp} AND {pex} THEN {d(1.0)} WHEN {pexp} THEN {d(0.7)} ELSE {d(0.5)} END)"
     nopt = count_present("tl", OPTIMIZATION_TERMS)
     opt = f"(CASE WHEN {nopt} >= 3 THEN {d(1.0)} WHEN {nopt} >= 2 THEN {d(0.7)} ELSE {d(0.4)} END)"
-    diag, sol = has_any("tl", TROUBLE_MARKS), f"({has('text', '```')} OR {has('tl', 'solución')})"
+    diag, sol = has_any("tl", TROUBLE_MARKS), f"({has('text', FENCE)} OR {has('tl', SOLUTION_MARK)})"
     trouble = f"(CASE WHEN {diag} AND {sol} THEN {d(1.0)} WHEN {diag} THEN {d(0.6)} ELSE {d(0.3)} END)"
     nbp = count_present("tl", BEST_PRACTICE_TERMS)
     bp = f"(CASE WHEN {nbp} >= 2 THEN {d(1.0)} WHEN {nbp} >= 1 THEN {d(0.7)} ELSE {d(0.4)} END)"
@@ -131,22 +137,21 @@ def _metrics_sql() -> str:
                  f"WHEN 'optimization' THEN {opt} WHEN 'troubleshooting' THEN {trouble} "
                  f"WHEN 'best_practices' THEN {bp} ELSE {d(0.7)} END)")
 
-    has_read = rx("code", r"spark\.read|spark\.table")
-    has_tr = rx("code", r"\.withColumn|\.select|\.filter|\.groupBy")
-    has_wr = rx("code", r"\.write\.")
-    read_pos = f"(CASE WHEN {has('code', 'spark.read')} THEN instr(code, 'spark.read') ELSE instr(code, 'spark.table') END)"
-    bonus = when(f"{has_read} AND {has_tr} AND {has_wr} AND {read_pos} < instr(code, '.write.')", d(0.1), d(0.0))
+    has_read = rx("code", READ_RX)
+    has_tr = rx("code", FLOW_TRANSFORM_RX)
+    has_wr = rx("code", WRITE_RX)
+    read_pos = (f"(CASE WHEN {has('code', READ_MARKS[0])} THEN instr(code, {lit(READ_MARKS[0])}) "
+                f"ELSE instr(code, {lit(READ_MARKS[1])}) END)")
+    bonus = when(f"{has_read} AND {has_tr} AND {has_wr} AND {read_pos} < instr(code, {lit(WRITE_MARK)})", d(0.1), d(0.0))
     dcols = r"list_distinct(regexp_extract_all(code, 'withColumn\([''\"]([^''\"]+)[''\"]', 1))"
     ucols = r"list_distinct(regexp_extract_all(code, 'F\.col\([''\"]([^''\"]+)[''\"]', 1))"
     colpen = when(f"len({ucols}) > 0 AND len({dcols}) > 0 AND len(list_filter({ucols}, lambda x: NOT list_contains({dcols}, x))) > 5",
                   d(0.1), d(0.0))
-    c1 = when(f"{rx('code', 'mode\\([\'\"]overwrite[\'\"]')} AND {rx('code', 'mode\\([\'\"]append[\'\"]')}", d(0.1), d(0.0))
-    c2 = when(f"{rx('code', 'format\\([\'\"]delta[\'\"]')} AND {rx('code', 'format\\([\'\"]parquet[\'\"]')}", d(0.1), d(0.0))
     s = f"({d(1.0)} + {bonus})"
     s = f"({s} - {_undefined_count()} * {d(0.15)})"
     s = f"({s} - {colpen})"
-    s = f"({s} - {c1})"
-    s = f"({s} - {c2})"
+    for p1, p2 in CONTRADICTIONS:
+        s = f"({s} - {when(rx('code', p1) + ' AND ' + rx('code', p2), d(0.1), d(0.0))})"
     for m in INCOMPLETE_MARKS:
         s = f"({s} - {when(has('code', m), d(0.1), d(0.0))})"
     coherence = when("NOT has_code", d(0.8), f"greatest({s}, {d(0.0)})")
@@ -162,37 +167,37 @@ def _rubric_sql() -> str:
     schema = f"(CASE WHEN {nonempty} AND {ncols} >= 5 THEN {d(0.15)} WHEN {nonempty} AND {ncols} >= 3 THEN {d(0.10)} ELSE {d(0.0)} END)"
     ngroups = "(" + " + ".join(f"(CASE WHEN {has_any('lower(code)', g)} THEN 1 ELSE 0 END)" for g in TRANSFORM_GROUPS) + ")"
     transforms = f"CAST({ngroups} AS DOUBLE) / {len(TRANSFORM_GROUPS)} * {d(0.15)}"
-    nst = (f"(CAST({rx('code', r'spark\.read|spark\.table')} AS INTEGER) + "
-           f"CAST({rx('code', r'\.withColumn|\.select|\.filter')} AS INTEGER) + CAST({rx('code', r'\.write\.')} AS INTEGER))")
+    nst = (f"(CAST({rx('code', READ_RX)} AS INTEGER) + "
+           f"CAST({rx('code', TRANSFORM_RX)} AS INTEGER) + CAST({rx('code', WRITE_RX)} AS INTEGER))")
     stages = when(nonempty, f"{nst} / {d(3.0)} * {d(0.15)}", d(0.0))
-    params = when(has("code", "dbutils.widgets"), d(0.07), d(0.0))
-    validation = when(f"{nonempty} AND {rx('code', '(?i)isNotNull|isNull|filter.*!=|constraint')}", d(0.05), d(0.0))
+    params = when(has("code", WIDGETS), d(0.07), d(0.0))
+    validation = when(f"{nonempty} AND {rx('code', VALIDATION_RX)}", d(0.05), d(0.0))
     delta = when(f"{nonempty} AND contains(lower(code), 'delta')",
-                 when(f"{has('code', 'OPTIMIZE')} OR contains(lower(code), 'merge')", d(0.08), d(0.05)), d(0.0))
-    part = (f"(CASE WHEN {has('code', 'partitionBy')} THEN {d(0.06)} WHEN {has('code', 'repartition')} OR "
-            f"{has('code', 'coalesce')} THEN {d(0.03)} ELSE {d(0.0)} END)")
+                 when(f"{has('code', DELTA_ADVANCED[0])} OR {has('lower(code)', DELTA_ADVANCED[1])}", d(0.08), d(0.05)),
+                 d(0.0))
+    part = (f"(CASE WHEN {has('code', PARTITION_MARKS[0])} THEN {d(0.06)} WHEN {has_any('code', PARTITION_MARKS[1:])} "
+            f"THEN {d(0.03)} ELSE {d(0.0)} END)")
     nerr = count_present("lower(code)", ERROR_PATTERNS)
     errs = f"(CASE WHEN {nerr} >= 2 THEN {d(0.06)} WHEN {nerr} = 1 THEN {d(0.03)} ELSE {d(0.0)} END)"
     ndoc = count_present("text", DOC_MARKS)
     docs = (f"(CASE WHEN {ndoc} >= 3 THEN {d(0.05)} WHEN {ndoc} >= 2 THEN {d(0.03)} WHEN {ndoc} >= 1 THEN {d(0.02)} "
             f"ELSE {d(0.0)} END)")
-    nb = (f"(CASE WHEN {has('text', '# Databricks notebook source')} THEN {d(0.05)} WHEN {has('text', '# MAGIC %md')} "
-          f"OR {has('text', '# COMMAND')} THEN {d(0.03)} ELSE {d(0.0)} END)")
+    nb = (f"(CASE WHEN {has('text', NOTEBOOK_HEADER)} THEN {d(0.05)} WHEN {has_any('text', NOTEBOOK_CELL_MARKS)} "
+          f"THEN {d(0.03)} ELSE {d(0.0)} END)")
     parts = [syntax, schema, transforms, stages, params, validation, delta, part, errs, docs, nb]
     return ", ".join(f"{p} AS r_{n}" for p, n in zip(parts, RUBRIC_PARTS))
 
 
 def _category_sql() -> str:
-    expr = when(f"{has_any('text', ['DataStage', 'BASIC', 'expression'])} AND {has_any('text', ['PySpark', 'Spark', 'F.'])}",
-                d(1.0), d(0.5))
+    expr = when(f"{has_any('text', EXPRESSION_SOURCE)} AND {has_any('text', EXPRESSION_TARGET)}", d(1.0), d(0.5))
     mig = "least(" + " + ".join(f"r_{p}" for p in RUBRIC_PARTS) + f", {d(1.0)})"
-    comp = (f"({when(has_any('tl', ['propósito', 'purpose', 'qué hace', 'what']), d(0.4), d(0.0))} + "
-            f"{when(has_any('tl', ['pyspark', 'spark', 'equivalent', 'equivalente']), d(0.3), d(0.0))} + "
-            f"{when(has('text', '```') + ' OR ' + has('text', 'df.'), d(0.3), d(0.0))})")
-    patt = (f"({when(has('text', '```'), d(0.5), d(0.0))} + {when(has_any('tl', ['paso', 'step', 'primero', 'first']), d(0.25), d(0.0))}"
+    comp = (f"({when(has_any('tl', COMPONENT_PURPOSE), d(0.4), d(0.0))} + "
+            f"{when(has_any('tl', COMPONENT_EQUIVALENT), d(0.3), d(0.0))} + "
+            f"{when(has('text', FENCE) + ' OR ' + has('text', DF_MARK), d(0.3), d(0.0))})")
+    patt = (f"({when(has('text', FENCE), d(0.5), d(0.0))} + {when(has_any('tl', STEP_WORDS), d(0.25), d(0.0))}"
             f" + {when('length(text) >= coalesce(min_length, 300)', d(0.25), d(0.0))})")
     opt = f"least({count_present('text', OPT_KEYWORDS)} / {d(3.0)}, {d(1.0)})"
-    other = when(f"{has_any('text', ['- ', '* ', '1.'])} AND length(text) >= 200", d(1.0), d(0.5))
+    other = when(f"{has_any('text', LIST_MARKS)} AND length(text) >= 200", d(1.0), d(0.5))
     return (f"(CASE category WHEN 'expression_translation' THEN {expr} WHEN 'full_migration' THEN {mig} "
             f"WHEN 'component_explanation' THEN {comp} WHEN 'pattern_explanation' THEN {patt} "
             f"WHEN 'optimization' THEN {opt} ELSE {other} END)")
@@ -244,15 +249,15 @@ def _simple_cte() -> str:
     kw = ("CASE WHEN coalesce(len(expected_keywords), 0) > 0 THEN "
           "CAST(len(list_filter(expected_keywords, lambda k: contains(tl, lower(k)))) AS DOUBLE) / len(expected_keywords) "
           f"ELSE {d(0.0)} END")
-    inc = when(has_any("text", ["```python", "F.", "spark.", "df."]), d(1.0), d(0.0))
+    inc = when(has_any("text", SIMPLE_CODE_MARKS), d(1.0), d(0.0))
     hdr = has_any("text", HEADER_MARKS)
     ws = f"(CASE WHEN {hdr} AND length(text) > 200 THEN {d(1.0)} WHEN {hdr} THEN {d(0.5)} ELSE {d(0.0)} END)"
-    stages = count_present("tl", ["read", "transform", "write", "validate"])
+    stages = count_present("tl", SIMPLE_STAGE_WORDS)
     cat = (f"(CASE category WHEN 'expression_translation' THEN "
-           f"{when(has('text', 'DataStage') + ' AND ' + has('text', 'PySpark'), d(1.0), d(0.0))} "
+           f"{when(has('text', EXPRESSION_SOURCE[0]) + ' AND ' + has('text', EXPRESSION_TARGET[0]), d(1.0), d(0.0))} "
            f"WHEN 'full_migration' THEN {stages} / {d(4.0)} "
-           f"WHEN 'pattern_explanation' THEN {when(has('text', '```') + ' AND length(text) > 300', d(1.0), d(0.5))} "
-           f"ELSE {when(has_any('tl', ['purpose', 'propósito', 'qué hace']) + ' AND (' + has('tl', 'pyspark') + ' OR ' + has('tl', 'spark') + ')', d(1.0), d(0.5))} END)")
+           f"WHEN 'pattern_explanation' THEN {when(has('text', FENCE) + ' AND length(text) > 300', d(1.0), d(0.5))} "
+           f"ELSE {when(has_any('tl', SIMPLE_PURPOSE) + ' AND ' + has_any('tl', SIMPLE_SPARK), d(1.0), d(0.5))} END)")
     return (f"WITH {CASES},{RESPONSES},\n"
             f"j AS (SELECT r.*, c.* EXCLUDE (test_id), lower(r.text) AS tl FROM resp r JOIN cases c ON r.test_id = c.test_id),\n"
             f"s AS (SELECT model, test_id, conv_id, turn, category, {kw} AS keyword_coverage, {inc} AS includes_code, "
