@@ -35,6 +35,8 @@ def agg_expr(fn: str, col: str | Column | None = None, approx: bool = False) ->
     if fn == "stddev_pop":
         return F.stddev_pop(c)
     if fn == "median":
+        # exact form keeps each group's distinct values in one buffer: fine for
+        # small groups; use exact_percentile for hot groups or global medians
         return F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(c, F.lit(0.5))
     if fn in ("count_distinct", "distinct"):
         return F.approx_count_distinct(c) if approx else F.count_distinct(c)
@@ -89,3 +91,41 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str],
             name: str = "name", value: str = "value") -> DataFrame:
     """Columns to rows (E15); value columns must share a type."""
     return df.unpivot(list(ids), list(values), name, value)
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.5,
+                     out: str = "percentile") -> DataFrame:
+    """Exact continuous percentile per group (E8) without a per-group buffer.
+
+    ``percentile``/``median`` keep every distinct value of a group in one
+    aggregation buffer, which a hot group (or a global median) cannot afford.
+    Here the values are counted per (group, value) -- combined map-side --,
+    cumulative counts come from the distributed running sum (range-partitioned,
+    so a hot group spans many tasks), and the two values around rank
+    p * (n - 1) are picked and interpolated:
+    ``(hi_pos - pos) * v_lo + (pos - lo_pos) * v_hi``.  Nulls are ignored.
+    """
+    from tessera.operators import numbering
+    keys = list(keys)
+    v = F.col(col).cast("double")
+    vc = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+          .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    cum = numbering.running_sum(vc, keys, ["_v"], "_c", "_cum")
+    tot = vc.groupBy(*keys).agg(F.sum("_c").alias("_n")) if keys else vc.agg(F.sum("_c").alias("_n"))
+    if keys:
+        j = cum.join(tot, keys)
+    else:
+        # the global total is one row: attach it by a broadcast equi-join on a constant
+        j = cum.withColumn("_k", F.lit(0)).join(F.broadcast(tot.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    pos = (F.col("_n") - 1) * F.lit(float(p))
+    lo, hi = F.floor(pos), F.ceil(pos)
+    prev = F.col("_cum") - F.col("_c")
+    j = j.withColumns({"_lo": F.when((prev <= lo) & (lo < F.col("_cum")), F.col("_v")),
+                       "_hi": F.when((prev <= hi) & (hi < F.col("_cum")), F.col("_v")),
+                       "_pos": pos})
+    g = j.groupBy(*keys) if keys else j.groupBy()
+    r = g.agg(F.max("_lo").alias("_vlo"), F.max("_hi").alias("_vhi"), F.max("_pos").alias("_pos"))
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    val = F.when(lo == hi, F.col("_vlo")).otherwise((hi - F.col("_pos")) * F.col("_vlo") +
+                                                     (F.col("_pos") - lo) * F.col("_vhi"))
+    return r.select(*keys, val.alias(out))

@@ -130,17 +130,25 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "dup_count")
 
 
 def column_profile(df: DataFrame, cols: Sequence[str], approx_median: bool = False) -> DataFrame:
-    """min/max/avg/stddev/median per numeric column (V11), one aggregate."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        med = F.percentile_approx(x, 0.5, 10000) if approx_median else F.median(x)
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.min(x).alias("min_value"),
-                             F.max(x).alias("max_value"), F.avg(x).alias("avg_value"),
-                             F.stddev_samp(x).alias("stddev_value"), med.alias("median_value"),
-                             F.count(x).alias("non_null")).alias(c))
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("p")).select("p.*")
+    """min/max/avg/stddev/median/non-null count per numeric column.
+
+    The columns are unpivoted to (column_name, value) so one aggregate gives
+    all statistics; the exact median uses the distributed percentile (no
+    single buffer holds a column's values), or a bounded sketch with
+    ``approx_median``.
+    """
+    from tessera.operators.aggregate import exact_percentile
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                  F.col(c).cast("double").alias("v")) for c in cols])).alias("p")) \
+        .select("p.*")
+    aggs = [F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.avg("v").alias("avg_value"),
+            F.stddev_samp("v").alias("stddev_value"), F.count("v").alias("non_null")]
+    if approx_median:
+        return long.groupBy("column_name").agg(*aggs, F.percentile_approx("v", 0.5, 10000).alias("median_value"))
+    stats = long.groupBy("column_name").agg(*aggs)
+    med = exact_percentile(long, ["column_name"], "v", 0.5, "median_value")
+    return stats.join(med, "column_name", "left").select(
+        "column_name", "min_value", "max_value", "avg_value", "stddev_value", "median_value", "non_null")
 
 
 class ExpectationFailed(AssertionError):

@@ -548,16 +548,21 @@ FROM a, b WHERE levenshtein(a.word, b.word) <= 2
 
 # ------------------------------------------------------------------ aggregation
 
+def _stats_median(spark, d):
+    li = T(spark, d, "lineitem")
+    sd = agg.aggregate(li, ["l_returnflag"], {"qty_stddev": F.round(agg.agg_expr("stddev", "l_quantity"), 6)})
+    mq = agg.exact_percentile(li, ["l_returnflag"], "l_quantity", 0.5, "qty_median")
+    mp = agg.exact_percentile(li, ["l_returnflag"], "l_extendedprice", 0.5, "price_median")
+    return (sd.join(mq, "l_returnflag").join(mp, "l_returnflag")
+            .withColumns({"qty_median": F.round("qty_median", 6), "price_median": F.round("price_median", 6)}))
+
+
 register("e7_e8_stddev_median", """
 SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS qty_stddev,
        round(CAST(quantile_cont(l_quantity, 0.5) AS DOUBLE), 6) AS qty_median,
        round(CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE), 6) AS price_median
 FROM lineitem GROUP BY l_returnflag
-""")(lambda spark, d: agg.aggregate(T(spark, d, "lineitem"), ["l_returnflag"], {
-    "qty_stddev": F.round(agg.agg_expr("stddev", "l_quantity"), 6),
-    "qty_median": F.round(agg.agg_expr("median", "l_quantity"), 6),
-    "price_median": F.round(agg.agg_expr("median", "l_extendedprice"), 6),
-}))
+""")(_stats_median)
 
 register("e9_distinct_count", """
 SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers

@@ -69,3 +69,14 @@ def test_numbering_plan_uses_checkpoint_and_broadcast_carry(spark):
     plan = numbering.global_row_number(df, ["t", "id"])._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in plan          # rows read back from the checkpoint
     assert "BroadcastHashJoin" in plan    # offsets: one row per partition, broadcast
+
+
+def test_exact_percentile_matches_percentile_under_skew(spark):
+    from tessera.operators.aggregate import exact_percentile
+    df = _skewed(spark).withColumn("x", (F.col("id") * 7 % 101).cast("double"))
+    for p in (0.5, 0.1, 0.95):
+        got = {r.k: r.q for r in exact_percentile(df, ["k"], "x", p, "q").collect()}
+        exp = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("x", F.lit(p)).alias("q")).collect()}
+        assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
+    g = exact_percentile(df, [], "x", 0.5, "q").first().q
+    assert g == df.agg(F.median("x")).first()[0]
