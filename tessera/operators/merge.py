@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sinks.files import path_exists, write_dataset
+from tessera.sinks.files import path_exists, replace_partitions, write_dataset
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,12 +59,19 @@ def load(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str] | No
 
     FULL, or a target that does not exist yet: overwrite.  INCREMENTAL: upsert
     into the existing content, written to a staging folder and swapped in.
+    With ``partition_by`` (columns that depend only on the key) only the
+    partitions present in ``df`` are read, merged and replaced.
     """
     if load_type.upper() == "FULL" or not path_exists(spark, path):
         return write_dataset(df, path, partition_by=partition_by)
     if not keys:
         raise ValueError("incremental load needs keys")
     current = spark.read.parquet(path)
+    if partition_by:
+        touched = df.select(*partition_by).distinct()
+        current = current.join(touched, list(partition_by), "left_semi")
+        replace_partitions(upsert(current, df, keys), path, partition_by)
+        return path
     return write_dataset(upsert(current, df, keys), path, partition_by=partition_by)
 
 

@@ -43,6 +43,35 @@ def swap_in(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(old, True)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], files: int | None = None) -> list[str]:
+    """Replace exactly the partitions present in ``df`` under a partitioned dataset.
+
+    The new partitions are written to a staging folder, then each partition
+    directory is swapped in (old one moved aside, new one renamed, old one
+    removed); partitions not in ``df`` are untouched.  The driver only lists
+    and renames directories -- one per touched partition.  Returns the
+    replaced partition paths (relative).
+    """
+    spark = df.sparkSession
+    tmp = f"{path.rstrip('/')}.__staging-{uuid.uuid4().hex[:8]}"
+    _writer(df, "errorifexists", partition_by, files).parquet(tmp)
+    fs, t = _fs(spark, tmp)
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(tmp + "/" + "/".join("*" for _ in partition_by))
+    done = []
+    for st in fs.globStatus(pattern) or []:
+        if not st.isDirectory():
+            continue
+        rel = str(st.getPath().toString()).split(".__staging-", 1)[1].split("/", 1)[1]
+        target = f"{path.rstrip('/')}/{rel}"
+        parent = jvm.org.apache.hadoop.fs.Path(target).getParent()
+        fs.mkdirs(parent)
+        swap_in(spark, str(st.getPath().toString()), target)
+        done.append(rel)
+    fs.delete(t, True)
+    return done
+
+
 def _writer(df: DataFrame, mode: str, partition_by: Sequence[str] | None, files: int | None):
     if files:
         # repartition keeps upstream parallelism; coalesce would narrow the stage.

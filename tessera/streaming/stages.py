@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.ordering import funnel
-from tessera.sinks.files import path_exists, write_dataset
+from tessera.sinks.files import path_exists, replace_partitions, write_dataset
 
 
 def stream_funnel(spark: SparkSession, paths: Sequence[str], schema: T.StructType, fmt: str = "parquet",
@@ -55,19 +55,30 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFra
 
 
 def merge_latest(spark: SparkSession, target_path: str, batch: DataFrame, keys: Sequence[str],
-                 order_col: str) -> None:
-    """Merge one batch into the target: latest ``order_col`` wins per key."""
-    if path_exists(spark, target_path):
-        current = spark.read.parquet(target_path)
-        merged = latest_by_key(current.unionByName(batch.select(*current.columns)), keys, order_col)
+                 order_col: str, partition_by: Sequence[str] | None = None) -> None:
+    """Merge one batch into the target: latest ``order_col`` wins per key.
+
+    With ``partition_by`` (columns that depend only on the key) only the
+    partitions the batch touches are read, merged and replaced; the rest of
+    the table is not rewritten.
+    """
+    if not path_exists(spark, target_path):
+        write_dataset(latest_by_key(batch, keys, order_col), target_path, partition_by=partition_by)
+        return
+    current = spark.read.parquet(target_path)
+    batch = batch.select(*current.columns)
+    if partition_by:
+        touched = batch.select(*partition_by).distinct()
+        current = current.join(touched, list(partition_by), "left_semi")
+        replace_partitions(latest_by_key(current.unionByName(batch), keys, order_col), target_path, partition_by)
     else:
-        merged = latest_by_key(batch, keys, order_col)
-    write_dataset(merged, target_path)
+        write_dataset(latest_by_key(current.unionByName(batch), keys, order_col), target_path)
 
 
 def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, target_path: str,
                   keys: Sequence[str], order_col: str, checkpoint: str, fmt: str = "parquet",
-                  max_files_per_trigger: int | None = None, timeout_s: float | None = None) -> None:
+                  max_files_per_trigger: int | None = None, timeout_s: float | None = None,
+                  partition_by: Sequence[str] | None = None) -> None:
     """Incremental upsert of a file stream into a Parquet table."""
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
@@ -75,7 +86,7 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, ta
     src = r.load(source_dir)
 
     def _batch(df: DataFrame, batch_id: int) -> None:
-        merge_latest(df.sparkSession, target_path, df, keys, order_col)
+        merge_latest(df.sparkSession, target_path, df, keys, order_col, partition_by)
 
     q = (src.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

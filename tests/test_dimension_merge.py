@@ -102,3 +102,11 @@ def test_first_load_columns_and_incremental_load(spark, tmp_dir):
     ev2 = spark.createDataFrame([(2, 7, "B"), (3, 2, "old")], "k int, ts int, v string")
     assert merge.incremental_load(spark, tmp_dir, ev2, "ts", wm, ["k"]) == 7
     assert rows(spark.read.parquet(tmp_dir)) == [(1, 1, "a"), (2, 7, "B")]
+
+
+def test_partitioned_incremental_load(spark, tmp_dir):
+    t = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 1)], "k int, v string, p int")
+    merge.load(spark, tmp_dir, t, ["k"], partition_by=["p"])
+    merge.load(spark, tmp_dir, spark.createDataFrame([(1, "A", 1), (4, "d", 1)], "k int, v string, p int"),
+               ["k"], partition_by=["p"])
+    assert rows(spark.read.parquet(tmp_dir), "k", "v", "p") == [(1, "A", 1), (2, "b", 2), (3, "c", 1), (4, "d", 1)]

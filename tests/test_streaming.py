@@ -20,3 +20,21 @@ def test_stream_funnel_and_replayable_upsert(spark, tmp_dir):
         stages.stream_upsert(spark, f"{tmp_dir}/up", a.schema, f"{tmp_dir}/target", ["k"], "seq",
                              f"{tmp_dir}/{ck}", max_files_per_trigger=1)
         assert rows(spark.read.parquet(f"{tmp_dir}/target")) == [(1, "a", 1), (2, "B", 2), (3, "c", 1)]
+
+
+def test_partitioned_stream_upsert_touches_only_batch_partitions(spark, tmp_dir):
+    import glob
+    import os
+    schema = "k int, p int, v string, seq int"
+    base = spark.createDataFrame([(i, i % 3, "old", 1) for i in range(9)], schema)
+    stages.merge_latest(spark, f"{tmp_dir}/t", base, ["k"], "seq", ["p"])
+    root = tmp_dir.replace("file:", "") + "/t"
+    before = {f: os.path.getmtime(f) for f in glob.glob(root + "/p=2/*.parquet")}
+    upd = spark.createDataFrame([(0, 0, "new", 2), (9, 0, "ins", 1), (4, 1, "stale", 0)], schema)
+    stages.merge_latest(spark, f"{tmp_dir}/t", upd, ["k"], "seq", ["p"])
+    got = rows(spark.read.parquet(f"{tmp_dir}/t"), "k", "v", "p")
+    assert got == [(0, "new", 0), (1, "old", 1), (2, "old", 2), (3, "old", 0), (4, "old", 1), (5, "old", 2),
+                   (6, "old", 0), (7, "old", 1), (8, "old", 2), (9, "ins", 0)]
+    after = {f: os.path.getmtime(f) for f in glob.glob(root + "/p=2/*.parquet")}
+    assert before == after                                   # untouched partition kept as is
+    assert not glob.glob(root + ".__*")
