@@ -684,3 +684,6 @@ def _incremental_load(spark, d):
 
 
 register("h10_incremental_load", "SELECT event_id, user_id, ts, event_type, value FROM events")(_incremental_load)
+
+register("c11_file_row_number")(lambda spark, d: sources.file_row_number(
+    TB(spark, d, "orders").select("o_orderkey"), "row_number"))

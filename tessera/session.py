@@ -25,6 +25,8 @@ def get_session(master: str | None = None, app: str = "tessera",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files of the numbering operators are removed once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         base["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -128,6 +128,28 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_path"))
 
 
+def file_row_number(df: DataFrame, out: str = "row_number") -> DataFrame:
+    """1-based row number in input order for a Parquet scan (@INROWNUM, C11).
+
+    Input order = files by path, rows in file order.  Uses the scan's
+    ``_metadata.row_index`` plus the row count of earlier files: the only
+    shuffle is a count per file, and the per-file offsets (one row per file)
+    are broadcast when their estimated size allows, otherwise joined by a
+    shuffle.  No range partitioning and no checkpoint: the numbers are a pure
+    function of the files, so a recomputed task gets the same ones.
+    """
+    from pyspark.sql import Window
+
+    from tessera.util import fits_broadcast
+    meta = df.withColumns({"_fp": F.col("_metadata.file_path"), "_ri": F.col("_metadata.row_index")})
+    counts = meta.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_fp", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    offsets = F.broadcast(offsets) if fits_broadcast(offsets) else offsets
+    return (meta.join(offsets, "_fp").withColumn(out, F.col("_off") + F.col("_ri") + 1)
+            .drop("_fp", "_ri", "_off"))
+
+
 def read_whole_files(spark: SparkSession, path_glob: str) -> DataFrame:
     """One row per file: (path, body).  Each file is read by one task."""
     return (spark.read.text(path_glob, wholetext=True)

@@ -156,3 +156,14 @@ def test_append_mode_and_attach_file_body(spark, tmp_dir):
     out = {r.id: r for r in sources.attach_file_body(cases, "q", files, r"([\w.-]+\.dsx)").collect()}
     assert out[1].q.endswith("<Job>A</Job>") and out[1].attached == "<Job>A</Job>"
     assert out[2].q == "no file" and out[2].attached is None
+
+
+def test_file_row_number(spark, tmp_dir):
+    a = spark.range(0, 500).coalesce(1)
+    b = spark.range(500, 800).coalesce(1)
+    a.write.parquet(f"{tmp_dir}/part_a")
+    b.write.parquet(f"{tmp_dir}/part_b")
+    df = spark.read.option("maxPartitionBytes", 512).parquet(f"{tmp_dir}/part_a", f"{tmp_dir}/part_b")
+    out = sources.file_row_number(df, "rn")
+    got = sorted((r.id, r.rn) for r in out.collect())
+    assert got == [(i, i + 1) for i in range(800)]
