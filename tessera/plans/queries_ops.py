@@ -551,10 +551,14 @@ FROM a, b WHERE levenshtein(a.word, b.word) <= 2
 def _stats_median(spark, d):
     li = T(spark, d, "lineitem")
     sd = agg.aggregate(li, ["l_returnflag"], {"qty_stddev": F.round(agg.agg_expr("stddev", "l_quantity"), 6)})
-    mq = agg.exact_percentile(li, ["l_returnflag"], "l_quantity", 0.5, "qty_median")
-    mp = agg.exact_percentile(li, ["l_returnflag"], "l_extendedprice", 0.5, "price_median")
-    return (sd.join(mq, "l_returnflag").join(mp, "l_returnflag")
-            .withColumns({"qty_median": F.round("qty_median", 6), "price_median": F.round("price_median", 6)}))
+    # both medians in one distributed pass: unpivot, then one percentile per (flag, column)
+    long = agg.unpivot(li.select("l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"],
+                       ["l_quantity", "l_extendedprice"], "column_name", "v")
+    med = agg.exact_percentile(long, ["l_returnflag", "column_name"], "v", 0.5, "m")
+    wide = med.groupBy("l_returnflag").agg(
+        F.round(F.max(F.when(F.col("column_name") == "l_quantity", F.col("m"))), 6).alias("qty_median"),
+        F.round(F.max(F.when(F.col("column_name") == "l_extendedprice", F.col("m"))), 6).alias("price_median"))
+    return sd.join(wide, "l_returnflag")
 
 
 register("e7_e8_stddev_median", """
