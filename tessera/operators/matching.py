@@ -41,7 +41,8 @@ def default_cutoff(k: int) -> int:
 
 def _distinct(df: DataFrame, col: str, out: str, n: int) -> DataFrame:
     # an explicit partition count keeps the explodes that follow spread over n tasks
-    return (df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).repartition(n, out).distinct()
+    # (after the distinct: a repartition before it is folded into the aggregate's exchange)
+    return (df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct().repartition(n, out)
             .withColumn(f"{out}_len", F.length(out)))
 
 
