@@ -92,10 +92,14 @@ def join_many(base: DataFrame, steps: Sequence[tuple[DataFrame, KeySpec, str]])
     return out
 
 
+class DuplicateReferenceKey(ValueError):
+    pass
+
+
 def lookup(main: DataFrame, ref: DataFrame, keys: KeySpec, cols: Sequence[str] | None = None,
            defaults: Mapping[str, object] | None = None, failure: str = "continue",
            broadcast: str | bool = "auto", match_col: str | None = None,
-           dedup_ref: bool = False):
+           dedup_ref: bool = False, check_unique: bool = False):
     """Lookup stage.
 
     Left join of ``main`` on the reference; ``defaults`` fill the looked-up
@@ -106,12 +110,19 @@ def lookup(main: DataFrame, ref: DataFrame, keys: KeySpec, cols: Sequence[str] |
     ``broadcast``: True forces the hint, False never hints, "auto" hints when
     the reference's estimated size is under ``tessera.broadcast.maxBytes``.
     ``dedup_ref`` keeps one deterministic row per key (smallest values) so the
-    lookup cannot multiply main rows.
+    lookup cannot multiply main rows; ``check_unique`` instead raises
+    ``DuplicateReferenceKey`` when a key repeats (one aggregate over the
+    reference, at most one offending key read back).
     """
     pairs = _pairs(keys)
     ref_keys = [rk for _, rk in pairs]
     cols = [c for c in (cols or ref.columns) if c not in ref_keys]
     flag = match_col or "_lookup_hit"
+    if check_unique:
+        dup = (ref.groupBy(*ref_keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+               .limit(1).collect())
+        if dup:
+            raise DuplicateReferenceKey(f"reference key repeats: {dup[0].asDict()}")
     r = ref.select(*[F.col(rk).alias(lk) for lk, rk in pairs], *cols)
     if dedup_ref:
         main_keys = [lk for lk, _ in pairs]

@@ -93,3 +93,13 @@ def test_fuzzy_plan_has_no_cartesian(spark):
     df = spark.createDataFrame([("abcdef",), ("abcdxf",)], "w string")
     p = plan_text(matching.fuzzy_pairs(df, "w", max_dist=2))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_lookup_reference_uniqueness(spark):
+    import pytest
+    main = spark.createDataFrame([(1,), (2,)], "k int")
+    ref = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, name string")
+    with pytest.raises(joins.DuplicateReferenceKey):
+        joins.lookup(main, ref, ["k"], ["name"], check_unique=True)
+    out = joins.lookup(main, ref, ["k"], ["name"], dedup_ref=True)
+    assert rows(out) == [(1, "a"), (2, "c")]
