@@ -103,6 +103,23 @@ def rejection_summary(df: DataFrame, rules: Mapping[str, Column], first_fail: bo
                           F.round(F.try_divide(F.col("records_rejected") * F.lit(100.0), F.col("records_input")), 4))
 
 
+def observed_counts(df: DataFrame, rules: Mapping[str, Column], name: str = "rule_counts"):
+    """Attach rule counts to a frame as a Spark observation (V7 option).
+
+    Returns ``(frame, observation)``: the counts (records, valid, rejected and
+    one ``failed_<rule>`` per rule) are computed while the frame is written or
+    otherwise consumed by its next action, with no extra pass over the input.
+    Read them with ``observation.get`` after that action.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    ok_all = reduce(lambda a, b: a & b, [_ok(p) for p in rules.values()])
+    metrics = [F.count(F.lit(1)).alias("records_input"), F.count_if(ok_all).alias("records_valid"),
+               F.count_if(~ok_all).alias("records_rejected")]
+    metrics += [F.count_if(~_ok(p)).alias(f"failed_{n}") for n, p in rules.items()]
+    return df.observe(obs, *metrics), obs
+
+
 def reject_alert(summary: DataFrame, max_rate_pct: float = 5.0, max_rows: int = 100) -> DataFrame:
     """Alert rows (V8): the summary rows breaking a threshold, with the reason."""
     reason = F.concat_ws("; ",
