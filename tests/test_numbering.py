@@ -80,3 +80,17 @@ def test_exact_percentile_matches_percentile_under_skew(spark):
         assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
     g = exact_percentile(df, [], "x", 0.5, "q").first().q
     assert g == df.agg(F.median("x")).first()[0]
+
+
+def test_null_keys_and_null_order_values(spark):
+    data = [(None if i % 4 == 0 else i % 3, None if i % 5 == 0 else i % 7, i, None if i % 6 == 0 else i)
+            for i in range(300)]
+    df = spark.createDataFrame(data, "k int, t int, id int, x int")
+    w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first(), "id")
+    got = numbering.group_row_number(df, ["k"], ["t", "id"], "seq", num_partitions=5)
+    assert rows(got, "id", "seq") == rows(df.withColumn("seq", F.row_number().over(w)), "id", "seq")
+    rs = numbering.running_sum(df, ["k"], ["t", "id"], "x", "rs", num_partitions=5)
+    exp = df.withColumn("rs", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert rows(rs, "id", "rs") == rows(exp, "id", "rs")
+    lg = numbering.shifted(df, ["k"], ["t", "id"], "x", "p", "lag", num_partitions=5)
+    assert rows(lg, "id", "p") == rows(df.withColumn("p", F.lag("x").over(w)), "id", "p")
