@@ -61,18 +61,25 @@ def change_capture(before: DataFrame, after: DataFrame, keys: Sequence[str], com
 def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequence[str],
          run_ts: str | _dt.datetime, key_col: str = "DimensionKey", track_deletes: bool = True,
          start_key: int | None = None, eff_col: str = "EffectiveDate", end_col: str = "EndDate",
-         current_col: str = "IsCurrent", version_col: str = "RecordVersion") -> dict[str, DataFrame]:
+         current_col: str = "IsCurrent", version_col: str = "RecordVersion",
+         latest_by: str | None = None) -> dict[str, DataFrame]:
     """Type-2 load (H2, H3, G6, H11).  Returns {"dimension", "changes", "rejects"}.
 
-    ``source`` must hold one row per key (reduce it with ``dedup`` first);
-    rows with a null key go to ``rejects``.  ``start_key`` defaults to
-    max(existing key) + 1 (one scalar read).
+    ``source`` must hold one row per key; with ``latest_by`` (an ordering
+    column such as a change timestamp) it is first reduced to the latest row
+    per key (a map-side combined aggregate).  Rows with a null key go to
+    ``rejects``.  ``start_key`` defaults to max(existing key) + 1 (one scalar
+    read).
     """
     ts = F.to_timestamp_ntz(F.lit(str(run_ts)))
     dim_cols = dim.columns
     null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
     rejects = source.filter(null_key)
-    src = source.filter(~null_key).select(*keys, *compare)
+    src = source.filter(~null_key)
+    if latest_by:
+        from tessera.operators.ordering import dedup
+        src = dedup(src.select(*keys, *compare, latest_by), list(keys), [latest_by], keep="last")
+    src = src.select(*keys, *compare)
 
     history = dim.filter(F.col(current_col) != 1)
     cur_struct = F.struct(*[F.col(c) for c in dim_cols])

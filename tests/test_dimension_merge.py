@@ -110,3 +110,11 @@ def test_partitioned_incremental_load(spark, tmp_dir):
     merge.load(spark, tmp_dir, spark.createDataFrame([(1, "A", 1), (4, "d", 1)], "k int, v string, p int"),
                ["k"], partition_by=["p"])
     assert rows(spark.read.parquet(tmp_dir), "k", "v", "p") == [(1, "A", 1), (2, "b", 2), (3, "c", 1), (4, "d", 1)]
+
+
+def test_scd2_reduces_duplicate_source_keys(spark):
+    src = spark.createDataFrame([(11, "old", 1), (11, "C", 5), (16, "Z", 2)], "CustomerID int, Seg string, ts int")
+    res = dimension.scd2(_dim(spark), src, ["CustomerID"], ["Seg"], RUN, latest_by="ts")
+    cur = {r.CustomerID: r.Seg for r in res["dimension"].filter("IsCurrent = 1").collect()}
+    assert cur[11] == "C" and cur[16] == "Z"
+    assert dimension.current_violations(res["dimension"], ["CustomerID"]).count() == 0
