@@ -14,6 +14,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.util import maybe_broadcast
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -45,11 +47,13 @@ def orders_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with segment and region name (nation and region are tiny: broadcast)."""
+    """Customers with segment and region name (nation and region are broadcast
+    after the size check; both are fixed-size tables)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
+    j = (c.join(maybe_broadcast(n), c.c_nationkey == n.n_nationkey)
+         .join(maybe_broadcast(r), F.col("n_regionkey") == r.r_regionkey))
     return j.select(F.col("c_custkey").alias("CustomerID"), F.col("c_name").alias("CustomerName"),
                     F.col("c_mktsegment").alias("CustomerSegment"), F.col("r_name").alias("Region"))
 

@@ -30,6 +30,12 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return size is not None and size <= lim
 
 
+def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast hint only when the size estimate proves the frame small."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
+
+
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
