@@ -153,18 +153,44 @@ def lookup(main: DataFrame, ref: DataFrame, keys: KeySpec, cols: Sequence[str] |
     return out
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], min_share: float = 0.01) -> DataFrame:
+    """Keys holding at least ``min_share`` of the rows.
+
+    At most 1/min_share keys can qualify, so the result has a proven size
+    bound and may be broadcast.  Costs one aggregate and one row count.
+    """
+    if not 0 < min_share <= 1:
+        raise ValueError("min_share must be in (0, 1]")
+    total = df.count()
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") >= F.lit(max(1, int(total * min_share)))).select(*keys))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = 16, salt_keys: Sequence[str] | None = None) -> DataFrame:
+                salts: int = 16, salt_keys: Sequence[str] | None = None,
+                hot: DataFrame | None = None) -> DataFrame:
     """Join with a salted hot side.
 
     The left (skewed) side gets a deterministic salt from a hash of
-    ``salt_keys`` (default: all its columns), the right side is replicated
-    over all salts; join on key + salt.  Rows of one hot key are thereby spread
-    over ``salts`` tasks.  Valid for inner and left joins (left is preserved).
+    ``salt_keys`` (default: all its columns) and the right side is replicated
+    over the salts; join on key + salt, so the rows of a hot key are spread
+    over ``salts`` tasks.  With ``hot`` (a frame of key values, e.g. from
+    ``hot_keys``, broadcast because its size is bounded) only those keys are
+    salted and replicated; every other key keeps salt 0 and is joined once.
+    Exact for inner and left joins (left is the preserved side).
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError("salting is exact only when the salted side is the preserved side")
     sk = list(salt_keys) if salt_keys else left.columns
-    l2 = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in sk]), F.lit(salts)).cast("int"))
-    r2 = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in sk]), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is None:
+        l2 = left.withColumn("_salt", salt)
+        r2 = right.withColumn("_salt", F.explode(every))
+    else:
+        h = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
+        l2 = left.join(h, list(keys), "left").withColumn(
+            "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        r2 = right.join(h, list(keys), "left").withColumn(
+            "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return l2.join(r2, [*keys, "_salt"], how).drop("_salt")

@@ -497,7 +497,8 @@ FROM lineitem
 def _salted(spark, d):
     li = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     p = T(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return joins.salted_join(li, p, ["l_partkey"], "inner", salts=8)
+    # salt and replicate only keys holding at least 0.1% of the lines
+    return joins.salted_join(li, p, ["l_partkey"], "inner", salts=8, hot=joins.hot_keys(li, ["l_partkey"], 0.001))
 
 
 register("d12_salted_join", """

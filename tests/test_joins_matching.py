@@ -49,8 +49,12 @@ def test_join_rejects_and_named_keys(spark):
 def test_salted_join_equals_plain_join(spark):
     left = spark.createDataFrame([(i % 3, i) for i in range(300)], "k int, v int")  # key 0..2 hot
     right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, name string")
+    hot = joins.hot_keys(left, ["k"], 0.3)
+    assert sorted(r.k for r in hot.collect()) == [0, 1, 2]
     for how in ("inner", "left"):
         assert rows(joins.salted_join(left, right, ["k"], how, salts=5)) == rows(left.join(right, "k", how))
+        only_hot = joins.salted_join(left, right, ["k"], how, salts=5, hot=joins.hot_keys(left, ["k"], 0.34))
+        assert rows(only_hot) == rows(left.join(right, "k", how))
 
 
 def _brute(words, k):
@@ -103,3 +107,13 @@ def test_lookup_reference_uniqueness(spark):
         joins.lookup(main, ref, ["k"], ["name"], check_unique=True)
     out = joins.lookup(main, ref, ["k"], ["name"], dedup_ref=True)
     assert rows(out) == [(1, "a"), (2, "c")]
+
+
+def test_salting_only_the_hot_key(spark):
+    left = spark.createDataFrame([(0, i) for i in range(200)] + [(k, k) for k in range(1, 101)], "k int, v int")
+    right = spark.createDataFrame([(k, f"n{k}") for k in range(0, 120, 2)], "k int, name string")
+    hot = joins.hot_keys(left, ["k"], 0.5)
+    assert [r.k for r in hot.collect()] == [0]
+    for how in ("inner", "left"):
+        got = joins.salted_join(left, right, ["k"], how, salts=8, hot=hot)
+        assert rows(got) == rows(left.join(right, "k", how))
