@@ -3,12 +3,13 @@
 SCD type 2 plan (``scd2``):
 
 * closed history rows (IsCurrent = 0) pass through with a filter only;
-* the dimension is aggregated once per business key -- the current row as a
-  struct and the highest version -- which Spark combines map-side, so a key
-  with many versions never gathers on one task;
-* that per-key table is full-outer-joined to the source snapshot (one row per
-  key) and every key yields at most two rows: the old current row (kept or
-  expired) and a new version (I/U);
+* only current rows (one per key) are full-outer-joined to the source
+  snapshot (one row per key); every key yields at most two rows: the old
+  current row (kept or expired) and a new version (I/U).  An update's version
+  is the current row's plus one; an insert of a key that only has closed
+  history (a return after delete) takes the highest closed version plus one,
+  from a hash aggregate of an integer over history rows -- history rows are
+  never shuffled as whole rows;
 * new versions get contiguous surrogate keys continuing from max(key) through
   the distributed numbering (no single-task window).
 
@@ -82,14 +83,19 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     src = src.select(*keys, *compare)
 
     history = dim.filter(F.col(current_col) != 1)
-    cur_struct = F.struct(*[F.col(c) for c in dim_cols])
-    per_key = dim.groupBy(*keys).agg(
-        F.first(F.when(F.col(current_col) == 1, cur_struct), ignorenulls=True).alias("_cur"),
-        F.max(version_col).alias("_maxver"))
-    j = per_key.alias("d").join(src.withColumn("_s", F.lit(True)).alias("s"), list(keys), "full_outer")
+    # current rows (one per key by the dimension's invariant) carry their own
+    # version; only keys without a current row need the highest closed
+    # version -- a hash aggregate of an integer over history rows.
+    cur = dim.filter(F.col(current_col) == 1).select(F.struct(*[F.col(c) for c in dim_cols]).alias("_cur"),
+                                                     *[F.col(k).alias(f"_ck_{k}") for k in keys])
+    s2 = src.withColumn("_s", F.lit(True))
+    cond = reduce(lambda x, y: x & y, [F.col(f"_ck_{k}") == F.col(k) for k in keys])
+    j = cur.join(s2, cond, "full_outer")
+    j = j.select(*[F.coalesce(F.col(k), F.col(f"_ck_{k}")).alias(k) for k in keys], "_cur", "_s",
+                 *[F.col(c).alias(f"_src_{c}") for c in compare])
     has_cur, has_src = F.col("_cur").isNotNull(), F.col("_s").isNotNull()
     changed = reduce(lambda x, y: x | y,
-                     [~F.col(f"_cur.{c}").eqNullSafe(F.col(f"s.{c}")) for c in compare]) if compare else F.lit(False)
+                     [~F.col(f"_cur.{c}").eqNullSafe(F.col(f"_src_{c}")) for c in compare]) if compare else F.lit(False)
     ctype = (F.when(has_src & ~has_cur, "I")
              .when(has_cur & ~has_src, F.lit("D") if track_deletes else F.lit("C"))
              .when(has_cur & has_src & changed, "U")
@@ -101,8 +107,13 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
            F.when(F.col("_ct").isin("U", "D"), F.lit(0)).otherwise(F.col(f"_cur.{c}")) if c == current_col else
            F.col(f"_cur.{c}")).alias(c) for c in dim_cols])
 
-    new = j.filter(F.col("_ct").isin("I", "U")).select(
-        *keys, *[F.col(f"s.{c}").alias(c) for c in compare],
+    hist_max = history.groupBy(*keys).agg(F.max(version_col).alias("_hmax"))
+    inserts = j.filter(F.col("_ct") == "I").join(hist_max, list(keys), "left") \
+        .withColumn("_maxver", F.col("_hmax"))
+    updates = j.filter(F.col("_ct") == "U").withColumn("_maxver", F.col(f"_cur.{version_col}"))
+    j_new = inserts.drop("_hmax").unionByName(updates)
+    new = j_new.select(
+        *keys, *[F.col(f"_src_{c}").alias(c) for c in compare],
         (F.coalesce(F.col("_maxver"), F.lit(0)) + 1).cast("int").alias(version_col))
     if start_key is None:
         start_key = numbering.next_key(dim, key_col)
