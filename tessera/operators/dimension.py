@@ -76,11 +76,19 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     dim_cols = dim.columns
     null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
     rejects = source.filter(null_key)
+    # new versions take every dimension attribute from the source; ``compare``
+    # only decides whether a key changed
+    meta = {key_col, eff_col, end_col, current_col, version_col, *keys}
+    attrs = [c for c in dim_cols if c not in meta]
+    missing = [c for c in compare if c not in source.columns]
+    if missing:
+        raise ValueError(f"compare columns missing from the source: {missing}")
     src = source.filter(~null_key)
     if latest_by:
         from tessera.operators.ordering import dedup
-        src = dedup(src.select(*keys, *compare, latest_by), list(keys), [latest_by], keep="last")
-    src = src.select(*keys, *compare)
+        keep_cols = [c for c in attrs if c in source.columns]
+        src = dedup(src.select(*keys, *keep_cols, latest_by), list(keys), [latest_by], keep="last")
+    src = src.select(*keys, *[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in attrs])
 
     history = dim.filter(F.col(current_col) != 1)
     # current rows (one per key by the dimension's invariant) carry their own
@@ -92,7 +100,7 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     cond = reduce(lambda x, y: x & y, [F.col(f"_ck_{k}") == F.col(k) for k in keys])
     j = cur.join(s2, cond, "full_outer")
     j = j.select(*[F.coalesce(F.col(k), F.col(f"_ck_{k}")).alias(k) for k in keys], "_cur", "_s",
-                 *[F.col(c).alias(f"_src_{c}") for c in compare])
+                 *[F.col(c).alias(f"_src_{c}") for c in attrs])
     has_cur, has_src = F.col("_cur").isNotNull(), F.col("_s").isNotNull()
     changed = reduce(lambda x, y: x | y,
                      [~F.col(f"_cur.{c}").eqNullSafe(F.col(f"_src_{c}")) for c in compare]) if compare else F.lit(False)
@@ -113,7 +121,7 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     updates = j.filter(F.col("_ct") == "U").withColumn("_maxver", F.col(f"_cur.{version_col}"))
     j_new = inserts.drop("_hmax").unionByName(updates)
     new = j_new.select(
-        *keys, *[F.col(f"_src_{c}").alias(c) for c in compare],
+        *keys, *[F.col(f"_src_{c}").alias(c) for c in attrs],
         (F.coalesce(F.col("_maxver"), F.lit(0)) + 1).cast("int").alias(version_col))
     if start_key is None:
         start_key = numbering.next_key(dim, key_col)

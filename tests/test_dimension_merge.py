@@ -118,3 +118,13 @@ def test_scd2_reduces_duplicate_source_keys(spark):
     cur = {r.CustomerID: r.Seg for r in res["dimension"].filter("IsCurrent = 1").collect()}
     assert cur[11] == "C" and cur[16] == "Z"
     assert dimension.current_violations(res["dimension"], ["CustomerID"]).count() == 0
+
+
+def test_scd2_new_versions_carry_all_attributes(spark):
+    dim = spark.createDataFrame([(1, 10, "A", "a@x", T0, None, 1, 1)],
+                                "DimensionKey int, CustomerID int, Seg string, Email string, EffectiveDate timestamp_ntz, "
+                                "EndDate timestamp_ntz, IsCurrent int, RecordVersion int")
+    src = spark.createDataFrame([(10, "B", "b@x"), (11, "C", "c@x")], "CustomerID int, Seg string, Email string")
+    res = dimension.scd2(dim, src, ["CustomerID"], ["Seg"], RUN)
+    cur = {r.CustomerID: (r.Seg, r.Email) for r in res["dimension"].filter("IsCurrent = 1").collect()}
+    assert cur == {10: ("B", "b@x"), 11: ("C", "c@x")}
