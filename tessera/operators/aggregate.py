@@ -113,7 +113,7 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.
     cum = numbering.running_sum(vc, keys, ["_v"], "_c", "_cum")
     tot = vc.groupBy(*keys).agg(F.sum("_c").alias("_n")) if keys else vc.agg(F.sum("_c").alias("_n"))
     if keys:
-        j = cum.join(tot, keys)
+        j = _null_safe_join(cum, tot, keys, "inner")
     else:
         # the global total is one row: attach it by a broadcast equi-join on a constant
         j = cum.withColumn("_k", F.lit(0)).join(F.broadcast(tot.withColumn("_k", F.lit(0))), "_k").drop("_k")
@@ -128,4 +128,18 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.
     lo, hi = F.floor("_pos"), F.ceil("_pos")
     val = F.when(lo == hi, F.col("_vlo")).otherwise((hi - F.col("_pos")) * F.col("_vlo") +
                                                      (F.col("_pos") - lo) * F.col("_vhi"))
-    return r.select(*keys, val.alias(out))
+    r = r.select(*keys, val.alias(out))
+    if not keys:
+        return r
+    # groups whose values are all null get a null percentile, as with ``percentile``
+    groups = df.select(*keys).distinct()
+    return _null_safe_join(groups, r, keys, "left")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys where null matches null (a null group is a group)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sinks.files import write_dataset
 
@@ -38,9 +39,26 @@ def z_value(df: DataFrame, cols: Sequence[str], bits: int = 8, rel_error: float
     """
     n = 2 ** bits
     probs = [i / n for i in range(1, n)]
-    numeric = [c for c in cols]
-    qs = df.approxQuantile(numeric, probs, rel_error)
-    buckets = [_bucket(F.col(c), sorted(set(q))) for c, q in zip(numeric, qs)]
+    # every column becomes an order-preserving number: strings by their first
+    # 7 bytes, dates and timestamps by their epoch value, booleans as 0/1
+    types = {f.name: f.dataType for f in df.schema.fields}
+    as_num = {}
+    for c in cols:
+        t = types[c]
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            as_num[c] = F.conv(F.hex(F.substring(F.col(c), 1, 7)), 16, 10).cast("long")
+        elif isinstance(t, T.DateType):
+            as_num[c] = F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            as_num[c] = F.unix_micros(F.col(c).cast("timestamp"))
+        elif isinstance(t, T.BooleanType):
+            as_num[c] = F.col(c).cast("int")
+        else:
+            as_num[c] = F.col(c).cast("double")
+    names = [f"_zn_{i}" for i in range(len(cols))]
+    nums = df.select(*[as_num[c].alias(nm) for c, nm in zip(cols, names)])
+    qs = nums.approxQuantile(names, probs, rel_error)
+    buckets = [_bucket(as_num[c], sorted(set(q))) for c, q in zip(cols, qs)]
     z = F.lit(0).cast("long")
     m = len(buckets)
     for b in range(bits):

@@ -167,3 +167,11 @@ def test_file_row_number(spark, tmp_dir):
     out = sources.file_row_number(df, "rn")
     got = sorted((r.id, r.rn) for r in out.collect())
     assert got == [(i, i + 1) for i in range(800)]
+
+
+def test_zorder_on_strings_and_dates(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(f"name{i % 37:03d}", dt.date(2020, 1, 1) + dt.timedelta(days=i % 400), i)
+                                for i in range(500)], "s string, d date, i int")
+    out = layout.cluster(df, ["s", "d"], 4)
+    assert rows(out) == rows(df)

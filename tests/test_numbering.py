@@ -94,3 +94,11 @@ def test_null_keys_and_null_order_values(spark):
     assert rows(rs, "id", "rs") == rows(exp, "id", "rs")
     lg = numbering.shifted(df, ["k"], ["t", "id"], "x", "p", "lag", num_partitions=5)
     assert rows(lg, "id", "p") == rows(df.withColumn("p", F.lag("x").over(w)), "id", "p")
+
+
+def test_exact_percentile_null_key_and_all_null_group(spark):
+    from tessera.operators.aggregate import exact_percentile
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "k string, x double")
+    got = {r.k: r.q for r in exact_percentile(df, ["k"], "x", 0.5, "q").collect()}
+    exp = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("q")).collect()}
+    assert got == exp == {None: 2.0, "a": None, "b": 2.0}
