@@ -175,3 +175,19 @@ def test_zorder_on_strings_and_dates(spark):
                                 for i in range(500)], "s string, d date, i int")
     out = layout.cluster(df, ["s", "d"], 4)
     assert rows(out) == rows(df)
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_quantity")
+    o = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey")
+    sinks.save_table(li, "li_bucketed", bucket_by=(8, ["l_orderkey"]))
+    sinks.save_table(o, "o_bucketed", bucket_by=(8, ["o_orderkey"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.read.table("li_bucketed").join(spark.read.table("o_bucketed"),
+                                                 F.col("l_orderkey") == F.col("o_orderkey"))
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
