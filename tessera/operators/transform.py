@@ -52,11 +52,16 @@ def drop_vars(df: DataFrame, variables: Mapping[str, Column] | Sequence[str]) ->
 
 
 def constrain(df: DataFrame, predicates: Sequence[Column] | Column) -> DataFrame:
-    """Keep rows for which every predicate is true (C3); null fails."""
+    """Keep rows for which every predicate is true (C3); null fails.
+
+    The predicates go to ``filter`` as they are: a filter already drops rows
+    whose predicate is null, and an unwrapped predicate can be pushed down to
+    the Parquet scan (a ``coalesce(p, false)`` wrapper could not).
+    """
     preds = [predicates] if isinstance(predicates, Column) else list(predicates)
     if not preds:
         return df
-    return df.filter(reduce(lambda a, b: a & b, [_true(p) for p in preds]))
+    return df.filter(reduce(lambda a, b: a & b, preds))
 
 
 def route(df: DataFrame, links: Mapping[str, Column], otherwise: str | None = "otherwise",
@@ -70,7 +75,9 @@ def route(df: DataFrame, links: Mapping[str, Column], otherwise: str | None = "o
     out: dict[str, DataFrame] = {}
     seen: list[Column] = []
     for name, pred in links.items():
-        p = _true(pred)
+        # the link's own predicate stays unwrapped (pushdown); the negated
+        # earlier links need null-as-false
+        p = pred
         if exclusive and seen:
             p = p & ~reduce(lambda a, b: a | b, seen)
         out[name] = df.filter(p)

@@ -23,3 +23,19 @@ def test_entry_schema_is_stable(spark):
     a = E.entry(spark).schema.simpleString()
     b = E.entry(spark).schema.simpleString()
     assert a == b
+
+
+def test_filters_reach_the_scan_in_registered_queries(spark):
+    from tessera.util import plan_text
+    p = plan_text(E.queries()["c1_c3_c7_c8_derive_constrain"](spark, SF))
+    pushed = p[p.index("PushedFilters:"):].splitlines()[0]
+    for f in ("GreaterThanOrEqual(l_shipdate", "LessThan(l_shipdate", "In(l_returnflag", "GreaterThan(l_quantity"):
+        assert f in pushed
+    schema = p[p.index("ReadSchema:"):].splitlines()[0]
+    assert "l_partkey" not in schema and "l_tax" not in schema       # columns pruned at the scan
+
+
+def test_flagship_uses_checked_broadcast_for_the_product_lookup(spark):
+    import re
+    p = E.queries()["job02_order_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[ProductID#\d+L\], \[ProductID#\d+L\], LeftOuter", p)
