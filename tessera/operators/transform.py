@@ -23,6 +23,12 @@ def _true(p: Column) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
+def _not_true(p: Column) -> Column:
+    """NOT coalesce(p, false), written so Spark can push it to the scan
+    (``isnull(a > c)`` simplifies to ``isnull(a)``)."""
+    return ~p | p.isNull()
+
+
 def derive(df: DataFrame, derivations: Mapping[str, Column], keep: Sequence[str] | None = None) -> DataFrame:
     """Add or replace columns in one projection.
 
@@ -75,15 +81,15 @@ def route(df: DataFrame, links: Mapping[str, Column], otherwise: str | None = "o
     out: dict[str, DataFrame] = {}
     seen: list[Column] = []
     for name, pred in links.items():
-        # the link's own predicate stays unwrapped (pushdown); the negated
-        # earlier links need null-as-false
+        # the link's own predicate stays unwrapped and the negated earlier
+        # links use the pushable form, so every link's filter reaches the scan
         p = pred
         if exclusive and seen:
-            p = p & ~reduce(lambda a, b: a | b, seen)
+            p = reduce(lambda a, b: a & b, [p, *[_not_true(q) for q in seen]])
         out[name] = df.filter(p)
-        seen.append(_true(pred))
+        seen.append(pred)
     if otherwise is not None:
-        out[otherwise] = df.filter(~reduce(lambda a, b: a | b, seen)) if seen else df
+        out[otherwise] = df.filter(reduce(lambda a, b: a & b, [_not_true(q) for q in seen])) if seen else df
     return out
 
 
