@@ -16,6 +16,12 @@ def test_registered_plans_have_no_cross_products_or_row_udfs(spark):
             bad.append((name, "row-at-a-time python udf"))
         if "ArrowEvalPython" in plan and not name.startswith(PYTHON_OK):
             bad.append((name, "python outside the syntax check"))
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            # one task may only receive aggregated rows (partial global aggregates,
+            # per-partition summaries, per-model reports), never raw data
+            if "Exchange SinglePartition" in line and "Aggregate(" not in lines[i + 1]:
+                bad.append((name, "raw rows into one partition"))
     assert bad == []
 
 
