@@ -191,3 +191,29 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_zorder_narrows_per_file_ranges(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i * 104729 % 1000, i) for i in range(4000)], "a int, b int, i int")
+
+    def mean_width(d):
+        g = d.groupBy(F.spark_partition_id().alias("p")).agg(
+            (F.max("a") - F.min("a")).alias("wa"), (F.max("b") - F.min("b")).alias("wb"))
+        r = g.agg(F.avg("wa"), F.avg("wb")).first()
+        return r[0] + r[1]
+
+    assert mean_width(layout.cluster(df, ["a", "b"], 8)) < 0.8 * mean_width(df.repartition(8))
+
+
+def test_stable_sort_order_does_not_depend_on_partitioning(spark):
+    df = spark.createDataFrame([(i % 5, f"r{i}") for i in range(200)], "k int, v string")
+    a = [tuple(r) for r in ordering.sort_stage(df.repartition(3), [("k", "asc")], stable=True).collect()]
+    b = [tuple(r) for r in ordering.sort_stage(df.repartition(7).orderBy(F.rand(1)), [("k", "asc")],
+                                               stable=True).collect()]
+    assert a == b
+
+
+def test_file_count_control(spark, tmp_dir):
+    spark.range(1000).repartition(9).write.parquet(tmp_dir + "-src")
+    sinks.write_dataset(spark.read.parquet(tmp_dir + "-src"), tmp_dir, files=3)
+    assert len(glob.glob(_local(tmp_dir) + "/*.parquet")) == 3
