@@ -31,8 +31,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# length cut-off between the two methods, by edit distance
-_DEFAULT_CUTOFF = {0: 1 << 30, 1: 48, 2: 16, 3: 10}
+# length cut-off between the two methods, by edit distance: deletion fan-out
+# sum_{d<=k} C(L + k, d) stays small below it (67 variants for k=2, L=11) and the
+# k+1 segments above it are at least 4 characters long for k=2
+_DEFAULT_CUTOFF = {0: 1 << 30, 1: 48, 2: 11, 3: 10}
 
 
 def default_cutoff(k: int) -> int:
