@@ -46,6 +46,14 @@ def run_available_now(sdf: DataFrame, sink_path: str, checkpoint: str, fmt: str
         raise q.exception()
 
 
+def start_continuous(sdf: DataFrame, sink_path: str, checkpoint: str, processing_time: str = "10 seconds",
+                     fmt: str = "parquet"):
+    """Start an append-only file sink with a processing-time trigger and return
+    the StreamingQuery (the caller stops it); restarts resume from ``checkpoint``."""
+    return (sdf.writeStream.format(fmt).option("path", sink_path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(processingTime=processing_time).start())
+
+
 def latest_by_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
     """One row per key: the one with the greatest ``order_col`` (ties: greatest row)."""
     rest = [c for c in df.columns if c not in keys and c != order_col]

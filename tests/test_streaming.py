@@ -38,3 +38,18 @@ def test_partitioned_stream_upsert_touches_only_batch_partitions(spark, tmp_dir)
     after = {f: os.path.getmtime(f) for f in glob.glob(root + "/p=2/*.parquet")}
     assert before == after                                   # untouched partition kept as is
     assert not glob.glob(root + ".__*")
+
+
+def test_continuous_funnel_picks_up_new_files(spark, tmp_dir):
+    a = spark.createDataFrame([(1, "a", 1)], "k int, v string, seq int")
+    a.write.parquet(f"{tmp_dir}/in_a/f1")
+    spark.createDataFrame([(2, "b", 1)], a.schema).write.parquet(f"{tmp_dir}/in_b/f1")
+    s = stages.stream_funnel(spark, [f"{tmp_dir}/in_a/*", f"{tmp_dir}/in_b/*"], a.schema)
+    q = stages.start_continuous(s, f"{tmp_dir}/out", f"{tmp_dir}/ck", "1 second")
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame([(3, "c", 1)], a.schema).write.parquet(f"{tmp_dir}/in_a/f2")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert rows(spark.read.parquet(f"{tmp_dir}/out"), "k") == [(1,), (2,), (3,)]
