@@ -233,13 +233,17 @@ def _coherence(code: Column, has_code: Column) -> Column:
     return F.when(~has_code, F.lit(0.8)).otherwise(F.greatest(s, F.lit(0.0)))
 
 
-def rubric(text: Column, blocks: Column, code: Column) -> Column:
-    """Eleven-part migration rubric (40/30/20/10) as a struct of part scores."""
+def rubric(text: Column, blocks: Column, code: Column, nvalid: Column | None = None) -> Column:
+    """Eleven-part migration rubric (40/30/20/10) as a struct of part scores.
+
+    ``nvalid`` is the number of blocks that parse; computed here when not given.
+    """
     feats = code_features(code)
     any_code = F.size(blocks) > 0
     nonempty = F.length(code) > 0
-    # the UDF gets null (and returns at once) for rows without blocks
-    nvalid = valid_python_blocks(F.when(any_code, blocks))
+    if nvalid is None:
+        # the UDF gets null (and returns at once) for rows without blocks
+        nvalid = valid_python_blocks(F.when(any_code, blocks))
     syntax = F.when(any_code, nvalid / F.size(blocks) * 0.10).otherwise(0.0)
     ncols = F.size(feats["columns"])
     schema = F.when(nonempty & (ncols >= 5), 0.15).when(nonempty & (ncols >= 3), 0.10).otherwise(0.0)
@@ -308,7 +312,9 @@ def score_responses(responses: DataFrame, cases: DataFrame, system_prompt: bool
     }
     j = j.withColumns({k: v.cast("double") for k, v in scores.items()})
     is_mig = F.col("category") == "full_migration"
-    j = j.withColumn("migration_details", F.when(is_mig, rubric(text, F.col("_blocks"), code)))
+    # Python parses code blocks of migration cases only; other rows pass null
+    j = j.withColumn("_nvalid", valid_python_blocks(F.when(is_mig & has_code, F.col("_blocks"))))
+    j = j.withColumn("migration_details", F.when(is_mig, rubric(text, F.col("_blocks"), code, F.col("_nvalid"))))
     j = j.withColumn("category_specific", _category_specific(text, F.col("category"), F.col("min_length"),
                                                              F.col("migration_details")))
     overall = reduce(lambda a, b: a + b, [F.col(k) * F.lit(w) for k, w in WEIGHTS.items()])
