@@ -555,7 +555,7 @@ def _stats_median(spark, d):
     # both medians in one distributed pass: unpivot, then one percentile per (flag, column)
     long = agg.unpivot(li.select("l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"],
                        ["l_quantity", "l_extendedprice"], "column_name", "v")
-    med = agg.exact_percentile(long, ["l_returnflag", "column_name"], "v", 0.5, "m")
+    med = agg.checked_percentile(long, ["l_returnflag", "column_name"], "v", 0.5, "m")
     wide = med.groupBy("l_returnflag").agg(
         F.round(F.max(F.when(F.col("column_name") == "l_quantity", F.col("m"))), 6).alias("qty_median"),
         F.round(F.max(F.when(F.col("column_name") == "l_extendedprice", F.col("m"))), 6).alias("price_median"))
