@@ -5,8 +5,8 @@ conv_id % 3, case = conv_id % 21.  Each response gets a code block built from
 its own words, of one of three kinds by conv_id % 4 (a read/transform/write
 flow, a flow with a syntax error, a bare block) or none, so that the code
 paths of the metrics are exercised by the table's data.  Cases are derived
-from ``benchmark``: category by item_id % 7, expected keywords = the first
-four words of five or more letters of the item text.
+from ``benchmark``: category by item_id % 7, expected keywords = the four
+most frequent words of five or more letters in the item text.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fixtures.table(spark, sf_dir, "benchmark")
     i = F.col("item_id")
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5)
+    # expected keywords: the four most frequent words of the whole text (ties alphabetical)
+    ranked = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(
+        (-F.size(F.filter(words, lambda x: x == w))).alias("c"), w.alias("w"))))
+    keywords = F.transform(F.slice(ranked, 1, 4), lambda s: s["w"])
     return b.select(
         i.alias("test_id"),
         F.element_at(F.array(*[F.lit(c) for c in scoring.CATEGORIES]), (i % 7 + 1).cast("int")).alias("category"),
         F.col("text").alias("query"),
-        F.slice(words, 1, 4).alias("expected_keywords"),
+        keywords.alias("expected_keywords"),
         (i % 2 == 0).alias("must_have_code"),
         (F.lit(100) + (i % 5) * 50).cast("int").alias("min_length"),
         F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (i % 3 + 1).cast("int")).alias("difficulty"),

@@ -55,11 +55,12 @@ CASES = f"""
 cases AS (
   SELECT item_id AS test_id, [{', '.join(lit(c) for c in CATEGORIES)}][item_id % 7 + 1] AS category,
          text AS query,
-         list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 5), 1, 4)
-           AS expected_keywords,
+         list_transform(list_slice(list_sort(list_transform(list_distinct(ws), lambda w:
+             {{'c': -len(list_filter(ws, lambda x: x = w)), 'w': w}})), 1, 4), lambda s: s.w) AS expected_keywords,
          item_id % 2 = 0 AS must_have_code, CAST(100 + (item_id % 5) * 50 AS INTEGER) AS min_length,
          ['easy', 'medium', 'hard'][item_id % 3 + 1] AS difficulty
-  FROM benchmark)"""
+  FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 5) AS ws
+        FROM benchmark))"""
 
 _V = "'df' || CAST(conv_id AS VARCHAR)"
 _FLOW = (f"{lit(chr(10) * 2 + '## Code' + chr(10) + '```python' + chr(10))} || {_V} || ' = spark.read.table(''' || w1"
