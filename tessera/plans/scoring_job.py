@@ -2,7 +2,7 @@
 
 Responses are the assistant turns of ``conversations``; model = ``m`` +
 conv_id % 3, case = conv_id % 21.  Each response gets a code block built from
-its own words, of one of three kinds by conv_id % 4 (a read/transform/write
+its three most frequent words, of one of three kinds by conv_id % 4 (a read/transform/write
 flow, a flow with a syntax error, a bare block) or none, so that the code
 paths of the metrics are exercised by the table's data.  Cases are derived
 from ``benchmark``: category by item_id % 7, expected keywords = the four
@@ -42,7 +42,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixtures.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     k = F.col("conv_id")
-    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 3)
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 3)
+    # the three most frequent words of the whole response (ties alphabetical)
+    w = F.transform(F.array_sort(F.transform(F.array_distinct(words), lambda x: F.struct(
+        (-F.size(F.filter(words, lambda y: y == x))).alias("c"), x.alias("w")))), lambda t: t["w"])
     w1 = F.coalesce(F.try_element_at(w, F.lit(1)), F.lit("src"))
     w2 = F.coalesce(F.try_element_at(w, F.lit(2)), F.lit("col"))
     w3 = F.coalesce(F.try_element_at(w, F.lit(3)), F.lit("key"))

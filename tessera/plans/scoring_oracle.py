@@ -73,9 +73,13 @@ _BARE = (f"{lit(chr(10) * 2 + '```' + chr(10))} || {_V} || '.groupBy(''' || w2 |
          f" || chr(10) || '```'")
 
 RESPONSES = f"""
-conv AS (
-  SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3) AS w
+conv0 AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3) AS words
   FROM conversations WHERE role = 'assistant'),
+conv AS (
+  SELECT *, list_transform(list_sort(list_transform(list_distinct(words), lambda x:
+           {{'c': -len(list_filter(words, lambda y: y = x)), 'w': x}})), lambda t: t.w) AS w
+  FROM conv0),
 conv2 AS (SELECT *, coalesce(w[1], 'src') AS w1, coalesce(w[2], 'col') AS w2, coalesce(w[3], 'key') AS w3 FROM conv),
 resp AS (
   SELECT 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, conv_id % 21 AS test_id, conv_id, turn,
