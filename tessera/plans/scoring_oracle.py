@@ -51,16 +51,28 @@ def when(cond: str, a, b) -> str:
     return f"(CASE WHEN {cond} THEN {a} ELSE {b} END)"
 
 
+def with_top_words(source: str, words: str, k: int, out: str) -> str:
+    """SELECT adding the k most frequent entries of a list column (ties
+    alphabetical); the sorted list and the run starts are computed once per row
+    in nested selects, then run lengths are taken from consecutive starts."""
+    counted = ("list_transform(_tw_st, lambda s, j: {'c': -(coalesce(_tw_st[j + 1], len(_tw_srt) + 1) - s), "
+               "'w': _tw_srt[s]})")
+    top = f"list_transform(list_slice(list_sort({counted}), 1, {k}), lambda t: t.w)"
+    return (f"SELECT * EXCLUDE (_tw_srt, _tw_st), {top} AS {out} FROM ("
+            f"SELECT *, list_filter(range(1, len(_tw_srt) + 1), lambda i: i = 1 OR _tw_srt[i] <> _tw_srt[i - 1]) "
+            f"AS _tw_st FROM (SELECT *, list_sort({words}) AS _tw_srt FROM ({source})))")
+
+
+_CASE_WORDS = ("SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 5) "
+               "AS ws FROM benchmark")
+
 CASES = f"""
 cases AS (
   SELECT item_id AS test_id, [{', '.join(lit(c) for c in CATEGORIES)}][item_id % 7 + 1] AS category,
-         text AS query,
-         list_transform(list_slice(list_sort(list_transform(list_distinct(ws), lambda w:
-             {{'c': -len(list_filter(ws, lambda x: x = w)), 'w': w}})), 1, 4), lambda s: s.w) AS expected_keywords,
+         text AS query, kw AS expected_keywords,
          item_id % 2 = 0 AS must_have_code, CAST(100 + (item_id % 5) * 50 AS INTEGER) AS min_length,
          ['easy', 'medium', 'hard'][item_id % 3 + 1] AS difficulty
-  FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 5) AS ws
-        FROM benchmark))"""
+  FROM ({with_top_words(_CASE_WORDS, 'ws', 4, 'kw')}))"""
 
 _V = "'df' || CAST(conv_id AS VARCHAR)"
 _FLOW = (f"{lit(chr(10) * 2 + '## Code' + chr(10) + '```python' + chr(10))} || {_V} || ' = spark.read.table(''' || w1"
@@ -76,10 +88,7 @@ RESPONSES = f"""
 conv0 AS (
   SELECT *, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3) AS words
   FROM conversations WHERE role = 'assistant'),
-conv AS (
-  SELECT *, list_transform(list_sort(list_transform(list_distinct(words), lambda x:
-           {{'c': -len(list_filter(words, lambda y: y = x)), 'w': x}})), lambda t: t.w) AS w
-  FROM conv0),
+conv AS ({with_top_words('SELECT * FROM conv0', 'words', 3, 'w')}),
 conv2 AS (SELECT *, coalesce(w[1], 'src') AS w1, coalesce(w[2], 'col') AS w2, coalesce(w[3], 'key') AS w3 FROM conv),
 resp AS (
   SELECT 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, conv_id % 21 AS test_id, conv_id, turn,
