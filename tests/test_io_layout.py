@@ -217,3 +217,11 @@ def test_file_count_control(spark, tmp_dir):
     spark.range(1000).repartition(9).write.parquet(tmp_dir + "-src")
     sinks.write_dataset(spark.read.parquet(tmp_dir + "-src"), tmp_dir, files=3)
     assert len(glob.glob(_local(tmp_dir) + "/*.parquet")) == 3
+
+
+def test_delimited_schema_inference(spark, tmp_dir):
+    spark.createDataFrame([("id,amount,day",), ("1,2.5,2024-01-02",), ("2,3.0,2024-01-03",)],
+                          "value string").coalesce(1).write.text(tmp_dir)
+    df = sources.read_delimited(spark, tmp_dir)
+    types = dict(df.dtypes)
+    assert types["id"] == "int" and types["amount"] == "double" and df.count() == 2

@@ -117,3 +117,12 @@ def test_salting_only_the_hot_key(spark):
     for how in ("inner", "left"):
         got = joins.salted_join(left, right, ["k"], how, salts=8, hot=hot)
         assert rows(got) == rows(left.join(right, "k", how))
+
+
+def test_outer_joins_with_named_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "lk int, a string")
+    right = spark.createDataFrame([(1, "x"), (3, "y")], "rk int, b string")
+    assert rows(joins.join_stage(left, right, [("lk", "rk")], "right")) == [(1, "a", 1, "x"), (None, None, 3, "y")]
+    full = rows(joins.join_stage(left, right, [("lk", "rk")], "full"))
+    assert full == [(1, "a", 1, "x"), (2, "b", None, None), (None, "n", None, None), (None, None, 3, "y")]
+    assert rows(joins.join_stage(left, right, [("lk", "rk")], "left_semi")) == [(1, "a")]

@@ -43,3 +43,12 @@ def test_params_resolve():
     r = p.resolve({"PATH": "/x"})
     assert r["PATH"] == "/x" and len(r["RUN_DATE"]) == 10
     assert T.Params.substitute("#PATH#/f.csv", r) == "/x/f.csv"
+
+
+def test_route_without_otherwise_and_pivot_without_values(spark):
+    from tessera.operators import aggregate
+    df = _df(spark)
+    outs = T.route(df, {"zero": F.col("v") == 0}, otherwise=None)
+    assert list(outs) == ["zero"] and outs["zero"].count() == df.filter("v = 0").count()
+    p = aggregate.pivot(df.withColumn("one", F.lit(1)), ["v"], "v", F.sum("one"))
+    assert set(p.columns) >= {"v", "0", "1", "2"}
