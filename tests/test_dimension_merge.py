@@ -128,3 +128,10 @@ def test_scd2_new_versions_carry_all_attributes(spark):
     res = dimension.scd2(dim, src, ["CustomerID"], ["Seg"], RUN)
     cur = {r.CustomerID: (r.Seg, r.Email) for r in res["dimension"].filter("IsCurrent = 1").collect()}
     assert cur == {10: ("B", "b@x"), 11: ("C", "c@x")}
+
+
+def test_change_capture_emit_subset(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    after = spark.createDataFrame([(1, "z"), (3, "c")], "k int, v string")
+    out = dimension.change_capture(before, after, ["k"], ["v"], emit=("I", "U"))
+    assert rows(out) == [(1, "z", "U"), (3, "c", "I")]

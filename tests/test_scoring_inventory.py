@@ -95,3 +95,19 @@ def test_job_inventory(spark, tmp_dir):
     assert rows(inv["params"], "param_name", "default_value") == [("IN", "/in.csv"), ("IN", "/in.csv")]
     assert rows(inv["links"], "from_stage", "to_stage", "link")[0] == ("Src", "Xf", "Main")
     assert inv["stage_types"].count() == 4
+
+
+def test_inventory_complexity_bands(spark, tmp_dir):
+    import os
+    d = tmp_dir.replace("file:", "")
+    os.makedirs(d)
+    stage = ('<Record Identifier="S{i}" Type="CustomStage"><Property Name="Name">St{i}</Property>'
+             '<Property Name="StageType">Transformer</Property></Record>')
+    for name, n in (("four", 4), ("twelve", 12)):
+        body = "".join(stage.format(i=i) for i in range(n))
+        with open(f"{d}/{name}.dsx", "w") as f:
+            f.write(f'<DSExport><Job Identifier="{name}"><Record Identifier="J" Type="ServerJob">{body}'
+                    f'</Record></Job></DSExport>')
+    jobs = {r.job_name: r for r in inventory.job_inventory(spark, f"{tmp_dir}/*.dsx")["jobs"].collect()}
+    assert (jobs["four"].stage_count, jobs["four"].complexity) == (4, "Medium")
+    assert (jobs["twelve"].stage_count, jobs["twelve"].complexity) == (12, "Very High")
