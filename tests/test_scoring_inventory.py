@@ -111,3 +111,19 @@ def test_inventory_complexity_bands(spark, tmp_dir):
     jobs = {r.job_name: r for r in inventory.job_inventory(spark, f"{tmp_dir}/*.dsx")["jobs"].collect()}
     assert (jobs["four"].stage_count, jobs["four"].complexity) == (4, "Medium")
     assert (jobs["twelve"].stage_count, jobs["twelve"].complexity) == (12, "Very High")
+
+
+def test_component_explanation_by_hand(spark):
+    case = spark.createDataFrame([("c3", "component_explanation", "Explain the Lookup stage", ["lookup", "broadcast"],
+                                   False, 50, "easy")],
+                                 "test_id string, category string, query string, expected_keywords array<string>, "
+                                 "must_have_code boolean, min_length int, difficulty string")
+    text = ("## Lookup\nThe lookup is used for reference data; purpose: enrich rows.\n```python\n"
+            "df.join(F.broadcast(ref), 'k')\n```")
+    r = scoring.score_responses(spark.createDataFrame([("m", "c3", text)], "model string, test_id string, text string"),
+                                case).first()
+    assert (r.keyword_coverage, r.includes_code, r.groundedness, r.relevance) == (1.0, 1.0, 1.0, 1.0)
+    assert r.well_structured == pytest.approx(0.7)       # headers + length, no bullets
+    assert r.coherence == pytest.approx(0.85)            # `df` used, never assigned
+    assert r.category_specific == pytest.approx(0.7)     # purpose + example, no equivalence word
+    assert r.overall == pytest.approx(0.8875)
