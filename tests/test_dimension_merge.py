@@ -135,3 +135,10 @@ def test_change_capture_emit_subset(spark):
     after = spark.createDataFrame([(1, "z"), (3, "c")], "k int, v string")
     out = dimension.change_capture(before, after, ["k"], ["v"], emit=("I", "U"))
     assert rows(out) == [(1, "z", "U"), (3, "c", "I")]
+
+
+def test_scd2_without_delete_tracking_keeps_missing_keys_current(spark):
+    res = dimension.scd2(_dim(spark), _src(spark), ["CustomerID"], ["Seg"], RUN, track_deletes=False)
+    cur = {r.CustomerID for r in res["dimension"].filter("IsCurrent = 1").collect()}
+    assert 13 in cur                                     # absent from the source, not expired
+    assert dict((r.CustomerID, r.change_type) for r in res["changes"].collect())[13] == "C"

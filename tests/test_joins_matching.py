@@ -126,3 +126,9 @@ def test_outer_joins_with_named_keys(spark):
     full = rows(joins.join_stage(left, right, [("lk", "rk")], "full"))
     assert full == [(1, "a", 1, "x"), (2, "b", None, None), (None, "n", None, None), (None, None, 3, "y")]
     assert rows(joins.join_stage(left, right, [("lk", "rk")], "left_semi")) == [(1, "a")]
+
+
+def test_lookup_drop_mode(spark):
+    main = spark.createDataFrame([(1,), (3,)], "k int")
+    ref = spark.createDataFrame([(1, "a")], "k int, name string")
+    assert rows(joins.lookup(main, ref, ["k"], ["name"], failure="drop")) == [(1, "a")]

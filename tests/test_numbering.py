@@ -110,3 +110,13 @@ def test_checked_percentile_both_paths_agree(spark):
     small = {r.k: r.q for r in checked_percentile(df, ["k"], "x", 0.5, "q").collect()}
     dist = {r.k: r.q for r in checked_percentile(df, ["k"], "x", 0.5, "q", max_buffer=0).collect()}
     assert small == dist
+
+
+def test_change_flag_per_group_equals_window(spark):
+    df = _skewed(spark).withColumn("v", (F.col("id") % 4 == 0).cast("string"))
+    got = numbering.change_flag(df, ["t", "id"], "v", keys=["k"])
+    w = Window.partitionBy("k").orderBy("t", "id")
+    prev = F.lag("v").over(w)
+    exp = df.withColumn("prev_value", prev).withColumn(
+        "changed", F.row_number().over(w).__eq__(1) | ~F.col("v").eqNullSafe(prev))
+    assert rows(got, "id", "prev_value", "changed") == rows(exp, "id", "prev_value", "changed")
