@@ -225,3 +225,16 @@ def test_delimited_schema_inference(spark, tmp_dir):
     df = sources.read_delimited(spark, tmp_dir)
     types = dict(df.dtypes)
     assert types["id"] == "int" and types["amount"] == "double" and df.count() == 2
+
+
+def test_replace_partitions_multi_column_and_partitioned_compaction(spark, tmp_dir):
+    df = spark.createDataFrame([(i, i % 2, i % 3) for i in range(12)], "v int, a int, b int")
+    sinks.write_dataset(df, tmp_dir, partition_by=["a", "b"])
+    new = spark.createDataFrame([(100, 0, 0), (101, 1, 2)], "v int, a int, b int")
+    assert sorted(sinks.replace_partitions(new, tmp_dir, ["a", "b"])) == ["a=0/b=0", "a=1/b=2"]
+    exp = sorted([(i, i % 2, i % 3) for i in range(12) if (i % 2, i % 3) not in [(0, 0), (1, 2)]]
+                 + [(100, 0, 0), (101, 1, 2)])
+    assert sorted(tuple(r) for r in spark.read.parquet(tmp_dir).select("v", "a", "b").collect()) == exp
+    layout.compact(spark, tmp_dir, 6, partition_by=["a", "b"])
+    assert sorted(tuple(r) for r in spark.read.parquet(tmp_dir).select("v", "a", "b").collect()) == exp
+    assert all(len(glob.glob(p + "/*.parquet")) == 1 for p in glob.glob(_local(tmp_dir) + "/a=*/b=*"))

@@ -77,3 +77,11 @@ def test_compare_counts_sums_schemas_rows(spark):
     keyed = rows(reconcile.compare_rows(a, b, ["k"]))
     assert keyed == [(2, None, "present", None), (3, None, None, "present")]
     assert rows(reconcile.compare_rows(a, b), "k", "side") == [(2, "source_only"), (3, "target_only")]
+
+
+def test_observed_counts_during_an_action(spark):
+    df = _df(spark)
+    observed, obs = quality.observed_counts(df, _rules())
+    assert observed.filter(F.col("id").isNotNull()).count() == 3       # any action fills the observation
+    c = obs.get
+    assert (c["records_input"], c["records_valid"], c["records_rejected"], c["failed_amt"]) == (4, 2, 2, 2)
