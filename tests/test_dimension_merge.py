@@ -142,3 +142,23 @@ def test_scd2_without_delete_tracking_keeps_missing_keys_current(spark):
     cur = {r.CustomerID for r in res["dimension"].filter("IsCurrent = 1").collect()}
     assert 13 in cur                                     # absent from the source, not expired
     assert dict((r.CustomerID, r.change_type) for r in res["changes"].collect())[13] == "C"
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.dictionaries(st.integers(0, 30), st.text("abc", max_size=3), max_size=15),
+       st.dictionaries(st.integers(0, 30), st.text("xyz", max_size=3), max_size=15))
+def test_upsert_equals_dictionary_merge(spark, target, updates):
+    t = spark.createDataFrame(list(target.items()) or [(0, "")], "k int, v string")
+    if not target:
+        t = t.limit(0)
+    u = spark.createDataFrame(list(updates.items()) or [(0, "")], "k int, v string")
+    if not updates:
+        u = u.limit(0)
+    expected = sorted({**target, **updates}.items())
+    assert sorted(tuple(r) for r in merge.upsert(t, u, ["k"]).collect()) == expected
+    assert sorted(tuple(r) for r in merge.delete_by_keys(t, u, ["k"]).collect()) == \
+        sorted((k, v) for k, v in target.items() if k not in updates)
