@@ -78,3 +78,9 @@ def test_rules_null_counts_as_failure(spark):
     df = spark.createDataFrame([(None,), ("A",), ("Z",)], "s string")
     ok = [r[0] for r in df.select(R.passes(R.in_set("s", ["A"]))).collect()]
     assert ok == [False, True, False]
+
+
+def test_mask_translation_and_timestamps(spark):
+    assert fx.translate_mask("%yyyy-%mm-%dd %hh:%nn:%ss") == "yyyy-MM-dd HH:mm:ss"
+    got = one(spark, fx.string_to_date("s", "%dd/%mm/%yyyy"), [("05/01/2024",), ("31/02/2024",)])
+    assert got == [dt.date(2024, 1, 5), None]

@@ -127,3 +127,14 @@ def test_component_explanation_by_hand(spark):
     assert r.coherence == pytest.approx(0.85)            # `df` used, never assigned
     assert r.category_specific == pytest.approx(0.7)     # purpose + example, no equivalence word
     assert r.overall == pytest.approx(0.8875)
+
+
+def test_simple_scorer_expression_rule(spark):
+    cases = spark.createDataFrame([("e1", "expression_translation", "q", ["trim"], True, 10, "easy")],
+                                  "test_id string, category string, query string, expected_keywords array<string>, "
+                                  "must_have_code boolean, min_length int, difficulty string")
+    resp = spark.createDataFrame([("m", "e1", "## DataStage Trim -> PySpark F.trim")],
+                                 "model string, test_id string, text string")
+    r = scoring.simple_scores(resp, cases).first()
+    assert (r.keyword_coverage, r.includes_code, r.well_structured, r.category_specific) == (1.0, 1.0, 0.5, 1.0)
+    assert r.overall == pytest.approx(0.875)

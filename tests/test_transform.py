@@ -52,3 +52,9 @@ def test_route_without_otherwise_and_pivot_without_values(spark):
     assert list(outs) == ["zero"] and outs["zero"].count() == df.filter("v = 0").count()
     p = aggregate.pivot(df.withColumn("one", F.lit(1)), ["v"], "v", F.sum("one"))
     assert set(p.columns) >= {"v", "0", "1", "2"}
+
+
+def test_params_reject_unknown_names():
+    import pytest
+    with pytest.raises(KeyError):
+        T.Params({"A": 1}).resolve({"B": 2})
