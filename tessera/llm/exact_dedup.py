@@ -4,8 +4,9 @@ Plan: one pass computes the normalised text, its MD5 (128 bits) and SHA-256.
 The rows are aggregated on (md5, sha256, normalised bytes): the aggregate's key
 comparison is the byte comparison inside a hash group, and the partial
 aggregate leaves one row per group and map task, so a group with a third of all
-rows reaches the shuffle already reduced.  The survivors go back to the rows on
-the two digests, without text.  If two different texts ever shared both
+rows reaches the shuffle already reduced.  The survivors are written to the
+shared folder and go back to the rows on the two digests, without text, in a
+join whose two exchanges Spark can split for a hot group.  If two different texts ever shared both
 digests, the join would be ambiguous and the job stops with an error instead of
 merging them.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE
+from tessera.llm.common import SPACE, stored
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,11 +40,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .agg(F.count(F.lit(1)).alias("size"),
                    F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"),
                                   F.col("doc_id").alias("id"))).alias("best")))
-    keep = (groups.groupBy("md5", "sha")
+    keep = stored(groups.groupBy("md5", "sha")
             .agg(F.count(F.lit(1)).alias("texts"), F.max("size").alias("size"), F.min("best").alias("best"))
             .select("md5", "sha", "best",
                     F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("bigint"))
-                    .otherwise(F.col("size")).alias("group_size")))
+                    .otherwise(F.col("size")).alias("group_size")), "exact-groups")
     return (base.select("doc_id", "n", "md5", "sha").join(keep, ["md5", "sha"])
             .select("doc_id", F.col("best.id").alias("keep_id"), "group_size",
                     (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n") == -F.col("best.n"))).alias("kept"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, mixing, substring_dedup
+from tessera.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, substring_dedup
 from tessera.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_chat_format": op1_chat_format,
     "op3_mixing": op3_mixing,
     "op5_decontamination": op5_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -51,6 +57,7 @@ SQL: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
     "op3_mixing": mixing.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
