@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, substring_dedup
+from tessera.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, substring_dedup
 from tessera.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,20 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -48,7 +57,9 @@ QUERIES: dict[str, QueryFn] = {
     "op1_chat_format": op1_chat_format,
     "op3_mixing": op3_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -57,6 +68,7 @@ SQL: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
     "op3_mixing": mixing.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op6_line_dedup": line_dedup.SQL,
     "op7_jaccard_join": jaccard_join.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
