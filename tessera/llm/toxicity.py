@@ -14,7 +14,11 @@ words' block maxima, visits blocks in falling order of the bound, scores them
 exactly and stops when no bound reaches the k-th best cosine: the neighbours
 are those of an exhaustive search, ties by example number.
 
-Score: votes weighted by 1 / (distance + 0.1), mapped to a probability by
+Terms are words and the first ``STEM`` bytes of longer words, so that inflected
+forms share a term.
+
+Score: votes weighted by 1 / (distance + 0.1) next to a fixed mass of prior
+votes, so that far neighbours alone decide little; then mapped to a probability by
 isotonic regression on the examples' own leave-one-out votes.  Evidence: the
 nearest examples with similarity and label.
 
@@ -42,6 +46,8 @@ VOCABULARY = 256
 NEIGHBOURS = 25
 BLOCK = 512
 EVIDENCE = 5
+STEM = 5
+PRIOR_MASS = 25.0
 MIN_DOCS = 3
 MIN_CHI2 = 10.83  # p = 0.001
 THRESHOLD = 0.7
@@ -52,6 +58,11 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def terms_of(text: bytes | None) -> list[bytes]:
+    words = words_of(text)
+    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+
+
 @dataclass
 class Index:
     """Exact cosine search over bounded examples; see the module's text."""
@@ -95,7 +106,7 @@ class Index:
 
     def vector(self, text: bytes | None) -> dict[int, float]:
         """Unit-length TF-IDF weights of a text's vocabulary words."""
-        counts = Counter(filter(None.__ne__, map(self.words.get, words_of(text))))
+        counts = Counter(filter(None.__ne__, map(self.words.get, terms_of(text))))
         return unit(counts, self.idf)
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +134,12 @@ class Index:
         return best_e, best_s
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
-        """Distance-weighted share of toxic neighbours; -1 without neighbours."""
+        """Distance-weighted share of toxic votes, the prior's included; -1 without neighbours."""
         if not len(examples):
             return -1.0
         w = 1.0 / (1.1 - np.round(np.minimum(cosines, 1.0), 9))
-        return float((w * self.labels[examples]).sum() / w.sum())
+        prior = PRIOR_MASS * float(self.labels.mean())
+        return float(((w * self.labels[examples]).sum() + prior) / (w.sum() + PRIOR_MASS))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression (pool adjacent violators) of label on vote, smoothed by one prior example."""
@@ -160,7 +172,7 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for rb in batches:
         ids, labels, words, counts = [], [], [], []
         for i, label, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), texts_of(rb.column(2))):
-            c = Counter(words_of(text))
+            c = Counter(terms_of(text))
             ids += [i] * len(c)
             labels += [label] * len(c)
             words += c.keys()
@@ -178,7 +190,7 @@ def _doc_frequency(vocabulary: list[bytes]):
         for rb in batches:
             for text in texts_of(rb.column(0)):
                 n[-1] += 1
-                for w in at.keys() & set(words_of(text)):
+                for w in at.keys() & set(terms_of(text)):
                     n[at[w]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["word", "n"])
     return run
