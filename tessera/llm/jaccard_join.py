@@ -375,6 +375,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: tuple[int
                     F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))
 
 
+def one_per_group(docs: DataFrame, width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The documents (same columns), one of each component: the one with the smallest id, then text hash.
+
+    Documents without words all stay; rows that share id and text count as one.
+    """
+    found = near_duplicates(docs, width, similarity)
+    key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(int(G.NO_ID)))
+    first = (found.filter(F.col("root").isNotNull()).groupBy("root")
+             .agg(F.min(F.struct(key("doc_id").alias("id"), "row_key")).alias("m")).select("m.id", "m.row_key"))
+    blank = found.filter(F.col("root").isNull()).select(key("doc_id").alias("id"), "row_key").distinct()
+    stay = first.union(blank).select(F.col("id").alias("s_id"), F.col("row_key").alias("s_key"))
+    rows = docs.select(F.struct("*").alias("row"), key("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    kept = rows.join(stay, (F.col("id") == F.col("s_id")) & (F.col("key") == F.col("s_key")), "left_semi")
+    kept = kept.groupBy("id", "key").agg(F.first("row").alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(

@@ -70,16 +70,9 @@ def _draw(doc_id: Column, text: Column, seed: str) -> Column:
     return F.conv(hex13, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
-          seed: str = SEED) -> DataFrame:
-    """``keep`` columns of every document plus size, source_size, target and copies.
-
-    Defined cases: null text has size 0; a null source is a source of its own,
-    sorted last; a source whose documents are all empty has target 0; a null id
-    is drawn by its text; repeated rows draw alike; an empty table gives an
-    empty result.  No document is taken more than ``cap`` times.
-    """
-    sized = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("source").alias("source"),
+def _with_copies(docs: DataFrame, keep: list[str], weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """``keep`` as k0, k1, ..., with size, source_size, target and copies."""
+    sized = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], F.col("source").alias("source"),
                         word_count(F.col("text")).alias("size"),
                         _draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
     plan, n = source_plan(docs.select("source", word_count(F.col("text")).alias("size")), weights, cap)
@@ -89,16 +82,27 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS,
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.least(F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("bigint"), F.lit(cap))
     return (sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-            .withColumn("rate", rate)
-            .select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
-                    copies.alias("copies")))
+            .withColumn("rate", rate).withColumn("copies", copies))
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+
+    Defined cases: null text has size 0; a null source is a source of its own,
+    sorted last; a source whose documents are all empty has target 0; a null id
+    is drawn by its text; repeated rows draw alike; an empty table gives an
+    empty result; other columns are not read.  No document is taken more than
+    ``cap`` times.
+    """
+    return _with_copies(docs, ["doc_id"], weights, cap, seed).select(
+        F.col("k0").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def emit(docs: DataFrame, keep: list[str], **how) -> DataFrame:
-    """The mix itself: each document's ``keep`` columns, once per copy."""
-    m = mixed(docs, keep, **how)
-    return m.filter(F.col("copies") > 0).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*keep)
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document (same columns), once per copy."""
+    m = _with_copies(docs, docs.columns, weights, cap, seed).filter(F.col("copies") > 0)
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return m.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 SQL = r"""

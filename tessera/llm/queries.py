@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, substring_dedup
+from tessera.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, substring_dedup, toxicity
 from tessera.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,20 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.prefix_examples(turns.unionByName(probe)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, index).select(
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"),
+        "score", "predicted", "evidence")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mixed(table(spark, sf_dir, "documents"), ["doc_id"])
-    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +66,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_token_packing": op4_token_packing,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
