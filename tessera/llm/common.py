@@ -10,8 +10,6 @@ from tessera.session import ensure_checkpoint_dir, scratch_path
 # ASCII white space of the contracts, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
-# A word: digits, letters and everything outside ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,21 +25,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, ascii_lower, stored
+from tessera.llm.common import ascii_lower, stored
 
 WINDOW = 10
 SHINGLE = 3
 BLOCK_ROWS = 200_000
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before A-Z are lower-cased
+
+
+def pieces(text: Column) -> Column:
+    """The words of a text; an empty piece stands before a leading and after a trailing separator."""
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD, -1)
+
+
+def _leading(words: str) -> Column:
+    return (F.get(words, F.lit(0)) == "").cast("int")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: words, len, items (sorted ids as text) that hold them."""
     w = (items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-                      words_of(F.col("text")).alias("words"))
+                      F.filter(pieces(F.col("text")), lambda w: w != "").alias("words"))
          .filter(F.size("words") > 0)
          .withColumn("len", F.least(F.size("words"), F.lit(window)))
          .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)))
@@ -47,8 +56,8 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.groupBy("win", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _key(words: list[Column]) -> Column:
-    return F.xxhash64(F.lit(len(words)), *words)
+def _key(hashes: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(hashes)), *hashes)
 
 
 def _window_shingles(windows: DataFrame) -> DataFrame:
@@ -58,19 +67,24 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
                         F.explode(F.sequence(F.lit(0), F.col("len") - size)).alias("off"))
     key = None
     for k in range(1, SHINGLE + 1):
-        own = _key([F.get("win", F.col("off") + j) for j in range(k)])
+        own = _key([F.xxhash64(F.get("win", F.col("off") + j)) for j in range(k)])
         key = F.when(F.col("size") == k, own) if key is None else key.when(F.col("size") == k, own)
     return at.withColumn("key", key)
 
 
 def _doc_shingles(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """(keep..., words, pos, key): every shingle of ``size`` words of every document."""
-    at = (docs.select(*keep, words_of(F.col("text")).alias("words"))
-          .select(*keep, "words", F.posexplode("words").alias("pos", "w0")))
-    rest = [F.get("words", F.col("pos") + j) for j in range(1, size)]
+    """(keep..., words, pos, key): every shingle of ``size`` words of every document.
+
+    The outer explode keeps the optimizer from adding a filter on the split
+    text, which would split it again.
+    """
+    at = (docs.select(*keep, pieces(F.col("text")).alias("words"))
+          .select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
+          .select(*keep, "words", "hs", F.posexplode_outer("hs").alias("pos", "h0")))
     if size > 1:
-        at = at.filter(F.col("pos") + (size - 1) < F.size("words"))
-    return at.select(*keep, "words", "pos", _key([F.col("w0"), *rest]).alias("key"))
+        at = at.filter(F.col("pos") + (size - 1) < F.size("hs"))
+    rest = [F.get("hs", F.col("pos") + j) for j in range(1, size)]
+    return at.select(*keep, "words", "pos", _key([F.col("h0"), *rest]).alias("key"))
 
 
 def _blocks(df: DataFrame, by: str, rows: int, limit: int) -> list[DataFrame]:
@@ -110,7 +124,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_rows: in
             start = F.col("pos") - F.col("off")
             found.append(cand.filter((start >= 0) & (start + F.col("len") <= F.size("words")))
                          .filter(F.slice("words", start + 1, F.col("len")) == F.col("win"))
-                         .select("doc_id", "row_key", start.alias("start"), "len", "items"))
+                         .select("doc_id", "row_key", (start - _leading("words")).alias("start"), "len", "items"))
     return _union(found) if found else _no_hits(base)
 
 
@@ -140,8 +154,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
             F.greatest(acc["end"], s["start"] + s["len"]).alias("end")), lambda acc: acc["n"])
     per_doc = per_doc.select(F.col("doc_id").alias("h_id"), F.col("row_key").alias("h_key"),
                              covered.alias("hit"), "spans", "items")
-    base = docs.select("doc_id", F.xxhash64("text").alias("row_key"),
-                       F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    trailing = ((F.size("words") > 1) & (F.get("words", F.size("words") - 1) == "")).cast("int")
+    base = (docs.select("doc_id", F.xxhash64("text").alias("row_key"),
+                        F.split(F.coalesce("text", F.lit("")), NO_WORD_ANY_CASE, -1).alias("words"))
+            .select("doc_id", "row_key",
+                    (F.size("words") - _leading("words") - trailing).cast("bigint").alias("n_words")))
     out = base.join(per_doc, base.doc_id.eqNullSafe(F.col("h_id")) & (base.row_key == F.col("h_key")), "left")
     ids = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select("doc_id", "row_key", "n_words", F.coalesce("hit", F.lit(0)).cast("bigint").alias("n_hit"),
@@ -153,9 +170,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents (same columns) that hold no item window."""
     bad = (hits(docs, items, window).select(F.col("doc_id").alias("h_id"), F.col("row_key").alias("h_key")).distinct())
-    keyed = docs.select("*", F.xxhash64("text").alias("_row_key"))
-    return keyed.join(bad, keyed.doc_id.eqNullSafe(bad.h_id) & (F.col("_row_key") == bad.h_key),
-                      "left_anti").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    left = rows.join(bad, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""
