@@ -13,10 +13,10 @@
    (the positional bound at the first shared shingle).
 3. Classes meet on the n-grams of their prefixes.  Not all pairs of a bucket are
    made: first everyone meets the bucket's hub, which yields links and exact
-   distances.  Pairs inside one component need no further test.  Pairs that
+   overlaps.  Pairs inside one component need no further test.  Pairs that
    cross components are joined from the smaller side (classes not linked to the
    hub against the bucket) under length, positional and prefix-role bounds and
-   the triangle inequality of the Jaccard distance to the hub.
+   a bound from both classes' overlaps with the hub.
 4. Each distinct pair is verified once: a suffix filter (partition counts of the
    sets bound the overlap), then the exact intersection.
 
@@ -228,9 +228,12 @@ def classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def _prefix_rows(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, node, n, pos, probe-only) of the shared shingles in each class's prefix."""
+        """(token, node, n, alone, pos, idx) of the shared shingles in each class's prefix.
+
+        alone: how many shingles only this class has; idx: inside the index prefix.
+        """
         for rb in batches:
-            cols = ([], [], [], [], [])
+            cols = ([], [], [], [], [], [])
             for node, n, raw in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
                 h = np.frombuffer(raw, dtype="<i8")
                 unique = n - len(h)
@@ -243,11 +246,13 @@ def _prefix_rows(num: int, den: int):
                 pos = unique + np.arange(m)
                 cols[3].append(pos)
                 cols[4].append(pos < index)
+                cols[5].append(np.full(m, unique))
             if cols[1]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(cols[0]), pa.int64()), pa.array(cols[1], pa.binary()),
                      pa.array(np.concatenate(cols[2]), pa.int64()), pa.array(np.concatenate(cols[3]), pa.int64()),
-                     pa.array(np.concatenate(cols[4]), pa.bool_())], names=["token", "node", "n", "pos", "idx"])
+                     pa.array(np.concatenate(cols[4]), pa.bool_()), pa.array(np.concatenate(cols[5]), pa.int64())],
+                    names=["token", "node", "n", "pos", "idx", "alone"])
     return run
 
 
@@ -257,7 +262,7 @@ def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact overlap of each pair that passes the suffix filter."""
         for rb in batches:
-            u, v, d = [], [], []
+            u, v, o, linked = [], [], [], []
             for a, b, na, nb, ha, hb in zip(*(rb.column(c).to_pylist() for c in range(6))):
                 x, y = np.sort(np.frombuffer(ha, dtype="<u8")), np.sort(np.frombuffer(hb, dtype="<u8"))
                 cx = np.diff(np.searchsorted(x, edges), prepend=0, append=len(x))
@@ -268,31 +273,37 @@ def _verify(num: int, den: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 u.append(a)
                 v.append(b)
-                d.append(1.0 - both / (na + nb - both))
-                if den * both < num * (na + nb - both):
-                    d[-1] = max(d[-1], 1.0 - num / den + 1e-9)  # never a link by rounding
-                else:
-                    d[-1] = min(d[-1], 1.0 - num / den)
+                o.append(both)
+                linked.append(den * both >= num * (na + nb - both))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(d, pa.float64())], names=["u", "v", "d"])
+                [pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(o, pa.int64()), pa.array(linked, pa.bool_())],
+                names=["u", "v", "both", "linked"])
     return run
 
 
-def _bounded(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, before: Column, num: int, den: int) -> Column:
-    """Length bound, and positional bound at a common shingle with at most ``before`` common ones ahead of it."""
-    most = before + 1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1)
-    return ((F.least(a_n, b_n) * den >= F.greatest(a_n, b_n) * num)
-            & (most * den >= (a_n + b_n - most) * num))
+def _enough(most: Column, a_n: Column, b_n: Column, num: int, den: int) -> Column:
+    """Whether an overlap of at most ``most`` can reach the similarity."""
+    return most * den >= (a_n + b_n - most) * num
+
+
+def _bounded(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column, num: int, den: int) -> Column:
+    """Length bound, and positional bound at a pair's first common shingle.
+
+    A similar pair passes at its first common shingle, so it is found whatever
+    becomes of its other common shingles.
+    """
+    most = 1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1)
+    return (F.least(a_n, b_n) * den >= F.greatest(a_n, b_n) * num) & _enough(most, a_n, b_n, num, den)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v, d) of distinct pairs; ``pairs`` has u, v, nu, nv and the positions pu, pv of a common shingle."""
+    """(u, v, both, linked) of distinct pairs; ``pairs`` has u, v, nu, nv and the positions pu, pv of a common shingle."""
     once = (pairs.groupBy("u", "v").agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"),
                                         F.min("pu").alias("pu"), F.min("pv").alias("pv"))
-            .filter(_bounded(F.col("nu"), F.col("pu"), F.col("nv"), F.col("pv"), F.lit(0), num, den)))
+            .filter(_bounded(F.col("nu"), F.col("pu"), F.col("nv"), F.col("pv"), num, den)))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
     both = once.join(side("v"), "v").join(side("u"), "u")
-    return both.select("u", "v", "nu", "nv", "hu", "hv").mapInArrow(_verify(num, den), "u binary, v binary, d double")
+    return both.select("u", "v", "nu", "nv", "hu", "hv").mapInArrow(_verify(num, den), "u binary, v binary, both bigint, linked boolean")
 
 
 def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -305,37 +316,36 @@ def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     num, den = similarity
     spark = sets.sparkSession
     tokens = stored(sets.select("node", "n", "hashes").mapInArrow(
-        _prefix_rows(num, den), "token bigint, node binary, n bigint, pos bigint, idx boolean"), "jaccard-tokens")
-    hubs = (tokens.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c"))
-            .filter(F.col("c") > 1).select(F.col("token").alias("t"), F.col("hub.node").alias("hub"),
-                                           F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")))
-    met = tokens.join(hubs, tokens.token == hubs.t).drop("t")
-    star = (met.filter((F.col("node") != F.col("hub"))
-                       & _bounded(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"),
-                                  F.least("pos", "hub_pos"), num, den))
+        _prefix_rows(num, den), "token bigint, node binary, n bigint, pos bigint, idx boolean, alone bigint"), "jaccard-tokens")
+    # the hub is the class with the fewest rare shingles before the token: the one nearest to the others
+    hubs = (tokens.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"),
+                                        F.count(F.lit(1)).alias("c"))
+            .filter(F.col("c") > 1).select(F.col("token").alias("t"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"),
+                                           F.col("hub.pos").alias("hub_pos")))
+    met = tokens.join(hubs, tokens.token == hubs.t).drop("t").filter(F.col("node") != F.col("hub"))
+    star = (met.filter(_bounded(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), num, den))
             .select(F.col("hub").alias("u"), F.col("node").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv"),
                     F.col("hub_pos").alias("pu"), F.col("pos").alias("pv")))
     near = stored(_verified(star, sets, num, den), "jaccard-near")
-    limit = 1.0 - num / den
-    first = near.filter(F.col("d") <= limit).select("u", "v")
+    first = near.filter("linked").select("u", "v")
     comp = stored(components(first), "jaccard-components")
     placed = (met.join(comp.withColumnRenamed("root", "own_root"), "node", "left")
               .join(comp.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-              .join(near.select(F.col("u").alias("hub"), F.col("v").alias("node"), "d"), ["hub", "node"], "left")
-              .select("token", "node", "n", "pos", "idx", "hub", "d", F.coalesce("own_root", "node").alias("comp"),
-                      F.coalesce("hub_root", "hub").alias("hub_comp"))
-              .filter(F.col("node") != F.col("hub")))
+              .join(near.select(F.col("u").alias("hub"), F.col("v").alias("node"), "both"), ["hub", "node"], "left")
+              .select("token", "node", "n", "pos", "idx", "alone", "both", F.coalesce("own_root", "node").alias("comp"),
+                      F.coalesce("hub_root", "hub").alias("hub_comp")))
     placed = stored(placed, "jaccard-placed")
     outside = placed.filter(F.col("comp") != F.col("hub_comp"))
     a, b = outside.alias("a"), placed.alias("b")
-    triangle = (F.col("a.d").isNull() | F.col("b.d").isNull()
-                | (F.abs(F.col("a.d") - F.col("b.d")) <= limit + 1e-9))
+    # common shingles are in the hub for both, or outside it for both, and no class's own
+    beyond = lambda x: F.col(f"{x}.n") - F.col(f"{x}.alone") - F.col(f"{x}.both")
+    by_hub = F.least("a.both", "b.both") + F.least(beyond("a"), beyond("b"))
+    hub_bound = by_hub.isNull() | _enough(by_hub, F.col("a.n"), F.col("b.n"), num, den)
     longer = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") > F.col("b.node")))
     role = F.when(longer, F.col("b.idx")).otherwise(F.col("a.idx"))  # the shorter meets in its index prefix
     once = (F.col("b.comp") == F.col("b.hub_comp")) | (F.col("a.node") < F.col("b.node"))
-    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & role & triangle
-                   & _bounded(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"),
-                              F.least("a.pos", "b.pos"), num, den))
+    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & role & hub_bound
+                   & _bounded(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), num, den))
     cross = cross.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"),
                          F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
     cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
@@ -343,7 +353,7 @@ def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
                          F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"),
                          F.when(F.col("u") < F.col("v"), F.col("pu")).otherwise(F.col("pv")).alias("pu"),
                          F.when(F.col("u") < F.col("v"), F.col("pv")).otherwise(F.col("pu")).alias("pv"))
-    second = _verified(cross, sets, num, den).filter(F.col("d") <= limit).select("u", "v")
+    second = _verified(cross, sets, num, den).filter("linked").select("u", "v")
     return first.union(second)
 
 
@@ -368,8 +378,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: tuple[int
     comp = stored(components(links(sets, similarity)), "jaccard-roots")
     named = rows.select("doc_id", "row_key", "n", "node").join(comp, "node", "left").select(
         "doc_id", "row_key", "n", "node", F.coalesce("root", "node").alias("root"))
-    least = (named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-             .withColumnRenamed("root", "r"))
+    # stored, so that the join back has an exchange on both sides, which Spark can split for a hot component
+    least = stored(named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
+                   .withColumnRenamed("root", "r"), "jaccard-least")
     return (named.join(least, F.col("root") == F.col("r"), "left")
             .select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node", "root",
                     F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))
