@@ -41,7 +41,7 @@ def agg_expr(fn: str, col: str | Column | None = None, approx: bool = False) ->
     if fn in ("count_distinct", "distinct"):
         return F.approx_count_distinct(c) if approx else F.count_distinct(c)
     if fn == "first":
-        return F.first(c, ignorenulls=True)
+        raise ValueError("first needs an order: use min, max or ordering.dedup")
     raise ValueError(f"unknown aggregate {fn}")
 
 
@@ -143,24 +143,3 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def checked_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.5, out: str = "percentile",
-                       max_buffer: int = 1_000_000) -> DataFrame:
-    """Exact percentile, choosing the plan from a measured bound.
-
-    One aggregate measures the largest number of distinct values in a group
-    (``approx_count_distinct``, with a margin for its error).  Below
-    ``max_buffer`` Spark's ``percentile`` is used -- its per-group buffer is then
-    proven small; above it, ``exact_percentile`` (no per-group buffer).  Both
-    give the same exact value.
-    """
-    v = F.col(col).cast("double")
-    per_group = df.groupBy(*keys).agg(F.approx_count_distinct(v).alias("_d")) if keys else \
-        df.agg(F.approx_count_distinct(v).alias("_d"))
-    widest = per_group.agg(F.max("_d")).first()[0] or 0
-    if widest * 1.1 + 10 <= max_buffer:
-        if keys:
-            return df.groupBy(*keys).agg(F.percentile(v, F.lit(float(p))).alias(out))
-        return df.agg(F.percentile(v, F.lit(float(p))).alias(out))
-    return exact_percentile(df, keys, col, p, out)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.basic import row_hash  # noqa: F401  (re-exported, H13)
 from tessera.operators import numbering
+from tessera.operators.merge import one_per_key
 
 
 def _differs(a: str, b: str, cols: Sequence[str]) -> Column:
@@ -46,7 +47,7 @@ def change_capture(before: DataFrame, after: DataFrame, keys: Sequence[str], com
     """
     b = before.select(*keys, *compare).withColumn("_b", F.lit(True)).alias("b")
     a = after.select(*keys, *compare).withColumn("_a", F.lit(True)).alias("a")
-    cond = reduce(lambda x, y: x & y, [F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys])
+    cond = reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys])
     j = b.join(a, cond, "full_outer")
     ct = (F.when(F.col("b._b").isNull(), "I").when(F.col("a._a").isNull(), "D")
           .when(_differs("b", "a", compare), "U").otherwise("C"))
@@ -66,10 +67,11 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
          latest_by: str | None = None) -> dict[str, DataFrame]:
     """Type-2 load (H2, H3, G6, H11).  Returns {"dimension", "changes", "rejects"}.
 
-    ``source`` must hold one row per key; with ``latest_by`` (an ordering
-    column such as a change timestamp) it is first reduced to the latest row
-    per key (a map-side combined aggregate).  Rows with a null key go to
-    ``rejects``.  ``start_key`` defaults to max(existing key) + 1 (one scalar
+    With ``latest_by`` (an ordering column such as a change timestamp) the
+    source is first reduced to the latest row per key (a map-side combined
+    aggregate); without it a repeated source key fails the job.  Rows with a
+    null key go to ``rejects``.  Dimension rows whose current flag is not 1,
+    null included, are history and pass through.  ``start_key`` defaults to max(existing key) + 1 (one scalar
     read).
     """
     ts = F.to_timestamp_ntz(F.lit(str(run_ts)))
@@ -84,13 +86,12 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     if missing:
         raise ValueError(f"compare columns missing from the source: {missing}")
     src = source.filter(~null_key)
-    if latest_by:
-        from tessera.operators.ordering import dedup
-        keep_cols = [c for c in attrs if c in source.columns]
-        src = dedup(src.select(*keys, *keep_cols, latest_by), list(keys), [latest_by], keep="last")
+    keep_cols = [c for c in attrs if c in source.columns]
+    wanted = list(dict.fromkeys([*keys, *keep_cols, *([latest_by] if latest_by else [])]))
+    src = one_per_key(src.select(*wanted), keys, latest_by)
     src = src.select(*keys, *[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in attrs])
 
-    history = dim.filter(F.col(current_col) != 1)
+    history = dim.filter(~F.col(current_col).eqNullSafe(F.lit(1)))
     # current rows (one per key by the dimension's invariant) carry their own
     # version; only keys without a current row need the highest closed
     # version -- a hash aggregate of an integer over history rows.
@@ -184,7 +185,7 @@ def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Se
     """
     b = old.select(*keys, *compare).withColumn("_b", F.lit(True)).alias("b")
     a = new.select(*keys, *compare).withColumn("_a", F.lit(True)).alias("a")
-    cond = reduce(lambda x, y: x & y, [F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys])
+    cond = reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys])
     j = b.join(a, cond, "full_outer")
     kind = (F.when(F.col("b._b").isNull(), "I").when(F.col("a._a").isNull(), "D")
             .when(_differs("b", "a", compare), "U"))

@@ -25,40 +25,41 @@ def compact(spark: SparkSession, path: str, target_files: int,
     return write_dataset(df, path, partition_by=partition_by, files=target_files)
 
 
-def _bucket(c: Column, bounds: Sequence) -> Column:
-    """Rank of a value among fixed quantile bounds (0..len(bounds))."""
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda x: x <= c)).cast("long")
+def _bucket(c: Column, bounds: Sequence, dtype: T.DataType) -> Column:
+    """Rank of a value among fixed quantile bounds (0..len(bounds)); nulls rank lowest."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    arr = F.array(*[F.lit(b).cast(dtype) for b in bounds])
+    return F.coalesce(F.size(F.filter(arr, lambda x: x <= c)), F.lit(0)).cast("long")
 
 
-def z_value(df: DataFrame, cols: Sequence[str], bits: int = 8, rel_error: float = 0.001) -> Column:
+SAMPLE_ROWS = 8192
+
+
+def _bounds(df: DataFrame, cols: Sequence[str], n: int) -> list[list]:
+    """n - 1 quantile bounds of whole values, from a random sample of SAMPLE_ROWS rows."""
+    sample = df.select(*cols).orderBy(F.rand(7)).limit(SAMPLE_ROWS).collect()
+    out = []
+    for i in range(len(cols)):
+        values = sorted(r[i] for r in sample if r[i] is not None)
+        out.append(sorted({values[len(values) * q // n] for q in range(1, n)}) if values else [])
+    return out
+
+
+def z_value(df: DataFrame, cols: Sequence[str], bits: int = 8) -> Column:
     """Z-order value: interleaved bits of each column's quantile bucket.
 
-    The bucket bounds come from ``approxQuantile`` (2**bits - 1 values per
-    column, a fixed-size result), so the value is order-preserving per column.
+    The bounds (2**bits - 1 values per column at most) are quantiles of the
+    whole values in a bounded random sample, so they order strings with a long
+    common prefix, dates, timestamps and numbers alike.  All columns share 63
+    bits: ``bits`` is lowered to fit, and more than 63 columns are refused.
     """
-    n = 2 ** bits
-    probs = [i / n for i in range(1, n)]
-    # every column becomes an order-preserving number: strings by their first
-    # 7 bytes, dates and timestamps by their epoch value, booleans as 0/1
+    if not cols or len(cols) > 63:
+        raise ValueError("z-order takes 1 to 63 columns")
+    bits = min(bits, 63 // len(cols))
+    bounds = _bounds(df, cols, 2 ** bits)
     types = {f.name: f.dataType for f in df.schema.fields}
-    as_num = {}
-    for c in cols:
-        t = types[c]
-        if isinstance(t, (T.StringType, T.BinaryType)):
-            as_num[c] = F.conv(F.hex(F.substring(F.col(c), 1, 7)), 16, 10).cast("long")
-        elif isinstance(t, T.DateType):
-            as_num[c] = F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            as_num[c] = F.unix_micros(F.col(c).cast("timestamp"))
-        elif isinstance(t, T.BooleanType):
-            as_num[c] = F.col(c).cast("int")
-        else:
-            as_num[c] = F.col(c).cast("double")
-    names = [f"_zn_{i}" for i in range(len(cols))]
-    nums = df.select(*[as_num[c].alias(nm) for c, nm in zip(cols, names)])
-    qs = nums.approxQuantile(names, probs, rel_error)
-    buckets = [_bucket(as_num[c], sorted(set(q))) for c, q in zip(cols, qs)]
+    buckets = [_bucket(F.col(c), b, types[c]) for c, b in zip(cols, bounds)]
     z = F.lit(0).cast("long")
     m = len(buckets)
     for b in range(bits):

@@ -21,9 +21,10 @@ Two exact blocking methods, chosen by string length ``L`` against a cut-off
 A pair with min length <= T (then both are <= T + k) is found by the first
 method, a pair of two long strings by the second.  Candidates are
 deduplicated and verified with the thresholded ``levenshtein``.  Everything
-is native Spark (explode, substring, equi-joins); join inputs are
-hash-partitioned explicitly, since adaptive coalescing sees only their small
-byte size and not the size of the candidate output.
+is native Spark (explode, substring, equi-joins).  The joins' exchanges are
+Spark's own, so that adaptive execution can split a variant or segment that
+very many words share; the distinct strings are stored once, so the text is
+read and cut into words once.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 # length cut-off between the two methods, by edit distance: deletion fan-out
 # sum_{d<=k} C(L + k, d) stays small below it (67 variants for k=2, L=11) and the
 # k+1 segments above it are at least 4 characters long for k=2
@@ -42,10 +45,9 @@ def default_cutoff(k: int) -> int:
 
 
 def _distinct(df: DataFrame, col: str, out: str, n: int) -> DataFrame:
-    # an explicit partition count keeps the explodes that follow spread over n tasks
-    # (after the distinct: a repartition before it is folded into the aggregate's exchange)
+    # spread over n tasks for the explodes that follow, and stored: four joins read it
     return (df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct().repartition(n, out)
-            .withColumn(f"{out}_len", F.length(out)))
+            .withColumn(f"{out}_len", F.length(out)).checkpoint(eager=False))
 
 
 def _seg_start(L, i, k: int):
@@ -69,7 +71,7 @@ def deletion_variants(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.select(col, F.explode(F.array_distinct(everything)).alias("v"))
 
 
-def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int, ordered: bool) -> DataFrame:
+def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, ordered: bool) -> DataFrame:
     segs = (a.filter(F.col("a_len") > cutoff)
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k))))
             .withColumn("s0", _seg_start(F.col("a_len"), F.col("i"), k))
@@ -92,14 +94,14 @@ def _segment_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int,
               .select("b", "L", "i", F.expr("substring(b, p + 1, sl)").alias("seg"))
               .distinct())
     keys = ["L", "i", "seg"]
-    j = segs.repartition(n, *keys).join(probes.repartition(n, *keys), keys).select("a", "b")
+    j = segs.join(probes, keys).select("a", "b")
     return j.filter(F.col("a") < F.col("b")) if ordered else j
 
 
-def _deletion_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, n: int, ordered: bool) -> DataFrame:
+def _deletion_candidates(a: DataFrame, b: DataFrame, k: int, cutoff: int, ordered: bool) -> DataFrame:
     va = deletion_variants(a.filter(F.col("a_len") <= cutoff + k).select("a"), "a", k)
     vb = deletion_variants(b.filter(F.col("b_len") <= cutoff + k).select("b"), "b", k)
-    j = va.repartition(n, "v").join(vb.repartition(n, "v"), "v").select("a", "b")
+    j = va.join(vb, "v").select("a", "b")
     if ordered:
         j = j.filter(F.col("a") < F.col("b"))
     return j.filter(F.least(F.length("a"), F.length("b")) <= cutoff)
@@ -117,6 +119,7 @@ def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None,
     # strings of length <= k cannot be cut into k+1 segments: the cut-off is at least k
     T = max(default_cutoff(k) if cutoff is None else int(cutoff), k)
     self_match = right is None
+    ensure_checkpoint_dir(left.sparkSession)
     n = num_partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = _distinct(left, left_col, "a", n)
     b = a.withColumnsRenamed({"a": "b", "a_len": "b_len"}) if self_match else \
@@ -124,8 +127,8 @@ def fuzzy_pairs(left: DataFrame, left_col: str, right: DataFrame | None = None,
     lo, ro, do = out
     # both methods are symmetric: in a self-match every pair is found in both
     # orientations, so only a < b is kept inside the joins
-    cand = (_deletion_candidates(a, b, k, T, n, self_match)
-            .unionByName(_segment_candidates(a, b, k, T, n, self_match))
+    cand = (_deletion_candidates(a, b, k, T, self_match)
+            .unionByName(_segment_candidates(a, b, k, T, self_match))
             .distinct())
     dist = F.levenshtein(F.col("a"), F.col("b"), k)
     return (cand.withColumn(do, dist).filter((F.col(do) >= 0) & (F.col(do) <= k))

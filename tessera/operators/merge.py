@@ -17,13 +17,48 @@ from pyspark.sql import functions as F
 from tessera.sinks.files import path_exists, replace_partitions, write_dataset
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def one_per_key(df: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
+    """One row per key, in one map-side combined aggregate.
+
+    With ``latest_by`` the row with its greatest value stays (nulls smallest,
+    ties by the other columns).  Without it a repeated key fails the job: which
+    of its rows should win is not known.
+    """
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    if latest_by:
+        first = [latest_by] if latest_by in rest else []
+        order = first + [c for c in rest if c not in first]
+        out = df.groupBy(*keys).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_row"))
+        return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    if not rest:
+        return df.distinct()
+    out = df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_rows"))
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    row = F.when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit("repeated key: "), shown))
+                 .cast(out.schema["_row"].dataType)).otherwise(F.col("_row"))
+    out = out.withColumn("_row", row)
+    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def touching(current: DataFrame, changed: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of ``current`` in the partitions that ``changed`` has rows for; null is a partition too."""
+    t = changed.select(*[F.col(c).alias(f"_t_{c}") for c in cols]).distinct()
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & current[c].eqNullSafe(t[f"_t_{c}"])
+    return current.join(t, cond, "left_semi")
+
+
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
     """Update matched keys, insert new ones (B15, H4 type 1).
 
-    New table = target rows whose key is not in ``updates`` + all updates
-    (``updates`` must hold one row per key).  One anti join; the key-only
-    projection of ``updates`` is what gets shuffled or broadcast against target.
+    New table = target rows whose key is not in ``updates`` + all updates,
+    reduced to one row per key (see ``one_per_key``; a repeated key without
+    ``latest_by`` fails).  One anti join; the key-only projection of ``updates``
+    is what gets shuffled or broadcast against target.
     """
+    updates = one_per_key(updates, keys, latest_by)
     keep = target.join(updates.select(*keys), list(keys), "left_anti")
     return keep.unionByName(_as_target(updates, target))
 
@@ -34,9 +69,14 @@ def _as_target(updates: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def update_by_keys(target: DataFrame, updates: DataFrame, keys: Sequence[str],
-                   cols: Sequence[str]) -> DataFrame:
-    """Update ``cols`` of rows whose key matches; no inserts."""
+                   cols: Sequence[str], latest_by: str | None = None) -> DataFrame:
+    """Update ``cols`` of rows whose key matches; no inserts.
+
+    ``updates`` is reduced to one row per key first (see ``one_per_key``).
+    """
     types = {f.name: f.dataType for f in target.schema.fields}
+    wanted = list(dict.fromkeys([*keys, *cols, *([latest_by] if latest_by else [])]))
+    updates = one_per_key(updates.select(*wanted), keys, latest_by)
     u = updates.select(*keys, *[F.col(c).cast(types[c]).alias(f"_u_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = target.join(u, list(keys), "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
@@ -68,8 +108,7 @@ def load(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str] | No
         raise ValueError("incremental load needs keys")
     current = spark.read.parquet(path)
     if partition_by:
-        touched = df.select(*partition_by).distinct()
-        current = current.join(touched, list(partition_by), "left_semi")
+        current = touching(current, df, partition_by)
         replace_partitions(upsert(current, df, keys), path, partition_by)
         return path
     return write_dataset(upsert(current, df, keys), path, partition_by=partition_by)
@@ -79,11 +118,23 @@ def incremental_load(spark: SparkSession, path: str, source: DataFrame, watermar
                      keys: Sequence[str], load_type: str = "INCREMENTAL"):
     """Incremental load (H10): rows of ``source`` above the last watermark are
     upserted into the table at ``path`` (FULL reloads everything).  Returns the
-    new watermark value (one scalar read; the old one when nothing is new)."""
+    new watermark value; the old one when nothing is new.
+
+    The watermark is read from the table that was written, so rows that reach
+    the source while the load runs are above it and come with the next load.
+    An incremental load cannot place rows without a watermark value: they are
+    what ``without_watermark`` returns, for a reject output.
+    """
     from tessera.operators.dimension import incremental
-    if load_type.upper() == "FULL":
-        rows, wm = source, source.agg(F.max(watermark_col).alias("new_watermark"))
-    else:
-        rows, wm = incremental(source, watermark_col, last)
+    full = load_type.upper() == "FULL"
+    rows = source if full else incremental(source, watermark_col, last)[0]
     load(spark, path, rows, keys, load_type)
-    return wm.first()[0]
+    seen = spark.read.parquet(path).agg(F.max(watermark_col)).first()[0]
+    if seen is None or (not full and last is not None and seen < last):
+        return last
+    return seen
+
+
+def without_watermark(source: DataFrame, watermark_col: str) -> DataFrame:
+    """Rows that no incremental load can place, as their watermark is null (H10 rejects)."""
+    return source.filter(F.col(watermark_col).isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import numbering
 
-SortKey = str | tuple[str, str] | Column
+SortKey = str | tuple[str | Column, str] | Column
+
+
+_DIRECTED = re.compile(r"(ASC|DESC) NULLS (FIRST|LAST)'>$")
 
 
 def sort_exprs(keys: Sequence[SortKey], nulls: str = "first") -> list[Column]:
@@ -21,7 +25,7 @@ def sort_exprs(keys: Sequence[SortKey], nulls: str = "first") -> list[Column]:
             out.append(k)
             continue
         name, direction = (k, "asc") if isinstance(k, str) else k
-        c = F.col(name)
+        c = name if isinstance(name, Column) else F.col(name)
         if direction.lower().startswith("d"):
             out.append(c.desc_nulls_first() if nulls == "first" else c.desc_nulls_last())
         else:
@@ -31,23 +35,34 @@ def sort_exprs(keys: Sequence[SortKey], nulls: str = "first") -> list[Column]:
 
 def sort_stage(df: DataFrame, keys: Sequence[SortKey], nulls: str = "first",
                stable: bool = False, key_change: str | None = None,
-               change_keys: Sequence[str] | None = None) -> DataFrame:
+               change_keys: Sequence[str] | int | None = None) -> DataFrame:
     """Sort stage.
 
     A global sort is a range shuffle plus per-partition sorts.  ``stable``
     appends every other column as a tie-break, so equal keys come out in one
     fixed order on every run.  ``key_change`` adds a 1/0 column that is 1 on
     the first row of each run of equal sort keys (or of ``change_keys``, a
-    leading subset of them).
+    leading subset of them by name, or how many lead).  A Column sort key counts by its value; one that
+    already carries a direction has none, so with ``key_change`` pass it as
+    (Column, direction).
     """
     exprs = sort_exprs(keys, nulls)
     out = df
     if key_change:
-        names = [k if isinstance(k, str) else k[0] for k in keys if not isinstance(k, Column)]
-        group = list(change_keys) if change_keys else names
-        rest = [e for n, e in zip(names, exprs) if n not in group] + exprs[len(names):]
+        names, temps = [], []
+        for k in keys:
+            c = k[0] if isinstance(k, tuple) else k
+            if isinstance(c, Column):
+                if isinstance(k, Column) and _DIRECTED.search(str(c)):
+                    raise ValueError("with key_change give a Column sort key as (Column, direction)")
+                temps.append(f"_kc_{len(temps)}")
+                out = out.withColumn(temps[-1], c)
+                c = temps[-1]
+            names.append(c)
+        group = names[:change_keys] if isinstance(change_keys, int) else list(change_keys or names)
+        rest = [e for n, e in zip(names, exprs) if n not in group]
         out = numbering.is_first(out, group, rest, "_kc")
-        out = out.withColumn(key_change, F.col("_kc").cast("int")).drop("_kc")
+        out = out.withColumn(key_change, F.col("_kc").cast("int")).drop("_kc", *temps)
     if stable:
         exprs = numbering.total_order(df, [], exprs)
     return out.orderBy(*exprs)
@@ -66,7 +81,8 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[SortKey] | None =
     ascending order, keep first/last is one aggregate: min/max of a struct of
     (order columns, every other column), which is combined on the mappers, so
     a hot key never gathers on one task and ties resolve the same way each run.
-    Mixed directions fall back to the distributed group numbering.
+    Mixed directions fall back to the distributed group numbering.  On both
+    ways a null is the smallest value, whichever the direction.
     """
     if not order:
         return df.dropDuplicates(list(keys))
@@ -81,9 +97,9 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[SortKey] | None =
         agg = F.min(s) if take_min else F.max(s)
         out = df.groupBy(*keys).agg(agg.alias("_row"))
         return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
-    exprs = sort_exprs(pairs)
     if keep == "last":
-        exprs = sort_exprs([(n, "asc" if d.lower().startswith("d") else "desc") for n, d in pairs])
+        pairs = [(n, "asc" if d.lower().startswith("d") else "desc") for n, d in pairs]
+    exprs = [F.col(n).desc_nulls_last() if d.lower().startswith("d") else F.col(n).asc_nulls_first() for n, d in pairs]
     seq = numbering.group_row_number(df, list(keys), exprs, "_seq")
     return seq.filter(F.col("_seq") == 1).drop("_seq")
 

@@ -146,16 +146,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "dup_count")
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
 
 
-def column_profile(df: DataFrame, cols: Sequence[str], approx_median: bool = False,
-                   max_buffer: int = 1_000_000) -> DataFrame:
+def column_profile(df: DataFrame, cols: Sequence[str], approx_median: bool = False) -> DataFrame:
     """min/max/avg/stddev/median/non-null count per numeric column.
 
     The columns are unpivoted to (column_name, value) so one aggregate gives
-    all statistics; the exact median comes from ``checked_percentile`` (a
-    buffered percentile only when the distinct values per column are proven
-    few, else the distributed one), or a bounded sketch with ``approx_median``.
+    all statistics; the exact median comes from the distributed
+    ``exact_percentile``, or a bounded sketch with ``approx_median``.
     """
-    from tessera.operators.aggregate import checked_percentile
+    from tessera.operators.aggregate import exact_percentile
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                   F.col(c).cast("double").alias("v")) for c in cols])).alias("p")) \
         .select("p.*")
@@ -164,7 +162,7 @@ def column_profile(df: DataFrame, cols: Sequence[str], approx_median: bool = Fal
     if approx_median:
         return long.groupBy("column_name").agg(*aggs, F.percentile_approx("v", 0.5, 10000).alias("median_value"))
     stats = long.groupBy("column_name").agg(*aggs)
-    med = checked_percentile(long, ["column_name"], "v", 0.5, "median_value", max_buffer)
+    med = exact_percentile(long, ["column_name"], "v", 0.5, "median_value")
     return stats.join(med, "column_name", "left").select(
         "column_name", "min_value", "max_value", "avg_value", "stddev_value", "median_value", "non_null")
 

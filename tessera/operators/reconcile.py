@@ -23,10 +23,20 @@ def compare_counts(a: DataFrame, b: DataFrame) -> DataFrame:
                           "counts_match": F.col("target_count") == F.col("source_count")})
 
 
-def compare_sums(a: DataFrame, b: DataFrame, cols: Sequence[str], scale: int = 2) -> DataFrame:
-    """Sum of numeric columns on both sides (R2); values summed as decimals so
-    money columns held as doubles add exactly."""
-    dt = T.DecimalType(18, scale)
+def _places(df: DataFrame, col: str) -> int:
+    """Decimal places that hold a column's values (floats: 6)."""
+    t = df.schema[col].dataType
+    if isinstance(t, T.DecimalType):
+        return t.scale
+    return 6 if isinstance(t, (T.DoubleType, T.FloatType)) else 0
+
+
+def compare_sums(a: DataFrame, b: DataFrame, cols: Sequence[str], scale: int | None = None) -> DataFrame:
+    """Sum of numeric columns on both sides (R2), as decimals so that money
+    columns held as doubles add exactly.  The scale is the largest that the
+    columns have, unless given; a smaller one rounds each value."""
+    dt = T.DecimalType(28 if scale is None else 18,
+                       max(_places(x, c) for x in (a, b) for c in cols) if scale is None else scale)
     ta = a.select(F.lit(0).alias("_side"), *[F.col(c).cast(dt).alias(c) for c in cols])
     tb = b.select(F.lit(1).alias("_side"), *[F.col(c).cast(dt).alias(c) for c in cols])
     u = ta.union(tb)
@@ -39,19 +49,24 @@ def compare_sums(a: DataFrame, b: DataFrame, cols: Sequence[str], scale: int = 2
 
 
 def _row_text(cols: Sequence[Column]) -> Column:
-    return F.concat_ws("|", *[c.cast("string") for c in cols])
+    """Each value as length:text, a null as '-': no two different rows share a text."""
+    text = [c.cast("string") for c in cols]
+    return F.concat(*[F.when(t.isNull(), F.lit("-")).otherwise(
+        F.concat(F.char_length(t).cast("string"), F.lit(":"), t)) for t in text])
 
 
 def dataset_checksum(df: DataFrame, cols: Sequence[str] | None = None, algo: str = "xxhash64") -> DataFrame:
     """Order-independent, duplicate-sensitive checksum (R3): row count plus the
     sum of a per-row hash, as decimal(38,0) so the sum cannot overflow.
 
-    ``xxhash64`` is the fast native hash; ``md5`` (first 60 bits of the md5 of
-    the '|'-joined text) gives the same number in engines without xxhash.
+    ``xxhash64`` is the fast native hash, over each value and whether it is
+    null (the function itself skips nulls); ``md5`` (first 60 bits of the md5
+    of the row's length-prefixed text) gives the same number in engines without
+    xxhash.
     """
     cs = [F.col(c) for c in (cols or df.columns)]
     if algo == "xxhash64":
-        h = F.xxhash64(*cs).cast(T.DecimalType(38, 0))
+        h = F.xxhash64(*[x for c in cs for x in (c.isNull(), c)]).cast(T.DecimalType(38, 0))
     elif algo == "md5":
         h = F.conv(F.substring(F.md5(_row_text(cs)), 1, 15), 16, 10).cast(T.DecimalType(38, 0))
     else:
@@ -85,7 +100,7 @@ def compare_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None,
     compare = list(compare or [c for c in a.columns if c not in keys])
     A = a.select(*keys, *compare).withColumn("_a", F.lit(True)).alias("a")
     B = b.select(*keys, *compare).withColumn("_b", F.lit(True)).alias("b")
-    cond = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    cond = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     j = A.join(B, cond, "full_outer")
     kcols = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"),

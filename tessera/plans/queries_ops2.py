@@ -104,8 +104,12 @@ FROM customer
 """)(lambda spark, d: numbering.assign_keys(TB(spark, d, "customer").select("c_custkey", "c_mktsegment"), "sk",
                                              ["c_mktsegment", "c_custkey"], start=1001).select("c_custkey", "sk"))
 
-register("h12_surrogate_keys_gapped")(lambda spark, d: numbering.assign_keys(
-    TB(spark, d, "customer").select("c_custkey"), "sk", [], start=1, contiguous=False))
+register("h12_surrogate_keys_gapped", """
+SELECT count(*) AS n, count(*) AS different, true AS from_start FROM customer
+""")(lambda spark, d: numbering.assign_keys(
+    TB(spark, d, "customer").select("c_custkey"), "sk", [], start=1, contiguous=False).groupBy("sk").agg(
+        F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("different"),
+                                          (F.min("sk") >= 1).alias("from_start")))
 
 
 # ------------------------------------------------------------------ sort, dedup, sets
@@ -138,7 +142,17 @@ SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderk
 """)(lambda spark, d: ordering.top(TB(spark, d, "orders").select("o_orderkey", "o_totalprice"),
                                    [("o_totalprice", "desc"), ("o_orderkey", "asc")], 10))
 
-register("s5_dedup_any_row")(lambda spark, d: ordering.dedup(TB(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]))
+def _any_row(li):
+    """One row per key, and whether it is a row of the input."""
+    one = ordering.dedup(li, ["l_suppkey", "l_returnflag"])
+    found = one.join(li.withColumn("_hit", F.lit(True)), list(li.columns), "left").select(
+        "l_suppkey", "l_returnflag", F.coalesce("_hit", F.lit(False)).alias("from_input"))
+    return found.distinct()
+
+
+register("s5_dedup_any_row", """
+SELECT DISTINCT l_suppkey, l_returnflag, true AS from_input FROM lineitem
+""")(lambda spark, d: _any_row(TB(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber")))
 
 _LI_REST = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
 
@@ -379,20 +393,32 @@ SELECT column_name, source_sum, target_sum, CAST(target_sum - source_sum AS DECI
        target_sum IS NOT DISTINCT FROM source_sum AS sums_match
 FROM s
 """)(lambda spark, d: reconcile.compare_sums(TB(spark, d, "orders"), _orders_target(spark, d),
-                                             ["o_totalprice", "o_custkey"]))
+                                             ["o_totalprice", "o_custkey"], scale=2))
 
 _CK_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "price", "o_orderdate", "o_orderpriority"]
 
 register("r3_dataset_checksum", """
+WITH t AS (
+  SELECT list_transform([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+                         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), CAST(o_orderdate AS VARCHAR), o_orderpriority],
+                        lambda v: coalesce(length(v) || ':' || v, '-')) AS vs FROM orders)
 SELECT count(*) AS row_count,
-       CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR),
-            o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), CAST(o_orderdate AS VARCHAR),
-            o_orderpriority)), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS checksum
-FROM orders
+       CAST(sum(CAST(('0x' || substr(md5(array_to_string(vs, '')), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS checksum
+FROM t
 """)(lambda spark, d: reconcile.dataset_checksum(
     TB(spark, d, "orders").withColumn("price", F.col("o_totalprice").cast("decimal(18,2)")), _CK_COLS, algo="md5"))
 
-register("r3_dataset_checksum_xxhash")(lambda spark, d: reconcile.dataset_checksum(TB(spark, d, "lineitem")))
+def _xxhash_checksums(spark, d):
+    li = TB(spark, d, "lineitem")
+    one, two = reconcile.dataset_checksum(li), reconcile.dataset_checksum(li.repartition(5, "l_suppkey"))
+    other = reconcile.dataset_checksum(li.withColumn("l_tax", F.when(F.col("l_linenumber") != 7, F.col("l_tax"))))
+    return one.select("row_count", (F.col("checksum") == two.select("checksum").scalar()).alias("order_ignored"),
+                      (F.col("checksum") != other.select("checksum").scalar()).alias("change_seen"))
+
+
+register("r3_dataset_checksum_xxhash", """
+SELECT count(*) AS row_count, true AS order_ignored, true AS change_seen FROM lineitem
+""")(_xxhash_checksums)
 
 
 def _compare_rows_keyed(spark, d):
@@ -617,8 +643,9 @@ register("b5_single_file_export", """
 SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY o_orderpriority
 """)(_single_export)
 
-register("a13_source_file_column")(lambda spark, d: sources.with_source_file(TB(spark, d, "region")).select(
-    "r_regionkey", F.regexp_extract("source_file", r"([^/]+)$", 1).alias("file_name")))
+register("a13_source_file_column", "SELECT r_regionkey, 'region.parquet' AS file_name FROM region")(
+    lambda spark, d: sources.with_source_file(TB(spark, d, "region")).select(
+        "r_regionkey", F.regexp_extract("source_file", r"([^/]+\.parquet)(/[^/]*)?$", 1).alias("file_name")))
 
 
 # ------------------------------------------------------------------ streaming
@@ -685,5 +712,9 @@ def _incremental_load(spark, d):
 
 register("h10_incremental_load", "SELECT event_id, user_id, ts, event_type, value FROM events")(_incremental_load)
 
-register("c11_file_row_number")(lambda spark, d: sources.file_row_number(
-    TB(spark, d, "orders").select("o_orderkey"), "row_number"))
+register("c11_file_row_number", """
+SELECT count(*) AS n, 1 AS low, count(*) AS high, count(*) AS different FROM orders
+""")(lambda spark, d: sources.file_row_number(TB(spark, d, "orders").select("o_orderkey"), "row_number")
+     .groupBy("row_number").agg(F.count(F.lit(1)).alias("c")).agg(
+         F.sum("c").alias("n"), F.min("row_number").cast("int").alias("low"), F.max("row_number").cast("long").alias("high"),
+         F.count(F.lit(1)).alias("different")))

@@ -1,7 +1,7 @@
 """Bulk response scoring over the conversation table.
 
 Responses are the assistant turns of ``conversations``; model = ``m`` +
-conv_id % 3, case = conv_id % 21.  Each response gets a code block built from
+conv_id % 3, case = conv_id modulo the number of cases.  Each response gets a code block built from
 its three most frequent words, of one of three kinds by conv_id % 4 (a read/transform/write
 flow, a flow with a syntax error, a bare block) or none, so that the code
 paths of the metrics are exercised by the table's data.  Cases are derived
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from tessera.operators import scoring
 from tessera.plans import fixtures
 
-N_CASES = 21
-
 
 def with_top_words(df: DataFrame, words, k: int, out: str) -> DataFrame:
     """Add the k most frequent entries of an array column (ties alphabetical).
@@ -59,6 +57,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixtures.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    n_cases = fixtures.table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1))).scalar()
     k = F.col("conv_id")
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 3)
     # the three most frequent words of the whole response (ties alphabetical)
@@ -78,7 +77,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.concat(F.lit("\n\n```\n"), v, F.lit(".groupBy('"), w2, F.lit("').count()  # ...\n```"))
     code = (F.when(k % 4 == 0, flow).when(k % 4 == 1, broken).when(k % 4 == 2, bare).otherwise(F.lit("")))
     return c.select(F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"),
-                    (k % N_CASES).alias("test_id"), "conv_id", "turn",
+                    (k % n_cases).alias("test_id"), "conv_id", "turn",
                     F.concat(F.col("text"), code).alias("text"))
 
 

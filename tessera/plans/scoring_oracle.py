@@ -91,7 +91,7 @@ conv0 AS (
 conv AS ({with_top_words('SELECT * FROM conv0', 'words', 3, 'w')}),
 conv2 AS (SELECT *, coalesce(w[1], 'src') AS w1, coalesce(w[2], 'col') AS w2, coalesce(w[3], 'key') AS w3 FROM conv),
 resp AS (
-  SELECT 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, conv_id % 21 AS test_id, conv_id, turn,
+  SELECT 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, conv_id % (SELECT count(*) FROM benchmark) AS test_id, conv_id, turn,
          text || CASE conv_id % 4 WHEN 0 THEN {_FLOW} WHEN 1 THEN {_BROKEN} WHEN 2 THEN {_BARE} ELSE '' END AS text
   FROM conv2)"""
 

@@ -3,6 +3,11 @@
 Overwrites of a dataset are staged: the new content is written to a sibling
 folder and swapped in with two renames, so a job never reads and overwrites the
 same path and a failed write leaves the old content in place.
+
+Limit: a plain folder cannot be replaced atomically.  Between the two renames
+the target does not exist, and a driver lost just there leaves the old content
+under ``<target>.__old-*`` and the new under ``<target>.__staging-*``;
+``recover`` puts it right.  On an object store a rename is a copy.
 """
 
 from __future__ import annotations
@@ -43,6 +48,18 @@ def swap_in(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(old, True)
 
 
+def recover(spark: SparkSession, target: str) -> bool:
+    """Finish a swap that a lost driver left half done: a missing target gets its old
+    content back.  Returns whether anything was moved; run it before reading."""
+    fs, t = _fs(spark, target)
+    if fs.exists(t):
+        return False
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}.__old-*")) or []
+    if len(found) != 1:
+        return False
+    return bool(fs.rename(found[0].getPath(), t))
+
+
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], files: int | None = None) -> list[str]:
     """Replace exactly the partitions present in ``df`` under a partitioned dataset.
 
@@ -117,8 +134,8 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def export_single(df: DataFrame, path: str, delimiter: str = ",", header: bool = True) -> str:
-    """Single-file export (B5). One task writes it: meant for small results."""
-    write_delimited(df.coalesce(1), path, delimiter=delimiter, header=header)
+    """Single-file export (B5). One task writes it, after the upstream ran in parallel: meant for small results."""
+    write_delimited(df.repartition(1), path, delimiter=delimiter, header=header)
     return path
 
 

@@ -52,28 +52,26 @@ def read_fixed_width(spark: SparkSession, path: str,
 
 def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",",
                       quote: str = '"', escape: str = "\\", header: bool = True, null_value: str = "",
-                      date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
+                      date_format: str = "yyyy-MM-dd", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Scan keeping malformed rows on a reject output (A3).
 
-    The file is read as lines and each line parsed with ``from_csv`` in
-    PERMISSIVE mode with a corrupt-record column.  Parsing every line as a
-    whole keeps the malformed-row test exact whatever columns a consumer
-    selects (a CSV scan would prune unread columns and miss their errors).
-    Returns (good rows in ``schema``, rejects with the raw line in
-    ``raw_record``).  Records spanning several lines are not supported here.
+    Spark's CSV scan in PERMISSIVE mode with a corrupt-record column.  Both
+    outputs refer to every column, so every field is parsed, and the
+    malformed-row test exact, whatever columns a consumer selects.  ``header`` drops the first line of each
+    file and no other.  ``multi_line`` reads quoted records that span lines; such
+    files cannot be split, one task reads each.  Returns (good rows in
+    ``schema``, rejects with the raw record in ``raw_record``).
     """
     fields = [f for f in schema.fields if f.name != CORRUPT_COL]
     full = T.StructType(fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])
-    opts = {"sep": delimiter, "quote": quote, "escape": escape, "nullValue": null_value,
-            "dateFormat": date_format, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
-    lines = spark.read.text(path)
-    if header:
-        first = lines.limit(1).collect()
-        if first:
-            lines = lines.filter(F.col("value") != F.lit(first[0][0]))
-    parsed = lines.select(F.from_csv(F.col("value"), full.simpleString(), opts).alias("_r")).select("_r.*")
-    good = parsed.filter(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL)
-    bad = parsed.filter(F.col(CORRUPT_COL).isNotNull()).withColumnRenamed(CORRUPT_COL, "raw_record")
+    parsed = (spark.read.schema(full).option("sep", delimiter).option("quote", quote).option("escape", escape)
+              .option("nullValue", null_value).option("dateFormat", date_format).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT_COL).option("header", str(header).lower())
+              .option("multiLine", str(multi_line).lower()).csv(path))
+    # always true, but the scan cannot leave out the columns of an expression
+    every = F.length(F.substring(F.concat_ws("", *[F.col(f.name).cast("string") for f in fields]), 1, 0)) == 0
+    good = parsed.filter(F.col(CORRUPT_COL).isNull() & every).drop(CORRUPT_COL)
+    bad = parsed.filter(F.col(CORRUPT_COL).isNotNull() & every).withColumnRenamed(CORRUPT_COL, "raw_record")
     return good, bad
 
 

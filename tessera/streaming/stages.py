@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.merge import touching
 from tessera.operators.ordering import funnel
 from tessera.sinks.files import path_exists, replace_partitions, write_dataset
 
@@ -76,8 +77,7 @@ def merge_latest(spark: SparkSession, target_path: str, batch: DataFrame, keys:
     current = spark.read.parquet(target_path)
     batch = batch.select(*current.columns)
     if partition_by:
-        touched = batch.select(*partition_by).distinct()
-        current = current.join(touched, list(partition_by), "left_semi")
+        current = touching(current, batch, partition_by)
         replace_partitions(latest_by_key(current.unionByName(batch), keys, order_col), target_path, partition_by)
     else:
         write_dataset(latest_by_key(current.unionByName(batch), keys, order_col), target_path)

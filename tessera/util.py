@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Default cap for an explicit broadcast hint. Spark's own automatic threshold is
-# 10 MB; lookups are hinted up to this size after checking the plan estimate.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+# Cap for an explicit broadcast hint: Spark's own automatic threshold.  The estimate is
+# of the compressed files, and the rows in memory can be several times larger.
+DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 
 
 def estimated_size_bytes(df: DataFrame) -> int | None:

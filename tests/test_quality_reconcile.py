@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,9 @@ def test_compare_counts_sums_schemas_rows(spark):
     c = reconcile.compare_counts(a, b).first()
     assert (c.source_count, c.target_count, c.counts_match) == (2, 2, True)
     s = reconcile.compare_sums(a, b, ["x"]).first()
-    assert str(s.source_sum) == "3.75" and str(s.target_sum) == "10.25" and not s.sums_match
+    assert s.source_sum == Decimal("3.75") and s.target_sum == Decimal("10.25") and not s.sums_match
+    third = spark.createDataFrame([(1, 0.004)] * 3, "k int, x double")  # not rounded before adding
+    assert reconcile.compare_sums(third, third, ["x"]).first().source_sum == Decimal("0.012")
     assert reconcile.compare_schemas(a, b.withColumnRenamed("x", "y")) == [("x", "double", None),
                                                                            ("y", None, "double")]
     keyed = rows(reconcile.compare_rows(a, b, ["k"]))
