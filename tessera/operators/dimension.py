@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.functions.basic import row_hash  # noqa: F401  (re-exported, H13)
 from tessera.operators import numbering
 from tessera.operators.merge import one_per_key
+from tessera.session import ensure_checkpoint_dir
 
 
 def _differs(a: str, b: str, cols: Sequence[str]) -> Column:
@@ -109,7 +110,9 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
              .when(has_cur & ~has_src, F.lit("D") if track_deletes else F.lit("C"))
              .when(has_cur & has_src & changed, "U")
              .when(has_cur & has_src, "C"))
-    j = j.withColumn("_ct", ctype)
+    # the joined change set is written once; old rows, new versions and change types all read it
+    ensure_checkpoint_dir(dim.sparkSession)
+    j = j.withColumn("_ct", ctype).checkpoint(eager=False)
 
     old = j.filter(has_cur).select(
         *[(F.when(F.col("_ct").isin("U", "D"), ts).otherwise(F.col(f"_cur.{c}")) if c == end_col else

@@ -72,6 +72,22 @@ def parse_files(files: DataFrame) -> dict[str, DataFrame]:
             "stage_types": type_counts}
 
 
+def job_schemas(files: DataFrame) -> DataFrame:
+    """(path, job_columns, job_params): what the migration rubric needs of each job file.
+
+    Distinct column names and all parameter names, sorted; empty arrays where a
+    file has none.
+    """
+    t = parse_files(files)
+    columns = t["columns"].filter(F.col("column_name").isNotNull()).groupBy("path").agg(
+        F.array_sort(F.collect_set("column_name")).alias("job_columns"))
+    params = t["params"].filter(F.col("param_name").isNotNull()).groupBy("path").agg(
+        F.array_sort(F.collect_list("param_name")).alias("job_params"))
+    none = F.array().cast("array<string>")
+    return (files.select("path").join(columns, "path", "left").join(params, "path", "left")
+            .select("path", F.coalesce("job_columns", none).alias("job_columns"), F.coalesce("job_params", none).alias("job_params")))
+
+
 def job_inventory(spark: SparkSession, path_glob: str) -> dict[str, DataFrame]:
     """Inventory of every job file matching ``path_glob``."""
     return parse_files(read_whole_files(spark, path_glob))

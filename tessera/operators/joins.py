@@ -30,8 +30,8 @@ def _hinted(df: DataFrame, hint: str | None) -> DataFrame:
         return df
     if hint not in _HINTS:
         raise ValueError(f"unknown join hint {hint}")
-    if hint == "broadcast":
-        return F.broadcast(df)
+    if hint == "broadcast":  # only below the checked size; Spark chooses beyond it
+        return F.broadcast(df) if fits_broadcast(df) else df
     return df.hint("merge" if hint == "shuffle_merge" else hint)
 
 
@@ -129,7 +129,7 @@ def lookup(main: DataFrame, ref: DataFrame, keys: KeySpec, cols: Sequence[str] |
         r = (r.groupBy(*main_keys).agg(F.min(F.struct(*cols)).alias("_v"))
              .select(*main_keys, *[F.col(f"_v.{c}").alias(c) for c in cols]))
     r = r.withColumn(flag, F.lit(True))
-    use_bc = broadcast is True or (broadcast == "auto" and fits_broadcast(r))
+    use_bc = broadcast in (True, "auto") and fits_broadcast(r)
     if use_bc:
         r = F.broadcast(r)
     main_keys = [lk for lk, _ in pairs]
@@ -157,13 +157,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_share: float = 0.01) -> Dat
     """Keys holding at least ``min_share`` of the rows.
 
     At most 1/min_share keys can qualify, so the result has a proven size
-    bound and may be broadcast.  Costs one aggregate and one row count.
+    bound and may be broadcast.  Costs one aggregate and one row count, both
+    inside the plan.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be in (0, 1]")
-    total = df.count()
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") >= F.lit(max(1, int(total * min_share)))).select(*keys))
+            .filter(F.col("_n") >= F.greatest(F.lit(1), F.floor(total * F.lit(min_share)))).select(*keys))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
@@ -171,26 +172,25 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
                 hot: DataFrame | None = None) -> DataFrame:
     """Join with a salted hot side.
 
-    The left (skewed) side gets a deterministic salt from a hash of
-    ``salt_keys`` (default: all its columns) and the right side is replicated
-    over the salts; join on key + salt, so the rows of a hot key are spread
-    over ``salts`` tasks.  With ``hot`` (a frame of key values, e.g. from
-    ``hot_keys``, broadcast because its size is bounded) only those keys are
-    salted and replicated; every other key keeps salt 0 and is joined once.
-    Exact for inner and left joins (left is the preserved side).
+    Rows of hot keys on the left (skewed) side get a salt from a hash of
+    ``salt_keys`` (default: their place in the input, so that equal rows spread
+    too) and the right rows of those keys are replicated over the salts; join on
+    key + salt, so a hot key is spread over ``salts`` tasks.  Every other key
+    keeps salt 0 and is joined once.  ``hot`` is a frame of key values; by
+    default the keys with at least 1/(4 * salts) of the left rows, at most
+    4 * salts of them.  It is broadcast below the checked size, joined beyond
+    it.  Exact for inner and left joins (left is the preserved side).
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError("salting is exact only when the salted side is the preserved side")
-    sk = list(salt_keys) if salt_keys else left.columns
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in sk]), F.lit(salts)).cast("int")
+    spread = F.xxhash64(*[F.col(c) for c in salt_keys]) if salt_keys else F.xxhash64(F.monotonically_increasing_id())
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    if hot is None:
-        l2 = left.withColumn("_salt", salt)
-        r2 = right.withColumn("_salt", F.explode(every))
-    else:
-        h = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
-        l2 = left.join(h, list(keys), "left").withColumn(
-            "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-        r2 = right.join(h, list(keys), "left").withColumn(
-            "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    bounded = hot is None
+    h = (hot_keys(left, keys, 1.0 / (4 * salts)) if bounded else hot.select(*keys).distinct()).withColumn("_hot", F.lit(True))
+    if bounded or fits_broadcast(h):
+        h = F.broadcast(h)
+    l2 = (left.withColumn("_spread", F.pmod(spread, F.lit(salts)).cast("int")).join(h, list(keys), "left")
+          .withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0))).drop("_hot", "_spread"))
+    r2 = right.join(h, list(keys), "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return l2.join(r2, [*keys, "_salt"], how).drop("_salt")

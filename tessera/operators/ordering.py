@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import numbering
+from tessera.util import fits_broadcast
 
 SortKey = str | tuple[str | Column, str] | Column
 
@@ -166,5 +167,7 @@ def repartition_stage(df: DataFrame, method: str, n: int | None = None,
     if m in ("round_robin", "roundrobin"):
         return df.repartition(n)
     if m == "entire":
+        if not fits_broadcast(df):
+            raise ValueError("entire gives every task a full copy: the input is not known to be small enough")
         return F.broadcast(df)
     raise ValueError(method)

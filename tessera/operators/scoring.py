@@ -72,9 +72,11 @@ COMPONENT_PURPOSE = ["propósito", "purpose", "qué hace", "what"]
 COMPONENT_EQUIVALENT = ["pyspark", "spark", "equivalent", "equivalente"]
 STEP_WORDS = ["paso", "step", "primero", "first"]
 EXPRESSION_SOURCE = ["DataStage", "BASIC", "expression"]
+SIMPLE_EXPRESSION_SOURCE = "DataStage"
 EXPRESSION_TARGET = ["PySpark", "Spark", "F."]
 LIST_MARKS = ["- ", "* ", "1."]
-DELTA_ADVANCED = ["OPTIMIZE", "merge"]
+DELTA_OPTIMIZE = "OPTIMIZE"
+DELTA_MERGE = "merge"
 NOTEBOOK_HEADER = "# Databricks notebook source"
 NOTEBOOK_CELL_MARKS = ["# MAGIC %md", "# COMMAND"]
 WIDGETS = "dbutils.widgets"
@@ -85,8 +87,11 @@ SIMPLE_CODE_MARKS = ["```python", "F.", "spark.", "df."]
 SIMPLE_STAGE_WORDS = ["read", "transform", "write", "validate"]
 SIMPLE_PURPOSE = ["purpose", "propósito", "qué hace"]
 SIMPLE_SPARK = ["pyspark", "spark"]
-PARTITION_MARKS = ["partitionBy", "repartition", "coalesce"]
-READ_MARKS = ["spark.read", "spark.table"]
+PARTITION_WRITE_MARK = "partitionBy"
+PARTITION_TUNING_MARKS = ["repartition", "coalesce"]
+READ_FILES_MARK = "spark.read"
+READ_TABLE_MARK = "spark.table"
+READ_MARKS = [READ_FILES_MARK, READ_TABLE_MARK]
 WRITE_MARK = ".write."
 DF_MARK = "df."
 READ_RX = r"spark\.read|spark\.table"
@@ -157,7 +162,7 @@ def code_features(code: Column) -> dict[str, Column]:
     practices = F.array_compact(F.array(
         F.when(has_any(code, WRITE_MODE_MARKS), F.lit("explicit_write_mode")),
         F.when(has(code, HEADER_OPTION), F.lit("csv_headers")),
-        F.when(has(code, PARTITION_MARKS[0]), F.lit("partitioning")),
+        F.when(has(code, PARTITION_WRITE_MARK), F.lit("partitioning")),
         F.when(has(code, "OPTIMIZE"), F.lit("optimization")),
         F.when(has_any(code, NOTEBOOK_CELL_MARKS), F.lit("notebook_structure"))))
     return {
@@ -214,7 +219,7 @@ def _coherence(code: Column, has_code: Column) -> Column:
     has_read = code.rlike(READ_RX)
     has_tr = code.rlike(FLOW_TRANSFORM_RX)
     has_wr = code.rlike(WRITE_RX)
-    read_pos = F.when(has(code, READ_MARKS[0]), F.instr(code, READ_MARKS[0])).otherwise(F.instr(code, READ_MARKS[1]))
+    read_pos = F.when(has(code, READ_FILES_MARK), F.instr(code, READ_FILES_MARK)).otherwise(F.instr(code, READ_TABLE_MARK))
     order_bonus = F.when(has_read & has_tr & has_wr & (read_pos < F.instr(code, WRITE_MARK)), 0.1).otherwise(0.0)
     undefined = F.array_except(F.array_except(distinct_matches(code, DF_USAGE), distinct_matches(code, ASSIGNMENT)),
                                F.array(*[F.lit(g) for g in GLOBAL_NAMES]))
@@ -233,10 +238,15 @@ def _coherence(code: Column, has_code: Column) -> Column:
     return F.when(~has_code, F.lit(0.8)).otherwise(F.greatest(s, F.lit(0.0)))
 
 
-def rubric(text: Column, blocks: Column, code: Column, nvalid: Column | None = None) -> Column:
+def rubric(text: Column, blocks: Column, code: Column, nvalid: Column | None = None,
+           job_columns: Column | None = None, job_params: Column | None = None) -> Column:
     """Eleven-part migration rubric (40/30/20/10) as a struct of part scores.
 
     ``nvalid`` is the number of blocks that parse; computed here when not given.
+    ``job_columns`` and ``job_params`` (arrays; null where a case has no job
+    file, see ``inventory.job_schemas``) switch two parts to the file: schema
+    fidelity becomes the share of its columns that the code names, parameters
+    the share of its parameters that the code names.
     """
     feats = code_features(code)
     any_code = F.size(blocks) > 0
@@ -248,16 +258,24 @@ def rubric(text: Column, blocks: Column, code: Column, nvalid: Column | None = N
     ncols = F.size(feats["columns"])
     schema = F.when(nonempty & (ncols >= 5), 0.15).when(nonempty & (ncols >= 3), 0.10).otherwise(0.0)
     cl = F.lower(code)
+    if job_columns is not None:
+        named = F.size(F.array_intersect(job_columns, feats["columns"]))
+        of_file = F.when(F.size(job_columns) > 0, named / F.size(job_columns) * 0.15).otherwise(0.0)
+        schema = F.when(job_columns.isNotNull() & nonempty, of_file).otherwise(schema)
     ngroups = reduce(lambda a, b: a + b, [F.when(has_any(cl, g), 1).otherwise(0) for g in TRANSFORM_GROUPS])
     transforms = ngroups / F.lit(len(TRANSFORM_GROUPS)) * 0.15
     nstages = (feats["has_read"].cast("int") + feats["has_transforms"].cast("int") + feats["has_write"].cast("int"))
     stages = F.when(nonempty, nstages / F.lit(3.0) * 0.15).otherwise(0.0)
     params = F.when(has(code, WIDGETS), 0.07).otherwise(0.0)
+    if job_params is not None:
+        named = F.size(F.filter(job_params, lambda p: F.instr(cl, F.lower(p)) > 0))
+        params = F.when(has(code, WIDGETS) & (F.coalesce(F.size(job_params), F.lit(0)) > 0),
+                        named / F.size(job_params) * 0.10).otherwise(params)
     validations = F.when(nonempty & feats["has_validation"], 0.05).otherwise(0.0)
     delta = F.when(nonempty & feats["has_delta"],
-                   F.when(has(code, DELTA_ADVANCED[0]) | has(cl, DELTA_ADVANCED[1]), 0.08).otherwise(0.05)).otherwise(0.0)
-    partitioning = F.when(has(code, PARTITION_MARKS[0]), 0.06) \
-        .when(has_any(code, PARTITION_MARKS[1:]), 0.03).otherwise(0.0)
+                   F.when(has(code, DELTA_OPTIMIZE) | has(cl, DELTA_MERGE), 0.08).otherwise(0.05)).otherwise(0.0)
+    partitioning = F.when(has(code, PARTITION_WRITE_MARK), 0.06) \
+        .when(has_any(code, PARTITION_TUNING_MARKS), 0.03).otherwise(0.0)
     nerr = count_present(cl, ERROR_PATTERNS)
     errors = F.when(nerr >= 2, 0.06).when(nerr == 1, 0.03).otherwise(0.0)
     ndoc = count_present(text, DOC_MARKS)
@@ -289,7 +307,10 @@ def _category_specific(text: Column, cat: Column, min_len: Column, rub: Column)
 
 def score_responses(responses: DataFrame, cases: DataFrame, system_prompt: bool = True,
                     text_col: str = "text", id_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per (model, test_id): seven metrics, overall, rubric parts, band."""
+    """One row per (model, test_id): seven metrics, overall, rubric parts, band.
+
+    Cases that name a job file carry its ``job_columns`` and ``job_params``.
+    """
     c = cases if not fits_broadcast(cases) else F.broadcast(cases)
     j = responses.join(c, "test_id", "inner")
     text = F.col(text_col)
@@ -314,7 +335,8 @@ def score_responses(responses: DataFrame, cases: DataFrame, system_prompt: bool
     is_mig = F.col("category") == "full_migration"
     # Python parses code blocks of migration cases only; other rows pass null
     j = j.withColumn("_nvalid", valid_python_blocks(F.when(is_mig & has_code, F.col("_blocks"))))
-    j = j.withColumn("migration_details", F.when(is_mig, rubric(text, F.col("_blocks"), code, F.col("_nvalid"))))
+    j = j.withColumn("migration_details", F.when(is_mig, rubric(
+        text, F.col("_blocks"), code, F.col("_nvalid"), *[F.col(c) for c in ("job_columns", "job_params") if c in j.columns])))
     j = j.withColumn("category_specific", _category_specific(text, F.col("category"), F.col("min_length"),
                                                              F.col("migration_details")))
     overall = reduce(lambda a, b: a + b, [F.col(k) * F.lit(w) for k, w in WEIGHTS.items()])
@@ -401,7 +423,7 @@ def simple_scores(responses: DataFrame, cases: DataFrame, text_col: str = "text"
         "well_structured": F.when(headers & (F.length(text) > 200), 1.0).when(headers, 0.5).otherwise(0.0),
         "category_specific": (
             F.when(cat == "expression_translation",
-                   F.when(has(text, EXPRESSION_SOURCE[0]) & has(text, EXPRESSION_TARGET[0]), 1.0).otherwise(0.0))
+                   F.when(has(text, SIMPLE_EXPRESSION_SOURCE) & has(text, EXPRESSION_TARGET[0]), 1.0).otherwise(0.0))
             .when(cat == "full_migration", stages / F.lit(4.0))
             .when(cat == "pattern_explanation",
                   F.when(has(text, FENCE) & (F.length(text) > 300), 1.0).otherwise(0.5))

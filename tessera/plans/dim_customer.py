@@ -23,10 +23,18 @@ def run(spark: SparkSession, sf_dir: str, run_ts: str = fixtures.RUN_TS) -> dict
     dim = fixtures.dim_customer(spark, sf_dir)
     src = fixtures.source_customers(spark, sf_dir)
     res = dimension.scd2(dim, src, KEYS, COMPARE, run_ts)
-    res["change_counts"] = res["changes"].groupBy("change_type").agg(F.count(F.lit(1)).alias("records"))
-    current = dim.filter(F.col("IsCurrent") == 1)
-    res["capture"] = dimension.change_capture(current, src, KEYS, COMPARE)
-    return res
+    return res | {"change_counts": change_counts(spark, sf_dir), "capture": capture(spark, sf_dir)}
+
+
+def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current rows against the source, by key; no numbering."""
+    current = fixtures.dim_customer(spark, sf_dir).filter(F.col("IsCurrent") == 1)
+    return dimension.change_capture(current, fixtures.source_customers(spark, sf_dir), KEYS, COMPARE)
+
+
+def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per change type; one join and one aggregate."""
+    return capture(spark, sf_dir).groupBy("change_type").agg(F.count(F.lit(1)).alias("records"))
 
 
 _ATTRS_SQL = """

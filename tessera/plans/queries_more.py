@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import dimension, layout, matching, merge, ordering, reconcile
+from tessera.operators import dimension, inventory, layout, matching, merge, ordering, reconcile, scoring
 from tessera.plans import fixtures, queries_ops
 from tessera.plans.catalog import register
 from tessera.session import scratch_path
@@ -299,3 +299,64 @@ def _partitioning(spark, d):
 
 
 register("s13_partitioning", "SELECT o_orderkey, true AS in_its_partition, true AS ranges_apart FROM orders")(_partitioning)
+
+
+# ------------------------------------------------------------------ job files
+
+def _job_files(spark, d):
+    """One XML job per supplier: 1 + key % 7 columns over 1 + key % 5 stages, 1 + key % 3 parameters."""
+    k = F.col("s_suppkey").cast("int")
+    column = lambda i: F.concat(F.lit('<Column Name="col_'), i.cast("string"), F.lit('" SqlType="VarChar" Length="20"/>'))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Transformer", "Aggregator", "Pivot")]), (k % 3 + 1).cast("int"))
+    stage = lambda i: F.concat(
+        F.lit('<Record Type="CustomStage"><Property Name="Name">stage_'), i.cast("string"),
+        F.lit('</Property><Property Name="StageType">'), kind, F.lit("</Property>"),
+        F.when(i == 0, F.array_join(F.transform(F.sequence(F.lit(0), k % 7), column), "")).otherwise(F.lit("")), F.lit("</Record>"))
+    param = lambda i: F.concat(F.lit('<Parameter><Property Name="Name">Param_'), i.cast("string"), F.lit("</Property></Parameter>"))
+    body = F.concat(F.lit('<DSExport><Job Identifier="job_'), k.cast("string"), F.lit('">'),
+                    F.array_join(F.transform(F.sequence(F.lit(0), k % 5), stage), "\n"),
+                    F.array_join(F.transform(F.sequence(F.lit(0), k % 3), param), "\n"), F.lit("</Job></DSExport>"))
+    return TB(spark, d, "supplier").select(F.concat(F.lit("job_"), k.cast("string")).alias("path"), body.alias("body"))
+
+
+def _inventory(spark, d):
+    t = inventory.parse_files(_job_files(spark, d))
+    columns = t["columns"].groupBy("path").agg(F.count(F.lit(1)).alias("columns"))
+    params = t["params"].groupBy("path").agg(F.count(F.lit(1)).alias("params"))
+    return (t["jobs"].join(columns, "path").join(params, "path")
+            .select("path", "job_name", F.col("stage_count").cast("long").alias("stage_count"), "complexity", "columns", "params"))
+
+
+register("u3_job_inventory", """
+SELECT 'job_' || s_suppkey AS path, 'job_' || s_suppkey AS job_name, CAST(s_suppkey % 5 + 1 AS BIGINT) AS stage_count,
+       CASE WHEN s_suppkey % 3 = 2 THEN 'High' WHEN s_suppkey % 5 + 1 > 3 THEN 'Medium' ELSE 'Low' END AS complexity,
+       CAST(s_suppkey % 7 + 1 AS BIGINT) AS columns, CAST(s_suppkey % 3 + 1 AS BIGINT) AS params
+FROM supplier
+""")(_inventory)
+
+
+def _rubric_with_files(spark, d):
+    """A generated answer per supplier, scored against the supplier's job file; every eleventh has none."""
+    k = F.col("s_suppkey").cast("int")
+    reads = F.array_join(F.transform(F.sequence(F.lit(0), k % 4), lambda i: F.concat(
+        F.lit("df = df.withColumn('col_"), i.cast("string"), F.lit("', F.lit(1))\n"))), "")
+    widgets = F.when(k % 5 != 0, F.array_join(F.transform(F.sequence(F.lit(0), k % 2), lambda i: F.concat(
+        F.lit("dbutils.widgets.get(names.PARAM_"), i.cast("string"), F.lit(")\n"))), "")).otherwise(F.lit(""))
+    code = F.concat(reads, widgets)
+    answers = TB(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("job_"), k.cast("string")).alias("path"), code.alias("code"))
+    schemas = inventory.job_schemas(_job_files(spark, d)).filter(F.split_part("path", F.lit("_"), F.lit(2)).cast("int") % 11 != 0)
+    j = answers.join(schemas, "path", "left")
+    parts = scoring.rubric(F.col("code"), F.array("code"), F.col("code"), F.lit(1), F.col("job_columns"), F.col("job_params"))
+    return j.select("s_suppkey", parts.alias("r")).select(
+        "s_suppkey", F.round(F.col(f"r.{scoring.RUBRIC_PARTS[1]}"), 6).alias("schema_fidelity"),
+        F.round(F.col(f"r.{scoring.RUBRIC_PARTS[4]}"), 6).alias("parameters"))
+
+
+register("x7_rubric_with_job_file", """
+WITH s AS (SELECT s_suppkey, s_suppkey % 4 + 1 AS used, s_suppkey % 7 + 1 AS cols, s_suppkey % 2 + 1 AS named,
+                  s_suppkey % 3 + 1 AS params, s_suppkey % 5 <> 0 AS widgets, s_suppkey % 11 <> 0 AS file FROM supplier)
+SELECT s_suppkey, round(CASE WHEN file THEN CAST(least(used, cols) AS DOUBLE) / cols * 0.15
+                             WHEN used >= 5 THEN 0.15 WHEN used >= 3 THEN 0.10 ELSE 0.0 END, 6) AS schema_fidelity,
+       round(CASE WHEN NOT widgets THEN 0.0 WHEN file THEN CAST(least(named, params) AS DOUBLE) / params * 0.10 ELSE 0.07 END, 6) AS parameters
+FROM s
+""")(_rubric_with_files)

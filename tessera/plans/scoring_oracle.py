@@ -9,17 +9,20 @@ form -- the oracle knows which generated block is the broken one ('if (').
 
 from __future__ import annotations
 
-from tessera.operators.scoring import (BEST_PRACTICE_TERMS, BULLET_MARKS, CATEGORIES, CODE_SIGNALS,
-                                       COMPONENT_EQUIVALENT, COMPONENT_PURPOSE, COMPONENTS, CONTRADICTIONS, DELTA_ADVANCED,
-                                       DF_MARK, DOC_MARKS, ERROR_PATTERNS, EXAMPLE_MARK, EXPLANATION_MARKS,
-                                       EXPRESSION_SOURCE, EXPRESSION_TARGET, FENCE, FLOW_TRANSFORM_RX, GLOBAL_NAMES,
-                                       HEADER_MARKS, INCOMPLETE_MARKS, INVALID_API_PATTERNS, KNOWLEDGE_CONCEPTS,
-                                       KNOWLEDGE_PATTERNS, LIST_MARKS, MIGRATION_CODE_MARKS, MIGRATION_QUERY_MARKS,
-                                       MIGRATION_STAGE_WORDS, NOTEBOOK_CELL_MARKS, NOTEBOOK_HEADER, OPT_KEYWORDS,
-                                       OPTIMIZATION_TERMS, PARTITION_MARKS, PATTERN_TERMS, READ_MARKS, READ_RX, RUBRIC_PARTS,
-                                       SIMPLE_CODE_MARKS, SIMPLE_PURPOSE, SIMPLE_SPARK, SIMPLE_STAGE_WORDS, SOLUTION_MARK,
-                                       SOURCE_TOOL_TERMS, SPARK_TERMS, STEP_WORDS, TRANSFORM_GROUPS, TRANSFORM_RX,
-                                       TROUBLE_MARKS, VALIDATION_RX, WEIGHTS, WIDGETS, WRITE_MARK, WRITE_RX)
+from tessera.operators.scoring import (BEST_PRACTICE_TERMS, BULLET_MARKS, CATEGORIES, CODE_SIGNALS, COMPONENTS,
+                                       COMPONENT_EQUIVALENT, COMPONENT_PURPOSE, CONTRADICTIONS, DELTA_MERGE,
+                                       DELTA_OPTIMIZE, DF_MARK, DOC_MARKS, ERROR_PATTERNS, EXAMPLE_MARK,
+                                       EXPLANATION_MARKS, EXPRESSION_SOURCE, EXPRESSION_TARGET, FENCE,
+                                       FLOW_TRANSFORM_RX, GLOBAL_NAMES, HEADER_MARKS, INCOMPLETE_MARKS,
+                                       INVALID_API_PATTERNS, KNOWLEDGE_CONCEPTS, KNOWLEDGE_PATTERNS, LIST_MARKS,
+                                       MIGRATION_CODE_MARKS, MIGRATION_QUERY_MARKS, MIGRATION_STAGE_WORDS,
+                                       NOTEBOOK_CELL_MARKS, NOTEBOOK_HEADER, OPTIMIZATION_TERMS, OPT_KEYWORDS,
+                                       PARTITION_TUNING_MARKS, PARTITION_WRITE_MARK, PATTERN_TERMS, READ_FILES_MARK,
+                                       READ_RX, READ_TABLE_MARK, RUBRIC_PARTS, SIMPLE_CODE_MARKS,
+                                       SIMPLE_EXPRESSION_SOURCE, SIMPLE_PURPOSE, SIMPLE_SPARK, SIMPLE_STAGE_WORDS,
+                                       SOLUTION_MARK, SOURCE_TOOL_TERMS, SPARK_TERMS, STEP_WORDS, TRANSFORM_GROUPS,
+                                       TRANSFORM_RX, TROUBLE_MARKS, VALIDATION_RX, WEIGHTS, WIDGETS, WRITE_MARK,
+                                       WRITE_RX)
 
 
 def lit(s: str) -> str:
@@ -154,8 +157,8 @@ def _metrics_sql() -> str:
     has_read = rx("code", READ_RX)
     has_tr = rx("code", FLOW_TRANSFORM_RX)
     has_wr = rx("code", WRITE_RX)
-    read_pos = (f"(CASE WHEN {has('code', READ_MARKS[0])} THEN instr(code, {lit(READ_MARKS[0])}) "
-                f"ELSE instr(code, {lit(READ_MARKS[1])}) END)")
+    read_pos = (f"(CASE WHEN {has('code', READ_FILES_MARK)} THEN instr(code, {lit(READ_FILES_MARK)}) "
+                f"ELSE instr(code, {lit(READ_TABLE_MARK)}) END)")
     bonus = when(f"{has_read} AND {has_tr} AND {has_wr} AND {read_pos} < instr(code, {lit(WRITE_MARK)})", d(0.1), d(0.0))
     dcols = r"list_distinct(regexp_extract_all(code, 'withColumn\([''\"]([^''\"]+)[''\"]', 1))"
     ucols = r"list_distinct(regexp_extract_all(code, 'F\.col\([''\"]([^''\"]+)[''\"]', 1))"
@@ -187,9 +190,9 @@ def _rubric_sql() -> str:
     params = when(has("code", WIDGETS), d(0.07), d(0.0))
     validation = when(f"{nonempty} AND {rx('code', VALIDATION_RX)}", d(0.05), d(0.0))
     delta = when(f"{nonempty} AND contains(lower(code), 'delta')",
-                 when(f"{has('code', DELTA_ADVANCED[0])} OR {has('lower(code)', DELTA_ADVANCED[1])}", d(0.08), d(0.05)),
+                 when(f"{has('code', DELTA_OPTIMIZE)} OR {has('lower(code)', DELTA_MERGE)}", d(0.08), d(0.05)),
                  d(0.0))
-    part = (f"(CASE WHEN {has('code', PARTITION_MARKS[0])} THEN {d(0.06)} WHEN {has_any('code', PARTITION_MARKS[1:])} "
+    part = (f"(CASE WHEN {has('code', PARTITION_WRITE_MARK)} THEN {d(0.06)} WHEN {has_any('code', PARTITION_TUNING_MARKS)} "
             f"THEN {d(0.03)} ELSE {d(0.0)} END)")
     nerr = count_present("lower(code)", ERROR_PATTERNS)
     errs = f"(CASE WHEN {nerr} >= 2 THEN {d(0.06)} WHEN {nerr} = 1 THEN {d(0.03)} ELSE {d(0.0)} END)"
@@ -268,7 +271,7 @@ def _simple_cte() -> str:
     ws = f"(CASE WHEN {hdr} AND length(text) > 200 THEN {d(1.0)} WHEN {hdr} THEN {d(0.5)} ELSE {d(0.0)} END)"
     stages = count_present("tl", SIMPLE_STAGE_WORDS)
     cat = (f"(CASE category WHEN 'expression_translation' THEN "
-           f"{when(has('text', EXPRESSION_SOURCE[0]) + ' AND ' + has('text', EXPRESSION_TARGET[0]), d(1.0), d(0.0))} "
+           f"{when(has('text', SIMPLE_EXPRESSION_SOURCE) + ' AND ' + has('text', EXPRESSION_TARGET[0]), d(1.0), d(0.0))} "
            f"WHEN 'full_migration' THEN {stages} / {d(4.0)} "
            f"WHEN 'pattern_explanation' THEN {when(has('text', FENCE) + ' AND length(text) > 300', d(1.0), d(0.5))} "
            f"ELSE {when(has_any('tl', SIMPLE_PURPOSE) + ' AND ' + has_any('tl', SIMPLE_SPARK), d(1.0), d(0.5))} END)")

@@ -102,12 +102,29 @@ def reject_output(v: DataFrame, run_ts: str = fixtures.RUN_TS, source_file: str
 
 
 def run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"good": good(spark, sf_dir), "rejects": rejects(spark, sf_dir), "error_counts": error_counts(spark, sf_dir)}
+
+
+def good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean transactions: one scan, no numbering."""
+    return good_output(validated(fixtures.transactions_raw(spark, sf_dir)))
+
+
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per error code: one scan and one aggregate."""
+    v = validated(fixtures.transactions_raw(spark, sf_dir))
+    return v.groupBy(F.col("svErrorCode").alias("ErrorCode")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected records with their input row number.
+
+    Only the order key of all rows is numbered; the numbers then meet the rejected rows.
+    """
     raw = fixtures.transactions_raw(spark, sf_dir)
-    numbered = quality.number_input(raw, ["_event_id"], "RowNumber")
-    v = validated(numbered)
-    return {"good": good_output(v), "rejects": reject_output(v),
-            "error_counts": v.groupBy(F.col("svErrorCode").alias("ErrorCode"))
-            .agg(F.count(F.lit(1)).alias("records"))}
+    numbers = quality.number_input(raw.select("_event_id"), ["_event_id"], "RowNumber")
+    bad = validated(raw).filter(F.col("svErrorCode") != "")
+    return reject_output(bad.join(numbers, "_event_id"))
 
 
 ORACLE_INPUT = """

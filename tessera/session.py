@@ -7,6 +7,8 @@ On a cluster the shared folder is the one the cluster names in
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -59,7 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf_dir
     if not _is_local(spark):
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    own = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # one process, one folder: nobody else reads it
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -67,3 +71,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch folders; call it when their frames have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-scratch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
