@@ -16,6 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_PER_BATCH = "1000"
+
+
+def text_rows(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The named columns of a table of texts, on their way to Python.
+
+    Spark's default of 10,000 rows in an Arrow batch is meant for narrow rows;
+    with whole texts one batch would take tens of MB in the JVM and again in
+    each Python worker.  Where the session names no batch size, 1,000 is set.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        spark.conf.set(ARROW_ROWS, TEXTS_PER_BATCH)
+    return docs.select(*columns)
+
+
 def task_count(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session names."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

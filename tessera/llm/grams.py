@@ -7,12 +7,15 @@ bucket (hash modulo the number of partitions) adds its bits to the 56 stored
 ones, so the compared hash has 56 + log2(partitions) bits and widens as the data
 and its partitions grow.
 
-A batch is closed at ``BATCH_WINDOWS`` windows; what a task holds is bounded by
-that and its longest document.
+A batch is closed at ``BATCH_WINDOWS`` windows, or at ``BLOB_ENTRIES`` per bucket
+if that is more, so that blobs stay large against their headers; what a task
+holds is bounded by that and its longest document.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-BATCH_WINDOWS = 2_000_000
-CACHE_WORDS = 1 << 19
+BATCH_WINDOWS = 500_000
+BLOB_ENTRIES = 200
+CACHE_WORDS = 1 << 17
 NO_ID = np.iinfo(np.int64).max  # a null id sorts after every id
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's fixed multipliers
@@ -162,8 +166,29 @@ def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, order[cuts[i]:cuts[i + 1]]
 
 
-def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
+def batch_limit(buckets: int) -> int:
+    return max(BATCH_WINDOWS, BLOB_ENTRIES * buckets)
+
+
+def releasing(run):
+    """Wraps a batch function: freed memory goes back to the system when its task ends.
+
+    Python workers stay between stages, and would keep their largest size beside the next one's JVM.
+    """
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+    return wrapped
+
+
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as bytes, a few at a time."""
+    for i in range(0, len(column), 256):
+        yield from column.slice(i, 256).cast(pa.binary()).to_pylist()
 
 
 def group_starts(*keys: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import grams as G
-from tessera.llm.common import stored, task_count
+from tessera.llm.common import stored, task_count, text_rows
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def _shared_payload(own: np.ndarray, tokens: np.ndarray, count: np.ndarray) -> b
 def _shingle_docs(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rolling = G.WordHashes(), G.Rolling(width)
-        task = TaskContext.get().partitionId() << 24
+        task, limit = TaskContext.get().partitionId() << 24, G.batch_limit(buckets)
         ids, keys, nodes, sizes, sets, n, made = [], [], [], [], {}, 0, 0
         for rb in batches:
             for i, k, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), G.texts_of(rb.column(2))):
@@ -134,7 +134,7 @@ def _shingle_docs(width: int, buckets: int):
                 if len(s) and node not in sets:
                     sets[node] = s
                     n += len(s)
-                if n >= G.BATCH_WINDOWS:
+                if n >= limit:
                     yield from _to_arrow(_batch_rows(task + made, ids, keys, nodes, sizes, sets, buckets))
                     ids, keys, nodes, sizes, sets, n, made = [], [], [], [], {}, 0, made + 1
         if ids:
@@ -219,10 +219,10 @@ def _classes(table: pa.Table) -> pa.Table:
 
 def classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, row_key, node (class), n (set size); one row per class and batch has its shared shingles."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    base = text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     k = task_count(docs.sparkSession)
-    blobs = base.mapInArrow(_shingle_docs(width, k), _BLOB)
-    counted = blobs.repartitionById(k, F.col("bucket")).mapInArrow(_count_classes, _BLOB)
+    blobs = base.mapInArrow(G.releasing(_shingle_docs(width, k)), _BLOB)
+    counted = blobs.repartitionById(k, F.col("bucket")).mapInArrow(G.releasing(_count_classes), _BLOB)
     return counted.groupBy("batch").applyInArrow(_classes, _CLASS)
 
 
@@ -303,7 +303,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             .filter(_bounded(F.col("nu"), F.col("pu"), F.col("nv"), F.col("pv"), num, den)))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
     both = once.join(side("v"), "v").join(side("u"), "u")
-    return both.select("u", "v", "nu", "nv", "hu", "hv").mapInArrow(_verify(num, den), "u binary, v binary, both bigint, linked boolean")
+    return both.select("u", "v", "nu", "nv", "hu", "hv").mapInArrow(
+        G.releasing(_verify(num, den)), "u binary, v binary, both bigint, linked boolean")
 
 
 def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -316,7 +317,7 @@ def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     num, den = similarity
     spark = sets.sparkSession
     tokens = stored(sets.select("node", "n", "hashes").mapInArrow(
-        _prefix_rows(num, den), "token bigint, node binary, n bigint, pos bigint, idx boolean, alone bigint"), "jaccard-tokens")
+        G.releasing(_prefix_rows(num, den)), "token bigint, node binary, n bigint, pos bigint, idx boolean, alone bigint"), "jaccard-tokens")
     # the hub is the class with the fewest rare shingles before the token: the one nearest to the others
     hubs = (tokens.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"),
                                         F.count(F.lit(1)).alias("c"))

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.grams import texts_of
+from tessera.llm.common import text_rows
+from tessera.llm.grams import releasing, texts_of
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -220,6 +221,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
     """
     run = _scanner(TEMPLATES if templates is None else templates, BASE if base is None else base,
                    min_match, max_gap, coverage)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
+    return text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        releasing(run), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
              "labels string, score double, spans array<struct<label:string,start:int,end:int,coverage:double>>")

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, task_count
-from tessera.llm.grams import group_starts, texts_of
+from tessera.llm.common import stored, task_count, text_rows
+from tessera.llm.grams import group_starts, releasing, texts_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -87,11 +87,11 @@ def _stream(min_docs: int):
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, row_key, dropped): line positions (from 0) to drop, for rows that have any."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    entries = stored(base.mapInArrow(_line_keys(min_chars), _ENTRY), "line-entries")
+    base = text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    entries = stored(base.mapInArrow(releasing(_line_keys(min_chars)), _ENTRY), "line-entries")
     ranged = (entries.repartitionByRange(task_count(docs.sparkSession), "hi", "lo", "doc")
               .sortWithinPartitions("hi", "lo", "doc", "row_key"))
-    decided = stored(ranged.mapInArrow(_stream(min_docs), _DECIDED), "line-decided")
+    decided = stored(ranged.mapInArrow(releasing(_stream(min_docs)), _DECIDED), "line-decided")
     summary = (decided.filter(F.col("state") == _SUMMARY).groupBy("hi", "lo")
                .agg(F.sum("n").alias("docs"), F.max("doc").alias("largest")).filter(F.col("docs") >= min_docs))
     open_rows = (decided.filter(F.col("state") == _OPEN).join(F.broadcast(summary), ["hi", "lo"])
@@ -162,12 +162,12 @@ def _apply(with_text: bool):
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, the kept text."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    base = text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     maps = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("row_key").alias("b_key"), "n_lines", "n_dropped", "keep")
     joined = base.join(maps, base.doc_id.eqNullSafe(maps.b_id) & (base.row_key == maps.b_key))
     schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"
     return joined.select("doc_id", "text", "n_lines", "n_dropped", "keep").mapInArrow(
-        _apply(with_text), schema + (", kept_text string" if with_text else ""))
+        releasing(_apply(with_text)), schema + (", kept_text string" if with_text else ""))
 
 
 SQL = r"""

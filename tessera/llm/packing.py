@@ -31,6 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import text_rows
+from tessera.llm.grams import releasing
+
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -172,8 +175,8 @@ def packed(docs: DataFrame, vocabulary_file: str = VOCABULARY_FILE, seq_len: int
     null in ``doc_ids``; repeated rows are packed each; a document of any length
     is cut into pieces; empty tables give no matrices; other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _pack(read_vocabulary(vocabulary_file), seq_len, rows, pool_tokens, end_of_text), SCHEMA)
+    pack = _pack(read_vocabulary(vocabulary_file), seq_len, rows, pool_tokens, end_of_text)
+    return text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(releasing(pack), SCHEMA)
 
 
 def position_ids(cu_seqlens: list[int], seq_len: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import grams as G
-from tessera.llm.common import task_count
+from tessera.llm.common import task_count, text_rows
 
 WINDOW = 50
 _BLOB = "bucket int, batch long, kind int, payload binary"
@@ -65,7 +65,7 @@ def _to_arrow(rows) -> Iterator[pa.RecordBatch]:
 def _hash_windows(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rolling = G.WordHashes(), G.Rolling(window)
-        task = TaskContext.get().partitionId() << 24
+        task, limit = TaskContext.get().partitionId() << 24, G.batch_limit(buckets)
         ids, keys, lengths, hashes, n, made = [], [], [], [], 0, 0
         for rb in batches:
             for i, k, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), G.texts_of(rb.column(2))):
@@ -76,7 +76,7 @@ def _hash_windows(window: int, buckets: int):
                 lengths.append(len(w))
                 hashes.append(h)
                 n += len(h)
-                if n >= G.BATCH_WINDOWS:
+                if n >= limit:
                     yield from _to_arrow(_batch_rows(task + made, ids, keys, lengths, hashes, buckets))
                     ids, keys, lengths, hashes, n, made = [], [], [], [], 0, made + 1
         if ids:
@@ -155,10 +155,10 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word is removed when some window of ``window`` words that covers it also
     starts in a document with a smaller id; windows are judged on the input.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    base = text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     n = task_count(docs.sparkSession)
-    blobs = base.mapInArrow(_hash_windows(window, n), _BLOB)
-    marks = blobs.repartitionById(n, F.col("bucket")).mapInArrow(_mark_repeats, _BLOB)
+    blobs = base.mapInArrow(G.releasing(_hash_windows(window, n)), _BLOB)
+    marks = blobs.repartitionById(n, F.col("bucket")).mapInArrow(G.releasing(_mark_repeats), _BLOB)
     return (marks.groupBy("batch").applyInArrow(
         _intervals(window), "h_id bigint, h_key bigint, starts array<int>, ends array<int>")
         .dropDuplicates(["h_id", "h_key"]))
@@ -204,11 +204,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     columns are not read.
     """
     spans = removal_intervals(docs, window)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    base = text_rows(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     joined = base.join(spans, base.doc_id.eqNullSafe(spans.h_id) & (base.row_key == spans.h_key), "left")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     return joined.select("doc_id", "text", "starts", "ends").mapInArrow(
-        _apply(with_text), schema + (", kept_text string" if with_text else ""))
+        G.releasing(_apply(with_text)), schema + (", kept_text string" if with_text else ""))
 
 
 SQL = r"""

@@ -34,11 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
-from tessera.llm.grams import texts_of
+from tessera.llm.common import stored, text_rows
+from tessera.llm.grams import releasing, texts_of
 from tessera.llm.license_scan import words_of
 
 SAMPLE = 12_000
@@ -53,7 +53,7 @@ MIN_CHI2 = 10.83  # p = 0.001
 THRESHOLD = 0.7
 
 
-def fold(doc_id) -> F.Column:
+def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; remainder 1 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
               .orderBy(F.xxhash64("l_id"), "l_id").limit(sample))
     examples = stored(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
                       .join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", "label", "text"), "tox-examples")
-    words = stored(examples.mapInArrow(_example_words, "id bigint, label int, word binary, tf bigint"), "tox-words")
+    words = stored(text_rows(examples, "id", "label", "text").mapInArrow(releasing(_example_words), "id bigint, label int, word binary, tf bigint"), "tox-words")
     total, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     a, b = F.col("pos"), F.col("df") - F.col("pos")
     chi2 = (F.pow(a * (total - toxic - b) - b * (toxic - a), 2.0) * total
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
            .orderBy(F.col("chi2").desc(), "word").limit(vocabulary))
     vocab = sorted(bytes(r["word"]) for r in top.select("word").collect())  # bounded by ``vocabulary``
     df = np.zeros(len(vocab) + 1)
-    for r in docs.select("text").mapInArrow(_doc_frequency(vocab), "word bigint, n bigint").groupBy("word").agg(
+    for r in text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocab)), "word bigint, n bigint").groupBy("word").agg(
             F.sum("n").alias("n")).collect():
         df[r["word"]] = r["n"]
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
@@ -257,8 +257,8 @@ def scored(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshol
     labelled row every score is 0.5; repeated rows score alike; a null id is a
     row like any other; empty tables give no rows; other columns are not read.
     """
-    return docs.select(F.col("doc_id").alias("row"), "text").mapInArrow(
-        _score(index, neighbours, threshold),
+    return text_rows(docs, F.col("doc_id").alias("row"), "text").mapInArrow(
+        releasing(_score(index, neighbours, threshold)),
         f"row {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, "
         "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>").withColumnRenamed("row", "doc_id")
 
@@ -274,4 +274,5 @@ def _accept(index: Index, neighbours: int, threshold: float, at: int):
 
 def accepted(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows (same columns) whose score is below the threshold, in one pass without a join."""
-    return docs.mapInArrow(_accept(index, neighbours, threshold, docs.columns.index("text")), docs.schema)
+    accept = _accept(index, neighbours, threshold, docs.columns.index("text"))
+    return text_rows(docs, "*").mapInArrow(releasing(accept), docs.schema)

@@ -96,3 +96,15 @@ def test_native_operators_use_no_python(spark):
                queries.op10_exact_dedup(spark, SF), chat_format.digest(chat_format.prefix_examples(turns))):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_toxicity_of_held_out_documents(spark):
+    got = queries.op2_toxicity(spark, "/root/testdata/sf0.01")
+    truth = table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "toxic")
+    rows = got.filter("held_out").join(truth, "doc_id").collect()
+    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
+    false_alarms = sum(r.predicted for r in rows if not r.toxic) / sum(not r.toxic for r in rows)
+    caught = sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows)
+    assert right > 0.93 and false_alarms < 0.03 and caught > 0.7
+    best = sorted(rows, key=lambda r: -r.score)
+    assert all(r.toxic for r in best[:10])
