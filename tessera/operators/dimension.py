@@ -112,7 +112,7 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
              .when(has_cur & has_src, "C"))
     # the joined change set is written once; old rows, new versions and change types all read it
     ensure_checkpoint_dir(dim.sparkSession)
-    j = j.withColumn("_ct", ctype).checkpoint(eager=False)
+    j = j.withColumn("_ct", ctype).checkpoint(eager=True)
 
     old = j.filter(has_cur).select(
         *[(F.when(F.col("_ct").isin("U", "D"), ts).otherwise(F.col(f"_cur.{c}")) if c == end_col else

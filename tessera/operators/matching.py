@@ -47,7 +47,7 @@ def default_cutoff(k: int) -> int:
 def _distinct(df: DataFrame, col: str, out: str, n: int) -> DataFrame:
     # spread over n tasks for the explodes that follow, and stored: four joins read it
     return (df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct().repartition(n, out)
-            .withColumn(f"{out}_len", F.length(out)).checkpoint(eager=False))
+            .withColumn(f"{out}_len", F.length(out)).checkpoint(eager=True))
 
 
 def _seg_start(L, i, k: int):

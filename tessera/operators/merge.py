@@ -94,13 +94,15 @@ def scd1(dim: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str] | None = None,
-         load_type: str = "INCREMENTAL", partition_by: Sequence[str] | None = None) -> str:
+         load_type: str = "INCREMENTAL", partition_by: Sequence[str] | None = None,
+         latest_by: str | None = None) -> str:
     """First load vs incremental branch.
 
     FULL, or a target that does not exist yet: overwrite.  INCREMENTAL: upsert
     into the existing content, written to a staging folder and swapped in.
     With ``partition_by`` (columns that depend only on the key) only the
-    partitions present in ``df`` are read, merged and replaced.
+    partitions present in ``df`` are read, merged and replaced.  A repeated key
+    in an incremental ``df`` fails unless ``latest_by`` says which row wins.
     """
     if load_type.upper() == "FULL" or not path_exists(spark, path):
         return write_dataset(df, path, partition_by=partition_by)
@@ -109,9 +111,9 @@ def load(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str] | No
     current = spark.read.parquet(path)
     if partition_by:
         current = touching(current, df, partition_by)
-        replace_partitions(upsert(current, df, keys), path, partition_by)
+        replace_partitions(upsert(current, df, keys, latest_by), path, partition_by)
         return path
-    return write_dataset(upsert(current, df, keys), path, partition_by=partition_by)
+    return write_dataset(upsert(current, df, keys, latest_by), path, partition_by=partition_by)
 
 
 def incremental_load(spark: SparkSession, path: str, source: DataFrame, watermark_col: str, last,
@@ -122,13 +124,14 @@ def incremental_load(spark: SparkSession, path: str, source: DataFrame, watermar
 
     The watermark is read from the table that was written, so rows that reach
     the source while the load runs are above it and come with the next load.
-    An incremental load cannot place rows without a watermark value: they are
+    Of a key's several new rows the one with the greatest watermark wins.  An
+    incremental load cannot place rows without a watermark value: they are
     what ``without_watermark`` returns, for a reject output.
     """
     from tessera.operators.dimension import incremental
     full = load_type.upper() == "FULL"
     rows = source if full else incremental(source, watermark_col, last)[0]
-    load(spark, path, rows, keys, load_type)
+    load(spark, path, rows, keys, load_type, latest_by=watermark_col)
     seen = spark.read.parquet(path).agg(F.max(watermark_col)).first()[0]
     if seen is None or (not full and last is not None and seen < last):
         return last

@@ -140,3 +140,11 @@ def test_null_keys_are_one_key(spark):
     assert dimension.change_capture(a, a, ["k"], ["v"], emit=("I", "U", "D")).count() == 0
     assert dimension.change_feed(a, a, ["k"], ["v"]).count() == 0
     assert reconcile.compare_rows(a, a, ["k"]).count() == 0
+
+
+def test_incremental_load_keeps_the_newest_of_repeated_keys(spark, tmp_dir):
+    first = spark.createDataFrame([(1, 10, "a")], "k int, ts int, v string")
+    wm = merge.incremental_load(spark, tmp_dir, first, "ts", None, ["k"], "FULL")
+    more = spark.createDataFrame([(1, 20, "b"), (1, 30, "c"), (2, 25, "d")], first.schema)
+    assert merge.incremental_load(spark, tmp_dir, more, "ts", wm, ["k"]) == 30
+    assert rows(spark.read.parquet(tmp_dir), "k", "ts", "v") == [(1, 30, "c"), (2, 25, "d")]

@@ -45,3 +45,15 @@ def test_flagship_uses_checked_broadcast_for_the_product_lookup(spark):
     import re
     p = E.queries()["job02_order_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"BroadcastHashJoin \[ProductID#\d+L\], \[ProductID#\d+L\], LeftOuter", p)
+
+
+def test_one_pass_queries_start_no_checkpoint(spark):
+    for name in ("job04_good", "job04_error_counts", "job03_change_counts", "h1_change_capture"):
+        plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "Window" not in plan, name
+
+
+def test_dimension_joins_its_source_once(spark):
+    plan = E.queries()["job03_scd2_dimension"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # the change set of the full outer join is materialised; what is left joins inserts to history
+    assert "FullOuter" not in plan and "ExistingRDD" in plan
