@@ -173,8 +173,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Join with a salted hot side.
 
     Rows of hot keys on the left (skewed) side get a salt from a hash of
-    ``salt_keys`` (default: their place in the input, so that equal rows spread
-    too) and the right rows of those keys are replicated over the salts; join on
+    ``salt_keys`` (default: all columns; a row's place in the input would spread
+    equal rows as well, but a task that is run again could place them
+    differently and lose or repeat rows) and the right rows of those keys are replicated over the salts; join on
     key + salt, so a hot key is spread over ``salts`` tasks.  Every other key
     keeps salt 0 and is joined once.  ``hot`` is a frame of key values; by
     default the keys with at least 1/(4 * salts) of the left rows, at most
@@ -183,7 +184,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError("salting is exact only when the salted side is the preserved side")
-    spread = F.xxhash64(*[F.col(c) for c in salt_keys]) if salt_keys else F.xxhash64(F.monotonically_increasing_id())
+    spread = F.xxhash64(*[F.col(c) for c in (salt_keys or left.columns)])
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     bounded = hot is None
     h = (hot_keys(left, keys, 1.0 / (4 * salts)) if bounded else hot.select(*keys).distinct()).withColumn("_hot", F.lit(True))
