@@ -3,16 +3,14 @@
 Fit (the classifier's bounded part):
 * ``SAMPLE`` labelled rows with the smallest id hashes, taken as they come, so
   the classes keep their shares; rows of the held-out third are never used;
-* the ``VOCABULARY`` words most associated with the label among them
-  (chi-squared, by Spark aggregates over the sample's words);
-* document frequencies of those words over all documents.
+* every term of those rows is kept; its weight is its idf (document frequencies
+  over all documents) times 1 + sqrt(chi-squared) of term and label among them,
+  so that telling terms count more and no term is left out.
 
-Index: the examples' TF-IDF vectors over the vocabulary, unit length, in an
-inverted index whose postings are cut into blocks of examples; each word keeps
-its largest weight per block.  A query bounds every block by the sum of its
-words' block maxima, visits blocks in falling order of the bound, scores them
-exactly and stops when no bound reaches the k-th best cosine: the neighbours
-are those of an exhaustive search, ties by example number.
+Index: the examples' weighted TF-IDF vectors over all terms, unit length, as
+postings.  A query is scored against every example: terms that many examples
+have as one matrix product for a batch of queries, all others by their postings.
+The neighbours are those of an exhaustive search, ties by example number.
 
 Terms are words and the first ``STEM`` bytes of longer words, so that inflected
 forms share a term.
@@ -29,27 +27,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_rows
+from tessera.llm.common import stored, task_count, text_rows
 from tessera.llm.grams import releasing, texts_of
 from tessera.llm.license_scan import words_of
 
 SAMPLE = 12_000
-VOCABULARY = 256
 NEIGHBOURS = 25
-BLOCK = 512
 EVIDENCE = 5
 STEM = 5
+DENSE_SHARE = 16  # terms of at least one in so many examples are scored as a matrix
+QUERIES = 64  # texts in one matrix product
 PRIOR_MASS = 25.0
-MIN_DOCS = 3
-MIN_CHI2 = 10.83  # p = 0.001
 THRESHOLD = 0.7
 
 
@@ -63,75 +60,141 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
 
 
+Vector = tuple[np.ndarray, np.ndarray]  # terms, unit-length weights
+
+
 @dataclass
 class Index:
     """Exact cosine search over bounded examples; see the module's text."""
 
     words: dict[bytes, int]
-    idf: np.ndarray
+    weights: np.ndarray  # word -> idf, scaled
     ids: np.ndarray
     labels: np.ndarray
-    ptr: np.ndarray  # (word, block) -> first posting
+    ptr: np.ndarray  # word -> first posting
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # (word, block) -> largest weight
+    count: np.ndarray | None = None  # term counts and vector lengths that give ``weight``; these are what is sent
+    norm: np.ndarray | None = None
     votes: np.ndarray | None = None  # calibration: vote -> score, both rising
     scores: np.ndarray | None = None
 
     @classmethod
-    def build(cls, words: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]) -> Index:
-        """``examples``: (id, label, word -> unit-length weight); similar examples should be neighbours."""
-        blocks = max(1, -(-len(examples) // BLOCK))
-        post: list[list[tuple[int, float]]] = [[] for _ in words]
-        for e, (_, _, v) in enumerate(examples):
-            for t, w in v.items():
-                post[t].append((e, w))
-        ptr = np.zeros((len(words), blocks + 1), dtype=np.int64)
-        most = np.zeros((len(words), blocks))
-        ex, wt, at = [], [], 0
-        for t, p in enumerate(post):
-            e = np.array([x for x, _ in p], dtype=np.int64)
-            w = np.array([x for _, x in p], dtype=np.float64)
-            cuts = np.searchsorted(e, np.arange(blocks + 1) * BLOCK)
-            ptr[t] = at + cuts
-            for b in range(blocks):
-                if cuts[b] < cuts[b + 1]:
-                    most[t, b] = w[cuts[b]:cuts[b + 1]].max()
-            ex.append(e)
-            wt.append(w)
-            at += len(e)
-        flat = lambda x, d: np.concatenate(x) if x else np.empty(0, dtype=d)
-        return cls({w: i for i, w in enumerate(words)}, idf, np.array([x[0] for x in examples], dtype=np.int64),
-                   np.array([x[1] for x in examples], dtype=np.int64), ptr, flat(ex, np.int64), flat(wt, np.float64), most)
+    def build(cls, words: list[bytes], weights: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]) -> Index:
+        """``examples``: (id, label, word -> unit-length weight)."""
+        terms = np.array([t for _, _, v in examples for t in v], dtype=np.int32)
+        values = np.array([w for _, _, v in examples for w in v.values()], dtype=np.float64)
+        index, order = cls._postings(words, weights, [x[0] for x in examples], [x[1] for x in examples],
+                                     [len(v) for _, _, v in examples], terms)
+        index.weight = values[order]
+        return index
+
+    @classmethod
+    def of_counts(cls, words: list[bytes], weights: np.ndarray, ids, labels, sizes, terms: np.ndarray, counts: np.ndarray) -> Index:
+        """From the examples' term counts, one example after another; ``sizes`` has their numbers of terms."""
+        index, order = cls._postings(words, weights, ids, labels, sizes, terms)
+        index.count = counts[order].astype(np.min_scalar_type(int(counts.max(initial=0))))
+        raw = index._raw()
+        index.norm = np.sqrt(np.bincount(index.example, weights=raw * raw, minlength=len(index.ids)))
+        index.weight = raw / index.norm[index.example]
+        return index
+
+    @classmethod
+    def _postings(cls, words, weights, ids, labels, sizes, terms: np.ndarray) -> tuple[Index, np.ndarray]:
+        order = np.argsort(terms, kind="stable")
+        ptr = np.zeros(len(words) + 1, dtype=np.int64)
+        np.cumsum(np.bincount(terms, minlength=len(words)), out=ptr[1:])
+        example = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), sizes)[order]
+        return cls({w: i for i, w in enumerate(words)}, weights, np.array(ids, dtype=np.int64),
+                   np.array(labels, dtype=np.int64), ptr, example, np.empty(0)), order
+
+    def _raw(self) -> np.ndarray:
+        return (1.0 + np.log(self.count, dtype=np.float64)) * np.repeat(self.weights, np.diff(self.ptr))
+
+    def __getstate__(self) -> dict:
+        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "column")}
+        if self.count is not None:
+            state["weight"] = None
+        return state | {"words": b"\n".join(self.words)}  # no term has white space
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        n = len(self.ptr) - 1
+        self.words = dict(zip(self.words.split(b"\n"), range(n))) if n else {}
+        if self.weight is None:
+            self.weight = self._raw() / self.norm[self.example]
 
     def vector(self, text: bytes | None) -> dict[int, float]:
-        """Unit-length TF-IDF weights of a text's vocabulary words."""
-        counts = Counter(filter(None.__ne__, map(self.words.get, terms_of(text))))
-        return unit(counts, self.idf)
+        """Unit-length weights of a text's terms that some example has."""
+        t, w = self.vector_of(text)
+        return dict(zip(t.tolist(), w.tolist()))
+
+    def vector_of(self, text: bytes | None) -> Vector:
+        found = Counter(terms_of(text))
+        get = self.words.get
+        t = np.array([get(x, -1) for x in found], dtype=np.int64)
+        c = np.fromiter(found.values(), dtype=np.float64, count=len(found))
+        order = np.argsort(t)[np.count_nonzero(t < 0):]
+        t = t[order]
+        w = (1.0 + np.log(c[order])) * self.weights[t]
+        return t, w / math.sqrt(w @ w) if len(w) else w
+
+    def vectors(self, examples: list[int]) -> list[Vector]:
+        """The vectors of some examples (rising), read from the postings."""
+        at = np.flatnonzero(np.isin(self.example, examples))
+        at = at[np.argsort(self.example[at], kind="stable")]
+        terms, cuts = np.searchsorted(self.ptr, at, side="right") - 1, np.searchsorted(self.example[at], examples)
+        return list(zip(np.split(terms, cuts)[1:], np.split(self.weight[at], cuts)[1:]))
+
+    def _split(self) -> None:
+        """The matrix (frequent term x example) and each term's row in it, -1 without one."""
+        n = len(self.ids)
+        often = np.flatnonzero(np.diff(self.ptr) * DENSE_SHARE >= max(n, 1))
+        self.column = np.full(len(self.words), -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        for row, t in enumerate(often):
+            p = slice(self.ptr[t], self.ptr[t + 1])
+            self.dense[row, self.example[p]] = self.weight[p]
+
+    def cosines(self, queries: list[Vector]) -> np.ndarray:
+        """(query, example) -> cosine."""
+        if not hasattr(self, "dense"):
+            self._split()
+        n, rest = len(self.ids), []
+        q = np.zeros((len(queries), len(self.dense)))
+        for i, (t, w) in enumerate(queries):
+            c = self.column[t]
+            q[i, c[c >= 0]] = w[c >= 0]
+            rest.append((t[c < 0], w[c < 0]))
+        s = q @ self.dense
+        for i, (t, w) in enumerate(rest):
+            if len(t):
+                lo, hi = self.ptr[t], self.ptr[t + 1]
+                cuts = list(map(slice, lo.tolist(), hi.tolist()))
+                part = np.repeat(w, hi - lo)
+                part *= np.concatenate([self.weight[c] for c in cuts])
+                s[i] += np.bincount(np.concatenate([self.example[c] for c in cuts]), weights=part, minlength=n)
+        return s
+
+    def nearest_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query (examples, cosines) of the k nearest with a positive cosine; its ``without`` is left out."""
+        queries, without = iter(queries), repeat(-1) if without is None else iter(without)
+        while some := list(islice(queries, QUERIES)):
+            for s, own in zip(self.cosines(some), islice(without, len(some))):
+                if own >= 0:
+                    s[own] = 0
+                least = np.partition(s, -k)[-k] - 1e-9 if len(s) > k else 0
+                e = np.flatnonzero((s >= least) & (s > 0))
+                e = e[np.lexsort((e, -np.round(s[e], 9)))[:k]]
+                yield e, s[e]
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine; ``without`` is left out."""
-        terms = np.fromiter(v, dtype=np.int64, count=len(v))
-        q = np.fromiter(v.values(), dtype=np.float64, count=len(v))
-        best_e, best_s = np.empty(0, dtype=np.int64), np.empty(0)
-        if not len(terms):
-            return best_e, best_s
-        bound = q @ self.most[terms]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) >= k and bound[b] < best_s[-1] - 1e-9:
-                break
-            lo = b * BLOCK
-            s = np.zeros(min(BLOCK, len(self.ids) - lo))
-            for t, w in zip(terms, q):
-                p = slice(self.ptr[t, b], self.ptr[t, b + 1])
-                s[self.example[p] - lo] += w * self.weight[p]
-            if lo <= without < lo + len(s):
-                s[without - lo] = 0
-            e = np.flatnonzero(s > (best_s[-1] - 1e-9 if len(best_s) >= k else 0))
-            best_e, best_s = np.append(best_e, e + lo), np.append(best_s, s[e])
-            top = np.lexsort((best_e, -np.round(best_s, 9)))[:k]
-            best_e, best_s = best_e[top], best_s[top]
-        return best_e, best_s
+        q = np.array(list(v), dtype=np.int64), np.array(list(v.values()), dtype=np.float64)
+        return next(self.nearest_of([q], k, [without]))
+
+    def votes_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[float]:
+        return (self.vote(e, s) for e, s in self.nearest_of(queries, k, without))
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
         """Distance-weighted share of toxic votes, the prior's included; -1 without neighbours."""
@@ -162,74 +225,100 @@ class Index:
         return float(np.interp(round(vote, 6), self.votes, self.scores))
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    v = {t: (1.0 + math.log(c)) * idf[t] for t, c in sorted(counts.items())}
-    norm = math.sqrt(sum(w * w for w in v.values()))
-    return {t: w / norm for t, w in v.items()} if norm else {}
+def unit(counts: dict[int, int], weights: np.ndarray) -> dict[int, float]:
+    t = np.array(sorted(counts), dtype=np.int64)
+    v = (1.0 + np.log(np.array([counts[x] for x in t.tolist()], dtype=np.float64))) * weights[t]
+    norm = math.sqrt(v @ v)
+    return dict(zip(t.tolist(), (v / norm).tolist())) if norm else {}
 
 
-def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per term of a task's examples: how many have it, and how many of those are toxic."""
+    have: Counter[bytes] = Counter()
+    toxic: Counter[bytes] = Counter()
     for rb in batches:
-        ids, labels, words, counts = [], [], [], []
-        for i, label, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), texts_of(rb.column(2))):
-            c = Counter(terms_of(text))
-            ids += [i] * len(c)
-            labels += [label] * len(c)
-            words += c.keys()
-            counts += c.values()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(words, pa.binary()),
-             pa.array(counts, pa.int64())], names=["id", "label", "word", "tf"])
+        for label, text in zip(rb.column(0).to_pylist(), texts_of(rb.column(1))):
+            terms = set(terms_of(text))
+            have.update(terms)
+            if label:
+                toxic.update(terms)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(have.keys(), pa.binary()), pa.array(have.values(), pa.int64()),
+         pa.array([toxic[w] for w in have], pa.int64())], names=["word", "n", "pos"])
 
 
 def _doc_frequency(vocabulary: list[bytes]):
-    at = {w: i for i, w in enumerate(vocabulary)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(vocabulary)}
         n = np.zeros(len(at) + 1, dtype=np.int64)
         for rb in batches:
             for text in texts_of(rb.column(0)):
+                found = [i for i in map(at.get, set(terms_of(text))) if i is not None]
+                n[found] += 1
                 n[-1] += 1
-                for w in at.keys() & set(terms_of(text)):
-                    n[at[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["word", "n"])
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["word", "n"])
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY,
-        neighbours: int = NEIGHBOURS) -> Index:
-    """The calibrated index; ``labels`` has doc_id and toxic (null labels are ignored)."""
+def _counts(vocabulary: list[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(vocabulary)}
+        for rb in batches:
+            terms, counts = [], []
+            for text in texts_of(rb.column(2)):
+                found = sorted(Counter(map(at.__getitem__, terms_of(text))).items())
+                terms.append(np.array([t for t, _ in found], dtype="<i4").tobytes())
+                counts.append(np.array([c for _, c in found], dtype="<i4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), rb.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                names=["id", "label", "terms", "counts"])
+    return run
+
+
+def _own_votes(index: Index, neighbours: int):
+    """Votes of examples, each without itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            e = rb.column(0).to_pylist()
+            votes = list(index.votes_of(index.vectors(e), neighbours, e))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> Index:
+    """The calibrated index; ``labels`` has doc_id and toxic (null labels are ignored).
+
+    What reaches the driver is bounded by the sample: its terms and its vectors.
+    """
+    spark = docs.sparkSession
     chosen = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
               .groupBy(F.col("doc_id").cast("bigint").alias("l_id")).agg(F.max("toxic").cast("int").alias("label"))
               .orderBy(F.xxhash64("l_id"), "l_id").limit(sample))
     examples = stored(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
                       .join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", "label", "text"), "tox-examples")
-    words = stored(text_rows(examples, "id", "label", "text").mapInArrow(releasing(_example_words), "id bigint, label int, word binary, tf bigint"), "tox-words")
     total, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    a, b = F.col("pos"), F.col("df") - F.col("pos")
-    chi2 = (F.pow(a * (total - toxic - b) - b * (toxic - a), 2.0) * total
-            / (F.lit(float(max(1, toxic * (total - toxic)))) * F.col("df") * F.greatest(F.lit(total) - F.col("df"), F.lit(1))))
-    top = (words.groupBy("word").agg(F.sum("label").cast("double").alias("pos"), F.count(F.lit(1)).alias("df"))
-           .filter(F.col("df") >= MIN_DOCS).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-           .orderBy(F.col("chi2").desc(), "word").limit(vocabulary))
-    vocab = sorted(bytes(r["word"]) for r in top.select("word").collect())  # bounded by ``vocabulary``
+    found = (text_rows(examples, "label", "text").mapInArrow(releasing(_example_terms), "word binary, n bigint, pos bigint")
+             .groupBy("word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow().sort_by("word"))
+    vocab = found["word"].to_pylist()
+    n, pos = (found[c].to_numpy().astype(float) for c in ("n", "pos"))
+    chi2 = ((pos * (total - toxic) - (n - pos) * toxic) ** 2 * total
+            / (float(max(1, toxic * (total - toxic))) * n * np.maximum(total - n, 1.0)))
     df = np.zeros(len(vocab) + 1)
-    for r in text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocab)), "word bigint, n bigint").groupBy("word").agg(
-            F.sum("n").alias("n")).collect():
-        df[r["word"]] = r["n"]
-    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    at = {w: i for i, w in enumerate(vocab)}
-    vectors: dict[int, Counter] = {}
-    for r in words.filter(F.col("word").isin([bytearray(w) for w in vocab])).select("id", "word", "tf").collect():
-        vectors.setdefault(r["id"], Counter())[at[bytes(r["word"])]] += r["tf"]
-    found = []
-    for r in examples.select("id", "label").orderBy("id").collect():  # bounded by ``sample``
-        found.append((r["id"], r["label"], unit(vectors.get(r["id"], {}), idf)))
-    # examples with the same strongest word share blocks, which tightens the block bounds
-    found.sort(key=lambda x: (max(x[2], key=x[2].get) if x[2] else -1, -max(x[2].values(), default=0.0), x[0]))
-    index = Index.build(vocab, idf, found)
-    votes = np.array([index.vote(*index.nearest(v, neighbours, e)) for e, (_, _, v) in enumerate(found)])
-    index.calibrate(votes, index.labels)
+    counted = text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocab)), "word bigint, n bigint").groupBy("word").agg(
+        F.sum("n").alias("n")).toArrow()
+    df[counted["word"].to_numpy()] = counted["n"].to_numpy()
+    weights = (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0) * (1.0 + np.sqrt(chi2))
+    rows = text_rows(examples, "id", "label", "text").mapInArrow(
+        releasing(_counts(vocab)), "id bigint, label int, terms binary, counts binary").toArrow()
+    rows = rows.sort_by([("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
+    terms, counts = rows["terms"].to_pylist(), rows["counts"].to_pylist()
+    index = Index.of_counts(vocab, weights, rows["id"].to_numpy(), rows["label"].to_numpy(), [len(t) // 4 for t in terms],
+                            np.frombuffer(b"".join(terms), dtype="<i4"), np.frombuffer(b"".join(counts), dtype="<i4"))
+    del rows, terms, counts
+    own = spark.range(0, len(index.ids), 1, task_count(spark)).mapInArrow(
+        releasing(_own_votes(index, neighbours)), "id bigint, vote double").toArrow().sort_by("id")
+    index.calibrate(own["vote"].to_numpy(), index.labels)
     return index
 
 
@@ -237,8 +326,7 @@ def _score(index: Index, neighbours: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             score, evidence = [], []
-            for text in texts_of(rb.column(1)):
-                e, s = index.nearest(index.vector(text), neighbours)
+            for e, s in index.nearest_of(map(index.vector_of, texts_of(rb.column(1))), neighbours):
                 score.append(index.score(index.vote(e, s)))
                 evidence.append([{"doc_id": int(index.ids[i]), "similarity": float(c), "toxic": int(index.labels[i])}
                                  for i, c in zip(e[:EVIDENCE], s[:EVIDENCE])])
@@ -252,7 +340,7 @@ def _score(index: Index, neighbours: int, threshold: float):
 def scored(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, score, predicted, evidence.
 
-    Defined cases: a text without vocabulary words (null and empty ones too) has
+    Defined cases: a text without a term of any example (null and empty ones too) has
     no neighbours and gets the calibrated rate of such examples; without any
     labelled row every score is 0.5; repeated rows score alike; a null id is a
     row like any other; empty tables give no rows; other columns are not read.
@@ -266,8 +354,8 @@ def scored(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshol
 def _accept(index: Index, neighbours: int, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            keep = [index.score(index.vote(*index.nearest(index.vector(t), neighbours))) < threshold
-                    for t in texts_of(rb.column(at))]
+            votes = index.votes_of(map(index.vector_of, texts_of(rb.column(at))), neighbours)
+            keep = [index.score(v) < threshold for v in votes]
             yield rb.filter(pa.array(keep, pa.bool_()))
     return run
 

@@ -328,6 +328,25 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.scored(empty, index).count() == 0 and toxicity.accepted(empty, index).count() == 0
 
 
+def test_toxicity_keeps_every_term(spark):
+    """Texts of terms that say nothing of the label have neighbours too, with cosines over all their terms."""
+    rows = [(i, f"shared w{i} w{i + 1} {'vile' if i % 5 == 0 else 'kind'}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    d = docs(spark, rows)
+    index = toxicity.fit(d, labels)
+    used = {i: t for i, t in rows if i in set(index.ids.tolist())}
+    assert index.words.keys() == {w for t in used.values() for w in toxicity.terms_of(t.encode())} and (index.weights >= 1).all()
+    e, s = index.nearest(index.vector(b"w7 w8"), 25)
+    assert set(index.ids[e].tolist()) == {i for i, t in used.items() if {"w7", "w8"} & set(t.split())} and (s > 0).all()
+    v = {i: index.vector(t.encode()) for i, t in used.items()}
+    for n, i in enumerate(index.ids.tolist()[:20]):
+        plain = [(-round(sum(w * x.get(t, 0) for t, w in v[i].items()), 9), m) for m, x in enumerate(v[j] for j in index.ids.tolist()) if m != n]
+        e, s = index.nearest(v[i], 25, n)
+        assert e.tolist() == [m for _, m in sorted(plain)[:25]]
+        terms, weights = index.vectors([n])[0]
+        assert dict(zip(terms.tolist(), weights.tolist())) == pytest.approx(v[i])
+
+
 # ---- packing ---------------------------------------------------------------------------------
 
 def test_best_fit_decreasing_against_plain_search():
