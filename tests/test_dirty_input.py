@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import dimension, layout, matching, merge, ordering, reconcile
 from tessera.sinks import files as sinks
 from tessera.sources import files as sources
-from tests.conftest import rows
+from tests.conftest import SF, rows
 
 
 def test_load_keeps_rows_of_the_null_partition(spark, tmp_dir):
@@ -79,6 +79,19 @@ def test_reject_scan_headers_and_line_breaks(spark, tmp_dir):
     assert [r.raw_record for r in bad.select("raw_record").orderBy("raw_record").collect()] == ["id,note"] * 2 + ["x,bad"] * 2
 
 
+def test_reject_scan_query_writes_a_file_per_partition(spark, tmp_dir, monkeypatch):
+    from tessera.plans import queries_more
+    orders = spark.read.parquet(f"{SF}/orders.parquet").repartition(5)
+    monkeypatch.setattr(queries_more, "TB", lambda *_: orders)
+    monkeypatch.setattr(queries_more, "scratch_path", lambda *_: tmp_dir)
+    got = queries_more._scan_two_files(spark, SF).collect()
+    assert spark.read.text(tmp_dir).select("_metadata.file_path").distinct().count() == 6
+    want = [("reject", r.o_orderkey, None) if r.o_orderkey % 97 == 0 else ("good", r.o_orderkey, f"first line\n{r.o_orderstatus}, second")
+            for r in orders.collect()] + [("reject", None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+
 def test_reject_scan_of_one_unread_column(spark, tmp_dir):
     spark.createDataFrame([("1,2",), ("3,oops",)], "value string").write.text(tmp_dir)
     schema = spark.createDataFrame([], "a long, b long").schema
