@@ -23,6 +23,7 @@ Output, one row per matrix of up to ``ROWS`` sequences:
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ END_OF_TEXT = 50256
 SEQ_LEN = 2048
 ROWS = 64
 POOL_TOKENS = 4_000_000
-CHUNK_CHARS = 100_000  # longer texts are encoded in chunks; decoding is unaffected
+CHUNK_CHARS = 100_000  # longer texts are encoded in chunks, cut where the pattern breaks anyway
+# Before a single space between two letters: no match of the pattern goes past it.
+BREAK = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 SCHEMA = ("matrix bigint, n_rows int, seq_len int, dtype string, ids binary, cu_seqlens array<array<int>>, "
           "resets array<array<int>>, doc_ids array<array<bigint>>, offsets array<array<int>>, totals array<array<int>>")
@@ -59,6 +62,15 @@ def read_vocabulary(path: str = VOCABULARY_FILE) -> bytes:
         return f.read()
 
 
+def chunks(text: str) -> Iterator[str]:
+    """Parts of a text whose ids, one after another, are those of the whole text; a run without a break stays whole."""
+    start = 0
+    while len(text) - start > CHUNK_CHARS and (cut := BREAK.search(text, start + CHUNK_CHARS)):
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 class Rooms:
     """Segment tree over rooms 0..size: the smallest room >= n that some open sequence has."""
 
@@ -152,9 +164,7 @@ def _pack(vocabulary: bytes, size: int, rows: int, pool_tokens: int, eot: int):
         pool, held = [], 0
         for rb in batches:
             for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-                text = text or ""
-                parts = [enc.encode_to_numpy(text[i:i + CHUNK_CHARS], disallowed_special=())
-                         for i in range(0, len(text), CHUNK_CHARS)]
+                parts = [enc.encode_to_numpy(c, disallowed_special=()) for c in chunks(text or "")]
                 ids = np.concatenate([*parts, [eot]]).astype(kind)
                 for offset in range(0, len(ids), size):
                     pool.append((doc_id, offset, len(ids), ids[offset:offset + size]))

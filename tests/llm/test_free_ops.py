@@ -394,3 +394,15 @@ def test_packing_round_trip(spark, pool):
         assert enc.decode(ids[:-1]) == (text or "")
     assert sum(len(x) for x in pieces.values()) >= len(rows) and (pool < 64 or fill / room > 0.99)
     assert packing.packed(docs(spark, [])).count() == 0
+
+
+def test_packing_ids_of_long_texts(spark):
+    rows = [(0, "keitachlich " * 20_000), (1, "keit  achlich\n" * 9_000), (2, "ab" * 60_000), (3, "7 é's x² y_ 日本 語 " * 15_000)]
+    enc, got = packing.encoding(packing.read_vocabulary()), {}
+    for r in packing.packed(docs(spark, rows)).collect():
+        for doc_id, offset, _, ids in packing.segments(r):
+            got.setdefault(doc_id, {})[offset] = ids.tolist()
+    for doc_id, text in rows:
+        ids = [t for o in sorted(got[doc_id]) for t in got[doc_id][o]]
+        assert len(text) > packing.CHUNK_CHARS and ids[:-1] == enc.encode(text, disallowed_special=())
+    assert max(map(len, packing.chunks(rows[0][1]))) < packing.CHUNK_CHARS + 20
