@@ -256,7 +256,7 @@ register("b10_zorder_nine_columns", "SELECT count(*) AS orders, true AS not_nega
 # ------------------------------------------------------------------ matching rows
 
 def _match_rows(spark, d):
-    """Documents' word counts joined to benchmark words by spelling, rows sharing very frequent words."""
+    """Benchmark words of every length joined by spelling to the distinct benchmark words of 3 letters or more."""
     left = TB(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''")
     right = queries_ops.words(TB(spark, d, "benchmark"), "text").filter(F.length("word") >= 3)
     return matching.fuzzy_match(left, right, "word", "word", 1).select(
