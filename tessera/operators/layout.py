@@ -11,10 +11,11 @@ import contextlib
 from collections.abc import Iterator, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import ensure_checkpoint_dir, scratch_path
 from tessera.sinks.files import write_dataset
 
 
@@ -33,25 +34,55 @@ def _bucket(c: Column, bounds: Sequence, dtype: T.DataType) -> Column:
     return F.coalesce(F.size(F.filter(arr, lambda x: x <= c)), F.lit(0)).cast("long")
 
 
-SAMPLE_ROWS = 8192
+_MEASURED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _ranked_bounds(df: DataFrame, col: str, n: int) -> list:
+    """Exact quantile bounds of any ordered type, by the running count over its distinct values in range partitions."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, "zorder-values")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.select(F.col(col).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.parquet(path)
+    starts, total = [], 0
+    for r in counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per partition
+        starts.append((r["part"], total))
+        total += r["n"]
+    if not total:
+        return []
+    starts = spark.createDataFrame(starts, "part int, start bigint")
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = counts.join(F.broadcast(starts), "part").withColumn("end", end)
+    # the first quantile whose row is not before the value's rows is inside them
+    q = F.expr(f"greatest(1L, ((end - n) * {n}L + {total - 1}L) div {total}L)")
+    hit = (F.col("q") < n) & (F.expr(f"{total}L * q div {n}L") < F.col("end"))
+    return sorted(r["v"] for r in ranked.withColumn("q", q).filter(hit).select("v").collect())  # n - 1 at most
 
 
 def _bounds(df: DataFrame, cols: Sequence[str], n: int) -> list[list]:
-    """n - 1 quantile bounds of whole values, from a random sample of SAMPLE_ROWS rows."""
-    sample = df.select(*cols).orderBy(F.rand(7)).limit(SAMPLE_ROWS).collect()
-    out = []
-    for i in range(len(cols)):
-        values = sorted(r[i] for r in sample if r[i] is not None)
-        out.append(sorted({values[len(values) * q // n] for q in range(1, n)}) if values else [])
-    return out
+    """n - 1 quantile bounds per column from all rows: approximate for numbers and dates, exact for other types."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    measured = [c for c in dict.fromkeys(cols) if isinstance(types[c], _MEASURED)]
+    found: dict[str, list] = {}
+    if measured:
+        share = [q / n for q in range(1, n)]
+        whole = {c: F.nanvl(F.col(c), F.lit(None)) if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.col(c) for c in measured}
+        row = df.agg(*[F.percentile_approx(whole[c], share).alias(f"b{i}") for i, c in enumerate(measured)]).first()
+        found = {c: sorted(set(row[i] or [])) for i, c in enumerate(measured)}
+    for c in cols:
+        if c not in found:
+            found[c] = _ranked_bounds(df, c, n)
+    return [found[c] for c in cols]
 
 
 def z_value(df: DataFrame, cols: Sequence[str], bits: int = 8) -> Column:
     """Z-order value: interleaved bits of each column's quantile bucket.
 
     The bounds (2**bits - 1 values per column at most) are quantiles of the
-    whole values in a bounded random sample, so they order strings with a long
-    common prefix, dates, timestamps and numbers alike.  All columns share 63
+    whole values over all rows, so they order strings with a long common prefix,
+    dates, timestamps and numbers alike.  All columns share 63
     bits: ``bits`` is lowered to fit, and more than 63 columns are refused.
     """
     if not cols or len(cols) > 63:

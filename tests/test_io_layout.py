@@ -238,3 +238,17 @@ def test_replace_partitions_multi_column_and_partitioned_compaction(spark, tmp_d
     layout.compact(spark, tmp_dir, 6, partition_by=["a", "b"])
     assert sorted(tuple(r) for r in spark.read.parquet(tmp_dir).select("v", "a", "b").collect()) == exp
     assert all(len(glob.glob(p + "/*.parquet")) == 1 for p in glob.glob(_local(tmp_dir) + "/a=*/b=*"))
+
+
+def test_zorder_bounds_come_from_all_rows(spark):
+    n = 20_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("i"), F.date_add(F.lit("1990-01-01"), (F.col("id") % 5000).cast("int")).alias("d"),
+                               F.concat(F.lit("Customer#"), F.lpad(((F.col("id") * 7919) % n).cast("string"), 9, "0")).alias("s"),
+                               F.when(F.col("id") % 100 == 0, F.lit("rare")).when(F.col("id") % 3 > 0, F.lit("much")).alias("few"))
+    numbers, dates, strings, few = layout._bounds(df, ["i", "d", "s", "few"], 256)
+    values = sorted(r.s for r in df.select("s").collect())
+    assert strings == [values[n * q // 256] for q in range(1, 256)]
+    assert few == ["much", "rare"]
+    assert len(numbers) == 255 and all(abs(b - n * q / 256) <= 4 for q, b in zip(range(1, 256), numbers))
+    assert len(dates) == 255
+    assert layout._bounds(df.limit(0), ["i", "s"], 256) == [[], []]
