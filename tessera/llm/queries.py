@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, substring_dedup, toxicity
+from tessera.llm import (
+    chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, periodic_runs,
+    substring_dedup, toxicity, url_filter, whitening)
 from tessera.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True).drop("n_words", "runs")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -75,6 +89,9 @@ QUERIES: dict[str, QueryFn] = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -85,4 +102,5 @@ SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_url_filter": url_filter.SQL,
 }

@@ -19,13 +19,16 @@ CONTRACT = {
     "op8": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op9": "doc_id n_words n_removed kept_sha256",
     "op10": "doc_id keep_id group_size kept text_sha256",
+    "op11": "page_id host path rule verdict",
+    "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13": "vec_id component n deviation whitened explained identity_error",
 }
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
