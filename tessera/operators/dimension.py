@@ -71,8 +71,9 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     With ``latest_by`` (an ordering column such as a change timestamp) the
     source is first reduced to the latest row per key (a map-side combined
     aggregate); without it a repeated source key fails the job.  Rows with a
-    null key go to ``rejects``.  Dimension rows whose current flag is not 1,
-    null included, are history and pass through.  ``start_key`` defaults to max(existing key) + 1 (one scalar
+    null key go to ``rejects``, and dimension rows with one pass through
+    unchanged.  Dimension rows whose current flag is not 1, null included, are
+    history and pass through.  ``start_key`` defaults to max(existing key) + 1 (one scalar
     read).
     """
     ts = F.to_timestamp_ntz(F.lit(str(run_ts)))
@@ -92,11 +93,13 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
     src = one_per_key(src.select(*wanted), keys, latest_by)
     src = src.select(*keys, *[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in attrs])
 
-    history = dim.filter(~F.col(current_col).eqNullSafe(F.lit(1)))
+    # rows that no source row can meet pass through: closed ones, and those with a null key
+    live = F.col(current_col).eqNullSafe(F.lit(1)) & ~null_key
+    history = dim.filter(~live)
     # current rows (one per key by the dimension's invariant) carry their own
     # version; only keys without a current row need the highest closed
     # version -- a hash aggregate of an integer over history rows.
-    cur = dim.filter(F.col(current_col) == 1).select(F.struct(*[F.col(c) for c in dim_cols]).alias("_cur"),
+    cur = dim.filter(live).select(F.struct(*[F.col(c) for c in dim_cols]).alias("_cur"),
                                                      *[F.col(k).alias(f"_ck_{k}") for k in keys])
     s2 = src.withColumn("_s", F.lit(True))
     cond = reduce(lambda x, y: x & y, [F.col(f"_ck_{k}") == F.col(k) for k in keys])

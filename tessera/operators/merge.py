@@ -2,19 +2,27 @@
 
 Parquet tables cannot be changed in place (and MERGE INTO is refused for
 them), so each operator returns the *new* table content as a DataFrame built
-from one plan; ``sinks.files.write_dataset`` stages it and swaps it in.  For a
-partitioned table, pass ``dynamic_partitions=True`` to the sink so only the
-partitions present in the changed rows are rewritten.
+from one plan; ``sinks.files.write_dataset`` stages it and swaps it in.
+
+Keys follow the rule of change capture everywhere: a null matches a null, so a row
+with a null key is updated, deleted and reduced like any other.
+
+``merge_into`` changes a stored table.  A partitioned table is read and rewritten only where
+the changes touch it: the partitions of the changed rows, and those where the changed keys
+live now (a semi join on keys alone), so a key that moves leaves its old partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sinks.files import path_exists, replace_partitions, write_dataset
+from tessera.session import scratch_path
+from tessera.sinks.files import (
+    partition_folders, path_exists, read_partitions, recover, remove, replace_partitions, write_dataset)
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
@@ -41,13 +49,11 @@ def one_per_key(df: DataFrame, keys: Sequence[str], latest_by: str | None = None
     return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def touching(current: DataFrame, changed: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows of ``current`` in the partitions that ``changed`` has rows for; null is a partition too."""
-    t = changed.select(*[F.col(c).alias(f"_t_{c}") for c in cols]).distinct()
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & current[c].eqNullSafe(t[f"_t_{c}"])
-    return current.join(t, cond, "left_semi")
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys where null matches null; the right side's keys do not come out."""
+    r = right.select(*[F.col(c).alias(f"_m_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda x, y: x & y, [left[k].eqNullSafe(r[f"_m_{k}"]) for k in keys])
+    return left.join(r, cond, how).drop(*[f"_m_{k}" for k in keys])
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
@@ -59,7 +65,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], latest_by
     is what gets shuffled or broadcast against target.
     """
     updates = one_per_key(updates, keys, latest_by)
-    keep = target.join(updates.select(*keys), list(keys), "left_anti")
+    keep = matched(target, updates.select(*keys), keys, "left_anti")
     return keep.unionByName(_as_target(updates, target))
 
 
@@ -78,14 +84,14 @@ def update_by_keys(target: DataFrame, updates: DataFrame, keys: Sequence[str],
     wanted = list(dict.fromkeys([*keys, *cols, *([latest_by] if latest_by else [])]))
     updates = one_per_key(updates.select(*wanted), keys, latest_by)
     u = updates.select(*keys, *[F.col(c).cast(types[c]).alias(f"_u_{c}") for c in cols]).withColumn("_hit", F.lit(True))
-    j = target.join(u, list(keys), "left")
+    j = matched(target, u, keys, "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
                       else F.col(c) for c in target.columns])
 
 
 def delete_by_keys(target: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Delete rows whose key appears in ``keys_df``."""
-    return target.join(keys_df.select(*keys), list(keys), "left_anti")
+    return matched(target, keys_df.select(*keys), keys, "left_anti")
 
 
 def scd1(dim: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,49 +99,96 @@ def scd1(dim: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     return upsert(dim, source, keys)
 
 
+def merge_into(spark: SparkSession, path: str, changed: DataFrame, keys: Sequence[str],
+               combine: Callable[[DataFrame, DataFrame], DataFrame], partition_by: Sequence[str] | None = None,
+               moving_keys: bool = True) -> None:
+    """Write ``combine(current rows, changed)`` over the stored table at ``path``.
+
+    With ``partition_by`` only the touched partitions are read and replaced.
+    ``moving_keys=False`` saves the lookup of where the changed keys live now;
+    it is right only where the partition columns are functions of the key.
+    ``changed`` is read more than once: pass a stored frame (see ``batch_of``).
+    """
+    table = spark.read.parquet(path)
+    if not partition_by:
+        write_dataset(combine(table, changed), path)
+        return
+    named = list(dict.fromkeys([*keys, *partition_by]))
+    types = {f.name: f.dataType for f in table.schema.fields}
+    moved = changed.select(*[F.col(c).cast(types[c]).alias(c) for c in named])
+    parts = moved.select(*partition_by)
+    if moving_keys:
+        parts = parts.union(matched(table.select(*named), moved.select(*keys), keys, "left_semi").select(*partition_by))
+    folders = partition_folders(parts, path, partition_by)
+    if folders:
+        current = read_partitions(spark, path, folders, table.schema)
+        replace_partitions(combine(current, changed), path, partition_by, touched=folders)
+
+
+def batch_of(changed: DataFrame, observation: Observation | None = None, *measures) -> tuple[DataFrame, str]:
+    """The changes of one load, written once to the shared folder: (frame, folder to remove)."""
+    spark = changed.sparkSession
+    path = scratch_path(spark, "load-batch")
+    (changed.observe(observation, *measures) if observation else changed).write.parquet(path)
+    return spark.read.schema(changed.schema).parquet(path), path
+
+
 def load(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str] | None = None,
          load_type: str = "INCREMENTAL", partition_by: Sequence[str] | None = None,
-         latest_by: str | None = None) -> str:
+         latest_by: str | None = None, moving_keys: bool = True) -> str:
     """First load vs incremental branch.
 
     FULL, or a target that does not exist yet: overwrite.  INCREMENTAL: upsert
     into the existing content, written to a staging folder and swapped in.
-    With ``partition_by`` (columns that depend only on the key) only the
-    partitions present in ``df`` are read, merged and replaced.  A repeated key
-    in an incremental ``df`` fails unless ``latest_by`` says which row wins.
+    On each way a key has one row: a repeated key in ``df`` fails unless
+    ``latest_by`` says which row wins (a FULL load without keys takes all
+    rows).  With ``partition_by`` an incremental load reads, merges and
+    replaces only the partitions that it touches (see ``merge_into``).  What a
+    lost driver left of an earlier load is put right first.
     """
+    _write(spark, path, df, keys, load_type, partition_by, latest_by, moving_keys)
+    return path
+
+
+def _write(spark, path, df, keys, load_type, partition_by, latest_by, moving_keys, watermark_col=None) -> tuple[int, object]:
+    """Load; returns rows read and their greatest watermark, as observed by the write (0 and None if not asked for)."""
+    seen = Observation() if watermark_col else None
+    measures = (F.count(F.lit(1)).alias("rows"), F.max(watermark_col).alias("high")) if watermark_col else ()
+    recover(spark, path)
     if load_type.upper() == "FULL" or not path_exists(spark, path):
-        return write_dataset(df, path, partition_by=partition_by)
-    if not keys:
-        raise ValueError("incremental load needs keys")
-    current = spark.read.parquet(path)
-    if partition_by:
-        current = touching(current, df, partition_by)
-        replace_partitions(upsert(current, df, keys, latest_by), path, partition_by)
-        return path
-    return write_dataset(upsert(current, df, keys, latest_by), path, partition_by=partition_by)
+        rows = one_per_key(df, keys, latest_by) if keys else df
+        write_dataset(rows.observe(seen, *measures) if seen else rows, path, partition_by=partition_by)
+    else:
+        if not keys:
+            raise ValueError("incremental load needs keys")
+        batch, folder = batch_of(df, seen, *measures)
+        try:
+            if not seen or seen.get["rows"]:
+                merge_into(spark, path, batch, keys, lambda old, new: upsert(old, new, keys, latest_by), partition_by, moving_keys)
+        finally:
+            remove(spark, folder)
+    return (seen.get["rows"], seen.get["high"]) if seen else (0, None)
 
 
 def incremental_load(spark: SparkSession, path: str, source: DataFrame, watermark_col: str, last,
-                     keys: Sequence[str], load_type: str = "INCREMENTAL"):
+                     keys: Sequence[str], load_type: str = "INCREMENTAL",
+                     partition_by: Sequence[str] | None = None, moving_keys: bool = True):
     """Incremental load (H10): rows of ``source`` above the last watermark are
     upserted into the table at ``path`` (FULL reloads everything).  Returns the
     new watermark value; the old one when nothing is new.
 
-    The watermark is read from the table that was written, so rows that reach
-    the source while the load runs are above it and come with the next load.
-    Of a key's several new rows the one with the greatest watermark wins.  An
+    The watermark is observed on the rows while they are written, so the table
+    is not read again, and rows that reach the source while the load runs are
+    above it and come with the next load.  Of a key's several rows the one
+    with the greatest watermark wins, in a FULL and a first load too.  An
     incremental load cannot place rows without a watermark value: they are
     what ``without_watermark`` returns, for a reject output.
     """
     from tessera.operators.dimension import incremental
     full = load_type.upper() == "FULL"
     rows = source if full else incremental(source, watermark_col, last)[0]
-    load(spark, path, rows, keys, load_type, latest_by=watermark_col)
-    seen = spark.read.parquet(path).agg(F.max(watermark_col)).first()[0]
-    if seen is None or (not full and last is not None and seen < last):
-        return last
-    return seen
+    _, high = _write(spark, path, rows, keys, load_type, partition_by, watermark_col, moving_keys, watermark_col)
+    return last if high is None else high
 
 
 def without_watermark(source: DataFrame, watermark_col: str) -> DataFrame:
