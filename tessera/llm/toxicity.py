@@ -7,10 +7,17 @@ Fit (the classifier's bounded part):
   over all documents) times 1 + sqrt(chi-squared) of term and label among them,
   so that telling terms count more and no term is left out.
 
-Index: the examples' weighted TF-IDF vectors over all terms, unit length, as
-postings.  A query is scored against every example: terms that many examples
-have as one matrix product for a batch of queries, all others by their postings.
-The neighbours are those of an exhaustive search, ties by example number.
+Index: the examples' weighted TF-IDF vectors over all terms, unit length, as a
+block-max inverted index over blocks of ``BLOCK`` examples:
+* terms of few examples have postings, added up for every query;
+* terms of at least one example in ``FREQUENT_SHARE`` are one matrix product for a
+  batch of queries;
+* terms in between hold most of the other postings.  For them the index keeps the
+  largest weight in each block.  A query first takes the examples with the greatest
+  bounds, then those whose bound still reaches the 25th best cosine; all others
+  are skipped without a look at these terms.
+The matrix and the block maxima are narrow numbers; what remains is added up in double
+precision, so the neighbours are those of an exhaustive search, ties by example number.
 
 Terms are words and the first ``STEM`` bytes of longer words, so that inflected
 forms share a term.
@@ -20,6 +27,9 @@ votes, so that far neighbours alone decide little; then mapped to a probability
 isotonic regression on the examples' own leave-one-out votes.  Evidence: the
 nearest examples with similarity and label.
 
+The index goes to the executors once, as one broadcast of term counts that the votes,
+the scores and the filter share; each Python worker builds its tables from it once.
+
 A score depends on the text and the fitted index only.
 """
 
@@ -29,10 +39,12 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +56,12 @@ SAMPLE = 12_000
 NEIGHBOURS = 25
 EVIDENCE = 5
 STEM = 5
-DENSE_SHARE = 16  # terms of at least one in so many examples are scored as a matrix
+FREQUENT_SHARE = 16  # terms of at least one in so many examples are scored as a matrix
+MIDDLE_SHARE = 30  # and of at least one in so many by block maxima
+BLOCK = 4
+FIRST = (32, 64)  # examples scored before the bounds are cut, in two rounds
 QUERIES = 64  # texts in one matrix product
+SLACK = 1e-4  # more than the narrow numbers of bounds and the matrix product can be off by
 PRIOR_MASS = 25.0
 THRESHOLD = 0.7
 
@@ -56,73 +72,121 @@ def fold(doc_id: Column) -> Column:
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
-    words = words_of(text)
-    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+    """The distinct terms of a text."""
+    words = set(words_of(text))
+    return [*words, *{w[:STEM] + b"*" for w in words if len(w) > STEM}]
+
+
+class TermIds:
+    """Term -> number, from terms joined by line breaks (no term has white space)."""
+
+    def __init__(self, words: bytes):
+        self.numbers = {w: i for i, w in enumerate(words.split(b"\n"))} if words else {}
+
+    def counted(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """(rising numbers of the text's known terms, how often each stands in it)."""
+        found = Counter(words_of(text))
+        long = [w for w in found if len(w) > STEM]
+        names = chain(found, (w[:STEM] + b"*" for w in long))
+        times = chain(found.values(), map(found.__getitem__, long))
+        m = len(found) + len(long)
+        ids = np.fromiter(map(self.numbers.get, names, repeat(-1)), dtype=np.int64, count=m)
+        n = np.fromiter(times, dtype=np.float64, count=m)
+        known = ids >= 0
+        terms, place = np.unique(ids[known], return_inverse=True)
+        return terms, np.bincount(place, weights=n[known], minlength=len(terms))
 
 
 Vector = tuple[np.ndarray, np.ndarray]  # terms, unit-length weights
 
 
-@dataclass
+def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of several stretches, one after another."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
+
+
+class Lists:
+    """For each example the entries of some terms: (row of the term, weight), one example after another."""
+
+    def __init__(self, rows: np.ndarray, values: np.ndarray, example: np.ndarray, examples: int):
+        self.rows, self.values = rows.astype(np.intp), values
+        self.size = np.bincount(example, minlength=examples)
+        self.first = np.cumsum(self.size) - self.size
+
+    def dot(self, query: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Products with a query (weight by row) for some examples."""
+        size = self.size[examples]
+        at = _within(self.first[examples], size)
+        out = np.zeros(len(examples))
+        if len(at):
+            some = size > 0
+            out[some] = np.add.reduceat(query[self.rows[at]] * self.values[at], (np.cumsum(size) - size)[some])
+        return out
+
+
 class Index:
-    """Exact cosine search over bounded examples; see the module's text."""
-
-    words: dict[bytes, int]
-    weights: np.ndarray  # word -> idf, scaled
-    ids: np.ndarray
-    labels: np.ndarray
-    ptr: np.ndarray  # word -> first posting
-    example: np.ndarray
-    weight: np.ndarray
-    count: np.ndarray | None = None  # term counts and vector lengths that give ``weight``; these are what is sent
-    norm: np.ndarray | None = None
-    votes: np.ndarray | None = None  # calibration: vote -> score, both rising
-    scores: np.ndarray | None = None
+    """Exact cosine search over bounded examples; see the module's text.
+
+    ``terms`` and ``raw`` hold the examples' vectors, one after another;
+    ``sizes`` has their numbers of terms, ``norm`` their lengths.
+    """
+
+    def __init__(self, words: bytes, weights: np.ndarray, ids, labels, sizes, terms: np.ndarray, raw):
+        self.names, self.weights = TermIds(words), weights
+        self.words = self.names.numbers
+        self.ids, self.labels = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64)
+        self.sizes, self.terms, self.raw = np.array(sizes, dtype=np.int64), terms, raw
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.scored = self.asked = 0  # examples whose middle terms were looked at; queries
+        n, width = len(self.ids), len(weights)
+        example = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        values = raw(slice(None))
+        self.norm = np.sqrt(np.bincount(example, weights=values * values, minlength=n))
+        values /= self.norm[example]
+        df = np.bincount(terms, minlength=width)
+        often = df * FREQUENT_SHARE >= max(n, 1)
+        between = (df * MIDDLE_SHARE >= max(n, 1)) & ~often
+        self.frequent, self.frequent_lists = self._lists(often, example, values)
+        self.middle, self.middle_lists = self._lists(between, example, values)
+        at = np.flatnonzero(often[terms])
+        self.often = np.zeros((int(often.sum()), n), dtype=np.float32)
+        self.often[self.frequent[terms[at]], example[at]] = values[at]
+        # examples with the same heaviest term are dealt to different blocks: a block's other examples then add little to a bound
+        heaviest = self.often.argmax(axis=0) if len(self.often) else np.zeros(n, dtype=np.int64)
+        blocks = -(-n // BLOCK)
+        self.block = np.empty(n, dtype=np.int64)
+        self.block[np.argsort(heaviest, kind="stable")] = np.arange(n) % max(blocks, 1)
+        at = np.flatnonzero(between[terms])
+        self.top = np.zeros((int(between.sum()), blocks), dtype=np.float32)
+        # narrow numbers, rounded up
+        np.maximum.at(self.top, (self.middle[terms[at]], self.block[example[at]]), (values[at] * (1 + 1e-6)).astype(np.float32))
+        rare = np.flatnonzero(~(often | between)[terms])
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.example, self.weight = example[rare], values[rare]
+        self.df = np.bincount(terms[rare], minlength=width)
+        self.ptr = np.cumsum(self.df) - self.df
+
+    def _lists(self, chosen: np.ndarray, example: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, Lists]:
+        """Each term's row (-1 without one) and the examples' entries of the chosen terms."""
+        row = np.full(len(chosen), -1, dtype=np.int32)
+        row[chosen] = np.arange(int(chosen.sum()))
+        at = np.flatnonzero(chosen[self.terms])
+        return row, Lists(row[self.terms[at]], values[at], example[at], len(self.ids))
 
     @classmethod
     def build(cls, words: list[bytes], weights: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]) -> Index:
-        """``examples``: (id, label, word -> unit-length weight)."""
-        terms = np.array([t for _, _, v in examples for t in v], dtype=np.int32)
+        """``examples``: (id, label, word -> weight)."""
         values = np.array([w for _, _, v in examples for w in v.values()], dtype=np.float64)
-        index, order = cls._postings(words, weights, [x[0] for x in examples], [x[1] for x in examples],
-                                     [len(v) for _, _, v in examples], terms)
-        index.weight = values[order]
-        return index
-
-    @classmethod
-    def of_counts(cls, words: list[bytes], weights: np.ndarray, ids, labels, sizes, terms: np.ndarray, counts: np.ndarray) -> Index:
-        """From the examples' term counts, one example after another; ``sizes`` has their numbers of terms."""
-        index, order = cls._postings(words, weights, ids, labels, sizes, terms)
-        index.count = counts[order].astype(np.min_scalar_type(int(counts.max(initial=0))))
-        raw = index._raw()
-        index.norm = np.sqrt(np.bincount(index.example, weights=raw * raw, minlength=len(index.ids)))
-        index.weight = raw / index.norm[index.example]
-        return index
+        return cls(b"\n".join(words), weights, [x[0] for x in examples], [x[1] for x in examples], [len(v) for _, _, v in examples],
+                   np.array([t for _, _, v in examples for t in v], dtype=np.int32), lambda part: values[part].copy())
 
     @classmethod
-    def _postings(cls, words, weights, ids, labels, sizes, terms: np.ndarray) -> tuple[Index, np.ndarray]:
-        order = np.argsort(terms, kind="stable")
-        ptr = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(np.bincount(terms, minlength=len(words)), out=ptr[1:])
-        example = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), sizes)[order]
-        return cls({w: i for i, w in enumerate(words)}, weights, np.array(ids, dtype=np.int64),
-                   np.array(labels, dtype=np.int64), ptr, example, np.empty(0)), order
-
-    def _raw(self) -> np.ndarray:
-        return (1.0 + np.log(self.count, dtype=np.float64)) * np.repeat(self.weights, np.diff(self.ptr))
-
-    def __getstate__(self) -> dict:
-        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "column")}
-        if self.count is not None:
-            state["weight"] = None
-        return state | {"words": b"\n".join(self.words)}  # no term has white space
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        n = len(self.ptr) - 1
-        self.words = dict(zip(self.words.split(b"\n"), range(n))) if n else {}
-        if self.weight is None:
-            self.weight = self._raw() / self.norm[self.example]
+    def of_state(cls, state: dict) -> Index:
+        """From term counts (see ``fit``)."""
+        weights, terms, counts = (state[x] for x in ("weights", "terms", "counts"))
+        return cls(state["words"], weights, state["ids"], state["labels"], state["sizes"], terms,
+                   lambda part: (1.0 + np.log(counts[part], dtype=np.float64)) * weights[terms[part]])
 
     def vector(self, text: bytes | None) -> dict[int, float]:
         """Unit-length weights of a text's terms that some example has."""
@@ -130,64 +194,64 @@ class Index:
         return dict(zip(t.tolist(), w.tolist()))
 
     def vector_of(self, text: bytes | None) -> Vector:
-        found = Counter(terms_of(text))
-        get = self.words.get
-        t = np.array([get(x, -1) for x in found], dtype=np.int64)
-        c = np.fromiter(found.values(), dtype=np.float64, count=len(found))
-        order = np.argsort(t)[np.count_nonzero(t < 0):]
-        t = t[order]
-        w = (1.0 + np.log(c[order])) * self.weights[t]
+        t, n = self.names.counted(text)
+        w = (1.0 + np.log(n)) * self.weights[t]
         return t, w / math.sqrt(w @ w) if len(w) else w
 
     def vectors(self, examples: list[int]) -> list[Vector]:
-        """The vectors of some examples (rising), read from the postings."""
-        at = np.flatnonzero(np.isin(self.example, examples))
-        at = at[np.argsort(self.example[at], kind="stable")]
-        terms, cuts = np.searchsorted(self.ptr, at, side="right") - 1, np.searchsorted(self.example[at], examples)
-        return list(zip(np.split(terms, cuts)[1:], np.split(self.weight[at], cuts)[1:]))
-
-    def _split(self) -> None:
-        """The matrix (frequent term x example) and each term's row in it, -1 without one."""
+        """The vectors of some examples."""
+        parts = [slice(a, a + k) for a, k in zip(self.first[examples].tolist(), self.sizes[examples].tolist())]
+        return [(self.terms[p], self.raw(p) / self.norm[e]) for e, p in zip(examples, parts)]
+
+    def _search(self, base: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples and more, with their cosines; ``base`` has the frequent terms' part of every cosine, narrow."""
         n = len(self.ids)
-        often = np.flatnonzero(np.diff(self.ptr) * DENSE_SHARE >= max(n, 1))
-        self.column = np.full(len(self.words), -1, dtype=np.int32)
-        self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
-        for row, t in enumerate(often):
-            p = slice(self.ptr[t], self.ptr[t + 1])
-            self.dense[row, self.example[p]] = self.weight[p]
-
-    def cosines(self, queries: list[Vector]) -> np.ndarray:
-        """(query, example) -> cosine."""
-        if not hasattr(self, "dense"):
-            self._split()
-        n, rest = len(self.ids), []
-        q = np.zeros((len(queries), len(self.dense)))
-        for i, (t, w) in enumerate(queries):
-            c = self.column[t]
-            q[i, c[c >= 0]] = w[c >= 0]
-            rest.append((t[c < 0], w[c < 0]))
-        s = q @ self.dense
-        for i, (t, w) in enumerate(rest):
-            if len(t):
-                lo, hi = self.ptr[t], self.ptr[t + 1]
-                cuts = list(map(slice, lo.tolist(), hi.tolist()))
-                part = np.repeat(w, hi - lo)
-                part *= np.concatenate([self.weight[c] for c in cuts])
-                s[i] += np.bincount(np.concatenate([self.example[c] for c in cuts]), weights=part, minlength=n)
-        return s
+        common, between = self.frequent[t], self.middle[t]
+        rare = np.flatnonzero((common < 0) & (between < 0))
+        size = self.df[t[rare]]
+        at = _within(self.ptr[t[rare]], size)
+        exact = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(w[rare], size), minlength=n)
+        base = base + exact
+        if own >= 0:
+            base[own] = -1.0 - len(t)  # out of reach
+        some = between >= 0
+        rows = between[some]
+        query = np.zeros(len(self.top))
+        query[rows] = w[some]
+        bound = base + (w[some].astype(np.float32) @ self.top[rows])[self.block]
+        seen, middle, least = np.empty(0, dtype=np.int64), np.empty(0), -np.inf
+        for more in (*FIRST, n):  # the greatest bounds, then all that can still get in
+            left = np.flatnonzero(bound >= max(least, 0.0) - SLACK)
+            if more < len(left):
+                left = left[np.argpartition(-bound[left], more)[:more]]
+            if not len(left):
+                break
+            seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, left)])
+            bound[left] = -np.inf
+            scores = base[seen] + middle
+            if len(seen) >= k:
+                least = np.partition(scores, -k)[-k]
+        self.scored += len(seen)
+        self.asked += 1
+        good = np.flatnonzero(base[seen] + middle >= max(least, 0.0) - SLACK)
+        e, middle = seen[good], middle[good]
+        query = np.zeros(len(self.often))
+        query[common[common >= 0]] = w[common >= 0]
+        return e, exact[e] + middle + self.frequent_lists.dot(query, e)
 
     def nearest_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query (examples, cosines) of the k nearest with a positive cosine; its ``without`` is left out."""
         queries, without = iter(queries), repeat(-1) if without is None else iter(without)
         while some := list(islice(queries, QUERIES)):
-            for s, own in zip(self.cosines(some), islice(without, len(some))):
-                if own >= 0:
-                    s[own] = 0
-                least = np.partition(s, -k)[-k] - 1e-9 if len(s) > k else 0
-                e = np.flatnonzero((s >= least) & (s > 0))
-                e = e[np.lexsort((e, -np.round(s[e], 9)))[:k]]
-                yield e, s[e]
+            q = np.zeros((len(some), len(self.often)), dtype=np.float32)
+            for i, (t, w) in enumerate(some):
+                c = self.frequent[t]
+                q[i, c[c >= 0]] = w[c >= 0]
+            for base, (t, w), own in zip(q @ self.often, some, islice(without, len(some))):
+                e, s = self._search(base, t, w, k, own)
+                e, s = e[(s > 0) & (e != own)], s[(s > 0) & (e != own)]
+                best = np.lexsort((e, -np.round(s, 9)))[:k]
+                yield e[best], s[best]
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         q = np.array(list(v), dtype=np.int64), np.array(list(v.values()), dtype=np.float64)
@@ -204,25 +268,40 @@ class Index:
         prior = PRIOR_MASS * float(self.labels.mean())
         return float(((w * self.labels[examples]).sum() + prior) / (w.sum() + PRIOR_MASS))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Isotonic regression (pool adjacent violators) of label on vote, smoothed by one prior example."""
-        prior = (labels.sum() + 0.5) / (len(labels) + 1)
-        xs, inverse = np.unique(np.round(votes, 6), return_inverse=True)
-        good = np.bincount(inverse, weights=labels, minlength=len(xs))
-        n = np.bincount(inverse, minlength=len(xs)).astype(float)
-        pools: list[list[float]] = []  # positives, examples, first and last vote
-        for x, g, c in zip(xs, good, n):
-            pools.append([g, c, x, x])
-            while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-                g2, c2, _, last = pools.pop()
-                pools[-1] = [pools[-1][0] + g2, pools[-1][1] + c2, pools[-1][2], last]
-        level = [(g + prior) / (c + 1) for g, c, _, _ in pools]
-        level = np.maximum.accumulate(np.array(level)) if level else np.array([prior])
-        self.votes = np.array([v for p in pools for v in (p[2], p[3])] or [0.0])
-        self.scores = np.repeat(level, 2) if pools else level
-
-    def score(self, vote: float) -> float:
-        return float(np.interp(round(vote, 6), self.votes, self.scores))
+
+@dataclass
+class Fitted:
+    """The calibrated index: its state on the executors, and the calibration (vote -> score, both rising)."""
+
+    state: Broadcast
+    examples: int
+    votes: np.ndarray
+    scores: np.ndarray
+
+    def index(self) -> Index:
+        """The index itself, built here."""
+        return Index.of_state(self.state.value)
+
+
+def calibrated(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression (pool adjacent violators) of label on vote, smoothed by one prior example: (votes, scores)."""
+    prior = (labels.sum() + 0.5) / (len(labels) + 1)
+    xs, inverse = np.unique(np.round(votes, 6), return_inverse=True)
+    good = np.bincount(inverse, weights=labels, minlength=len(xs))
+    n = np.bincount(inverse, minlength=len(xs)).astype(float)
+    pools: list[list[float]] = []  # positives, examples, first and last vote
+    for x, g, c in zip(xs, good, n):
+        pools.append([g, c, x, x])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            g2, c2, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + g2, pools[-1][1] + c2, pools[-1][2], last]
+    level = [(g + prior) / (c + 1) for g, c, _, _ in pools]
+    level = np.maximum.accumulate(np.array(level)) if level else np.array([prior])
+    return np.array([v for p in pools for v in (p[2], p[3])] or [0.0]), np.repeat(level, 2) if pools else level
+
+
+def score_of(vote: float, votes: np.ndarray, scores: np.ndarray) -> float:
+    return float(np.interp(round(vote, 6), votes, scores))
 
 
 def unit(counts: dict[int, int], weights: np.ndarray) -> dict[int, float]:
@@ -238,7 +317,7 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     toxic: Counter[bytes] = Counter()
     for rb in batches:
         for label, text in zip(rb.column(0).to_pylist(), texts_of(rb.column(1))):
-            terms = set(terms_of(text))
+            terms = terms_of(text)
             have.update(terms)
             if label:
                 toxic.update(terms)
@@ -247,38 +326,44 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
          pa.array([toxic[w] for w in have], pa.int64())], names=["word", "n", "pos"])
 
 
-def _doc_frequency(vocabulary: list[bytes]):
+def _once(state: Broadcast, name: str, make):
+    """What a worker makes of a broadcast, kept beside it for the worker's later tasks."""
+    held = state.value
+    if name not in held:
+        held[name] = make(held)
+    return held[name]
+
+
+def _doc_frequency(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {w: i for i, w in enumerate(vocabulary)}
-        n = np.zeros(len(at) + 1, dtype=np.int64)
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"])).numbers
+        n = np.zeros(len(names) + 2, dtype=np.int64)  # then documents, then terms that no example has
+        total = len(names)
         for rb in batches:
             for text in texts_of(rb.column(0)):
-                found = [i for i in map(at.get, set(terms_of(text))) if i is not None]
-                n[found] += 1
-                n[-1] += 1
-        seen = np.flatnonzero(n)
+                found = terms_of(text)
+                n[np.fromiter(map(names.get, found, repeat(-1)), dtype=np.int64, count=len(found))] += 1
+                n[total] += 1
+        seen = np.flatnonzero(n[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["word", "n"])
     return run
 
 
-def _counts(vocabulary: list[bytes]):
+def _counts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {w: i for i, w in enumerate(vocabulary)}
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"]))
         for rb in batches:
-            terms, counts = [], []
-            for text in texts_of(rb.column(2)):
-                found = sorted(Counter(map(at.__getitem__, terms_of(text))).items())
-                terms.append(np.array([t for t, _ in found], dtype="<i4").tobytes())
-                counts.append(np.array([c for _, c in found], dtype="<i4").tobytes())
+            found = [names.counted(text) for text in texts_of(rb.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), rb.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-                names=["id", "label", "terms", "counts"])
+                [rb.column(0), rb.column(1), pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()),
+                 pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())], names=["id", "label", "terms", "counts"])
     return run
 
 
-def _own_votes(index: Index, neighbours: int):
+def _own_votes(state: Broadcast, neighbours: int):
     """Votes of examples, each without itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _once(state, "index", Index.of_state)
         for rb in batches:
             e = rb.column(0).to_pylist()
             votes = list(index.votes_of(index.vectors(e), neighbours, e))
@@ -286,10 +371,21 @@ def _own_votes(index: Index, neighbours: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> Index:
-    """The calibrated index; ``labels`` has doc_id and toxic (null labels are ignored).
+def _column_bytes(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The values of a binary column, one after another, as numbers."""
+    return np.frombuffer(b"".join(v.as_buffer() for c in table[name].chunks for v in c), dtype=kind)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> Fitted:
+    """The calibrated index; ``labels`` has doc_id and toxic.
+
+    What reaches the driver is bounded by the sample: its terms and its term
+    counts, on their way to the executors; the index is built there.
 
-    What reaches the driver is bounded by the sample: its terms and its vectors.
+    Defined cases: null ids and null labels are ignored, a repeated label counts as its
+    greatest; documents that share a labelled id are examples each; a null or
+    empty text is an example without terms; without labels, or documents, the
+    index is empty and every score 0.5; other columns are not read.
     """
     spark = docs.sparkSession
     chosen = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
@@ -300,34 +396,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     total, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     found = (text_rows(examples, "label", "text").mapInArrow(releasing(_example_terms), "word binary, n bigint, pos bigint")
              .groupBy("word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow().sort_by("word"))
-    vocab = found["word"].to_pylist()
     n, pos = (found[c].to_numpy().astype(float) for c in ("n", "pos"))
+    words = b"\n".join(found["word"].to_pylist())
+    del found
+    vocabulary = spark.sparkContext.broadcast({"words": words})
     chi2 = ((pos * (total - toxic) - (n - pos) * toxic) ** 2 * total
             / (float(max(1, toxic * (total - toxic))) * n * np.maximum(total - n, 1.0)))
-    df = np.zeros(len(vocab) + 1)
-    counted = text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocab)), "word bigint, n bigint").groupBy("word").agg(
+    df = np.zeros(len(n) + 1)
+    counted = text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocabulary)), "word bigint, n bigint").groupBy("word").agg(
         F.sum("n").alias("n")).toArrow()
     df[counted["word"].to_numpy()] = counted["n"].to_numpy()
+    del counted
     weights = (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0) * (1.0 + np.sqrt(chi2))
     rows = text_rows(examples, "id", "label", "text").mapInArrow(
-        releasing(_counts(vocab)), "id bigint, label int, terms binary, counts binary").toArrow()
+        releasing(_counts(vocabulary)), "id bigint, label int, terms binary, counts binary").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
-    terms, counts = rows["terms"].to_pylist(), rows["counts"].to_pylist()
-    index = Index.of_counts(vocab, weights, rows["id"].to_numpy(), rows["label"].to_numpy(), [len(t) // 4 for t in terms],
-                            np.frombuffer(b"".join(terms), dtype="<i4"), np.frombuffer(b"".join(counts), dtype="<i4"))
-    del rows, terms, counts
-    own = spark.range(0, len(index.ids), 1, task_count(spark)).mapInArrow(
-        releasing(_own_votes(index, neighbours)), "id bigint, vote double").toArrow().sort_by("id")
-    index.calibrate(own["vote"].to_numpy(), index.labels)
-    return index
+    known = {"words": words, "weights": weights, "ids": rows["id"].to_numpy(), "labels": rows["label"].to_numpy(),
+             "sizes": pa.compute.binary_length(rows["terms"]).to_numpy() // 4, "terms": _column_bytes(rows, "terms", "<i4")}
+    counts = _column_bytes(rows, "counts", "<u4")
+    known["counts"] = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    labels_of, size = known["labels"].copy(), rows.num_rows
+    del rows, counts
+    state = spark.sparkContext.broadcast(known)
+    del known
+    vocabulary.unpersist()
+    own = spark.range(0, size, 1, task_count(spark)).mapInArrow(
+        releasing(_own_votes(state, neighbours)), "id bigint, vote double").toArrow().sort_by("id")
+    return Fitted(state, size, *calibrated(own["vote"].to_numpy(), labels_of))
+
+
+def _score(fitted: Fitted, neighbours: int, threshold: float):
+    state, votes, scores = fitted.state, fitted.votes, fitted.scores
 
-
-def _score(index: Index, neighbours: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _once(state, "index", Index.of_state)
         for rb in batches:
             score, evidence = [], []
             for e, s in index.nearest_of(map(index.vector_of, texts_of(rb.column(1))), neighbours):
-                score.append(index.score(index.vote(e, s)))
+                score.append(score_of(index.vote(e, s), votes, scores))
                 evidence.append([{"doc_id": int(index.ids[i]), "similarity": float(c), "toxic": int(index.labels[i])}
                                  for i, c in zip(e[:EVIDENCE], s[:EVIDENCE])])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -337,7 +443,7 @@ def _score(index: Index, neighbours: int, threshold: float):
     return run
 
 
-def scored(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, index: Fitted, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, score, predicted, evidence.
 
     Defined cases: a text without a term of any example (null and empty ones too) has
@@ -351,16 +457,23 @@ def scored(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshol
         "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>").withColumnRenamed("row", "doc_id")
 
 
-def _accept(index: Index, neighbours: int, threshold: float, at: int):
+def _accept(fitted: Fitted, neighbours: int, threshold: float, at: int):
+    state, known, scores = fitted.state, fitted.votes, fitted.scores
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _once(state, "index", Index.of_state)
         for rb in batches:
             votes = index.votes_of(map(index.vector_of, texts_of(rb.column(at))), neighbours)
-            keep = [index.score(v) < threshold for v in votes]
+            keep = [score_of(v, known, scores) < threshold for v in votes]
             yield rb.filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def accepted(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows (same columns) whose score is below the threshold, in one pass without a join."""
+def accepted(docs: DataFrame, index: Fitted, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows (same columns) whose score is below the threshold, in one pass without a join.
+
+    Defined cases: as ``scored``; a row of any id, null included, stays or goes by its text alone,
+    so repeated rows share their fate; other columns, whatever their names, pass through.
+    """
     accept = _accept(index, neighbours, threshold, docs.columns.index("text"))
     return text_rows(docs, "*").mapInArrow(releasing(accept), docs.schema)

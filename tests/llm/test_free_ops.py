@@ -293,6 +293,29 @@ def test_nearest_equals_exhaustive_search():
         assert e.tolist() == [x for x, _ in want] and np.allclose(s, [x for _, x in want], atol=1e-8)
 
 
+def test_blocks_are_skipped_and_nothing_is_lost():
+    """Terms of every kind: the search equals an exhaustive one and looks at a part of the examples."""
+    r = np.random.default_rng(8)
+    n, words = 2000, 3000
+    share = np.minimum(0.4, 12.0 / (1 + np.arange(words)))
+    idf = np.log(1 / share) + 1
+    topic = r.integers(0, 8, n // 50)[np.arange(n) // 50]  # neighbours in id order are alike
+    examples = []
+    for e in range(n):
+        has = np.flatnonzero(r.random(words) < share * (1 + 3 * (np.arange(words) % 8 == topic[e])))
+        examples.append((e, 0, toxicity.unit({int(t): int(r.integers(1, 3)) for t in has}, idf)))
+    index = toxicity.Index.build([b"w%d" % i for i in range(words)], idf, examples)
+    assert len(index.often) > 20 and len(index.top) > 20 and len(index.example) > 1000
+    for q in range(60):
+        v = examples[q * 31][2] if q % 3 else toxicity.unit({int(t): 1 for t in r.choice(words, 40, False)}, idf)
+        own = q * 31 if q % 3 == 1 else -1
+        cosines = [(-round(sum(w * x.get(t, 0) for t, w in v.items()), 9), e) for e, (_, _, x) in enumerate(examples) if e != own]
+        want = [(e, -c) for c, e in sorted(x for x in cosines if x[0] < 0)[:25]]
+        e, s = index.nearest(v, 25, own)
+        assert e.tolist() == [x for x, _ in want] and np.allclose(s, [x for _, x in want], atol=1e-8)
+    assert index.asked == 60 and index.scored < 0.7 * 60 * n
+
+
 def tox_tables(spark, n=600):
     rows, labels = [], []
     for i in range(n):
@@ -306,8 +329,9 @@ def tox_tables(spark, n=600):
 def test_scores_separate_and_ignore_ids(spark):
     d, labels = tox_tables(spark)
     index = toxicity.fit(d, labels)
-    assert b"vile" in index.words and b"nasty" in index.words
-    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in index.ids)
+    known = index.index()
+    assert b"vile" in known.words and b"nasty" in known.words
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in known.ids)
     got = toxicity.scored(d, index).collect()
     assert len(got) == 605
     for r in got:
@@ -333,7 +357,7 @@ def test_toxicity_keeps_every_term(spark):
     rows = [(i, f"shared w{i} w{i + 1} {'vile' if i % 5 == 0 else 'kind'}") for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
     d = docs(spark, rows)
-    index = toxicity.fit(d, labels)
+    index = toxicity.fit(d, labels).index()
     used = {i: t for i, t in rows if i in set(index.ids.tolist())}
     assert index.words.keys() == {w for t in used.values() for w in toxicity.terms_of(t.encode())} and (index.weights >= 1).all()
     e, s = index.nearest(index.vector(b"w7 w8"), 25)
