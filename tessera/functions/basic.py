@@ -310,15 +310,17 @@ def uuid_key() -> Column:
     return F.expr("uuid()")
 
 
-NULL_MARK = "\\N"  # marks a null inside row text, so null and '' differ
+def row_text(*cols: ColumnOrName) -> Column:
+    """Each value as length:text, a null as '-': no two different rows share a text."""
+    text = [_c(c).cast("string") for c in cols]
+    return F.concat(*[F.when(t.isNull(), F.lit("-")).otherwise(
+        F.concat(F.char_length(t).cast("string"), F.lit(":"), t)) for t in text])
 
 
 def row_hash(*cols: ColumnOrName, algo: str = "md5") -> Column:
-    """Hash of several columns where null and '' differ (null is marked)."""
-    parts = [F.coalesce(_c(c).cast("string"), F.lit(NULL_MARK)) for c in cols]
-    joined = F.concat_ws("|", *parts)
+    """Hash of several columns (H13) over ``row_text``, so separators or null marks inside values hide no change."""
     if algo == "md5":
-        return F.md5(joined)
+        return F.md5(row_text(*cols))
     if algo.startswith("sha"):
-        return F.sha2(joined, int(algo[3:] or 256))
+        return F.sha2(row_text(*cols), int(algo[3:] or 256))
     raise ValueError(algo)

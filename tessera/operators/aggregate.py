@@ -2,8 +2,9 @@
 
 Grouped aggregates run as partial (map-side) + final aggregation, so a hot
 key is combined on every mapper before the shuffle; no operator here collects
-a group into one buffer except the exact percentile, whose buffer holds one
-entry per distinct value (use ``approx=True`` for a bounded sketch).
+a group into one buffer.  Exact medians and percentiles, of one or several
+measures, come from one ranked pass over the counted values (use
+``approx=True`` for a bounded sketch).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 
 def agg_expr(fn: str, col: str | Column | None = None, approx: bool = False) -> Column:
     """Aggregate function by name."""
@@ -35,9 +38,9 @@ def agg_expr(fn: str, col: str | Column | None = None, approx: bool = False) ->
     if fn == "stddev_pop":
         return F.stddev_pop(c)
     if fn == "median":
-        # exact form keeps each group's distinct values in one buffer: fine for
-        # small groups; use exact_percentile for hot groups or global medians
-        return F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(c, F.lit(0.5))
+        if not approx:
+            raise ValueError("an exact median is not one expression: use aggregate or exact_percentiles")
+        return F.percentile_approx(c, 0.5, 10000)
     if fn in ("count_distinct", "distinct"):
         return F.approx_count_distinct(c) if approx else F.count_distinct(c)
     if fn == "first":
@@ -51,10 +54,17 @@ def aggregate(df: DataFrame, keys: Sequence[str | Column],
     """Grouped (or, with no keys, global) aggregation.
 
     ``measures`` maps output name to (function, column) or to a Column.
-    ``having`` filters groups; ``order`` sorts the output by the keys.
+    ``having`` filters groups; ``order`` sorts the output by the keys.  Exact
+    medians are taken of all their measures in one pass and joined to the other
+    measures by the keys.
     """
-    exprs = [(m if isinstance(m, Column) else agg_expr(*m)).alias(name) for name, m in measures.items()]
-    out = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
+    medians = {n: m[1] for n, m in measures.items()
+               if not isinstance(m, Column) and m[0].lower() == "median" and not (len(m) > 2 and m[2])}
+    exprs = [(m if isinstance(m, Column) else agg_expr(*m)).alias(name) for name, m in measures.items() if name not in medians]
+    if medians:
+        out = _with_medians(df, keys, exprs, medians, list(measures))
+    else:
+        out = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
     if having is not None:
         out = out.filter(having)
     if order and keys:
@@ -93,47 +103,69 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str],
     return df.unpivot(list(ids), list(values), name, value)
 
 
+def _with_medians(df: DataFrame, keys: Sequence[str | Column], exprs: Sequence[Column],
+                  medians: Mapping[str, str | Column], names: Sequence[str]) -> DataFrame:
+    key_names = df.select(*keys).columns
+    by_name = {n: k for n, k in zip(key_names, keys) if isinstance(k, Column)}
+    if keys:
+        rest = df.withColumns(by_name).groupBy(*key_names)
+        rest = rest.agg(*exprs) if exprs else rest.agg(F.count(F.lit(1))).select(*key_names)
+    else:
+        rest = df.agg(*(exprs or [F.count(F.lit(1)).alias("_rows")]))
+    values = {f"_median_{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(medians.values())}
+    long = df.select(*[by_name.get(n, F.col(n)).alias(n) for n in key_names], *[c.alias(n) for n, c in values.items()])
+    found = exact_percentiles(long, key_names, dict(zip(medians, values)))
+    if keys:
+        return _null_safe_join(rest, found, key_names, "left").select(*key_names, *names)
+    one = F.lit(0)
+    return rest.withColumn("_k", one).join(F.broadcast(found.withColumn("_k", one)), "_k").select(*names)
+
+
 def exact_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.5,
                      out: str = "percentile") -> DataFrame:
-    """Exact continuous percentile per group (E8) without a per-group buffer.
+    """Exact continuous percentile of one measure per group (E8); see ``exact_percentiles``."""
+    return exact_percentiles(df, keys, {out: col}, p)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str], p: float = 0.5) -> DataFrame:
+    """Exact continuous percentiles of several measures per group (E8) without a per-group buffer.
 
     ``percentile``/``median`` keep every distinct value of a group in one
     aggregation buffer, which a hot group (or a global median) cannot afford.
-    Here the values are counted per (group, value) -- combined map-side --,
-    cumulative counts come from the distributed running sum (range-partitioned,
-    so a hot group spans many tasks), and the two values around rank
-    p * (n - 1) are picked and interpolated:
-    ``(hi_pos - pos) * v_lo + (pos - lo_pos) * v_hi``.  Nulls are ignored.
+    Here the values of all measures are counted per (group, measure, value) --
+    combined map-side --, cumulative counts come from one distributed running
+    sum (cut into ranges, so a hot group spans many tasks), and the two values
+    around rank p * (n - 1) are picked and interpolated:
+    ``(hi_pos - pos) * v_lo + (pos - lo_pos) * v_hi``.  Nulls are ignored; a
+    group without values has a null, as with ``percentile``.
     """
     from tessera.operators import numbering
-    keys = list(keys)
-    v = F.col(col).cast("double")
-    vc = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-          .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    cum = numbering.running_sum(vc, keys, ["_v"], "_c", "_cum")
-    tot = vc.groupBy(*keys).agg(F.sum("_c").alias("_n")) if keys else vc.agg(F.sum("_c").alias("_n"))
-    if keys:
-        j = _null_safe_join(cum, tot, keys, "inner")
-    else:
-        # the global total is one row: attach it by a broadcast equi-join on a constant
-        j = cum.withColumn("_k", F.lit(0)).join(F.broadcast(tot.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    keys, names = list(keys), list(measures)
+    pairs = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(measures.values())])
+    vc = (df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v").filter(F.col("_v").isNotNull())
+          .groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ensure_checkpoint_dir(df.sparkSession)
+    vc = vc.checkpoint(eager=True)
+    cum = numbering.running_sum(vc, [*keys, "_m"], ["_v"], "_c", "_cum")
+    tot = vc.groupBy(*keys, "_m").agg(F.sum("_c").alias("_n"))
+    j = _null_safe_join(cum, tot, [*keys, "_m"], "inner")
     pos = (F.col("_n") - 1) * F.lit(float(p))
     lo, hi = F.floor(pos), F.ceil(pos)
     prev = F.col("_cum") - F.col("_c")
     j = j.withColumns({"_lo": F.when((prev <= lo) & (lo < F.col("_cum")), F.col("_v")),
                        "_hi": F.when((prev <= hi) & (hi < F.col("_cum")), F.col("_v")),
                        "_pos": pos})
-    g = j.groupBy(*keys) if keys else j.groupBy()
-    r = g.agg(F.max("_lo").alias("_vlo"), F.max("_hi").alias("_vhi"), F.max("_pos").alias("_pos"))
+    r = j.groupBy(*keys, "_m").agg(F.max("_lo").alias("_vlo"), F.max("_hi").alias("_vhi"), F.max("_pos").alias("_pos"))
     lo, hi = F.floor("_pos"), F.ceil("_pos")
     val = F.when(lo == hi, F.col("_vlo")).otherwise((hi - F.col("_pos")) * F.col("_vlo") +
                                                      (F.col("_pos") - lo) * F.col("_vhi"))
-    r = r.select(*keys, val.alias(out))
+    r = r.withColumn("_val", val)
+    wide = [F.max(F.when(F.col("_m") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)]
     if not keys:
-        return r
-    # groups whose values are all null get a null percentile, as with ``percentile``
-    groups = df.select(*keys).distinct()
-    return _null_safe_join(groups, r, keys, "left")
+        return r.agg(*wide)
+    r = r.groupBy(*keys).agg(*wide)
+    # groups whose values are all null get null percentiles
+    return _null_safe_join(df.select(*keys).distinct(), r, keys, "left")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -5,7 +5,9 @@ SCD type 2 plan (``scd2``):
 * closed history rows (IsCurrent = 0) pass through with a filter only;
 * only current rows (one per key) are full-outer-joined to the source
   snapshot (one row per key); every key yields at most two rows: the old
-  current row (kept or expired) and a new version (I/U).  An update's version
+  current row (kept or expired) and a new version (I/U).  Only what changed is
+  written to the checkpoint folder; unchanged rows pass from the dimension by
+  an anti join on the changed keys.  An update's version
   is the current row's plus one; an insert of a key that only has closed
   history (a return after delete) takes the highest closed version plus one,
   from a hash aggregate of an integer over history rows -- history rows are
@@ -113,14 +115,14 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
              .when(has_cur & ~has_src, F.lit("D") if track_deletes else F.lit("C"))
              .when(has_cur & has_src & changed, "U")
              .when(has_cur & has_src, "C"))
-    # the joined change set is written once; old rows, new versions and change types all read it
+    # what changed is written once; expired rows, new versions and change types all read it.
+    # Unchanged rows come from the dimension itself, less the keys that changed.
     ensure_checkpoint_dir(dim.sparkSession)
-    j = j.withColumn("_ct", ctype).checkpoint(eager=True)
-
-    old = j.filter(has_cur).select(
-        *[(F.when(F.col("_ct").isin("U", "D"), ts).otherwise(F.col(f"_cur.{c}")) if c == end_col else
-           F.when(F.col("_ct").isin("U", "D"), F.lit(0)).otherwise(F.col(f"_cur.{c}")) if c == current_col else
-           F.col(f"_cur.{c}")).alias(c) for c in dim_cols])
+    j = j.withColumn("_ct", ctype).filter(F.col("_ct").isin("I", "U", "D")).checkpoint(eager=True)
+    ended = j.filter(F.col("_ct") != "I")
+    same = dim.filter(live).join(ended.select(*keys), list(keys), "left_anti").select(*dim_cols)
+    old = same.unionByName(ended.select(
+        *[(ts if c == end_col else F.lit(0) if c == current_col else F.col(f"_cur.{c}")).alias(c) for c in dim_cols]))
 
     hist_max = history.groupBy(*keys).agg(F.max(version_col).alias("_hmax"))
     inserts = j.filter(F.col("_ct") == "I").join(hist_max, list(keys), "left") \
@@ -141,8 +143,8 @@ def scd2(dim: DataFrame, source: DataFrame, keys: Sequence[str], compare: Sequen
          F.lit(1).cast(types[c]) if c == current_col else
          F.col(c).cast(types[c])).alias(c) for c in dim_cols])
 
-    changes = j.filter(F.col("_ct").isNotNull()).select(
-        *keys, F.col("_ct").alias("change_type"))
+    changes = j.select(*keys, F.col("_ct").alias("change_type")).unionByName(
+        same.select(*keys, F.lit("C").alias("change_type")))
     return {"dimension": history.unionByName(old).unionByName(new), "changes": changes, "rejects": rejects}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ranges import count_reached
 from tessera.session import ensure_checkpoint_dir, scratch_path
 from tessera.sinks.files import write_dataset
 
@@ -27,38 +28,44 @@ def compact(spark: SparkSession, path: str, target_files: int,
 
 
 def _bucket(c: Column, bounds: Sequence, dtype: T.DataType) -> Column:
-    """Rank of a value among fixed quantile bounds (0..len(bounds)); nulls rank lowest."""
+    """Rank of a value among fixed rising bounds (0..len(bounds)), found by halving; nulls rank lowest."""
     if not bounds:
         return F.lit(0).cast("long")
     arr = F.array(*[F.lit(b).cast(dtype) for b in bounds])
-    return F.coalesce(F.size(F.filter(arr, lambda x: x <= c)), F.lit(0)).cast("long")
+    return count_reached(arr, len(bounds), lambda x: x <= c).cast("long")
 
 
 _MEASURED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _ranked_bounds(df: DataFrame, col: str, n: int) -> list:
-    """Exact quantile bounds of any ordered type, by the running count over its distinct values in range partitions."""
+def _ranked_bounds(df: DataFrame, cols: Sequence[str], n: int) -> dict[str, list]:
+    """Exact quantile bounds of columns of one ordered type, all in one pass.
+
+    Their distinct values are counted by (column, value), laid out in range
+    partitions, and meet the quantiles by a running count.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "zorder-values")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = df.select(F.col(col).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(cols)]))
+    counts = df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts.repartitionByRange(parts, "i", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
     counts = spark.read.parquet(path)
-    starts, total = [], 0
-    for r in counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per partition
-        starts.append((r["part"], total))
-        total += r["n"]
-    if not total:
-        return []
-    starts = spark.createDataFrame(starts, "part int, start bigint")
-    end = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-    ranked = counts.join(F.broadcast(starts), "part").withColumn("end", end)
+    starts, total = [], dict.fromkeys(range(len(cols)), 0)
+    for r in counts.groupBy("part", "i").agg(F.sum("n").alias("n")).orderBy("part", "i").collect():  # partitions + columns at most
+        starts.append((r["part"], r["i"], total[r["i"]]))
+        total[r["i"]] += r["n"]
+    starts = spark.createDataFrame([(*s, total[s[1]]) for s in starts], "part int, i int, start bigint, total bigint")
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("part", "i").orderBy("v"))
+    ranked = counts.join(F.broadcast(starts), ["part", "i"]).withColumn("end", end)
     # the first quantile whose row is not before the value's rows is inside them
-    q = F.expr(f"greatest(1L, ((end - n) * {n}L + {total - 1}L) div {total}L)")
-    hit = (F.col("q") < n) & (F.expr(f"{total}L * q div {n}L") < F.col("end"))
-    return sorted(r["v"] for r in ranked.withColumn("q", q).filter(hit).select("v").collect())  # n - 1 at most
+    q = F.expr(f"greatest(1L, ((end - n) * {n}L + total - 1L) div total)")
+    hit = (F.col("q") < n) & (F.expr(f"total * q div {n}L") < F.col("end"))
+    found: dict[str, list] = {c: [] for c in cols}
+    for r in ranked.withColumn("q", q).filter(hit).select("i", "v").collect():  # n - 1 a column at most
+        found[cols[r["i"]]].append(r["v"])
+    return {c: sorted(v) for c, v in found.items()}
 
 
 def _bounds(df: DataFrame, cols: Sequence[str], n: int) -> list[list]:
@@ -71,9 +78,9 @@ def _bounds(df: DataFrame, cols: Sequence[str], n: int) -> list[list]:
         whole = {c: F.nanvl(F.col(c), F.lit(None)) if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.col(c) for c in measured}
         row = df.agg(*[F.percentile_approx(whole[c], share).alias(f"b{i}") for i, c in enumerate(measured)]).first()
         found = {c: sorted(set(row[i] or [])) for i, c in enumerate(measured)}
-    for c in cols:
-        if c not in found:
-            found[c] = _ranked_bounds(df, c, n)
+    rest = [c for c in dict.fromkeys(cols) if c not in found]
+    for kind in dict.fromkeys(types[c].simpleString() for c in rest):
+        found |= _ranked_bounds(df, [c for c in rest if types[c].simpleString() == kind], n)
     return [found[c] for c in cols]
 
 
@@ -91,12 +98,12 @@ def z_value(df: DataFrame, cols: Sequence[str], bits: int = 8) -> Column:
     bounds = _bounds(df, cols, 2 ** bits)
     types = {f.name: f.dataType for f in df.schema.fields}
     buckets = [_bucket(F.col(c), b, types[c]) for c, b in zip(cols, bounds)]
-    z = F.lit(0).cast("long")
     m = len(buckets)
-    for b in range(bits):
-        for j, bk in enumerate(buckets):
-            bit = F.shiftright(bk, b).bitwiseAND(F.lit(1))
-            z = z + F.shiftleft(bit, b * m + j)
+    # a bucket's bits, m places apart: one look-up per column
+    spread = F.array(*[F.lit(sum((v >> b & 1) << (b * m) for b in range(bits))).cast("long") for v in range(2 ** bits)])
+    z = F.lit(0).cast("long")
+    for j, bucket in enumerate(buckets):
+        z = z + F.shiftleft(F.get(spread, bucket.cast("int")), j)
     return z
 
 

@@ -5,21 +5,22 @@ every row on one task, and a window partitioned by a hot key puts that key's
 rows on one task.  The operators here instead:
 
 1. append a tie-break so the order is total (all remaining columns);
-2. range-partition on (group keys, order) and sort within partitions, so a hot
-   group is spread over several equal-sized partitions;
-3. checkpoint to the shared checkpoint folder, so partition contents cannot
-   move if a task is recomputed, and read each row's partition number and
-   position from ``monotonically_increasing_id`` of the checkpointed rows;
-4. compute the per-partition part of the answer locally, and carry values
-   across partition boundaries through a small table.  Because the data is
-   range-partitioned on (keys, order), only the group at the start of a
-   partition can continue from an earlier partition, so the carry table has at
-   most one row per partition: its size is bounded by the partition count and
-   it is broadcast.
-
-Cost: one range shuffle, one checkpoint write, one shuffle on (partition,
-keys) for the local pass, and small aggregates.  Every task handles at most one
-range partition's worth of rows, whatever the key skew.
+2. cut (group keys, order) into ranges of like size, so a hot group is spread
+   over several of them;
+3. compute the per-range part of the answer locally, and carry values
+   over range boundaries through a small table.  Because ranges follow
+   (keys, order), only the group at the start of a range can continue from an
+   earlier one, so the carry table has at most one row per range: its size is
+   bounded by their count and it is broadcast.
+
+Grouped logic (sequence numbers, running sums, lag and lead) takes its ranges from
+explicit bounds (``ranges``): rows are sent by range number, and windows on
+(range, keys) reuse that layout, so the full rows are exchanged once and a
+recomputed task sees the same rows.  An input that is more than a scan is
+checkpointed first, as it is read three times.  The global row number range-partitions,
+sorts and checkpoints to the shared folder, and reads each row's partition
+number and position from ``monotonically_increasing_id`` of the checkpointed
+rows.  Every task handles at most one range's worth of rows, whatever the key skew.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ranges import with_range
 from tessera.session import ensure_checkpoint_dir
 
 _PART, _IDX, _MID = "_nb_part", "_nb_idx", "_nb_mid"
@@ -91,9 +93,13 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
 
 
 def global_row_number(df: DataFrame, order: OrderSpec, out: str = "row_num", start: int = 1,
-                      num_partitions: int | None = None) -> DataFrame:
-    """Contiguous 1..n (from ``start``) over a total order, distributed."""
-    parts = ordered_partitions(df, total_order(df, [], order), num_partitions)
+                      num_partitions: int | None = None, unique: bool = False) -> DataFrame:
+    """Contiguous 1..n (from ``start``) over a total order, distributed.
+
+    ``unique`` says that ``order`` has no ties, which leaves the other columns out of the sort.
+    """
+    exprs = [F.col(o).asc() if isinstance(o, str) else o for o in order] if unique else total_order(df, [], order)
+    parts = ordered_partitions(df, exprs, num_partitions)
     counts = parts.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PART, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -102,10 +108,33 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "row_num", sta
             .drop("_off", _PART, _IDX).select(*df.columns, out))
 
 
+_CHEAP = {"Project", "Filter", "Union", "Generate", "Range", "LocalRelation", "LogicalRelation", "LogicalRDD", "InMemoryRelation",
+          "DataSourceV2ScanRelation"}
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """The frame itself if it is scans with projections and filters, else checkpointed.
+
+    Ranges read their input three times (sample, summary, rows); a join, aggregate or earlier
+    numbering is not to be computed that often, nor a chain of numberings ever more often.
+    """
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in _CHEAP and not node.nodeName().startswith("Relation"):
+            ensure_checkpoint_dir(df.sparkSession)
+            return df.checkpoint(eager=True)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
+
+
 def _segment_frame(df: DataFrame, keys: Sequence[str], order: OrderSpec, num_partitions: int | None):
-    parts = ordered_partitions(df, total_order(df, keys, order), num_partitions)
-    wl = Window.partitionBy(_PART, *keys).orderBy(_IDX)
-    return parts, wl
+    """(rows with their range, the same sent by range, the window over a range and its keys)."""
+    df = _settled(df)
+    exprs = total_order(df, keys, order)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = with_range(df, exprs, n, _PART)
+    return tagged, tagged.repartitionById(n, F.col(_PART)), Window.partitionBy(_PART, *keys).orderBy(*exprs)
 
 
 def group_row_number(df: DataFrame, keys: Sequence[str], order: OrderSpec, out: str = "seq",
@@ -116,9 +145,9 @@ def group_row_number(df: DataFrame, keys: Sequence[str], order: OrderSpec, out:
     if not skew_safe:
         w = Window.partitionBy(*keys).orderBy(*total_order(df, [], order))
         return df.withColumn(out, F.row_number().over(w))
-    parts, wl = _segment_frame(df, keys, order, num_partitions)
+    tagged, parts, wl = _segment_frame(df, keys, order, num_partitions)
     local = parts.withColumn("_lrn", F.row_number().over(wl))
-    summ = parts.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    summ = tagged.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
     wk = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (summ.withColumn("_off", F.sum("_n").over(wk))
              .filter(F.col("_off").isNotNull()).select(_PART, *keys, "_off"))
@@ -142,11 +171,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str,
         w = (Window.partitionBy(*keys).orderBy(*total_order(df, [], order))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumn(out, F.sum(col).over(w))
-    parts, wl = _segment_frame(df, keys, order, num_partitions)
-    if not keys:
-        wl = Window.partitionBy(_PART).orderBy(_IDX)
+    tagged, parts, wl = _segment_frame(df, keys, order, num_partitions)
     local = parts.withColumn("_lsum", F.sum(col).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
-    summ = parts.groupBy(_PART, *keys).agg(F.sum(col).alias("_s"), F.count(F.col(col)).alias("_c"))
+    summ = tagged.groupBy(_PART, *keys).agg(F.sum(col).alias("_s"), F.count(F.col(col)).alias("_c"))
     wk = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (summ.withColumn("_off", F.sum("_s").over(wk)).withColumn("_offc", F.sum("_c").over(wk))
              .filter(F.col("_offc") > 0).select(_PART, *keys, "_off"))
@@ -171,16 +198,14 @@ def shifted(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str, out:
         if has_col:
             res = res.withColumn(has_col, fn(F.lit(1), 1).over(w).isNotNull())
         return res
-    parts, wl = _segment_frame(df, keys, order, num_partitions)
-    if not keys:
-        wl = Window.partitionBy(_PART).orderBy(_IDX)
+    _, parts, wl = _segment_frame(df, keys, order, num_partitions)
     fn = F.lag if direction == "lag" else F.lead
     local = (parts.withColumn("_lv", fn(col, 1).over(wl))
              .withColumn("_lrn", F.row_number().over(wl))
              .withColumn("_lcnt", F.count(F.lit(1)).over(wl.rowsBetween(Window.unboundedPreceding,
                                                                           Window.unboundedFollowing))))
-    summ = parts.groupBy(_PART, *keys).agg(F.max_by(col, _IDX).alias("_last"),
-                                           F.min_by(col, _IDX).alias("_first"))
+    edges = local.filter((F.col("_lrn") == 1) | (F.col("_lrn") == F.col("_lcnt")))
+    summ = edges.groupBy(_PART, *keys).agg(F.max_by(col, "_lrn").alias("_last"), F.min_by(col, "_lrn").alias("_first"))
     wk = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART)
     if direction == "lag":
         carry = (summ.withColumn("_has", F.lag(F.lit(1), 1).over(wk))

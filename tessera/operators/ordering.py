@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import numbering
+from tessera.operators.reconcile import repeated, signed_difference
 from tessera.util import fits_broadcast
 
 SortKey = str | tuple[str | Column, str] | Column
@@ -141,8 +142,10 @@ def funnel(dfs: Sequence[DataFrame], mode: str = "continuous", by_name: bool = F
 
 
 def difference(a: DataFrame, b: DataFrame, keep_duplicates: bool = False) -> DataFrame:
-    """Rows of a not in b (S12): EXCEPT DISTINCT, or EXCEPT ALL."""
-    return a.exceptAll(b) if keep_duplicates else a.subtract(b)
+    """Rows of a not in b (S12): EXCEPT DISTINCT, or EXCEPT ALL by the signed balance of row digests."""
+    if not keep_duplicates:
+        return a.subtract(b)
+    return repeated(signed_difference(a, b).filter("balance > 0"), F.col("balance")).drop("balance")
 
 
 def repartition_stage(df: DataFrame, method: str, n: int | None = None,

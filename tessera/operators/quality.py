@@ -73,9 +73,9 @@ def with_reject_info(bad: DataFrame, run_ts: str | _dt.datetime, rejected_by: st
     return out
 
 
-def number_input(df: DataFrame, order: Sequence[str | Column], out: str = "RowNumber") -> DataFrame:
-    """@INROWNUM over the input in a stated order (distributed, see numbering)."""
-    return numbering.global_row_number(df, order, out, 1)
+def number_input(df: DataFrame, order: Sequence[str | Column], out: str = "RowNumber", unique: bool = False) -> DataFrame:
+    """@INROWNUM over the input in a stated order (distributed, see numbering); ``unique``: the order has no ties."""
+    return numbering.global_row_number(df, order, out, 1, unique=unique)
 
 
 def rejection_summary(df: DataFrame, rules: Mapping[str, Column], first_fail: bool = True) -> DataFrame:

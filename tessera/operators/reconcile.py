@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.basic import row_text
+from tessera.session import ensure_checkpoint_dir, scratch_path
+from tessera.util import maybe_broadcast
+
 
 def compare_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Row counts of both sides and their difference (R1), in one job."""
@@ -48,13 +52,6 @@ def compare_sums(a: DataFrame, b: DataFrame, cols: Sequence[str], scale: int | N
                             "sums_match": F.col("target_sum").eqNullSafe(F.col("source_sum"))})
 
 
-def _row_text(cols: Sequence[Column]) -> Column:
-    """Each value as length:text, a null as '-': no two different rows share a text."""
-    text = [c.cast("string") for c in cols]
-    return F.concat(*[F.when(t.isNull(), F.lit("-")).otherwise(
-        F.concat(F.char_length(t).cast("string"), F.lit(":"), t)) for t in text])
-
-
 def dataset_checksum(df: DataFrame, cols: Sequence[str] | None = None, algo: str = "xxhash64") -> DataFrame:
     """Order-independent, duplicate-sensitive checksum (R3): row count plus the
     sum of a per-row hash, as decimal(38,0) so the sum cannot overflow.
@@ -68,7 +65,7 @@ def dataset_checksum(df: DataFrame, cols: Sequence[str] | None = None, algo: str
     if algo == "xxhash64":
         h = F.xxhash64(*[x for c in cs for x in (c.isNull(), c)]).cast(T.DecimalType(38, 0))
     elif algo == "md5":
-        h = F.conv(F.substring(F.md5(_row_text(cs)), 1, 15), 16, 10).cast(T.DecimalType(38, 0))
+        h = F.conv(F.substring(F.md5(row_text(*cs)), 1, 15), 16, 10).cast(T.DecimalType(38, 0))
     else:
         raise ValueError(algo)
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(h).alias("checksum"))
@@ -85,18 +82,61 @@ def compare_schemas(a: DataFrame, b: DataFrame) -> list[tuple[str, str | None, s
     return out
 
 
+def _digest(df: DataFrame, cols: Sequence[str]) -> Column:
+    """128 bits of a row; nulls count, inside nested values too."""
+    parts = []
+    for c in cols:
+        nested = isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType))
+        v = F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "false"}) if nested else F.col(c)
+        parts += [v.isNull(), v]
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2"))
+
+
+REPEATS = 10_000  # copies of a row that one array holds on their way out
+
+
+def signed_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Multiset difference both ways (R5, S12): the columns, and ``balance``, how many more often a row is in ``a``.
+
+    One union with +1 and -1 per row digest and one aggregate, combined on the
+    mappers, so each input is read once and 16 bytes and a count per row are
+    shuffled.  Only the digests with a nonzero balance then meet the rows again,
+    which are counted by value.  The columns are matched by position, and nulls are equal.
+    """
+    spark, cols = a.sparkSession, a.columns
+    ensure_checkpoint_dir(spark)
+    b = b.toDF(*cols)
+    side = lambda df, sign: df.select(_digest(df, cols).alias("_d"), F.lit(sign).alias("_s"))
+    path = scratch_path(spark, "balance")
+    (side(a, 1).union(side(b, -1)).groupBy("_d").agg(F.sum("_s").alias("_net")).filter("_net <> 0")
+     .select("_d").write.parquet(path))
+    odd = maybe_broadcast(spark.read.parquet(path).withColumnRenamed("_d", "_odd"))
+    rows = lambda df, sign: (df.withColumn("_d", _digest(df, cols)).join(odd, F.col("_d") == F.col("_odd"), "left_semi")
+                             .select(*cols, F.lit(sign).alias("_s")))
+    out = rows(a, 1).union(rows(b, -1)).groupBy(*cols).agg(F.sum("_s").alias("balance"))
+    return out.filter("balance <> 0")
+
+
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as a count says, a bounded array at a time."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / REPEATS)))
+    out = df.withColumn("_times", times).withColumn("_block", blocks)
+    left = F.least(F.lit(REPEATS).cast("long"), F.col("_times") - F.col("_block") * REPEATS)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_times", "_block", "_copy")
+
+
 def compare_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None,
                  compare: Sequence[str] | None = None) -> DataFrame:
     """Differences between two datasets.
 
     Without keys: rows only in source / only in target, duplicates counted
-    (EXCEPT ALL both ways), with a ``side`` column.  With keys: one row per
+    (see ``signed_difference``), with a ``side`` column.  With keys: one row per
     differing cell (keys, column_name, source_value, target_value), plus rows
     for keys present on one side only (column_name null).
     """
     if not keys:
-        return (a.exceptAll(b).withColumn("side", F.lit("source_only"))
-                .unionByName(b.exceptAll(a).withColumn("side", F.lit("target_only"))))
+        d = signed_difference(a, b).withColumn("side", F.when(F.col("balance") > 0, "source_only").otherwise("target_only"))
+        return repeated(d, F.abs("balance")).drop("balance")
     compare = list(compare or [c for c in a.columns if c not in keys])
     A = a.select(*keys, *compare).withColumn("_a", F.lit(True)).alias("a")
     B = b.select(*keys, *compare).withColumn("_b", F.lit(True)).alias("b")

@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _true(p: Column) -> Column:
@@ -124,6 +125,46 @@ def classify(df: DataFrame, name: str, cases: Sequence[tuple[Column, object]], d
     return df.withColumn(name, expr)
 
 
+def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Nested columns to flat ones, by a walk over the schema.
+
+    * A struct becomes its fields, named by their path (``order_customer_id``); a
+      null struct gives nulls.
+    * An array becomes rows, one per element, under the array's name; an empty or
+      null array keeps its row, with a null (``explode_outer``).  Two arrays beside
+      each other give every combination of their elements.
+    * A map becomes rows of ``<name>_key`` and ``<name>_value``, in the same way.
+
+    It goes on until nothing nested is left.  Names are taken in schema order, without
+    regard to case; one that is taken gets the next free number
+    (``order_id_2``).  Other columns keep their names.  One projection or
+    generator per nested column: no shuffle, whatever the depth.
+    """
+    out = df
+    while True:
+        fields = out.schema.fields
+        at = next((i for i, f in enumerate(fields) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))), None)
+        if at is None:
+            return out
+        taken = {f.name.lower() for i, f in enumerate(fields) if i != at}
+
+        def free(name: str, taken=taken) -> str:
+            found, n = name, 2
+            while found.lower() in taken:
+                found, n = f"{name}{sep}{n}", n + 1
+            taken.add(found.lower())
+            return found
+        name, kind = fields[at].name, fields[at].dataType
+        quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in fields]
+        if isinstance(kind, T.StructType):
+            new = [quoted[at].getField(f.name).alias(free(f"{name}{sep}{f.name}")) for f in kind.fields]
+        elif isinstance(kind, T.ArrayType):
+            new = [F.explode_outer(quoted[at]).alias(name)]
+        else:
+            new = [F.explode_outer(quoted[at]).alias(free(f"{name}{sep}key"), free(f"{name}{sep}value"))]
+        out = out.select(*quoted[:at], *new, *quoted[at + 1:])
+
+
 def with_audit(df: DataFrame, job: str, run_id: str, run_ts: str | _dt.datetime,
                processed_by: str | None = None, prefix: str = "") -> DataFrame:
     """Audit/metadata columns (C10) from a fixed run clock so replays agree."""

@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from tessera.plans import queries_core, queries_loads, queries_more, queries_ops, queries_ops2, queries_text  # noqa: F401
+    from tessera.plans import queries_checks, queries_core, queries_loads, queries_more, queries_ops, queries_ops2, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -256,9 +256,9 @@ register("b10_zorder_nine_columns", "SELECT count(*) AS orders, true AS not_nega
 # ------------------------------------------------------------------ matching rows
 
 def _match_rows(spark, d):
-    """Benchmark words of every length joined by spelling to the distinct benchmark words of 3 letters or more."""
+    """Benchmark words joined by spelling to the distinct benchmark words, of every length on both sides."""
     left = TB(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word <> ''")
-    right = queries_ops.words(TB(spark, d, "benchmark"), "text").filter(F.length("word") >= 3)
+    right = queries_ops.words(TB(spark, d, "benchmark"), "text")
     return matching.fuzzy_match(left, right, "word", "word", 1).select(
         "item_id", "word", F.col("right_word").alias("other"), F.col("match_distance").cast("int").alias("distance"))
 
@@ -266,7 +266,7 @@ def _match_rows(spark, d):
 register("d13_fuzzy_match_rows", """
 WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark)
 SELECT l.item_id, l.word, r.word AS other, CAST(levenshtein(l.word, r.word) AS INTEGER) AS distance
-FROM w l, (SELECT DISTINCT word FROM w WHERE length(word) >= 3) r
+FROM w l, (SELECT DISTINCT word FROM w WHERE word <> '') r
 WHERE l.word <> '' AND levenshtein(l.word, r.word) <= 1
 """)(_match_rows)
 
@@ -274,11 +274,15 @@ WHERE l.word <> '' AND levenshtein(l.word, r.word) <= 1
 # ------------------------------------------------------------------ catalog and partitioning
 
 def _saved_table(spark, d):
-    name = f"tessera_saved_{abs(hash(d)) % 10**8}"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = scratch_path(spark, "saved-table")
+    name = "tessera_" + path.rsplit("-", 1)[1]
     sinks.save_table(TB(spark, d, "supplier"), name, bucket_by=(4, ["s_suppkey"]))
-    sinks.analyze(spark, name, ["s_suppkey"])
-    return sources.read_table(spark, name)
+    try:
+        sinks.analyze(spark, name, ["s_suppkey"])
+        sources.read_table(spark, name).write.parquet(path)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(path)
 
 
 register("a8_b7_b11_saved_table", "SELECT * FROM supplier")(_saved_table)

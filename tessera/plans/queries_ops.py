@@ -78,12 +78,9 @@ WITH raw AS (
 """
 
 register("f09_h13_checksum_row_hash", _RAW_CUSTOMERS_SQL + r"""
-SELECT CustomerID, md5(concat_ws('|', FirstName, LastName, Email)) AS checksum,
-       md5(concat_ws('|', coalesce(CAST(CustomerID AS VARCHAR), '\N'), coalesce(Email, '\N'),
-                     coalesce(Status, '\N'))) AS row_md5,
-       sha256(concat_ws('|', coalesce(CAST(CustomerID AS VARCHAR), '\N'), coalesce(Email, '\N'),
-                        coalesce(Status, '\N'))) AS row_sha256
-FROM raw
+SELECT CustomerID, md5(concat_ws('|', FirstName, LastName, Email)) AS checksum, md5(t) AS row_md5, sha256(t) AS row_sha256
+FROM (SELECT *, coalesce(length(CAST(CustomerID AS VARCHAR)) || ':' || CustomerID, '-') || coalesce(length(Email) || ':' || Email, '-')
+                || coalesce(length(Status) || ':' || Status, '-') AS t FROM raw)
 """)(_f_hashes)
 
 

@@ -119,12 +119,14 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected records with their input row number.
 
-    Only the order key of all rows is numbered; the numbers then meet the rejected rows.
+    One numbering pass over (order key, the reject or null): all rows are
+    counted, and only rejects carry their columns through it.
     """
-    raw = fixtures.transactions_raw(spark, sf_dir)
-    numbers = quality.number_input(raw.select("_event_id"), ["_event_id"], "RowNumber")
-    bad = validated(raw).filter(F.col("svErrorCode") != "")
-    return reject_output(bad.join(numbers, "_event_id"))
+    v = validated(fixtures.transactions_raw(spark, sf_dir))
+    cols = [*RAW_COLS, "svErrorCode", "svErrorDescription"]
+    slim = v.select("_event_id", F.when(F.col("svErrorCode") != "", F.struct(*cols)).alias("reject"))
+    numbered = quality.number_input(slim, ["_event_id"], "RowNumber", unique=True).filter(F.col("reject").isNotNull())
+    return reject_output(numbered.select("reject.*", "RowNumber"))
 
 
 ORACLE_INPUT = """
