@@ -2,6 +2,13 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again,
 and all but the last return the columns of documents.
+
+Defined cases, for every stage: a null doc_id is a row like any other; null and empty
+texts pass the filters (they hold nothing toxic, no shingle and no benchmark window)
+and are mixed and packed as texts without tokens; repeated rows are judged
+alike, and of rows with equal id and text the near-duplicate stage keeps one;
+extra columns, whatever their names, are kept up to the mix; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
