@@ -14,8 +14,9 @@ rarest, is a complete prefix:
 
 The document side is scanned, exploded and probed in one stage without a
 shuffle; only verified hits are shuffled.  The item side is broadcast in blocks
-of at most ``block_rows`` rows, so its memory is bounded however large the
-benchmark is.
+of at most ``block_rows`` rows of one window each, so its memory is bounded however
+large the benchmark is and however many items share a window: which items hold
+it is joined to the verified hits, by the window's number.
 """
 
 from __future__ import annotations
@@ -45,15 +46,17 @@ def _leading(words: str) -> Column:
     return (F.get(words, F.lit(0)) == "").cast("int")
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows: words, len, items (sorted ids as text) that hold them."""
+def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (win_id, win, len), and which items (ids as text) hold them (win_id, item)."""
     w = (items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
                       F.filter(pieces(F.col("text")), lambda w: w != "").alias("words"))
          .filter(F.size("words") > 0)
          .withColumn("len", F.least(F.size("words"), F.lit(window)))
          .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)))
          .select("item", "len", F.slice("words", F.col("at"), F.col("len")).alias("win")))
-    return w.groupBy("win", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # words hold no blank, so the joined window is the window
+    w = stored(w.select(F.md5(F.array_join("win", " ")).alias("win_id"), "win", "len", "item").distinct(), "decon-windows")
+    return w.select("win_id", "win", "len").distinct(), w.select("win_id", "item")
 
 
 def _key(hashes: list[Column]) -> Column:
@@ -61,9 +64,9 @@ def _key(hashes: list[Column]) -> Column:
 
 
 def _window_shingles(windows: DataFrame) -> DataFrame:
-    """(win, len, items, off, key, size): every shingle of every window."""
+    """(win_id, win, len, off, key, size): every shingle of every window."""
     size = F.least(F.col("len"), F.lit(SHINGLE))
-    at = windows.select("win", "len", "items", size.alias("size"),
+    at = windows.select("win_id", "win", "len", size.alias("size"),
                         F.explode(F.sequence(F.lit(0), F.col("len") - size)).alias("off"))
     key = None
     for k in range(1, SHINGLE + 1):
@@ -98,13 +101,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, row_key, start, len, items): every occurrence of an item window in a document."""
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, start, len, win_id): every occurrence of an item window in a document; and (win_id, item)."""
     base = docs.select(F.col("doc_id"), F.xxhash64(F.col("text")).alias("row_key"), F.col("text"))
-    shingles = stored(_window_shingles(item_windows(items, window)), "decon-shingles")
+    windows, held_by = item_windows(items, window)
+    shingles = stored(_window_shingles(windows), "decon-shingles")
     sizes = [(r["size"], r["n"]) for r in shingles.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not sizes:
-        return _no_hits(base)
+        return _no_hits(base), held_by
     counts = []
     for size, n in sizes:  # at most SHINGLE sizes
         keys = shingles.filter(F.col("size") == size).select("key").distinct()
@@ -112,10 +116,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_rows: in
             counts.append(_doc_shingles(base, size, []).join(F.broadcast(block), "key")
                           .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     counted = shingles.join(_union(counts), "key", "left")
-    prefix = (counted.groupBy("win", "len", "items")
+    prefix = (counted.groupBy("win_id", "win", "len")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off", "size")).alias("p"))
               .filter(F.col("p.n") > 0)
-              .select("win", "len", "items", "p.key", "p.off", "p.size"))
+              .select("win_id", "win", "len", "p.key", "p.off", "p.size"))
     prefix = stored(prefix, "decon-prefix")
     found = []
     for size, n in ((r["size"], r["n"]) for r in prefix.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()):
@@ -124,14 +128,13 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_rows: in
             start = F.col("pos") - F.col("off")
             found.append(cand.filter((start >= 0) & (start + F.col("len") <= F.size("words")))
                          .filter(F.slice("words", start + 1, F.col("len")) == F.col("win"))
-                         .select("doc_id", "row_key", (start - _leading("words")).alias("start"), "len", "items"))
-    return _union(found) if found else _no_hits(base)
+                         .select("doc_id", "row_key", (start - _leading("words")).alias("start"), "len", "win_id"))
+    return (_union(found) if found else _no_hits(base)), held_by
 
 
 def _no_hits(base: DataFrame) -> DataFrame:
     return (base.filter(F.lit(False))
-            .select("doc_id", "row_key", F.lit(0).alias("start"), F.lit(0).alias("len"),
-                    F.array().cast("array<string>").alias("items")))
+            .select("doc_id", "row_key", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("win_id")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,9 +147,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     one result, rows that share an id only are told apart by ``row_key``; a null
     doc_id is a row like any other; empty tables give no hits or no rows.
     """
-    per_doc = hits(docs, items, window).groupBy("doc_id", "row_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found, held_by = hits(docs, items, window)
+    found = stored(found, "decon-hits")
+    spans = found.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    held = (found.select("doc_id", "row_key", "win_id").distinct().join(held_by, "win_id").groupBy("doc_id", "row_key")
+            .agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.col("doc_id").alias("i_id"), F.col("row_key").alias("i_key"), "items"))
+    per_doc = spans.join(held, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("row_key") == F.col("i_key"))).drop("i_id", "i_key")
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, s: F.struct(
@@ -168,8 +174,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents (same columns) that hold no item window."""
-    bad = (hits(docs, items, window).select(F.col("doc_id").alias("h_id"), F.col("row_key").alias("h_key")).distinct())
+    """The documents (same columns) that hold no item window.
+
+    Defined cases: as ``contamination``; a row stays or goes by its own id and text, so
+    repeated rows share their fate; extra columns, whatever their names, are kept; without items all rows stay.
+    """
+    bad = (hits(docs, items, window)[0].select(F.col("doc_id").alias("h_id"), F.col("row_key").alias("h_key")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
     left = rows.join(bad, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left_anti")
     return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -4,8 +4,9 @@ Shipping one row per window would cost several times the input.  Tasks instead
 hash the windows of a batch of documents with numpy and ship one packed blob
 per batch and bucket: 7 bytes of each hash, and delta-coded positions.  The
 bucket (hash modulo the number of partitions) adds its bits to the 56 stored
-ones, so the compared hash has 56 + log2(partitions) bits and widens as the data
-and its partitions grow.
+ones, so 56 + log2(partitions) of a hash's 64 bits are compared, never more than 64.
+Where that is too few, a second hash from independent word hashes and another
+base goes along.
 
 A batch is closed at ``BATCH_WINDOWS`` windows, or at ``BLOB_ENTRIES`` per bucket
 if that is more, so that blobs stay large against their headers; what a task
@@ -30,6 +31,7 @@ NO_ID = np.iinfo(np.int64).max  # a null id sorts after every id
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's fixed multipliers
 _ODD = 0x9E3779B97F4A7C15  # odd base of the rolling hash: 2^64 / golden ratio
+SECOND_ODD = 0xD1342543DE82EF95  # an odd multiplier of published 64-bit congruential generators
 
 
 class WordHashes(dict):
@@ -45,6 +47,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class WordDigests(dict):
+    """word (bytes) -> 128-bit hash as two independent 64-bit ones; forgets all when it has grown too large."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_128_digest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """One row per word."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8").reshape(-1, 2)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX1
     h = (h ^ (h >> np.uint64(27))) * _MIX2
@@ -58,15 +74,15 @@ class Rolling:
     (S(i + width) - S(i)) * B^-i; B is odd, so its inverse exists.
     """
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, base: int = _ODD):
+        self.width, self.odd = width, base
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            inverse = pow(_ODD, -1, 1 << 64)
-            base = np.full(size, _ODD, dtype=np.uint64)
+            inverse = pow(self.odd, -1, 1 << 64)
+            base = np.full(size, self.odd, dtype=np.uint64)
             back = np.full(size, inverse, dtype=np.uint64)
             base[0] = back[0] = 1
             self.up, self.down = np.cumprod(base), np.cumprod(back)
@@ -125,6 +141,34 @@ def unpack_hashes(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def pack_short(h: np.ndarray) -> bytes:
+    """The upper 3 bytes of each hash."""
+    return (h >> np.uint64(40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def unpack_short(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, dtype=np.uint8).reshape(-1, 3)
+    out = np.zeros((len(raw), 4), dtype=np.uint8)
+    out[:, :3] = raw
+    return out.reshape(-1).view("<u4")
+
+
+def repeats(h: np.ndarray, second: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Indexes (rising) of the entries whose two hashes another entry with a smaller ``own`` has."""
+    if not len(h):
+        return np.empty(0, dtype=np.int64)
+    order = np.argsort(h, kind="stable")
+    new = group_starts(h[order])
+    x = second[order]
+    if (~new[1:] & (x[1:] != x[:-1])).any():  # one hash of different windows
+        order = np.lexsort((second, h))
+        new = group_starts(h[order], second[order])
+    start = np.flatnonzero(new)
+    mine = own[order]
+    least = np.repeat(np.minimum.reduceat(mine, start), np.diff(np.append(start, len(h))))
+    return np.sort(order[mine > least])
+
+
 def join_parts(parts: list[bytes]) -> bytes:
     head = np.array([len(parts), *map(len, parts)], dtype="<u8").tobytes()
     return head + b"".join(parts)

@@ -307,6 +307,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         G.releasing(_verify(num, den)), "u binary, v binary, both bigint, linked boolean")
 
 
+def _normal(pairs: DataFrame) -> DataFrame:
+    """Pairs with the smaller class as u, so that a pair is one whichever side found it."""
+    swap = F.col("u") > F.col("v")
+    two = lambda a, b: (F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a), F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b))
+    return pairs.select(*two("u", "v"), *two("nu", "nv"), *two("pu", "pv"))
+
+
 def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Links (u, v) that connect every pair of classes with Jaccard >= similarity.
 
@@ -327,12 +334,13 @@ def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     star = (met.filter(_bounded(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), num, den))
             .select(F.col("hub").alias("u"), F.col("node").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv"),
                     F.col("hub_pos").alias("pu"), F.col("pos").alias("pv")))
-    near = stored(_verified(star, sets, num, den), "jaccard-near")
+    near = stored(_verified(_normal(star), sets, num, den), "jaccard-near")
     first = near.filter("linked").select("u", "v")
     comp = stored(components(first), "jaccard-components")
     placed = (met.join(comp.withColumnRenamed("root", "own_root"), "node", "left")
               .join(comp.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-              .join(near.select(F.col("u").alias("hub"), F.col("v").alias("node"), "both"), ["hub", "node"], "left")
+              .withColumns({"u": F.least("hub", "node"), "v": F.greatest("hub", "node")})
+              .join(near.select("u", "v", "both"), ["u", "v"], "left")
               .select("token", "node", "n", "pos", "idx", "alone", "both", F.coalesce("own_root", "node").alias("comp"),
                       F.coalesce("hub_root", "hub").alias("hub_comp")))
     placed = stored(placed, "jaccard-placed")
@@ -349,11 +357,7 @@ def links(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
                    & _bounded(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), num, den))
     cross = cross.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"),
                          F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
-    cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
-                         F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
-                         F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"),
-                         F.when(F.col("u") < F.col("v"), F.col("pu")).otherwise(F.col("pv")).alias("pu"),
-                         F.when(F.col("u") < F.col("v"), F.col("pv")).otherwise(F.col("pu")).alias("pv"))
+    cross = _normal(cross).join(near.select("u", "v"), ["u", "v"], "left_anti")  # those are verified
     second = _verified(cross, sets, num, den).filter("linked").select("u", "v")
     return first.union(second)
 
@@ -390,7 +394,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: tuple[int
 def one_per_group(docs: DataFrame, width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The documents (same columns), one of each component: the one with the smallest id, then text hash.
 
-    Documents without words all stay; rows that share id and text count as one.
+    Defined cases: documents without words all stay; rows that share id and text
+    count as one, of which the one whose other columns are smallest (as JSON
+    text) stays, however the rows are partitioned; a null id comes after every
+    id; extra columns, whatever their names, are kept; an empty table gives no rows.
     """
     found = near_duplicates(docs, width, similarity)
     key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(int(G.NO_ID)))
@@ -398,9 +405,10 @@ def one_per_group(docs: DataFrame, width: int = SHINGLE, similarity: tuple[int,
              .agg(F.min(F.struct(key("doc_id").alias("id"), "row_key")).alias("m")).select("m.id", "m.row_key"))
     blank = found.filter(F.col("root").isNull()).select(key("doc_id").alias("id"), "row_key").distinct()
     stay = first.union(blank).select(F.col("id").alias("s_id"), F.col("row_key").alias("s_key"))
-    rows = docs.select(F.struct("*").alias("row"), key("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    others = F.to_json(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]))
+    rows = docs.select(F.struct("*").alias("row"), key("doc_id").alias("id"), F.xxhash64("text").alias("key"), others.alias("others"))
     kept = rows.join(stay, (F.col("id") == F.col("s_id")) & (F.col("key") == F.col("s_key")), "left_semi")
-    kept = kept.groupBy("id", "key").agg(F.first("row").alias("row"))
+    kept = kept.groupBy("id", "key").agg(F.min_by("row", "others").alias("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

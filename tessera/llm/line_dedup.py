@@ -5,9 +5,11 @@
 2. The entries are range-partitioned on (hash, document) and sorted by hash,
    document and position.  As the document is part of the range key, a line that
    a third of all documents share is spread over many partitions.
-3. Each partition streams its sorted entries: hash groups inside it are decided
-   at once; its first and last group may go on in a neighbour, so they are left
-   open and send one summary row each (at most two per partition, broadcast).
+3. Each partition streams its sorted entries, a batch at a time.  Between batches
+   it holds the open hash group only, and of that, once enough documents have the
+   line, only the latest document: what stands before it is dropped at once.
+   A partition's first and last group may go on in a neighbour, so what is left of
+   them stays open and sends one summary row each (at most two per partition, broadcast).
 4. Dropped positions go back by document and become compressed keep bitmaps.
 """
 
@@ -57,31 +59,51 @@ def _line_keys(min_chars: int):
     return run
 
 
+def _with_state(rows: pa.Table, state: int) -> Iterator[pa.RecordBatch]:
+    yield from (rows.append_column("state", pa.array(np.full(len(rows), state, dtype=np.int32)))
+                .append_column("n", pa.array(np.zeros(len(rows), dtype=np.int64))).to_batches())
+
+
+def _summary(hi: int, lo: int, doc: int, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x], pa.int64()) for x in (hi, lo, doc, 0)] + [pa.array([[]], pa.list_(pa.int32())), pa.array([_SUMMARY], pa.int32()),
+                                                                pa.array([n], pa.int64())],
+        names=["hi", "lo", "doc", "row_key", "at", "state", "n"])
+
+
 def _stream(min_docs: int):
     """Decides the groups of one sorted range partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [rb for rb in batches if rb.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        hi, lo, doc = (t.column(c).to_numpy() for c in ("hi", "lo", "doc"))
-        start = np.flatnonzero(group_starts(hi, lo))
-        size = np.diff(np.append(start, len(hi)))
-        n_docs = np.add.reduceat(group_starts(hi, lo, doc).astype(np.int64), start)
-        last = doc[start + size - 1]  # sorted by document: the largest id
-        inner = np.ones(len(start), dtype=bool)
-        inner[[0, -1]] = False
-        drop = np.repeat(inner & (n_docs >= min_docs), size) & (doc < np.repeat(last, size))
-        left = np.repeat(~inner, size)
-        for mask, state in ((drop, _DROP), (left, _OPEN)):
-            rows = t.filter(pa.array(mask))
-            yield from (rows.append_column("state", pa.array(np.full(len(rows), state, dtype=np.int32)))
-                        .append_column("n", pa.array(np.zeros(len(rows), dtype=np.int64))).to_batches())
-        ends = np.unique([0, len(start) - 1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hi[start[ends]]), pa.array(lo[start[ends]]), pa.array(last[ends]), pa.array([0] * len(ends), pa.int64()),
-             pa.array([[]] * len(ends), pa.list_(pa.int32())), pa.array([_SUMMARY] * len(ends), pa.int32()),
-             pa.array(n_docs[ends])], names=["hi", "lo", "doc", "row_key", "at", "state", "n"])
+        held, before, first = None, 0, True  # rows of the open group; its documents that went; whether it is the partition's first
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            t = pa.Table.from_batches([rb])
+            t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+            hi, lo, doc = (t.column(c).to_numpy() for c in ("hi", "lo", "doc"))
+            start = np.flatnonzero(group_starts(hi, lo))
+            size = np.diff(np.append(start, len(hi)))
+            n_docs = np.add.reduceat(group_starts(hi, lo, doc).astype(np.int64), start)
+            n_docs[0] += before
+            last = doc[start + size - 1]  # sorted by document: the largest id so far
+            drop = np.repeat(n_docs >= min_docs, size) & (doc < np.repeat(last, size))
+            yield from _with_state(t.filter(pa.array(drop)), _DROP)
+            end = int(start[-1])
+            if first and end:  # the first group has ended
+                left = ~drop
+                left[int(size[0]):] = False
+                yield from _with_state(t.filter(pa.array(left)), _OPEN)
+                yield _summary(int(hi[0]), int(lo[0]), int(last[0]), int(n_docs[0]))
+                first = False
+            stay = ~drop
+            stay[:end] = False
+            held = t.filter(pa.array(stay))
+            before = int(n_docs[-1]) - 1 if n_docs[-1] >= min_docs else before if not end else 0
+        if held is not None:
+            yield from _with_state(held, _OPEN)
+            doc = held.column("doc").to_numpy()
+            yield _summary(held.column("hi")[0].as_py(), held.column("lo")[0].as_py(), int(doc[-1]),
+                           before + int(group_starts(doc).sum()))
     return run
 
 

@@ -99,7 +99,12 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document (same columns), once per copy."""
+    """The mix itself: each document (same columns), once per copy.
+
+    Defined cases: as ``taken``; empty documents are drawn at their source's rate, which is 0
+    where the whole source is empty; repeated rows are each emitted as often as they draw; extra
+    columns, whatever their names, are kept; an empty table gives no rows.
+    """
     m = _with_copies(docs, docs.columns, weights, cap, seed).filter(F.col("copies") > 0)
     m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return m.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

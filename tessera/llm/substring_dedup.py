@@ -1,11 +1,13 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window.
 
-1. Each task hashes all windows of its documents.  Inside a batch, windows that
+1. Each task hashes all windows of its documents, twice: with independent word
+   hashes and bases, so that windows of different words do not pass for equal
+   (128 bits inside a batch; 80 and those of the bucket between batches).  Inside a batch, windows that
    also start in a document with a smaller id of that batch are marked at once;
    only the smallest document's windows go on, so a passage that a third of all
    documents share sends one entry per batch, not one per document.
 2. The hashes are shuffled by value as packed blobs (see ``grams``); a bucket
-   marks the windows whose hash also starts in a smaller document.
+   marks the windows whose hashes also start in a smaller document.
 3. Marks go back by batch, where they merge into maximal removal intervals of
    each document, and the intervals meet the text on (doc_id, text hash).
 """
@@ -29,30 +31,26 @@ _BLOB = "bucket int, batch long, kind int, payload binary"
 _MARKS, _DOCS = 0, 1
 
 
-def _batch_rows(batch: int, ids: list, keys: list, lengths: list, hashes: list, buckets: int):
+def _batch_rows(batch: int, ids: list, keys: list, lengths: list, hashes: list, seconds: list, buckets: int):
     """Rows (bucket, batch, kind, payload) of one batch of documents."""
     real = np.array([G.NO_ID if i is None else i for i in ids], dtype=np.int64)
     isnull = np.array([i is None for i in ids], dtype=bool)
     sizes = np.array([len(h) for h in hashes], dtype=np.int64)
     h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
+    second = np.concatenate(seconds) if seconds else np.empty(0, dtype=np.uint64)
     doc = np.repeat(np.arange(len(ids)), sizes)
     pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(G.group_starts(h[order]))
     marked = np.zeros(len(h), dtype=bool)
-    if len(start):
-        own = real[doc[order]]
-        least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(h))))
-        marked[order[own > least]] = True
+    marked[G.repeats(h, second, real[doc])] = True
     table = G.join_parts([G.pack_signed(real), np.packbits(isnull).tobytes(),
                           np.array(keys, dtype="<i8").tobytes(), G.pack_ints(np.array(lengths))])
     yield batch % buckets, batch, _DOCS, table
     if marked.any():
         yield batch % buckets, batch, _MARKS, G.join_parts(G.pack_entries(doc[marked], pos[marked]))
-    h, doc, pos = h[~marked], doc[~marked], pos[~marked]
+    h, second, doc, pos = h[~marked], second[~marked], doc[~marked], pos[~marked]
     for bucket, at in G.by_bucket(h, buckets):
         yield bucket, batch, 2, G.join_parts([
-            *G.pack_entries(doc[at], pos[at]), G.pack_signed(real[np.unique(doc[at])]), G.pack_hashes(h[at])])
+            *G.pack_entries(doc[at], pos[at]), G.pack_signed(real[np.unique(doc[at])]), G.pack_hashes(h[at]), G.pack_short(second[at])])
 
 
 def _to_arrow(rows) -> Iterator[pa.RecordBatch]:
@@ -64,51 +62,50 @@ def _to_arrow(rows) -> Iterator[pa.RecordBatch]:
 
 def _hash_windows(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rolling = G.WordHashes(), G.Rolling(window)
+        words, rolling, other = G.WordDigests(), G.Rolling(window), G.Rolling(window, G.SECOND_ODD)
         task, limit = TaskContext.get().partitionId() << 24, G.batch_limit(buckets)
-        ids, keys, lengths, hashes, n, made = [], [], [], [], 0, 0
+        ids, keys, lengths, hashes, seconds, n, made = [], [], [], [], [], 0, 0
         for rb in batches:
             for i, k, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), G.texts_of(rb.column(2))):
                 w = (text or b"").split()
-                h = rolling.hashes(words.of(w))
+                both = words.of(w)
+                h = rolling.hashes(both[:, 0])
+                seconds.append(other.hashes(both[:, 1]))
                 ids.append(i)
                 keys.append(k)
                 lengths.append(len(w))
                 hashes.append(h)
                 n += len(h)
                 if n >= limit:
-                    yield from _to_arrow(_batch_rows(task + made, ids, keys, lengths, hashes, buckets))
-                    ids, keys, lengths, hashes, n, made = [], [], [], [], 0, made + 1
+                    yield from _to_arrow(_batch_rows(task + made, ids, keys, lengths, hashes, seconds, buckets))
+                    ids, keys, lengths, hashes, seconds, n, made = [], [], [], [], [], 0, made + 1
         if ids:
-            yield from _to_arrow(_batch_rows(task + made, ids, keys, lengths, hashes, buckets))
+            yield from _to_arrow(_batch_rows(task + made, ids, keys, lengths, hashes, seconds, buckets))
     return run
 
 
 def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: windows whose hash also starts in a smaller document."""
-    hs, owner, docs, poss, which = [], [], [], [], []
+    """One bucket: windows whose hashes also start in a smaller document."""
+    hs, seconds, owner, docs, poss, which = [], [], [], [], [], []
     for rb in batches:
         for bucket, batch, kind, payload in zip(*(rb.column(c).to_pylist() for c in range(4))):
             if kind != 2:
                 yield from _to_arrow([(bucket, batch, kind, payload)])
                 continue
-            *entries, ids, h = G.split_parts(payload)
+            *entries, ids, h, second = G.split_parts(payload)
             d, counts, pos = G.unpack_entries(entries)
             hs.append(G.unpack_hashes(h))
+            seconds.append(G.unpack_short(second))
             docs.append(np.repeat(d, counts).astype(np.int32))
             owner.append(np.repeat(G.unpack_signed(ids), counts))
             poss.append(pos.astype(np.int32))
             which.append(np.full(len(pos), batch, dtype=np.int64))
     if not hs:
         return
-    h, own = np.concatenate(hs), np.concatenate(owner)
-    del hs, owner
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(G.group_starts(h[order]))
-    own = own[order]
-    least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(h))))
-    at = np.sort(order[own > least])
-    del h, own, least, order
+    h, second, own = np.concatenate(hs), np.concatenate(seconds), np.concatenate(owner)
+    del hs, seconds, owner
+    at = G.repeats(h, second, own)
+    del h, second, own
     which, doc, pos = (np.concatenate(x)[at] for x in (which, docs, poss))
     cuts = np.flatnonzero(G.group_starts(which)) if len(which) else []
     for a, b in zip(cuts, [*cuts[1:], len(which)]):

@@ -99,6 +99,24 @@ def test_substring_empty_and_text(spark):
     assert {r.doc_id: r.kept_text for r in out.collect()} == {1: "a b c d", 2: "x y"}
 
 
+@pytest.mark.parametrize("batch", [500_000, 300])
+def test_equal_first_hashes_remove_nothing(spark, monkeypatch, batch):
+    """Windows that share the first hash, in a batch and between batches, are told apart by the second."""
+    monkeypatch.setattr(grams, "BATCH_WINDOWS", batch)
+    monkeypatch.setattr(grams, "BLOB_ENTRIES", 1)
+    real = grams.Rolling.hashes
+
+    def crowded(self, w):
+        h = real(self, w)
+        return h % np.uint64(3) << np.uint64(20) if self.odd != grams.SECOND_ODD else h
+    monkeypatch.setattr(grams.Rolling, "hashes", crowded)
+    shared = " ".join(words(30, 99))
+    rows = [(i, " ".join(words(90, i)) + " " + shared) for i in range(20)] + [(50, shared + " end"), (51, " ".join(words(60, 3)))]
+    got = substring_dedup.without_repeats(docs(spark, rows), window=20)
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, plain_substring(rows, 20)))
+    assert sum(r.n_removed > 0 for r in got.collect()) == 21
+
+
 # ---- line dedup ------------------------------------------------------------------------------
 
 def plain_lines(rows):
@@ -135,6 +153,39 @@ def test_lines_against_plain_python(spark):
     assert sorted(map(str, got)) == sorted(map(str, plain_lines(rows)))
 
 
+def test_lines_of_one_partition_in_small_batches():
+    """Groups that span batches, start and end a partition, reach the limit late or never: as in one batch."""
+    import pyarrow as pa
+    r = random.Random(6)
+    for case in range(60):
+        entries = sorted((r.randrange(3), r.randrange(2), r.randrange(12), r.randrange(2)) for _ in range(r.randrange(1, 60)))
+        if case % 7 == 0:
+            entries = [(0, 0, d, k) for _, _, d, k in entries]
+        rows = pa.table({"hi": pa.array([e[0] for e in entries], pa.int64()), "lo": pa.array([e[1] for e in entries], pa.int64()),
+                         "doc": pa.array([e[2] for e in entries], pa.int64()), "row_key": pa.array([e[3] for e in entries], pa.int64()),
+                         "at": pa.array([[i] for i in range(len(entries))], pa.list_(pa.int32()))})
+        rows = rows.sort_by([(c, "ascending") for c in ("hi", "lo", "doc", "row_key")])
+
+        def decided(size):
+            got = pa.Table.from_batches(line_dedup._stream(5)(iter(rows.to_batches(size)))).to_pylist()
+            total = {}
+            for g in got:
+                if g["state"] == line_dedup._SUMMARY:
+                    n, most = total.get((g["hi"], g["lo"]), (0, -1))
+                    total[g["hi"], g["lo"]] = n + g["n"], max(most, g["doc"])
+            gone = [g["at"][0] for g in got if g["state"] == line_dedup._DROP]
+            for g in got:
+                n, most = total.get((g["hi"], g["lo"]), (0, 0))
+                if g["state"] == line_dedup._OPEN and n >= 5 and g["doc"] < most:
+                    gone.append(g["at"][0])
+            return sorted(gone)
+        groups = {}
+        for x in rows.to_pylist():
+            groups.setdefault((x["hi"], x["lo"]), []).append((x["doc"], x["at"][0]))
+        want = sorted(at for g in groups.values() if len({d for d, _ in g}) >= 5 for d, at in g if d < max(g)[0])
+        assert decided(1) == decided(4) == decided(1000) == want
+
+
 def test_lines_hot_key_over_many_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
@@ -215,6 +266,16 @@ def test_one_per_group_and_empty(spark):
     assert jaccard_join.one_per_group(docs(spark, [])).count() == 0
 
 
+def test_one_per_group_does_not_depend_on_partitions(spark):
+    text = "one two three four five six"
+    d = spark.createDataFrame([(1, text, s, m) for s in ("q", "p", None) for m in ({"b": 1}, {"a": 2}, None)] + [(None, text, "z", None)] * 2
+                              + [(None, None, "y", None), (None, None, "x", None), (2, text, "a", None)],
+                              "doc_id long, text string, source string, others map<string,int>")
+    seen = {str(sorted(map(str, jaccard_join.one_per_group(d.repartition(n, *c)).collect())))
+            for n in (1, 3, 7) for c in ([], ["source"], ["doc_id"])}
+    assert len(seen) == 1 and seen.pop().count("Row(") == 2
+
+
 def test_components_of_links(spark):
     links = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (52, 50), (60, 60), (None, 1), (99, 0)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
@@ -293,6 +354,14 @@ def test_nearest_equals_exhaustive_search():
         assert e.tolist() == [x for x, _ in want] and np.allclose(s, [x for _, x in want], atol=1e-8)
 
 
+def test_packed_term_counts_round_trip():
+    for a in ([], [0], [0, 5, 70_000, 2**31], list(range(3000))):
+        a = np.array(a, dtype=np.int64)
+        assert (toxicity.unpack_rising(toxicity.pack_rising(a)) == a).all()
+        n = (a + 1).astype(float)
+        assert (toxicity.unpack_counts(toxicity.pack_counts(n)) == n).all()
+
+
 def test_blocks_are_skipped_and_nothing_is_lost():
     """Terms of every kind: the search equals an exhaustive one and looks at a part of the examples."""
     r = np.random.default_rng(8)
@@ -339,6 +408,9 @@ def test_scores_separate_and_ignore_ids(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) == int(toxic)
     moved = toxicity.scored(d.withColumn("doc_id", F.lit(7).cast("long")), index).collect()
     assert sorted(r.score for r in moved) == sorted(r.score for r in got)
+    kept = toxicity.fit(d, labels, keep_vectors=True)
+    again = toxicity.scored_vectors(kept).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
     left = toxicity.accepted(d, index)
     assert left.columns == d.columns and left.count() == sum(not r.predicted for r in got)
 

@@ -163,9 +163,23 @@ def test_contamination_against_plain_python(spark):
 def test_contamination_in_blocks_and_empty(spark):
     items = spark.createDataFrame([(i, f"w{i} " * 3 + "x y z a b c d e f g") for i in range(30)], "item_id long, text string")
     rows = [(i, f"lead w{i} " + "x y z a b c d e f g") for i in range(40)]
-    whole = decontaminate.hits(docs(spark, rows), items).drop("items").distinct()
-    blocks = decontaminate.hits(docs(spark, rows), items, block_rows=7).drop("items").distinct()
+    whole = decontaminate.hits(docs(spark, rows), items)[0].distinct()
+    blocks = decontaminate.hits(docs(spark, rows), items, block_rows=7)[0].distinct()
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect())) and whole.count() > 30
     assert decontaminate.contamination(docs(spark, []), items).count() == 0
     none = decontaminate.contamination(docs(spark, rows), items.limit(0))
     assert none.filter("contaminated").count() == 0 and none.count() == 40
+
+
+def test_a_window_that_all_items_share(spark):
+    """The broadcast has one row per window; its items are joined to the hits."""
+    opening = "this opening stands in front of every single benchmark item"
+    items = [(i, f"{opening} number {i}") for i in range(300)]
+    windows, held = decontaminate.item_windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert windows.columns == ["win_id", "win", "len"] and windows.filter("len = 10").count() < 1 + 3 * 300
+    rows = [(1, "so " + opening + " ends"), (2, opening[5:]), (3, "nothing here")]
+    got = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = [tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    want = plain_hits(rows, items)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[3] for r in want} == {300, 0}
+    assert held.groupBy("win_id").count().agg(F.max("count")).first()[0] == 300

@@ -111,3 +111,35 @@ def test_toxicity_of_held_out_documents(spark):
     assert right > 0.93 and false_alarms < 0.03 and caught > 0.7
     best = sorted(rows, key=lambda r: -r.score)
     assert all(r.toxic for r in best[:10])
+
+
+DIRTY = ("doc_id long, text string, lang string, source string, n_chars long, row string, key int, id int, size int, copies string, "
+         "rank int, `Others` int, score double, label int, win_id string, item string, u int, h_id int")
+
+
+def dirty_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 1, "r", 2, 3, 4, "c", 5, 6, 7.0, 8, "w", "i", 9, 10) for i, t, s in rows], DIRTY)
+
+
+def test_stages_on_dirty_documents(spark):
+    """Null ids, texts and sources, empty and long texts, repeated rows, clashing column names: nothing clean is lost."""
+    plain = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, t, "a" if i % 2 else None) for i, t in enumerate(plain)]
+    rows += [(None, plain[0] + " tail of its own", "b"), (None, None, None), (100, None, "a"), (101, "", "b"), (102, " \n ", "b"),
+             (103, "word " * 30_000, "a"), (5, plain[5], "a"), (104, plain[7], "z"), (104, plain[7], "y")]
+    docs = dirty_docs(spark, rows)
+    items = [r.text for r in table(spark, SF, "benchmark").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, docs, SF), "test-dirty")
+        assert kept.columns == docs.columns, name
+        texts = [r.text for r in kept.collect()]
+        assert set(texts) <= {t for _, t, _ in rows}, name
+        if name == "near duplicates":
+            assert texts.count(plain[7]) == 1 and texts.count(plain[5]) == 1
+            assert sum(t is None for t in texts) == 2 and "" in texts and " \n " in texts
+        if name == "decontamination":
+            assert {r.lang for r in kept.collect()} == {"en"} and len(texts) >= len(rows) - sum(any(w in (t or "") for w in items) for _, t, _ in rows) - 30
+            assert texts.count(None) == 2
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
