@@ -25,8 +25,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, index).select(
+    fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep_vectors=True)
+    return toxicity.scored_vectors(fitted).select(
         "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"),
         "score", "predicted", "evidence")
 

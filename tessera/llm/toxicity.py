@@ -60,7 +60,7 @@ FREQUENT_SHARE = 16  # terms of at least one in so many examples are scored as a
 MIDDLE_SHARE = 30  # and of at least one in so many by block maxima
 BLOCK = 4
 FIRST = (32, 64)  # examples scored before the bounds are cut, in two rounds
-QUERIES = 64  # texts in one matrix product
+QUERIES = 256  # texts in one matrix product
 SLACK = 1e-4  # more than the narrow numbers of bounds and the matrix product can be off by
 PRIOR_MASS = 25.0
 THRESHOLD = 0.7
@@ -194,7 +194,10 @@ class Index:
         return dict(zip(t.tolist(), w.tolist()))
 
     def vector_of(self, text: bytes | None) -> Vector:
-        t, n = self.names.counted(text)
+        return self.weighted(*self.names.counted(text))
+
+    def weighted(self, t: np.ndarray, n: np.ndarray) -> Vector:
+        """The vector of counted terms."""
         w = (1.0 + np.log(n)) * self.weights[t]
         return t, w / math.sqrt(w @ w) if len(w) else w
 
@@ -277,6 +280,7 @@ class Fitted:
     examples: int
     votes: np.ndarray
     scores: np.ndarray
+    vectors: DataFrame | None = None  # (row, terms, counts) of all documents, if kept
 
     def index(self) -> Index:
         """The index itself, built here."""
@@ -349,6 +353,49 @@ def _doc_frequency(vocabulary: Broadcast):
     return run
 
 
+def pack_rising(a: np.ndarray) -> bytes:
+    """Rising numbers below 2^32 as the byte planes of their steps (the high planes are mostly zero)."""
+    return np.ascontiguousarray(np.diff(a, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1), dtype=np.int64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Numbers from 1 on, as bytes where they fit; the first byte says how wide they are."""
+    kind = np.dtype("u1") if n.max(initial=0) < 256 else np.dtype("<u4")
+    return bytes([kind.itemsize]) + n.astype(kind).tobytes()
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.float64)
+
+
+def _vectors(vocabulary: Broadcast):
+    """The known terms of every text and their counts, packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"]))
+        for rb in batches:
+            found = [names.counted(text) for text in texts_of(rb.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), pa.array([pack_rising(t) for t, _ in found], pa.binary()),
+                 pa.array([pack_counts(n) for _, n in found], pa.binary())], names=["row", "terms", "counts"])
+    return run
+
+
+def _vector_frequency(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size + 1, dtype=np.int64)  # the last: documents
+        for rb in batches:
+            for b in rb.column(0).to_pylist():
+                n[unpack_rising(b)] += 1
+            n[size] += rb.num_rows
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["word", "n"])
+    return run
+
+
 def _counts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _once(vocabulary, "names", lambda v: TermIds(v["words"]))
@@ -376,9 +423,13 @@ def _column_bytes(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_buffer() for c in table[name].chunks for v in c), dtype=kind)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> Fitted:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS,
+        keep_vectors: bool = False) -> Fitted:
     """The calibrated index; ``labels`` has doc_id and toxic.
 
+    ``keep_vectors`` writes the term counts of all documents to the shared folder on
+    the way, so that these documents can be scored without reading their texts again.
+
     What reaches the driver is bounded by the sample: its terms and its term
     counts, on their way to the executors; the index is built there.
 
@@ -403,8 +454,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     chi2 = ((pos * (total - toxic) - (n - pos) * toxic) ** 2 * total
             / (float(max(1, toxic * (total - toxic))) * n * np.maximum(total - n, 1.0)))
     df = np.zeros(len(n) + 1)
-    counted = text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocabulary)), "word bigint, n bigint").groupBy("word").agg(
-        F.sum("n").alias("n")).toArrow()
+    vectors = None
+    if keep_vectors:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        vectors = stored(text_rows(docs, "doc_id", "text").mapInArrow(
+            releasing(_vectors(vocabulary)), f"row {kind}, terms binary, counts binary"), "tox-vectors")
+        counted = vectors.select("terms").mapInArrow(releasing(_vector_frequency(len(n))), "word bigint, n bigint")
+    else:
+        counted = text_rows(docs, "text").mapInArrow(releasing(_doc_frequency(vocabulary)), "word bigint, n bigint")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     df[counted["word"].to_numpy()] = counted["n"].to_numpy()
     del counted
     weights = (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0) * (1.0 + np.sqrt(chi2))
@@ -422,17 +480,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     vocabulary.unpersist()
     own = spark.range(0, size, 1, task_count(spark)).mapInArrow(
         releasing(_own_votes(state, neighbours)), "id bigint, vote double").toArrow().sort_by("id")
-    return Fitted(state, size, *calibrated(own["vote"].to_numpy(), labels_of))
+    return Fitted(state, size, *calibrated(own["vote"].to_numpy(), labels_of), vectors)
+
 
+_SCORES = "row {id}, score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
-def _score(fitted: Fitted, neighbours: int, threshold: float):
+
+def _score(fitted: Fitted, neighbours: int, threshold: float, counted: bool):
+    """Scores of texts, or of counted terms."""
     state, votes, scores = fitted.state, fitted.votes, fitted.scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _once(state, "index", Index.of_state)
         for rb in batches:
+            if counted:
+                pairs = zip(rb.column(1).to_pylist(), rb.column(2).to_pylist())
+                queries = (index.weighted(unpack_rising(t), unpack_counts(n)) for t, n in pairs)
+            else:
+                queries = map(index.vector_of, texts_of(rb.column(1)))
             score, evidence = [], []
-            for e, s in index.nearest_of(map(index.vector_of, texts_of(rb.column(1))), neighbours):
+            for e, s in index.nearest_of(queries, neighbours):
                 score.append(score_of(index.vote(e, s), votes, scores))
                 evidence.append([{"doc_id": int(index.ids[i]), "similarity": float(c), "toxic": int(index.labels[i])}
                                  for i, c in zip(e[:EVIDENCE], s[:EVIDENCE])])
@@ -443,6 +510,13 @@ def _score(fitted: Fitted, neighbours: int, threshold: float):
     return run
 
 
+def scored_vectors(fitted: Fitted, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``scored``, for the documents of the fit, whose vectors were kept."""
+    kind = fitted.vectors.schema["row"].dataType.simpleString()
+    return text_rows(fitted.vectors, "*").mapInArrow(
+        releasing(_score(fitted, neighbours, threshold, True)), _SCORES.format(id=kind)).withColumnRenamed("row", "doc_id")
+
+
 def scored(docs: DataFrame, index: Fitted, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, score, predicted, evidence.
 
@@ -452,9 +526,8 @@ def scored(docs: DataFrame, index: Fitted, neighbours: int = NEIGHBOURS, thresho
     row like any other; empty tables give no rows; other columns are not read.
     """
     return text_rows(docs, F.col("doc_id").alias("row"), "text").mapInArrow(
-        releasing(_score(index, neighbours, threshold)),
-        f"row {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, "
-        "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>").withColumnRenamed("row", "doc_id")
+        releasing(_score(index, neighbours, threshold, False)),
+        _SCORES.format(id=docs.schema["doc_id"].dataType.simpleString())).withColumnRenamed("row", "doc_id")
 
 
 def _accept(fitted: Fitted, neighbours: int, threshold: float, at: int):
