@@ -60,7 +60,8 @@ FREQUENT_SHARE = 16  # terms of at least one in so many examples are scored as a
 MIDDLE_SHARE = 30  # and of at least one in so many by block maxima
 BLOCK = 4
 FIRST = (32, 64)  # examples scored before the bounds are cut, in two rounds
-QUERIES = 256  # texts in one matrix product
+COMMON = 32_768  # terms that are looked up first
+QUERIES = 512  # texts in one matrix product
 SLACK = 1e-4  # more than the narrow numbers of bounds and the matrix product can be off by
 PRIOR_MASS = 25.0
 THRESHOLD = 0.7
@@ -78,20 +79,26 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 class TermIds:
-    """Term -> number, from terms joined by line breaks (no term has white space)."""
+    """Term -> number, from terms joined by line breaks (no term has white space).
 
-    def __init__(self, words: bytes):
-        self.numbers = {w: i for i, w in enumerate(words.split(b"\n"))} if words else {}
+    ``common`` names the numbers of the most frequent terms: most look-ups end in that
+    small table, which stays in a processor's cache.
+    """
+
+    def __init__(self, words: bytes, common: np.ndarray | None = None):
+        names = words.split(b"\n") if words else []
+        self.numbers = {w: i for i, w in enumerate(names)}
+        self.common = {names[i]: i for i in (() if common is None else common.tolist())}
 
     def counted(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """(rising numbers of the text's known terms, how often each stands in it)."""
         found = Counter(words_of(text))
         long = [w for w in found if len(w) > STEM]
-        names = chain(found, (w[:STEM] + b"*" for w in long))
-        times = chain(found.values(), map(found.__getitem__, long))
-        m = len(found) + len(long)
-        ids = np.fromiter(map(self.numbers.get, names, repeat(-1)), dtype=np.int64, count=m)
-        n = np.fromiter(times, dtype=np.float64, count=m)
+        names = [*found, *(w[:STEM] + b"*" for w in long)]
+        ids = np.fromiter(map(self.common.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        rest = np.flatnonzero(ids < 0)
+        ids[rest] = np.fromiter(map(self.numbers.get, map(names.__getitem__, rest.tolist()), repeat(-1)), dtype=np.int64, count=len(rest))
+        n = np.fromiter(chain(found.values(), map(found.__getitem__, long)), dtype=np.float64, count=len(names))
         known = ids >= 0
         terms, place = np.unique(ids[known], return_inverse=True)
         return terms, np.bincount(place, weights=n[known], minlength=len(terms))
@@ -132,8 +139,8 @@ class Index:
     ``sizes`` has their numbers of terms, ``norm`` their lengths.
     """
 
-    def __init__(self, words: bytes, weights: np.ndarray, ids, labels, sizes, terms: np.ndarray, raw):
-        self.names, self.weights = TermIds(words), weights
+    def __init__(self, words: bytes, weights: np.ndarray, ids, labels, sizes, terms: np.ndarray, raw, common=None):
+        self.names, self.weights = TermIds(words, common), weights
         self.words = self.names.numbers
         self.ids, self.labels = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64)
         self.sizes, self.terms, self.raw = np.array(sizes, dtype=np.int64), terms, raw
@@ -186,7 +193,7 @@ class Index:
         """From term counts (see ``fit``)."""
         weights, terms, counts = (state[x] for x in ("weights", "terms", "counts"))
         return cls(state["words"], weights, state["ids"], state["labels"], state["sizes"], terms,
-                   lambda part: (1.0 + np.log(counts[part], dtype=np.float64)) * weights[terms[part]])
+                   lambda part: (1.0 + np.log(counts[part], dtype=np.float64)) * weights[terms[part]], state["common"])
 
     def vector(self, text: bytes | None) -> dict[int, float]:
         """Unit-length weights of a text's terms that some example has."""
@@ -214,29 +221,33 @@ class Index:
         size = self.df[t[rare]]
         at = _within(self.ptr[t[rare]], size)
         exact = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(w[rare], size), minlength=n)
-        base = base + exact
-        if own >= 0:
-            base[own] = -1.0 - len(t)  # out of reach
         some = between >= 0
         rows = between[some]
         query = np.zeros(len(self.top))
         query[rows] = w[some]
         bound = base + (w[some].astype(np.float32) @ self.top[rows])[self.block]
+        bound += exact.astype(np.float32)
+        if own >= 0:
+            bound[own] = -np.inf
         seen, middle, least = np.empty(0, dtype=np.int64), np.empty(0), -np.inf
         for more in (*FIRST, n):  # the greatest bounds, then all that can still get in
-            left = np.flatnonzero(bound >= max(least, 0.0) - SLACK)
-            if more < len(left):
-                left = left[np.argpartition(-bound[left], more)[:more]]
+            if not len(seen) and more < n:
+                left = np.argpartition(bound, n - more)[n - more:]
+            else:
+                left = np.flatnonzero(bound >= max(least, 0.0) - SLACK)
+                if more < len(left):
+                    left = left[np.argpartition(bound[left], len(left) - more)[len(left) - more:]]
+            left = left[bound[left] >= -SLACK]
             if not len(left):
                 break
             seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, left)])
             bound[left] = -np.inf
-            scores = base[seen] + middle
+            scores = base[seen] + exact[seen] + middle
             if len(seen) >= k:
                 least = np.partition(scores, -k)[-k]
         self.scored += len(seen)
         self.asked += 1
-        good = np.flatnonzero(base[seen] + middle >= max(least, 0.0) - SLACK)
+        good = np.flatnonzero(base[seen] + exact[seen] + middle >= max(least, 0.0) - SLACK)
         e, middle = seen[good], middle[good]
         query = np.zeros(len(self.often))
         query[common[common >= 0]] = w[common >= 0]
@@ -252,7 +263,7 @@ class Index:
                 q[i, c[c >= 0]] = w[c >= 0]
             for base, (t, w), own in zip(q @ self.often, some, islice(without, len(some))):
                 e, s = self._search(base, t, w, k, own)
-                e, s = e[(s > 0) & (e != own)], s[(s > 0) & (e != own)]
+                e, s = e[s > 0], s[s > 0]
                 best = np.lexsort((e, -np.round(s, 9)))[:k]
                 yield e[best], s[best]
 
@@ -340,7 +351,7 @@ def _once(state: Broadcast, name: str, make):
 
 def _doc_frequency(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _once(vocabulary, "names", lambda v: TermIds(v["words"])).numbers
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"])).numbers
         n = np.zeros(len(names) + 2, dtype=np.int64)  # then documents, then terms that no example has
         total = len(names)
         for rb in batches:
@@ -375,7 +386,7 @@ def unpack_counts(b: bytes) -> np.ndarray:
 def _vectors(vocabulary: Broadcast):
     """The known terms of every text and their counts, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _once(vocabulary, "names", lambda v: TermIds(v["words"]))
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"]))
         for rb in batches:
             found = [names.counted(text) for text in texts_of(rb.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -398,7 +409,7 @@ def _vector_frequency(size: int):
 
 def _counts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _once(vocabulary, "names", lambda v: TermIds(v["words"]))
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"]))
         for rb in batches:
             found = [names.counted(text) for text in texts_of(rb.column(2))]
             yield pa.RecordBatch.from_arrays(
@@ -450,7 +461,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     n, pos = (found[c].to_numpy().astype(float) for c in ("n", "pos"))
     words = b"\n".join(found["word"].to_pylist())
     del found
-    vocabulary = spark.sparkContext.broadcast({"words": words})
+    common = np.argsort(-n, kind="stable")[:COMMON]
+    vocabulary = spark.sparkContext.broadcast({"words": words, "common": common})
     chi2 = ((pos * (total - toxic) - (n - pos) * toxic) ** 2 * total
             / (float(max(1, toxic * (total - toxic))) * n * np.maximum(total - n, 1.0)))
     df = np.zeros(len(n) + 1)
@@ -469,7 +481,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     rows = text_rows(examples, "id", "label", "text").mapInArrow(
         releasing(_counts(vocabulary)), "id bigint, label int, terms binary, counts binary").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
-    known = {"words": words, "weights": weights, "ids": rows["id"].to_numpy(), "labels": rows["label"].to_numpy(),
+    known = {"words": words, "common": common, "weights": weights, "ids": rows["id"].to_numpy(), "labels": rows["label"].to_numpy(),
              "sizes": pa.compute.binary_length(rows["terms"]).to_numpy() // 4, "terms": _column_bytes(rows, "terms", "<i4")}
     counts = _column_bytes(rows, "counts", "<u4")
     known["counts"] = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
