@@ -52,20 +52,29 @@ def compare_sums(a: DataFrame, b: DataFrame, cols: Sequence[str], scale: int | N
                             "sums_match": F.col("target_sum").eqNullSafe(F.col("source_sum"))})
 
 
+def _typed_text(df: DataFrame, cols: Sequence[str]) -> Column:
+    """A row's text that no other row has: numbers, dates and the like end with ';', other texts go behind their length."""
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return F.concat(*[
+        F.concat(F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit(";")) if isinstance(df.schema[c].dataType, plain) else row_text(c)
+        for c in cols])
+
+
 def dataset_checksum(df: DataFrame, cols: Sequence[str] | None = None, algo: str = "xxhash64") -> DataFrame:
     """Order-independent, duplicate-sensitive checksum (R3): row count plus the
     sum of a per-row hash, as decimal(38,0) so the sum cannot overflow.
 
     ``xxhash64`` is the fast native hash, over each value and whether it is
     null (the function itself skips nulls); ``md5`` (first 60 bits of the md5
-    of the row's length-prefixed text) gives the same number in engines without
+    of the row's unambiguous text) gives the same number in engines without
     xxhash.
     """
-    cs = [F.col(c) for c in (cols or df.columns)]
+    names = list(cols or df.columns)
+    cs = [F.col(c) for c in names]
     if algo == "xxhash64":
         h = F.xxhash64(*[x for c in cs for x in (c.isNull(), c)]).cast(T.DecimalType(38, 0))
     elif algo == "md5":
-        h = F.conv(F.substring(F.md5(row_text(*cs)), 1, 15), 16, 10).cast(T.DecimalType(38, 0))
+        h = F.conv(F.substring(F.md5(_typed_text(df, names)), 1, 15), 16, 10).cast(T.DecimalType(38, 0))
     else:
         raise ValueError(algo)
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(h).alias("checksum"))

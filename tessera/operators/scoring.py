@@ -74,6 +74,7 @@ STEP_WORDS = ["paso", "step", "primero", "first"]
 EXPRESSION_SOURCE = ["DataStage", "BASIC", "expression"]
 SIMPLE_EXPRESSION_SOURCE = "DataStage"
 EXPRESSION_TARGET = ["PySpark", "Spark", "F."]
+SIMPLE_EXPRESSION_TARGET = "PySpark"
 LIST_MARKS = ["- ", "* ", "1."]
 DELTA_OPTIMIZE = "OPTIMIZE"
 DELTA_MERGE = "merge"
@@ -423,7 +424,7 @@ def simple_scores(responses: DataFrame, cases: DataFrame, text_col: str = "text"
         "well_structured": F.when(headers & (F.length(text) > 200), 1.0).when(headers, 0.5).otherwise(0.0),
         "category_specific": (
             F.when(cat == "expression_translation",
-                   F.when(has(text, SIMPLE_EXPRESSION_SOURCE) & has(text, EXPRESSION_TARGET[0]), 1.0).otherwise(0.0))
+                   F.when(has(text, SIMPLE_EXPRESSION_SOURCE) & has(text, SIMPLE_EXPRESSION_TARGET), 1.0).otherwise(0.0))
             .when(cat == "full_migration", stages / F.lit(4.0))
             .when(cat == "pattern_explanation",
                   F.when(has(text, FENCE) & (F.length(text) > 300), 1.0).otherwise(0.5))

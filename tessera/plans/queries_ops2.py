@@ -399,12 +399,11 @@ _CK_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "price", "o_orderdate",
 
 register("r3_dataset_checksum", """
 WITH t AS (
-  SELECT list_transform([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
-                         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), CAST(o_orderdate AS VARCHAR), o_orderpriority],
-                        lambda v: coalesce(length(v) || ':' || v, '-')) AS vs FROM orders)
-SELECT count(*) AS row_count,
-       CAST(sum(CAST(('0x' || substr(md5(array_to_string(vs, '')), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS checksum
-FROM t
+  SELECT coalesce(CAST(o_orderkey AS VARCHAR), '-') || ';' || coalesce(CAST(o_custkey AS VARCHAR), '-') || ';'
+         || coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-')
+         || coalesce(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '-') || ';' || coalesce(CAST(o_orderdate AS VARCHAR), '-') || ';'
+         || coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-') AS v FROM orders)
+SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || substr(md5(v), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS checksum FROM t
 """)(lambda spark, d: reconcile.dataset_checksum(
     TB(spark, d, "orders").withColumn("price", F.col("o_totalprice").cast("decimal(18,2)")), _CK_COLS, algo="md5"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from tessera.operators.scoring import (BEST_PRACTICE_TERMS, BULLET_MARKS, CATEGORIES, CODE_SIGNALS, COMPONENTS,
                                        COMPONENT_EQUIVALENT, COMPONENT_PURPOSE, CONTRADICTIONS, DELTA_MERGE,
                                        DELTA_OPTIMIZE, DF_MARK, DOC_MARKS, ERROR_PATTERNS, EXAMPLE_MARK,
-                                       EXPLANATION_MARKS, EXPRESSION_SOURCE, EXPRESSION_TARGET, FENCE,
+                                       EXPLANATION_MARKS, EXPRESSION_SOURCE, EXPRESSION_TARGET, FENCE, SIMPLE_EXPRESSION_TARGET,
                                        FLOW_TRANSFORM_RX, GLOBAL_NAMES, HEADER_MARKS, INCOMPLETE_MARKS,
                                        INVALID_API_PATTERNS, KNOWLEDGE_CONCEPTS, KNOWLEDGE_PATTERNS, LIST_MARKS,
                                        MIGRATION_CODE_MARKS, MIGRATION_QUERY_MARKS, MIGRATION_STAGE_WORDS,
@@ -271,7 +271,7 @@ def _simple_cte() -> str:
     ws = f"(CASE WHEN {hdr} AND length(text) > 200 THEN {d(1.0)} WHEN {hdr} THEN {d(0.5)} ELSE {d(0.0)} END)"
     stages = count_present("tl", SIMPLE_STAGE_WORDS)
     cat = (f"(CASE category WHEN 'expression_translation' THEN "
-           f"{when(has('text', SIMPLE_EXPRESSION_SOURCE) + ' AND ' + has('text', EXPRESSION_TARGET[0]), d(1.0), d(0.0))} "
+           f"{when(has('text', SIMPLE_EXPRESSION_SOURCE) + ' AND ' + has('text', SIMPLE_EXPRESSION_TARGET), d(1.0), d(0.0))} "
            f"WHEN 'full_migration' THEN {stages} / {d(4.0)} "
            f"WHEN 'pattern_explanation' THEN {when(has('text', FENCE) + ' AND length(text) > 300', d(1.0), d(0.5))} "
            f"ELSE {when(has_any('tl', SIMPLE_PURPOSE) + ' AND ' + has_any('tl', SIMPLE_SPARK), d(1.0), d(0.5))} END)")

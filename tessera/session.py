@@ -8,6 +8,7 @@ On a cluster the shared folder is the one the cluster names in
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -67,12 +68,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_cleaned: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
+    """A fresh folder under the shared checkpoint location.
+
+    Spark's checkpoint location has a folder per application, so what lies here is this application's own;
+    it is removed when the driver's process ends, as later frames may read it until then.
+    """
     base = ensure_checkpoint_dir(spark).rstrip("/")
+    if base not in _cleaned:
+        _cleaned.add(base)
+        atexit.register(_clean_at_exit, spark)
     return f"{base}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session, or its gateway, is gone already
+        clean_scratch(spark)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch folders; call it when their frames have been read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-scratch")

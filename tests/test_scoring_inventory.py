@@ -138,3 +138,24 @@ def test_simple_scorer_expression_rule(spark):
     r = scoring.simple_scores(resp, cases).first()
     assert (r.keyword_coverage, r.includes_code, r.well_structured, r.category_specific) == (1.0, 1.0, 0.5, 1.0)
     assert r.overall == pytest.approx(0.875)
+
+
+@pytest.mark.parametrize("category,query,keywords,code,least,text,want", [
+    # coverage, code, structure, groundedness, relevance, coherence, category, overall: computed by hand
+    ("expression_translation", "Translate a trim", ["trim"], True, 10, "DataStage Trim becomes F.trim in PySpark. plain.",
+     (1.0, 1.0, 0.3, 1.0, 1.0, 0.8, 1.0, 0.935)),
+    ("pattern_explanation", "Explain it", ["missing", "approach"], False, None, "The usual approach has one step.",
+     (0.5, 1.0, 0.3, 1.0, 0.7, 0.8, 0.25, 0.6525)),
+    ("optimization", "Make it fast", [], True, 5, "Use cache and broadcast; then OPTIMIZE",
+     (1.0, 0.0, 0.3, 1.0, 1.0, 0.8, 1.0, 0.835)),
+    ("troubleshooting", "Why does it fail", ["null", "skew"], False, 500, "The error comes from a null key; fix it.",
+     (0.5, 1.0, 0.0, 1.0, 0.6, 0.8, 0.5, 0.685)),
+    ("best_practices", "What is good", ["delta"], False, 0, "A best practice: - keep delta tables small",
+     (1.0, 1.0, 0.6, 1.0, 1.0, 0.8, 0.5, 0.825)),
+])
+def test_other_categories_by_hand(spark, category, query, keywords, code, least, text, want):
+    case = spark.createDataFrame([("c", category, query, keywords, code, least, "easy")],
+                                 "test_id string, category string, query string, expected_keywords array<string>, "
+                                 "must_have_code boolean, min_length int, difficulty string")
+    r = scoring.score_responses(spark.createDataFrame([("m", "c", text)], "model string, test_id string, text string"), case).first()
+    assert [r[k] for k in (*scoring.WEIGHTS, "overall")] == pytest.approx(list(want))
