@@ -59,6 +59,7 @@ STEM = 5
 FREQUENT_SHARE = 16  # terms of at least one in so many examples are scored as a matrix
 MIDDLE_SHARE = 30  # and of at least one in so many by block maxima
 BLOCK = 4
+GROUP = 8  # examples of which only the greatest bound is compared at first
 FIRST = (32, 64)  # examples scored before the bounds are cut, in two rounds
 COMMON = 32_768  # terms that are looked up first
 QUERIES = 512  # texts in one matrix product
@@ -89,19 +90,24 @@ class TermIds:
         names = words.split(b"\n") if words else []
         self.numbers = {w: i for i, w in enumerate(names)}
         self.common = {names[i]: i for i in (() if common is None else common.tolist())}
+        get = self.numbers.get  # each known word's stem, by number; the last is no word's
+        self.stem = np.array([get(w[:STEM] + b"*", -1) if len(w) > STEM and w[-1] != 42 else -1 for w in names] + [-1], dtype=np.int64)
 
     def counted(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """(rising numbers of the text's known terms, how often each stands in it)."""
         found = Counter(words_of(text))
-        long = [w for w in found if len(w) > STEM]
-        names = [*found, *(w[:STEM] + b"*" for w in long)]
+        names = list(found)
+        n = np.fromiter(found.values(), dtype=np.float64, count=len(names))
         ids = np.fromiter(map(self.common.get, names, repeat(-1)), dtype=np.int64, count=len(names))
         rest = np.flatnonzero(ids < 0)
         ids[rest] = np.fromiter(map(self.numbers.get, map(names.__getitem__, rest.tolist()), repeat(-1)), dtype=np.int64, count=len(rest))
-        n = np.fromiter(chain(found.values(), map(found.__getitem__, long)), dtype=np.float64, count=len(names))
-        known = ids >= 0
-        terms, place = np.unique(ids[known], return_inverse=True)
-        return terms, np.bincount(place, weights=n[known], minlength=len(terms))
+        stems = self.stem[ids]
+        new = rest[ids[rest] < 0].tolist()  # words that no example has; their stems may be known
+        stems[new] = [self.numbers.get(names[i][:STEM] + b"*", -1) if len(names[i]) > STEM else -1 for i in new]
+        every = np.concatenate([ids, stems])
+        known = every >= 0
+        terms, place = np.unique(every[known], return_inverse=True)
+        return terms, np.bincount(place, weights=np.concatenate([n, n])[known], minlength=len(terms))
 
 
 Vector = tuple[np.ndarray, np.ndarray]  # terms, unit-length weights
@@ -147,6 +153,7 @@ class Index:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.scored = self.asked = 0  # examples whose middle terms were looked at; queries
         n, width = len(self.ids), len(weights)
+        self.columns = -(-n // GROUP) * GROUP
         example = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         values = raw(slice(None))
         self.norm = np.sqrt(np.bincount(example, weights=values * values, minlength=n))
@@ -157,12 +164,12 @@ class Index:
         self.frequent, self.frequent_lists = self._lists(often, example, values)
         self.middle, self.middle_lists = self._lists(between, example, values)
         at = np.flatnonzero(often[terms])
-        self.often = np.zeros((int(often.sum()), n), dtype=np.float32)
+        self.often = np.zeros((int(often.sum()), self.columns), dtype=np.float32)
         self.often[self.frequent[terms[at]], example[at]] = values[at]
         # examples with the same heaviest term are dealt to different blocks: a block's other examples then add little to a bound
-        heaviest = self.often.argmax(axis=0) if len(self.often) else np.zeros(n, dtype=np.int64)
+        heaviest = self.often[:, :n].argmax(axis=0) if len(self.often) else np.zeros(n, dtype=np.int64)
         blocks = -(-n // BLOCK)
-        self.block = np.empty(n, dtype=np.int64)
+        self.block = np.zeros(self.columns, dtype=np.int64)
         self.block[np.argsort(heaviest, kind="stable")] = np.arange(n) % max(blocks, 1)
         at = np.flatnonzero(between[terms])
         self.top = np.zeros((int(between.sum()), blocks), dtype=np.float32)
@@ -220,34 +227,40 @@ class Index:
         rare = np.flatnonzero((common < 0) & (between < 0))
         size = self.df[t[rare]]
         at = _within(self.ptr[t[rare]], size)
-        exact = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(w[rare], size), minlength=n)
+        exact = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(w[rare], size), minlength=self.columns)
         some = between >= 0
         rows = between[some]
         query = np.zeros(len(self.top))
         query[rows] = w[some]
         bound = base + (w[some].astype(np.float32) @ self.top[rows])[self.block]
         bound += exact.astype(np.float32)
+        bound[n:] = -np.inf
         if own >= 0:
             bound[own] = -np.inf
         seen, middle, least = np.empty(0, dtype=np.int64), np.empty(0), -np.inf
         for more in (*FIRST, n):  # the greatest bounds, then all that can still get in
-            if not len(seen) and more < n:
-                left = np.argpartition(bound, n - more)[n - more:]
+            if not len(seen) and GROUP * more < n:  # the greatest are in the groups with the greatest of their own
+                groups = bound.reshape(-1, GROUP).max(axis=1)
+                groups = np.argpartition(groups, len(groups) - more)[len(groups) - more:]
+                left = (groups[:, None] * GROUP + np.arange(GROUP)).reshape(-1)
+                all_taken = False
             else:
                 left = np.flatnonzero(bound >= max(least, 0.0) - SLACK)
-                if more < len(left):
-                    left = left[np.argpartition(bound[left], len(left) - more)[len(left) - more:]]
+                all_taken = len(left) <= more
+            if more < len(left):
+                left = left[np.argpartition(bound[left], len(left) - more)[len(left) - more:]]
             left = left[bound[left] >= -SLACK]
-            if not len(left):
-                break
-            seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, left)])
-            bound[left] = -np.inf
+            if len(left):
+                seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, left)])
+                bound[left] = -np.inf
             scores = base[seen] + exact[seen] + middle
             if len(seen) >= k:
                 least = np.partition(scores, -k)[-k]
+            if all_taken:
+                break
         self.scored += len(seen)
         self.asked += 1
-        good = np.flatnonzero(base[seen] + exact[seen] + middle >= max(least, 0.0) - SLACK)
+        good = np.flatnonzero(scores >= max(least, 0.0) - SLACK)
         e, middle = seen[good], middle[good]
         query = np.zeros(len(self.often))
         query[common[common >= 0]] = w[common >= 0]
@@ -315,8 +328,8 @@ def calibrated(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array([v for p in pools for v in (p[2], p[3])] or [0.0]), np.repeat(level, 2) if pools else level
 
 
-def score_of(vote: float, votes: np.ndarray, scores: np.ndarray) -> float:
-    return float(np.interp(round(vote, 6), votes, scores))
+def scores_of(vote: np.ndarray, votes: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    return np.interp(np.round(vote, 6), votes, scores)
 
 
 def unit(counts: dict[int, int], weights: np.ndarray) -> dict[int, float]:
@@ -510,15 +523,22 @@ def _score(fitted: Fitted, neighbours: int, threshold: float, counted: bool):
                 queries = (index.weighted(unpack_rising(t), unpack_counts(n)) for t, n in pairs)
             else:
                 queries = map(index.vector_of, texts_of(rb.column(1)))
-            score, evidence = [], []
-            for e, s in index.nearest_of(queries, neighbours):
-                score.append(score_of(index.vote(e, s), votes, scores))
-                evidence.append([{"doc_id": int(index.ids[i]), "similarity": float(c), "toxic": int(index.labels[i])}
-                                 for i, c in zip(e[:EVIDENCE], s[:EVIDENCE])])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+            vote, size, near, similar = [], [], [], []
+            for e, c in index.nearest_of(queries, neighbours):
+                vote.append(index.vote(e, c))
+                near.append(e[:EVIDENCE])
+                similar.append(c[:EVIDENCE])
+                size.append(len(near[-1]))
+            near, similar = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (near, similar))
+            near = near.astype(np.int64)
+            evidence = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(index.ids[near]), pa.array(similar, pa.float64()), pa.array(index.labels[near], pa.int32())],
+                                           names=["doc_id", "similarity", "toxic"]))
+            score = scores_of(np.array(vote), votes, scores)
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(score, pa.float64()), pa.array([int(x >= threshold) for x in score], pa.int32()),
-                 pa.array(evidence, kind)], names=["row", "score", "predicted", "evidence"])
+                [rb.column(0), pa.array(score), pa.array(score >= threshold).cast(pa.int32()), evidence],
+                names=["row", "score", "predicted", "evidence"])
     return run
 
 
@@ -549,7 +569,7 @@ def _accept(fitted: Fitted, neighbours: int, threshold: float, at: int):
         index = _once(state, "index", Index.of_state)
         for rb in batches:
             votes = index.votes_of(map(index.vector_of, texts_of(rb.column(at))), neighbours)
-            keep = [score_of(v, known, scores) < threshold for v in votes]
+            keep = scores_of(np.fromiter(votes, dtype=np.float64, count=rb.num_rows), known, scores) < threshold
             yield rb.filter(pa.array(keep, pa.bool_()))
     return run
 
