@@ -117,8 +117,7 @@ def _with_medians(df: DataFrame, keys: Sequence[str | Column], exprs: Sequence[C
     found = exact_percentiles(long, key_names, dict(zip(medians, values)))
     if keys:
         return _null_safe_join(rest, found, key_names, "left").select(*key_names, *names)
-    one = F.lit(0)
-    return rest.withColumn("_k", one).join(F.broadcast(found.withColumn("_k", one)), "_k").select(*names)
+    return rest.withColumns({n: found.select(n).scalar() for n in medians}).select(*names)
 
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.5,

@@ -321,8 +321,7 @@ def _schemas(spark, d):
     t = s.drop("s_acctbal").withColumns({"s_suppkey": F.col("s_suppkey").cast("string"), "extra": F.lit(1)})
     found = spark.createDataFrame(reconcile.compare_schemas(s, t), "column_name string, source_type string, target_type string")
     counts = reconcile.compare_counts(s, t)
-    return found.withColumn("k", F.lit(0)).join(F.broadcast(counts.withColumn("k", F.lit(0))), "k").select(
-        "column_name", "source_type", "target_type", "source_count", "target_count")
+    return found.withColumns({c: counts.select(c).scalar() for c in ("source_count", "target_count")})
 
 
 register("r4_compare_schemas", """
@@ -356,11 +355,10 @@ def _file_ranges(spark, d):
     z = layout.cluster(o, cols, 16).withColumn("file", F.spark_partition_id())
     plain = o.repartitionByRange(16, "o_custkey").withColumn("file", F.spark_partition_id())
     width = lambda df: df.groupBy("file").agg(*[(F.max(c) - F.min(c)).alias(c) for c in cols]).agg(*[F.avg(c).alias(c) for c in cols])
-    a, b = width(z).withColumn("k", F.lit(0)).alias("a"), width(plain).withColumn("k", F.lit(0)).alias("b")
-    rows = o.agg(F.count(F.lit(1)).alias("orders")).withColumn("k", F.lit(0))
-    return (a.join(F.broadcast(b), "k").join(F.broadcast(rows), "k")
-            .select("orders", (F.col("a.o_totalprice") < 0.8 * F.col("b.o_totalprice")).alias("price_narrower"),
-                    (F.col("a.day") < 0.8 * F.col("b.day")).alias("day_narrower")))
+    a, b = width(z), width(plain)
+    narrower = lambda c: a.select(c).scalar() < 0.8 * b.select(c).scalar()
+    return o.agg(F.count(F.lit(1)).alias("orders")).select(
+        "orders", narrower("o_totalprice").alias("price_narrower"), narrower("day").alias("day_narrower"))
 
 
 register("b10_zorder_file_ranges", "SELECT count(*) AS orders, true AS price_narrower, true AS day_narrower FROM orders")(_file_ranges)
