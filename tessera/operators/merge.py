@@ -56,15 +56,20 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     return left.join(r, cond, how).drop(*[f"_m_{k}" for k in keys])
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], latest_by: str | None = None,
+           within: Sequence[str] = ()) -> DataFrame:
     """Update matched keys, insert new ones (B15, H4 type 1).
 
     New table = target rows whose key is not in ``updates`` + all updates,
     reduced to one row per key (see ``one_per_key``; a repeated key without
     ``latest_by`` fails).  One anti join; the key-only projection of ``updates``
     is what gets shuffled or broadcast against target.
+
+    ``within`` names columns of ``updates`` that tell several sets of changes
+    apart: a key is then reduced (or refused) in each set, and a key that
+    several sets change comes out with the row of each.
     """
-    updates = one_per_key(updates, keys, latest_by)
+    updates = one_per_key(updates, [*keys, *within], latest_by)
     keep = matched(target, updates.select(*keys), keys, "left_anti")
     return keep.unionByName(_as_target(updates, target))
 
@@ -75,14 +80,16 @@ def _as_target(updates: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def update_by_keys(target: DataFrame, updates: DataFrame, keys: Sequence[str],
-                   cols: Sequence[str], latest_by: str | None = None) -> DataFrame:
+                   cols: Sequence[str], latest_by: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Update ``cols`` of rows whose key matches; no inserts.
 
-    ``updates`` is reduced to one row per key first (see ``one_per_key``).
+    ``updates`` is reduced to one row per key first (see ``one_per_key``), or
+    one per key and set of changes (``within``, see ``upsert``): a row whose
+    key several sets change comes out once for each.
     """
     types = {f.name: f.dataType for f in target.schema.fields}
-    wanted = list(dict.fromkeys([*keys, *cols, *([latest_by] if latest_by else [])]))
-    updates = one_per_key(updates.select(*wanted), keys, latest_by)
+    wanted = list(dict.fromkeys([*keys, *within, *cols, *([latest_by] if latest_by else [])]))
+    updates = one_per_key(updates.select(*wanted), [*keys, *within], latest_by)
     u = updates.select(*keys, *[F.col(c).cast(types[c]).alias(f"_u_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = matched(target, u, keys, "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import dimension, merge
@@ -162,3 +163,29 @@ def test_upsert_equals_dictionary_merge(spark, target, updates):
     assert sorted(tuple(r) for r in merge.upsert(t, u, ["k"]).collect()) == expected
     assert sorted(tuple(r) for r in merge.delete_by_keys(t, u, ["k"]).collect()) == \
         sorted((k, v) for k, v in target.items() if k not in updates)
+
+
+def test_sets_of_changes_may_share_keys(spark):
+    """A key changed by two sets comes out with the row of each; a key repeated inside one set still fails."""
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    u = spark.createDataFrame([(2, "B", "x"), (2, "N", "y"), (3, "C", "x"), (4, "D", "y")], "k int, v string, s string")
+    assert rows(merge.upsert(t, u, ["k"], within=["s"])) == [(1, "a"), (2, "B"), (2, "N"), (3, "C"), (4, "D")]
+    assert rows(merge.update_by_keys(t, u, ["k"], ["v"], within=["s"])) == [(1, "a"), (2, "B"), (2, "N"), (3, "C")]
+    for again in (merge.upsert(t, u.union(u), ["k"], within=["s"]), merge.update_by_keys(t, u, ["k"], ["v"])):
+        with pytest.raises(Exception, match="repeated key"):
+            again.collect()
+
+
+def test_part_updates_whose_new_keys_are_old_ones(spark, tmp_dir):
+    """Parts on both sides of 1,000,000, as in a table of more than a million of them."""
+    from tessera.plans import catalog
+    keys = [5, 13, 65, 1000000, 1000001, 1000013, 1000065]
+    spark.createDataFrame([(k, f"n{k}", float(k)) for k in keys], "p_partkey long, p_name string, p_retailprice double") \
+        .write.parquet(f"{tmp_dir}/part.parquet")
+    names = lambda q: sorted((r.p_partkey, r.p_name, int(r.price)) for r in catalog.queries()[q](spark, tmp_dir).collect())
+    twice = [(1000065, "n1000065", 1000066), (1000065, "n65", 65)]
+    assert names("b15_h4_upsert_scd1") == [(5, "n5", 6), (13, "n13", 13), (65, "n65", 66), (1000000, "n1000000", 1000001),
+                                           (1000001, "n1000001", 1000001), (1000013, "n13", 13), *twice]
+    assert names("b14_update_by_keys") == [(5, "n5", 6), (13, "n13", 13), (65, "n65", 66), (1000000, "n1000000", 1000001),
+                                           (1000001, "n1000001", 1000001), (1000013, "n1000013", 13),
+                                           (1000065, "n1000065", 65), (1000065, "n1000065", 1000066)]
