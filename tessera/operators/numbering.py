@@ -17,7 +17,8 @@ Grouped logic (sequence numbers, running sums, lag and lead) takes its ranges fr
 explicit bounds (``ranges``): rows are sent by range number, and windows on
 (range, keys) reuse that layout, so the full rows are exchanged once and a
 recomputed task sees the same rows.  An input that is more than a scan is
-checkpointed first, as it is read three times.  The global row number range-partitions,
+checkpointed first, as it is read three times; steps that follow each other on the
+same keys and order go on with the rows as they lie.  The global row number range-partitions,
 sorts and checkpoints to the shared folder, and reads each row's partition
 number and position from ``monotonically_increasing_id`` of the checkpointed
 rows.  Every task handles at most one range's worth of rows, whatever the key skew.
@@ -26,12 +27,13 @@ rows.  Every task handles at most one range's worth of rows, whatever the key sk
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.ranges import with_range
+from tessera.operators.ranges import column_name, with_range
 from tessera.session import ensure_checkpoint_dir
 
 _PART, _IDX, _MID = "_nb_part", "_nb_idx", "_nb_mid"
@@ -51,11 +53,8 @@ def _orderable(dt: T.DataType) -> bool:
 
 
 def _names_in(order: OrderSpec) -> set[str]:
-    out = set()
-    for o in order:
-        if isinstance(o, str):
-            out.add(o)
-    return out
+    """Columns that the order names, as they are; a repeated sort column would decide nothing."""
+    return {n for n in (o if isinstance(o, str) else column_name(o) for o in order) if n}
 
 
 def total_order(df: DataFrame, keys: Sequence[str], order: OrderSpec) -> list[Column]:
@@ -128,13 +127,46 @@ def _settled(df: DataFrame) -> DataFrame:
     return df
 
 
-def _segment_frame(df: DataFrame, keys: Sequence[str], order: OrderSpec, num_partitions: int | None):
-    """(rows with their range, the same sent by range, the window over a range and its keys)."""
+@dataclass
+class _Laid:
+    """Rows in ranges of (keys, order): ``base`` with their range, ``parts`` sent by range, ``rows`` with later results too."""
+    keys: list[str]
+    order: list[str | Column]
+    ranges: int
+    base: DataFrame
+    parts: DataFrame
+    rows: DataFrame
+    window: WindowSpec
+
+    def serves(self, keys: Sequence[str], order: OrderSpec, ranges: int, col: str | None) -> bool:
+        return (self.keys == list(keys) and self.ranges == ranges and len(self.order) == len(order)
+                and all(a is b or (isinstance(a, str) and isinstance(b, str) and a == b) for a, b in zip(self.order, order))
+                and (col is None or col in self.base.columns))
+
+
+def _segment_frame(df: DataFrame, keys: Sequence[str], order: OrderSpec, num_partitions: int | None, col: str | None = None) -> _Laid:
+    """The rows laid out in ranges; as they lie already if ``df`` is what the same keys and order gave before.
+
+    A chain of numberings of one order is thus exchanged and sorted once.  ``col`` is
+    summed up from the base rows: a result of the chain itself begins a new layout.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = getattr(df, "_laid", None)
+    if laid is not None and laid.serves(keys, order, n, col):
+        return laid
     df = _settled(df)
     exprs = total_order(df, keys, order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = with_range(df, exprs, n, _PART)
-    return tagged, tagged.repartitionById(n, F.col(_PART)), Window.partitionBy(_PART, *keys).orderBy(*exprs)
+    parts = tagged.repartitionById(n, F.col(_PART))
+    return _Laid(list(keys), list(order), n, tagged, parts, parts, Window.partitionBy(_PART, *keys).orderBy(*exprs))
+
+
+def _result(laid: _Laid, rows: DataFrame, columns: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """The columns and results, remembering the layout for the next step."""
+    res = rows.select(*columns, *outs)
+    if len({*columns, *outs, _PART}) == len(columns) + len(outs) + 1:
+        res._laid = replace(laid, rows=rows.select(*columns, *outs, _PART))
+    return res
 
 
 def group_row_number(df: DataFrame, keys: Sequence[str], order: OrderSpec, out: str = "seq",
@@ -145,15 +177,15 @@ def group_row_number(df: DataFrame, keys: Sequence[str], order: OrderSpec, out:
     if not skew_safe:
         w = Window.partitionBy(*keys).orderBy(*total_order(df, [], order))
         return df.withColumn(out, F.row_number().over(w))
-    tagged, parts, wl = _segment_frame(df, keys, order, num_partitions)
-    local = parts.withColumn("_lrn", F.row_number().over(wl))
-    summ = tagged.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    laid = _segment_frame(df, keys, order, num_partitions)
+    local = laid.rows.withColumn("_lrn", F.row_number().over(laid.window))
+    summ = laid.base.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
     wk = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (summ.withColumn("_off", F.sum("_n").over(wk))
              .filter(F.col("_off").isNotNull()).select(_PART, *keys, "_off"))
     res = _null_safe_join(local, carry, [_PART, *keys])
-    return (res.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lrn")).cast("int"))
-            .select(*df.columns, out))
+    res = res.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lrn")).cast("int"))
+    return _result(laid, res, df.columns, [out])
 
 
 def is_first(df: DataFrame, keys: Sequence[str], order: OrderSpec, out: str = "is_first",
@@ -171,16 +203,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str,
         w = (Window.partitionBy(*keys).orderBy(*total_order(df, [], order))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumn(out, F.sum(col).over(w))
-    tagged, parts, wl = _segment_frame(df, keys, order, num_partitions)
-    local = parts.withColumn("_lsum", F.sum(col).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
-    summ = tagged.groupBy(_PART, *keys).agg(F.sum(col).alias("_s"), F.count(F.col(col)).alias("_c"))
+    laid = _segment_frame(df, keys, order, num_partitions, col)
+    local = laid.rows.withColumn("_lsum", F.sum(col).over(laid.window.rowsBetween(Window.unboundedPreceding, 0)))
+    summ = laid.base.groupBy(_PART, *keys).agg(F.sum(col).alias("_s"), F.count(F.col(col)).alias("_c"))
     wk = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (summ.withColumn("_off", F.sum("_s").over(wk)).withColumn("_offc", F.sum("_c").over(wk))
              .filter(F.col("_offc") > 0).select(_PART, *keys, "_off"))
     res = _null_safe_join(local, carry, [_PART, *keys])
     total = F.when(F.col("_lsum").isNull() & F.col("_off").isNull(), F.lit(None)) \
         .otherwise(F.coalesce(F.col("_lsum"), F.lit(0)) + F.coalesce(F.col("_off"), F.lit(0)))
-    return res.withColumn(out, total).select(*df.columns, out)
+    return _result(laid, res.withColumn(out, total), df.columns, [out])
 
 
 def shifted(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str, out: str,
@@ -198,13 +230,14 @@ def shifted(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str, out:
         if has_col:
             res = res.withColumn(has_col, fn(F.lit(1), 1).over(w).isNotNull())
         return res
-    _, parts, wl = _segment_frame(df, keys, order, num_partitions)
+    laid = _segment_frame(df, keys, order, num_partitions, col)
+    wl = laid.window
     fn = F.lag if direction == "lag" else F.lead
-    local = (parts.withColumn("_lv", fn(col, 1).over(wl))
-             .withColumn("_lrn", F.row_number().over(wl))
-             .withColumn("_lcnt", F.count(F.lit(1)).over(wl.rowsBetween(Window.unboundedPreceding,
-                                                                          Window.unboundedFollowing))))
-    edges = local.filter((F.col("_lrn") == 1) | (F.col("_lrn") == F.col("_lcnt")))
+    placed = lambda rows: (rows.withColumn("_lrn", F.row_number().over(wl))
+                           .withColumn("_lcnt", F.count(F.lit(1)).over(wl.rowsBetween(Window.unboundedPreceding,
+                                                                                      Window.unboundedFollowing))))
+    local = placed(laid.rows.withColumn("_lv", fn(col, 1).over(wl)))
+    edges = placed(laid.parts).filter((F.col("_lrn") == 1) | (F.col("_lrn") == F.col("_lcnt")))
     summ = edges.groupBy(_PART, *keys).agg(F.max_by(col, "_lrn").alias("_last"), F.min_by(col, "_lrn").alias("_first"))
     wk = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART)
     if direction == "lag":
@@ -218,11 +251,9 @@ def shifted(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str, out:
     carry = carry.filter(F.col("_has").isNotNull()).select(_PART, *keys, "_cv", "_has")
     res = _null_safe_join(local, carry, [_PART, *keys])
     res = res.withColumn(out, F.when(edge, F.col("_cv")).otherwise(F.col("_lv")))
-    cols = [*df.columns, out]
     if has_col:
         res = res.withColumn(has_col, F.when(edge, F.col("_has").isNotNull()).otherwise(F.lit(True)))
-        cols.append(has_col)
-    return res.select(*cols)
+    return _result(laid, res, df.columns, [out, has_col] if has_col else [out])
 
 
 def change_flag(df: DataFrame, order: OrderSpec, col: str, keys: Sequence[str] = (),

@@ -186,3 +186,37 @@ def test_row_hash_is_unambiguous(spark):
     pairs = [("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("", "x"), ("-", "x"), ("1:a", "b"), ("1", ":ab"), ("é", "x"), ("é́", "x")]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert df.select(fx.row_hash("a", "b").alias("h")).distinct().count() == len(pairs)
+
+
+def test_a_chain_of_one_order_is_laid_out_once(spark):
+    """No checkpoint and no second layout between steps on the same keys and order; a result as input begins anew."""
+    df = _skewed(spark, 400)
+    order = [F.col("t").desc(), "id"]
+    got = numbering.running_sum(numbering.group_row_number(df, ["k"], order, "n", num_partitions=5), ["k"], order, "id", "r", num_partitions=5)
+    got = numbering.shifted(got, ["k"], order, "id", "a", "lead", num_partitions=5)
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "scan existingrdd" in plan and plan.count("shufflepartitionidpassthrough") == 2  # the rows, and the edges of lead
+    again = numbering.running_sum(got, ["k"], order, "n", "rn", num_partitions=5)
+    w = Window.partitionBy("k").orderBy(F.col("t").desc(), "id")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.row_number().over(w).alias("n"), F.sum("id").over(run).alias("r"), F.lead("id").over(w).alias("a"))
+    assert rows(again) == rows(want.withColumn("rn", F.sum("n").over(run)))
+
+
+def test_ranges_of_falling_values(spark):
+    """Falling numbers with nulls, NaN, infinities and extremes lie like a sort puts them, found by compiled columns."""
+    import datetime as dt
+    from decimal import Decimal
+    r = random.Random(7)
+    data = [(r.choice([None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 1.5, -2.5]), r.choice([None, -2**63, 2**63 - 1, 0, 5]),
+             r.choice([None, Decimal("1.20"), Decimal("-3.00")]), r.choice([None, dt.date(1960, 1, 1), dt.date(2020, 2, 2)]),
+             r.choice([None, True, False]), i) for i in range(600)]
+    df = spark.createDataFrame(data, "x double, l long, d decimal(5,2), y date, b boolean, id int")
+    for c in ("x", "l", "d", "y", "b"):
+        for way in (F.col(c).desc(), F.col(c).desc_nulls_first(), F.col(c).asc_nulls_last()):
+            got = ranges.with_range(df, [way, F.col("id").desc()], 6, "part")
+            w = Window.orderBy(way, F.col("id").desc())
+            parts = [q.part for q in got.withColumn("n", F.row_number().over(w)).orderBy("n").collect()]
+            assert parts == sorted(parts) and len(set(parts)) == 6
+    text = ranges.with_range(df, [F.col("x").desc()], 6, "part")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(CASE WHEN ((namedlambdavariable" not in text and "aggregate(" not in text
