@@ -20,11 +20,21 @@ from tessera.session import ensure_checkpoint_dir, scratch_path
 from tessera.sinks.files import write_dataset
 
 
+MAX_FILE_BYTES = 128 * 1024 * 1024
+
+
 def compact(spark: SparkSession, path: str, target_files: int,
-            partition_by: Sequence[str] | None = None) -> str:
-    """Rewrite a Parquet dataset into ``target_files`` files per output."""
+            partition_by: Sequence[str] | None = None, max_file_bytes: int = MAX_FILE_BYTES) -> str:
+    """Rewrite a Parquet dataset into ``target_files`` files per output.
+
+    A file is written by one task, so a dataset that is larger than
+    ``target_files`` files of ``max_file_bytes`` goes into as many of that size
+    as it needs.
+    """
     df = spark.read.parquet(path)
-    return write_dataset(df, path, partition_by=partition_by, files=target_files)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return write_dataset(df, path, partition_by=partition_by, files=max(target_files, -(-size // max_file_bytes)))
 
 
 def _bucket(c: Column, bounds: Sequence, dtype: T.DataType) -> Column:
