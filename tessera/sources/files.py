@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT_COL = "_corrupt_record"
+FILE_ROW_BYTES = 64  # a file's row in a broadcast, beside its path
+BLOCK_ROWS = 1_000_000
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -132,20 +134,26 @@ def file_row_number(df: DataFrame, out: str = "row_number") -> DataFrame:
     Input order = files by path, rows in file order.  Uses the scan's
     ``_metadata.row_index`` plus the row count of earlier files: the only
     shuffle is a count per file, and the per-file offsets (one row per file)
-    are broadcast when their estimated size allows, otherwise joined by a
-    shuffle.  No range partitioning and no checkpoint: the numbers are a pure
-    function of the files, so a recomputed task gets the same ones.
+    are broadcast unless the scan has more files than a broadcast allows.  They
+    are then joined by file and block of rows, so that a large file's rows do
+    not meet in one task.  No range partitioning and no checkpoint: the numbers
+    are a pure function of the files, so a recomputed task gets the same ones.
     """
     from pyspark.sql import Window
 
-    from tessera.util import fits_broadcast
+    from tessera.util import broadcast_limit
+    # the driver has listed the files for the scan
+    few = sum(len(x) + FILE_ROW_BYTES for x in df.inputFiles()) <= broadcast_limit(df)
     meta = df.withColumns({"_fp": F.col("_metadata.file_path"), "_ri": F.col("_metadata.row_index")})
     counts = meta.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_fp", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    offsets = F.broadcast(offsets) if fits_broadcast(offsets) else offsets
-    return (meta.join(offsets, "_fp").withColumn(out, F.col("_off") + F.col("_ri") + 1)
-            .drop("_fp", "_ri", "_off"))
+    if few:
+        joined = meta.join(F.broadcast(offsets), "_fp")
+    else:
+        meta = meta.withColumn("_rb", F.floor(F.col("_ri") / BLOCK_ROWS))
+        joined = meta.join(meta.select("_fp", "_rb").distinct().join(offsets, "_fp"), ["_fp", "_rb"]).drop("_rb")
+    return joined.withColumn(out, F.col("_off") + F.col("_ri") + 1).drop("_fp", "_ri", "_off")
 
 
 def read_whole_files(spark: SparkSession, path_glob: str) -> DataFrame:

@@ -252,3 +252,31 @@ def test_zorder_bounds_come_from_all_rows(spark):
     assert len(numbers) == 255 and all(abs(b - n * q / 256) <= 4 for q, b in zip(range(1, 256), numbers))
     assert len(dates) == 255
     assert layout._bounds(df.limit(0), ["i", "s"], 256) == [[], []]
+
+
+def test_compaction_bounds_the_file_of_one_task(spark, tmp_dir):
+    df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    df.repartition(6).write.parquet(tmp_dir)
+    size = sum(os.path.getsize(p) for p in glob.glob(_local(tmp_dir) + "/*.parquet"))
+    layout.compact(spark, tmp_dir, 2, max_file_bytes=size // 4)
+    files = glob.glob(_local(tmp_dir) + "/*.parquet")
+    assert 4 <= len(files) <= 5 and max(os.path.getsize(p) for p in files) < 1.3 * size / 4
+    assert rows(spark.read.parquet(tmp_dir)) == rows(df)
+
+
+def test_file_row_number_keeps_large_files_out_of_one_task(spark, tmp_dir, monkeypatch):
+    spark.range(0, 500).coalesce(1).write.parquet(f"{tmp_dir}/part_a")
+    spark.range(500, 800).coalesce(1).write.parquet(f"{tmp_dir}/part_b")
+    df = spark.read.parquet(f"{tmp_dir}/part_a", f"{tmp_dir}/part_b")
+    wide = df.select("id", *[F.lit("x" * 50).alias(f"c{i}") for i in range(20)])
+    spark.conf.set("tessera.broadcast.maxBytes", "1000")  # less than the estimate of the rows, more than two files
+    try:
+        plan = sources.file_row_number(wide, "rn")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        spark.conf.set("tessera.broadcast.maxBytes", "1")
+        monkeypatch.setattr(sources, "BLOCK_ROWS", 100)
+        out = sources.file_row_number(df, "rn")
+        assert sorted((r.id, r.rn) for r in out.collect()) == [(i, i + 1) for i in range(800)]
+        assert "_rb" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("tessera.broadcast.maxBytes")
