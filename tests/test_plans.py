@@ -1,6 +1,7 @@
 """Plan checks over every registered query (at sf0.001)."""
 
 import __spark_entry__ as E
+from tessera.operators import reconcile
 from tests.conftest import SF
 
 PYTHON_OK = ("u4_", "x1_", "x9_", "x10_", "x11_", "x12_", "x14_")
@@ -57,3 +58,16 @@ def test_dimension_joins_its_source_once(spark):
     plan = E.queries()["job03_scd2_dimension"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # the change set of the full outer join is materialised; what is left joins inserts to history
     assert "FullOuter" not in plan and "ExistingRDD" in plan
+
+
+def test_no_step_is_bound_to_a_fixed_or_single_task(spark):
+    """The parse of a one-file table is dealt out; a comparison's reshuffle has no fixed number of tasks."""
+    assert E.queries()["f13_xml_field"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plans = []
+    real = reconcile.dataset_checksum
+    try:
+        reconcile.dataset_checksum = lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a, **k)
+        E.queries()["r3_dataset_checksum_xxhash"](spark, SF)
+    finally:
+        reconcile.dataset_checksum = real
+    assert sum("RebalancePartitions [l_suppkey" in p for p in plans) == 1 and not any("RepartitionByExpression" in p for p in plans)
