@@ -129,7 +129,10 @@ def _settled(df: DataFrame) -> DataFrame:
 
 @dataclass
 class _Laid:
-    """Rows in ranges of (keys, order): ``base`` with their range, ``parts`` sent by range, ``rows`` with later results too."""
+    """Rows in ranges of (keys, order): ``base`` with their range, ``parts`` sent by range, ``rows`` with later results too.
+
+    ``window`` is over ``rows`` and breaks ties by the later results as well, ``base_window`` over ``parts``.
+    """
     keys: list[str]
     order: list[str | Column]
     ranges: int
@@ -137,6 +140,7 @@ class _Laid:
     parts: DataFrame
     rows: DataFrame
     window: WindowSpec
+    base_window: WindowSpec
 
     def serves(self, keys: Sequence[str], order: OrderSpec, ranges: int, col: str | None) -> bool:
         return (self.keys == list(keys) and self.ranges == ranges and len(self.order) == len(order)
@@ -147,18 +151,19 @@ class _Laid:
 def _segment_frame(df: DataFrame, keys: Sequence[str], order: OrderSpec, num_partitions: int | None, col: str | None = None) -> _Laid:
     """The rows laid out in ranges; as they lie already if ``df`` is what the same keys and order gave before.
 
-    A chain of numberings of one order is thus exchanged and sorted once.  ``col`` is
+    A chain of numberings of one order is thus exchanged once.  ``col`` is
     summed up from the base rows: a result of the chain itself begins a new layout.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = getattr(df, "_laid", None)
+    exprs = total_order(df, keys, order)
+    window = Window.partitionBy(_PART, *keys).orderBy(*exprs)
     if laid is not None and laid.serves(keys, order, n, col):
-        return laid
+        return replace(laid, window=window)
     df = _settled(df)
-    exprs = total_order(df, keys, order)
     tagged = with_range(df, exprs, n, _PART)
     parts = tagged.repartitionById(n, F.col(_PART))
-    return _Laid(list(keys), list(order), n, tagged, parts, parts, Window.partitionBy(_PART, *keys).orderBy(*exprs))
+    return _Laid(list(keys), list(order), n, tagged, parts, parts, window, window)
 
 
 def _result(laid: _Laid, rows: DataFrame, columns: Sequence[str], outs: Sequence[str]) -> DataFrame:
@@ -231,13 +236,12 @@ def shifted(df: DataFrame, keys: Sequence[str], order: OrderSpec, col: str, out:
             res = res.withColumn(has_col, fn(F.lit(1), 1).over(w).isNotNull())
         return res
     laid = _segment_frame(df, keys, order, num_partitions, col)
-    wl = laid.window
     fn = F.lag if direction == "lag" else F.lead
-    placed = lambda rows: (rows.withColumn("_lrn", F.row_number().over(wl))
-                           .withColumn("_lcnt", F.count(F.lit(1)).over(wl.rowsBetween(Window.unboundedPreceding,
-                                                                                      Window.unboundedFollowing))))
-    local = placed(laid.rows.withColumn("_lv", fn(col, 1).over(wl)))
-    edges = placed(laid.parts).filter((F.col("_lrn") == 1) | (F.col("_lrn") == F.col("_lcnt")))
+    placed = lambda rows, w: (rows.withColumn("_lrn", F.row_number().over(w))
+                              .withColumn("_lcnt", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
+                                                                                        Window.unboundedFollowing))))
+    local = placed(laid.rows.withColumn("_lv", fn(col, 1).over(laid.window)), laid.window)
+    edges = placed(laid.parts, laid.base_window).filter((F.col("_lrn") == 1) | (F.col("_lrn") == F.col("_lcnt")))
     summ = edges.groupBy(_PART, *keys).agg(F.max_by(col, "_lrn").alias("_last"), F.min_by(col, "_lrn").alias("_first"))
     wk = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART)
     if direction == "lag":

@@ -220,3 +220,11 @@ def test_ranges_of_falling_values(spark):
             assert parts == sorted(parts) and len(set(parts)) == 6
     text = ranges.with_range(df, [F.col("x").desc()], 6, "part")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(CASE WHEN ((namedlambdavariable" not in text and "aggregate(" not in text
+
+
+def test_equal_rows_of_a_chain_are_told_apart_by_earlier_results(spark):
+    """Of two equal rows the one with the smaller earlier result comes first in the next step, as in a step of its own."""
+    df = spark.createDataFrame([(1, 1, 9), (1, 2, 5), (1, 2, 5), (1, 3, 7)], "k int, t int, v int")
+    got = numbering.shifted(df, ["k"], ["t"], "v", "before", "lag", num_partitions=3)
+    got = numbering.shifted(got, ["k"], ["t"], "v", "after", "lead", num_partitions=3)
+    assert rows(got, "t", "before", "after") == [(1, None, 5), (2, 5, 5), (2, 9, 7), (3, 5, None)]
