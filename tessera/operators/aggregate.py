@@ -3,18 +3,21 @@
 Grouped aggregates run as partial (map-side) + final aggregation, so a hot
 key is combined on every mapper before the shuffle; no operator here collects
 a group into one buffer.  Exact medians and percentiles, of one or several
-measures, come from one ranked pass over the counted values (use
-``approx=True`` for a bounded sketch).
+measures, come from counts by cell and one ranked pass over the values of the
+cells that hold them (use ``approx=True`` for a bounded sketch).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
+from tessera.util import broadcast_limit
+
+_SOUGHT_BYTES = 100  # a row of group, measure and cell in a broadcast
 
 
 def agg_expr(fn: str, col: str | Column | None = None, approx: bool = False) -> Column:
@@ -126,36 +129,64 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], col: str, p: float = 0.
     return exact_percentiles(df, keys, {out: col}, p)
 
 
+_CELL = 64 * 128  # cells of about 1 in 128 of a value's size, narrower for small numbers and wider for huge ones
+
+
+def _cell(v: Column) -> Column:
+    """A whole number that never falls as a double rises (NaN last): its cell in a fixed division of all numbers.
+
+    Only square roots, products and ``floor`` are taken, each of which keeps the order of numbers.
+    """
+    x = F.abs(v)
+    for _ in range(6):  # the 64th root: at most 65,536
+        x = F.sqrt(x)
+    size = F.floor(F.least(x, F.lit(1e5)) * F.lit(float(_CELL))).cast("bigint")
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v < 0, -size).otherwise(size)
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str], p: float = 0.5) -> DataFrame:
     """Exact continuous percentiles of several measures per group (E8) without a per-group buffer.
 
     ``percentile``/``median`` keep every distinct value of a group in one
     aggregation buffer, which a hot group (or a global median) cannot afford.
-    Here the values of all measures are counted per (group, measure, value) --
-    combined map-side --, cumulative counts come from one distributed running
-    sum (cut into ranges, so a hot group spans many tasks), and the two values
-    around rank p * (n - 1) are picked and interpolated:
+    Here the values of all measures are counted per (group, measure, cell), a
+    cell being a fixed interval of numbers; the counts tell in which one or two
+    cells the values around rank p * (n - 1) lie.  Only the values of these
+    cells are counted one by one -- combined map-side --, cumulated by one
+    distributed running sum (cut into ranges, so a hot cell spans many tasks),
+    and the two values are picked and interpolated:
     ``(hi_pos - pos) * v_lo + (pos - lo_pos) * v_hi``.  Nulls are ignored; a
     group without values has a null, as with ``percentile``.
+
+    The rows are read twice; an input that is more than a scan is checkpointed first.
     """
     from tessera.operators import numbering
     keys, names = list(keys), list(measures)
-    pairs = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(measures.values())])
-    vc = (df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v").filter(F.col("_v").isNotNull())
-          .groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    group = [*keys, "_m"]
     ensure_checkpoint_dir(df.sparkSession)
-    vc = vc.checkpoint(eager=True)
-    cum = numbering.running_sum(vc, [*keys, "_m"], ["_v"], "_c", "_cum")
-    tot = vc.groupBy(*keys, "_m").agg(F.sum("_c").alias("_n"))
-    j = _null_safe_join(cum, tot, [*keys, "_m"], "inner")
-    pos = (F.col("_n") - 1) * F.lit(float(p))
-    lo, hi = F.floor(pos), F.ceil(pos)
-    prev = F.col("_cum") - F.col("_c")
-    j = j.withColumns({"_lo": F.when((prev <= lo) & (lo < F.col("_cum")), F.col("_v")),
-                       "_hi": F.when((prev <= hi) & (hi < F.col("_cum")), F.col("_v")),
-                       "_pos": pos})
-    r = j.groupBy(*keys, "_m").agg(F.max("_lo").alias("_vlo"), F.max("_hi").alias("_vhi"), F.max("_pos").alias("_pos"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(measures.values())])
+    values = (numbering.settled(df).select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v")
+              .withColumn("_cell", _cell(F.col("_v"))))
+    cells = values.groupBy(*group, "_cell").agg(F.count("_v").alias("_c")).checkpoint(eager=True)
+    whole = Window.partitionBy(*group)
+    upto = F.sum("_c").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    prev, cum = F.col("_cum") - F.col("_c"), F.col("_cum")
     lo, hi = F.floor("_pos"), F.ceil("_pos")
+    sought = (cells.filter(F.col("_c") > 0).withColumns({"_cum": upto, "_pos": (F.sum("_c").over(whole) - 1) * F.lit(float(p))})
+              .filter(((prev <= lo) & (lo < cum)) | ((prev <= hi) & (hi < cum)))
+              .select(*group, "_cell", F.min(prev).over(whole).alias("_before"), "_pos").checkpoint(eager=True))
+    counted = [*group, "_cell", "_v"]
+    if sought.count() * _SOUGHT_BYTES <= broadcast_limit(df):
+        near = values.join(F.broadcast(sought.select("_cell").distinct()), "_cell", "left_semi")  # one number: most rows end here
+        picked = (_null_safe_join(near, F.broadcast(sought), [*group, "_cell"], "inner")
+                  .groupBy(*counted, "_before", "_pos").agg(F.count(F.lit(1)).alias("_c")))
+    else:
+        picked = _null_safe_join(values.groupBy(*counted).agg(F.count("_v").alias("_c")), sought, [*group, "_cell"], "inner")
+    picked = picked.select(*group, "_v", "_before", "_pos", "_c")
+    j = numbering.running_sum(picked, group, ["_v"], "_c", "_cum").withColumn("_cum", F.col("_before") + F.col("_cum"))
+    j = j.withColumns({"_lo": F.when((prev <= lo) & (lo < cum), F.col("_v")),
+                       "_hi": F.when((prev <= hi) & (hi < cum), F.col("_v"))})
+    r = j.groupBy(*group).agg(F.max("_lo").alias("_vlo"), F.max("_hi").alias("_vhi"), F.max("_pos").alias("_pos"))
     val = F.when(lo == hi, F.col("_vlo")).otherwise((hi - F.col("_pos")) * F.col("_vlo") +
                                                      (F.col("_pos") - lo) * F.col("_vhi"))
     r = r.withColumn("_val", val)
@@ -164,7 +195,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], measures: Mapping[str,
         return r.agg(*wide)
     r = r.groupBy(*keys).agg(*wide)
     # groups whose values are all null get null percentiles
-    return _null_safe_join(df.select(*keys).distinct(), r, keys, "left")
+    return _null_safe_join(cells.select(*keys).distinct(), r, keys, "left")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

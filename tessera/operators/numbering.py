@@ -107,17 +107,22 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "row_num", sta
             .drop("_off", _PART, _IDX).select(*df.columns, out))
 
 
-_CHEAP = {"Project", "Filter", "Union", "Generate", "Range", "LocalRelation", "LogicalRelation", "LogicalRDD", "InMemoryRelation",
+_CHEAP = {"Project", "Filter", "Union", "Generate", "Expand", "Range", "LocalRelation", "LogicalRelation", "LogicalRDD", "InMemoryRelation",
           "DataSourceV2ScanRelation"}
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """The frame itself if it is scans with projections and filters, else checkpointed.
 
     Ranges read their input three times (sample, summary, rows); a join, aggregate or earlier
     numbering is not to be computed that often, nor a chain of numberings ever more often.
+    Values that differ between two reads (random ones) are fixed by the checkpoint too.
     """
-    todo = [df._jdf.queryExecution().optimizedPlan()]
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan] if plan.deterministic() else []
+    if not todo:
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
     while todo:
         node = todo.pop()
         if node.nodeName() not in _CHEAP and not node.nodeName().startswith("Relation"):
@@ -160,7 +165,7 @@ def _segment_frame(df: DataFrame, keys: Sequence[str], order: OrderSpec, num_par
     window = Window.partitionBy(_PART, *keys).orderBy(*exprs)
     if laid is not None and laid.serves(keys, order, n, col):
         return replace(laid, window=window)
-    df = _settled(df)
+    df = settled(df)
     tagged = with_range(df, exprs, n, _PART)
     parts = tagged.repartitionById(n, F.col(_PART))
     return _Laid(list(keys), list(order), n, tagged, parts, parts, window, window)

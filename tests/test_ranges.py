@@ -164,6 +164,37 @@ def test_medians_of_several_measures(spark):
     assert rows(quart.filter("g = 'a'")) == [("a", 1.5)]
 
 
+def test_percentiles_rank_only_the_values_near_them(spark, monkeypatch):
+    ranked = []
+    real = numbering.running_sum
+    monkeypatch.setattr(numbering, "running_sum", lambda df, *a, **k: ranked.append(df.count()) or real(df, *a, **k))
+    df = spark.range(20000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 20000 + 100.25).alias("x"), F.lit(2).alias("y"))
+    got = aggregate.exact_percentiles(df, ["k"], {"x": "x", "y": "y"}, 0.3)
+    exp = df.groupBy("k").agg(F.percentile("x", F.lit(0.3)).alias("x"), F.percentile("y", F.lit(0.3)).alias("y"))
+    assert [[round(v, 6) for v in r] for r in rows(got)] == [[round(v, 6) for v in r] for r in rows(exp)]
+    assert len(ranked) == 1 and ranked[0] < 2000
+
+
+@pytest.mark.parametrize("limit", ["1", "10000000"])  # sought cells joined, or broadcast
+def test_percentiles_of_odd_numbers(spark, limit):
+    inf, nan = float("inf"), float("nan")
+    some = [-inf, -1e300, -5.5, -5.5, -1e-300, -0.0, 0.0, 5e-324, 1e-9, 3.25, 1e15 + 1, 1e15 + 2, 1e300, inf, nan, nan, None]
+    df = spark.createDataFrame([(k, v) for k in (None, "a") for v in some] + [("b", None), ("c", -7.0), ("c", 9.0)], "k string, x double")
+    spark.conf.set("tessera.broadcast.maxBytes", limit)
+    try:
+        for p in (0.0, 1 / 15, 0.2, 0.4, 0.6, 11 / 15, 0.8, 1.0):
+            got = rows(aggregate.exact_percentiles(df, ["k"], {"q": "x"}, p))
+            exp = rows(df.groupBy("k").agg(F.percentile("x", F.lit(p)).alias("q")))
+            assert str(got) == str(exp).replace("-0.0)", "0.0)"), p
+    finally:
+        spark.conf.unset("tessera.broadcast.maxBytes")
+
+
+def test_percentiles_of_values_drawn_at_random(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.rand().alias("x"))  # other numbers at each reading
+    assert all(0.4 < r.q < 0.6 for r in aggregate.exact_percentiles(df, ["k"], {"q": "x"}).collect())
+
+
 def test_flatten_three_levels(spark):
     df = spark.sql("""
         SELECT 1 AS id, named_struct('a', named_struct('b', 'x', 'c', array(named_struct('d', 1), named_struct('d', 2))), 'e', 5) AS r, 'top' AS R_A_b, map('k', 1) AS m
