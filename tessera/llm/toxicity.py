@@ -116,7 +116,9 @@ Vector = tuple[np.ndarray, np.ndarray]  # terms, unit-length weights
 def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of several stretches, one after another."""
     end = np.cumsum(size)
-    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
+    out = np.arange(end[-1] if len(end) else 0)
+    out += np.repeat(start - end + size, size)
+    return out
 
 
 class Lists:
@@ -130,11 +132,18 @@ class Lists:
     def dot(self, query: np.ndarray, examples: np.ndarray) -> np.ndarray:
         """Products with a query (weight by row) for some examples."""
         size = self.size[examples]
-        at = _within(self.first[examples], size)
+        end = np.cumsum(size)
+        first = end - size
+        at = np.arange(end[-1] if len(end) else 0)
+        at += np.repeat(self.first[examples] - first, size)
+        products = query.take(self.rows.take(at))
+        products *= self.values.take(at)
+        if size.all() and len(size):
+            return np.add.reduceat(products, first)
         out = np.zeros(len(examples))
-        if len(at):
-            some = size > 0
-            out[some] = np.add.reduceat(query[self.rows[at]] * self.values[at], (np.cumsum(size) - size)[some])
+        some = size > 0
+        if some.any():
+            out[some] = np.add.reduceat(products, first[some])
         return out
 
 
@@ -153,7 +162,8 @@ class Index:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.scored = self.asked = 0  # examples whose middle terms were looked at; queries
         n, width = len(self.ids), len(weights)
-        self.columns = -(-n // GROUP) * GROUP
+        blocks = -(-n // (BLOCK * GROUP)) * GROUP
+        self.columns = blocks * BLOCK
         example = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         values = raw(slice(None))
         self.norm = np.sqrt(np.bincount(example, weights=values * values, minlength=n))
@@ -161,23 +171,32 @@ class Index:
         df = np.bincount(terms, minlength=width)
         often = df * FREQUENT_SHARE >= max(n, 1)
         between = (df * MIDDLE_SHARE >= max(n, 1)) & ~often
+        # Example -> column.  Column c is in block c modulo their number: examples with the same heaviest frequent term
+        # stand side by side and so in different blocks, whose other examples then add little to a bound.
+        heaviest, most = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.float32)
+        at = np.flatnonzero(often[terms])
+        np.maximum.at(most, example[at], values[at].astype(np.float32))
+        top = at[values[at].astype(np.float32) == most[example[at]]][::-1]
+        row = np.cumsum(often) - 1
+        heaviest[example[top]] = row[terms[top]]
+        self.example_of = np.argsort(heaviest, kind="stable")
+        self.column_of = np.empty(n, dtype=np.int64)
+        self.column_of[self.example_of] = np.arange(n)
+        del heaviest, most, top, at
         self.frequent, self.frequent_lists = self._lists(often, example, values)
         self.middle, self.middle_lists = self._lists(between, example, values)
+        column = self.column_of.astype(np.int32)[example]
+        del example
         at = np.flatnonzero(often[terms])
         self.often = np.zeros((int(often.sum()), self.columns), dtype=np.float32)
-        self.often[self.frequent[terms[at]], example[at]] = values[at]
-        # examples with the same heaviest term are dealt to different blocks: a block's other examples then add little to a bound
-        heaviest = self.often[:, :n].argmax(axis=0) if len(self.often) else np.zeros(n, dtype=np.int64)
-        blocks = -(-n // BLOCK)
-        self.block = np.zeros(self.columns, dtype=np.int64)
-        self.block[np.argsort(heaviest, kind="stable")] = np.arange(n) % max(blocks, 1)
+        self.often[self.frequent[terms[at]], column[at]] = values[at]
         at = np.flatnonzero(between[terms])
         self.top = np.zeros((int(between.sum()), blocks), dtype=np.float32)
         # narrow numbers, rounded up
-        np.maximum.at(self.top, (self.middle[terms[at]], self.block[example[at]]), (values[at] * (1 + 1e-6)).astype(np.float32))
+        np.maximum.at(self.top, (self.middle[terms[at]], column[at] % max(blocks, 1)), (values[at] * (1 + 1e-6)).astype(np.float32))
         rare = np.flatnonzero(~(often | between)[terms])
         rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.example, self.weight = example[rare], values[rare]
+        self.example, self.weight = column[rare], values[rare]  # by column
         self.df = np.bincount(terms[rare], minlength=width)
         self.ptr = np.cumsum(self.df) - self.df
 
@@ -220,29 +239,36 @@ class Index:
         parts = [slice(a, a + k) for a, k in zip(self.first[examples].tolist(), self.sizes[examples].tolist())]
         return [(self.terms[p], self.raw(p) / self.norm[e]) for e, p in zip(examples, parts)]
 
-    def _search(self, base: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and more, with their cosines; ``base`` has the frequent terms' part of every cosine, narrow."""
+    def _search(self, base: np.ndarray, tops: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples and more, with their cosines.
+
+        ``base`` has the frequent terms' part of every column's cosine and ``tops`` the most that
+        the terms in between can add in each block, both narrow.
+        """
         n = len(self.ids)
         common, between = self.frequent[t], self.middle[t]
         rare = np.flatnonzero((common < 0) & (between < 0))
-        size = self.df[t[rare]]
-        at = _within(self.ptr[t[rare]], size)
-        exact = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(w[rare], size), minlength=self.columns)
-        some = between >= 0
-        rows = between[some]
-        query = np.zeros(len(self.top))
-        query[rows] = w[some]
-        bound = base + (w[some].astype(np.float32) @ self.top[rows])[self.block]
+        of = t[rare]
+        size = self.df[of]
+        at = _within(self.ptr[of], size)
+        added = self.weight.take(at)
+        added *= np.repeat(w[rare], size)
+        exact = np.bincount(self.example.take(at), weights=added, minlength=self.columns)
+        bound = (base.reshape(BLOCK, -1) + tops).reshape(-1)
         bound += exact.astype(np.float32)
         bound[n:] = -np.inf
         if own >= 0:
-            bound[own] = -np.inf
+            bound[self.column_of[own]] = -np.inf
+        some = between >= 0
+        query = np.zeros(len(self.top))
+        query[between[some]] = w[some]
         seen, middle, least = np.empty(0, dtype=np.int64), np.empty(0), -np.inf
         for more in (*FIRST, n):  # the greatest bounds, then all that can still get in
             if not len(seen) and GROUP * more < n:  # the greatest are in the groups with the greatest of their own
-                groups = bound.reshape(-1, GROUP).max(axis=1)
+                grouped = bound.reshape(GROUP, -1)
+                groups = grouped.max(axis=0)
                 groups = np.argpartition(groups, len(groups) - more)[len(groups) - more:]
-                left = (groups[:, None] * GROUP + np.arange(GROUP)).reshape(-1)
+                left = (groups[:, None] + np.arange(GROUP) * grouped.shape[1]).reshape(-1)
                 all_taken = False
             else:
                 left = np.flatnonzero(bound >= max(least, 0.0) - SLACK)
@@ -251,7 +277,7 @@ class Index:
                 left = left[np.argpartition(bound[left], len(left) - more)[len(left) - more:]]
             left = left[bound[left] >= -SLACK]
             if len(left):
-                seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, left)])
+                seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, self.example_of[left])])
                 bound[left] = -np.inf
             scores = base[seen] + exact[seen] + middle
             if len(seen) >= k:
@@ -261,21 +287,25 @@ class Index:
         self.scored += len(seen)
         self.asked += 1
         good = np.flatnonzero(scores >= max(least, 0.0) - SLACK)
-        e, middle = seen[good], middle[good]
+        c, middle = seen[good], middle[good]
+        e = self.example_of[c]
         query = np.zeros(len(self.often))
         query[common[common >= 0]] = w[common >= 0]
-        return e, exact[e] + middle + self.frequent_lists.dot(query, e)
+        return e, exact[c] + middle + self.frequent_lists.dot(query, e)
 
     def nearest_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query (examples, cosines) of the k nearest with a positive cosine; its ``without`` is left out."""
         queries, without = iter(queries), repeat(-1) if without is None else iter(without)
         while some := list(islice(queries, QUERIES)):
-            q = np.zeros((len(some), len(self.often)), dtype=np.float32)
-            for i, (t, w) in enumerate(some):
-                c = self.frequent[t]
-                q[i, c[c >= 0]] = w[c >= 0]
-            for base, (t, w), own in zip(q @ self.often, some, islice(without, len(some))):
-                e, s = self._search(base, t, w, k, own)
+            parts = []
+            for rows, matrix in ((self.frequent, self.often), (self.middle, self.top)):
+                q = np.zeros((len(some), len(matrix)), dtype=np.float32)
+                for i, (t, w) in enumerate(some):
+                    r = rows[t]
+                    q[i, r[r >= 0]] = w[r >= 0]
+                parts.append(q @ matrix)
+            for base, tops, (t, w), own in zip(*parts, some, islice(without, len(some))):
+                e, s = self._search(base, tops, t, w, k, own)
                 e, s = e[s > 0], s[s > 0]
                 best = np.lexsort((e, -np.round(s, 9)))[:k]
                 yield e[best], s[best]

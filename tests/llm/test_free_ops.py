@@ -424,6 +424,22 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.scored(empty, index).count() == 0 and toxicity.accepted(empty, index).count() == 0
 
 
+def test_bounds_by_block_hold_for_every_column():
+    r = np.random.default_rng(11)
+    idf = r.uniform(1, 3, 60)
+    chance = np.concatenate([np.full(6, 0.4), np.full(14, 0.045), np.full(40, 0.01)])
+    examples = [(e, 0, toxicity.unit({int(t): int(r.integers(1, 4)) for t in np.flatnonzero(r.random(60) < chance)}, idf)) for e in range(301)]
+    index = toxicity.Index.build([b"w%d" % i for i in range(60)], idf, examples)
+    assert len(index.often) and len(index.top) and len(index.example)
+    assert sorted(index.example_of.tolist()) == list(range(301)) and (index.example_of[index.column_of] == np.arange(301)).all()
+    blocks = index.top.shape[1]
+    assert index.columns == blocks * toxicity.BLOCK >= 301 and index.columns % toxicity.GROUP == 0
+    for e, _, v in examples:  # each weight of a term in between is within its block's greatest
+        for t, w in v.items():
+            if index.middle[t] >= 0:
+                assert index.top[index.middle[t], index.column_of[e] % blocks] >= w
+
+
 def test_toxicity_keeps_every_term(spark):
     """Texts of terms that say nothing of the label have neighbours too, with cosines over all their terms."""
     rows = [(i, f"shared w{i} w{i + 1} {'vile' if i % 5 == 0 else 'kind'}") for i in range(300)]
