@@ -9,7 +9,8 @@ Fit (the classifier's bounded part):
 
 Index: the examples' weighted TF-IDF vectors over all terms, unit length, as a
 block-max inverted index over blocks of ``BLOCK`` examples:
-* terms of few examples have postings, added up for every query;
+* terms of few examples have postings, added up for every query.  A posting is a column's
+  number only: a term adds the same to all its examples, as far as it stands in them once;
 * terms of at least one example in ``FREQUENT_SHARE`` are one matrix product for a
   batch of queries;
 * terms in between hold most of the other postings.  For them the index keeps the
@@ -28,7 +29,8 @@ isotonic regression on the examples' own leave-one-out votes.  Evidence: the
 nearest examples with similarity and label.
 
 The index goes to the executors once, as one broadcast of term counts that the votes,
-the scores and the filter share; each Python worker builds its tables from it once.
+the scores and the filter share; each Python worker builds its tables from it once,
+some examples at a time, and numbers terms only if it is given texts.
 
 A score depends on the text and the fitted index only.
 """
@@ -39,6 +41,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, islice, repeat
 
 import numpy as np
@@ -60,9 +63,13 @@ FREQUENT_SHARE = 16  # terms of at least one in so many examples are scored as a
 MIDDLE_SHARE = 30  # and of at least one in so many by block maxima
 BLOCK = 4
 GROUP = 8  # examples of which only the greatest bound is compared at first
-FIRST = (32, 64)  # examples scored before the bounds are cut, in two rounds
+FIRST = 48  # examples scored before the bounds are cut
 COMMON = 32_768  # terms that are looked up first
 QUERIES = 512  # texts in one matrix product
+TOGETHER = 16  # of which so many are searched at once
+PAIRS = 4096  # pairs of query and example whose terms are read at once
+ENTRIES = 1 << 18  # terms of examples that are laid out at once
+PORTION = 1 << 20  # bytes of text whose words are numbered at once
 SLACK = 1e-4  # more than the narrow numbers of bounds and the matrix product can be off by
 PRIOR_MASS = 25.0
 THRESHOLD = 0.7
@@ -79,6 +86,19 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return [*words, *{w[:STEM] + b"*" for w in words if len(w) > STEM}]
 
 
+def _portions(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
+    """The texts, null ones empty, in lists of about ``PORTION`` bytes."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text or b"")
+        held += len(part[-1])
+        if held >= PORTION or len(part) >= QUERIES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 class TermIds:
     """Term -> number, from terms joined by line breaks (no term has white space).
 
@@ -91,23 +111,36 @@ class TermIds:
         self.numbers = {w: i for i, w in enumerate(names)}
         self.common = {names[i]: i for i in (() if common is None else common.tolist())}
         get = self.numbers.get  # each known word's stem, by number; the last is no word's
-        self.stem = np.array([get(w[:STEM] + b"*", -1) if len(w) > STEM and w[-1] != 42 else -1 for w in names] + [-1], dtype=np.int64)
-
-    def counted(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """(rising numbers of the text's known terms, how often each stands in it)."""
-        found = Counter(words_of(text))
-        names = list(found)
-        n = np.fromiter(found.values(), dtype=np.float64, count=len(names))
-        ids = np.fromiter(map(self.common.get, names, repeat(-1)), dtype=np.int64, count=len(names))
-        rest = np.flatnonzero(ids < 0)
-        ids[rest] = np.fromiter(map(self.numbers.get, map(names.__getitem__, rest.tolist()), repeat(-1)), dtype=np.int64, count=len(rest))
-        stems = self.stem[ids]
-        new = rest[ids[rest] < 0].tolist()  # words that no example has; their stems may be known
-        stems[new] = [self.numbers.get(names[i][:STEM] + b"*", -1) if len(names[i]) > STEM else -1 for i in new]
-        every = np.concatenate([ids, stems])
-        known = every >= 0
-        terms, place = np.unique(every[known], return_inverse=True)
-        return terms, np.bincount(place, weights=np.concatenate([n, n])[known], minlength=len(terms))
+        self.stem = np.fromiter((get(w[:STEM] + b"*", -1) if len(w) > STEM and w[-1] != 42 else -1 for w in chain(names, [b""])),
+                                dtype=np.int32, count=len(names) + 1)
+
+    def counted(self, texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text (rising numbers of its known terms, how often each stands in it).
+
+        Each distinct word of a portion of texts that is not common is looked up once.
+        """
+        width = max(1, len(self.numbers))
+        for part in _portions(texts):
+            words = [words_of(text) for text in part]
+            of = np.repeat(np.arange(len(part)) * width, np.fromiter(map(len, words), dtype=np.int64, count=len(part)))
+            words = list(chain.from_iterable(words))
+            ids = np.fromiter(map(self.common.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            rest = np.flatnonzero(ids < 0)
+            words = list(map(words.__getitem__, rest.tolist()))
+            names = list(dict.fromkeys(words))
+            place = dict(zip(names, range(len(names))))
+            place = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+            known = np.fromiter(map(self.numbers.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+            stem = self.stem[known]
+            new = np.flatnonzero(known < 0).tolist()  # words that no example has; their stems may be known
+            stem[new] = [self.numbers.get(names[i][:STEM] + b"*", -1) if len(names[i]) > STEM else -1 for i in new]
+            ids[rest] = known[place]
+            stems = self.stem[ids]
+            stems[rest] = stem[place]
+            terms, n = np.unique(np.concatenate([(of + x)[x >= 0] for x in (ids, stems)]), return_counts=True)
+            ends = np.searchsorted(terms, np.arange(len(part) + 1) * width).tolist()
+            terms, n = terms % width, n.astype(np.float64)
+            yield from ((terms[a:b], n[a:b]) for a, b in zip(ends, ends[1:]))
 
 
 Vector = tuple[np.ndarray, np.ndarray]  # terms, unit-length weights
@@ -122,31 +155,75 @@ def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """For each example the entries of some terms: (row of the term, weight), one example after another."""
-
-    def __init__(self, rows: np.ndarray, values: np.ndarray, example: np.ndarray, examples: int):
-        self.rows, self.values = rows.astype(np.intp), values
-        self.size = np.bincount(example, minlength=examples)
-        self.first = np.cumsum(self.size) - self.size
-
-    def dot(self, query: np.ndarray, examples: np.ndarray) -> np.ndarray:
-        """Products with a query (weight by row) for some examples."""
-        size = self.size[examples]
-        end = np.cumsum(size)
-        first = end - size
-        at = np.arange(end[-1] if len(end) else 0)
-        at += np.repeat(self.first[examples] - first, size)
-        products = query.take(self.rows.take(at))
-        products *= self.values.take(at)
-        if size.all() and len(size):
-            return np.add.reduceat(products, first)
+    """For each example the entries of some terms: (place of the term in a query, weight), one example after another."""
+
+    def __init__(self, size: np.ndarray, width: int):
+        self.size = size  # entries by example
+        self.first = np.cumsum(size) - size
+        self.width = width  # of a query
+        self.places = np.empty(int(size.sum()), dtype=np.min_scalar_type(max(0, width - 1)))
+        self.values = np.empty(len(self.places))
+
+    def dot(self, queries: np.ndarray, of: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Products of queries (weights by place) and examples, for pairs (row of the query, example)."""
         out = np.zeros(len(examples))
-        some = size > 0
-        if some.any():
-            out[some] = np.add.reduceat(products, first[some])
+        for a in range(0, len(examples), PAIRS):
+            e = examples[a:a + PAIRS]
+            size = self.size[e]
+            end = np.cumsum(size)
+            first = end - size
+            at = np.repeat(self.first[e] - first, size)
+            at += np.arange(len(at))
+            place = np.repeat(of[a:a + PAIRS] * self.width, size)
+            place += self.places.take(at)
+            products = queries.reshape(-1).take(place)
+            products *= self.values.take(at)
+            some = size > 0
+            if some.any():
+                out[a:a + PAIRS][some] = np.add.reduceat(products, first[some])
         return out
 
 
+class Postings:
+    """For each term the columns of its examples, one term after another, and what is added to each."""
+
+    def __init__(self, df: np.ndarray, columns: int, values: bool):
+        self.df = df.astype(np.int32)
+        self.ptr = np.cumsum(df) - df
+        self.column = np.empty(int(df.sum()), dtype=np.min_scalar_type(max(0, columns - 1)))
+        self.value = np.empty(len(self.column)) if values else None
+        self._next = self.ptr.copy()
+
+    def put(self, terms: np.ndarray, column: np.ndarray, value: np.ndarray | None = None) -> None:
+        order = np.argsort(terms, kind="stable")
+        terms = terms[order]
+        new = np.flatnonzero(np.diff(terms, prepend=-1))
+        size = np.diff(new, append=len(terms))
+        at = _within(self._next[terms[new]], size)
+        self._next[terms[new]] += size
+        self.column[at] = column[order]
+        if value is not None:
+            self.value[at] = value[order]
+
+    def done(self) -> None:
+        del self._next
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray, columns: int, of: np.ndarray | None = None, queries: int = 1) -> np.ndarray:
+        """By column, the sum of the weights of its terms, each times the posting's value if there are values.
+
+        The terms of several queries, ``of`` which each is one, have the columns of one query after another.
+        """
+        size = self.df[terms]
+        at = _within(self.ptr[terms], size)
+        added = np.repeat(weights, size)
+        if self.value is not None:
+            added *= self.value.take(at)
+        at = self.column.take(at)
+        if of is not None:
+            at = np.repeat(of * columns, size) + at
+        return np.bincount(at, weights=added, minlength=queries * columns)
+
+
 class Index:
     """Exact cosine search over bounded examples; see the module's text.
 
@@ -155,8 +232,7 @@ class Index:
     """
 
     def __init__(self, words: bytes, weights: np.ndarray, ids, labels, sizes, terms: np.ndarray, raw, common=None):
-        self.names, self.weights = TermIds(words, common), weights
-        self.words = self.names.numbers
+        self.text, self.common, self.weights = words, common, weights
         self.ids, self.labels = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64)
         self.sizes, self.terms, self.raw = np.array(sizes, dtype=np.int64), terms, raw
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -164,55 +240,87 @@ class Index:
         n, width = len(self.ids), len(weights)
         blocks = -(-n // (BLOCK * GROUP)) * GROUP
         self.columns = blocks * BLOCK
-        example = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
-        values = raw(slice(None))
-        self.norm = np.sqrt(np.bincount(example, weights=values * values, minlength=n))
-        values /= self.norm[example]
-        df = np.bincount(terms, minlength=width)
+        df, more = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
+        self.norm = np.zeros(n)
+        for e, part in self._parts():
+            t, values = terms[part], raw(part)
+            df += np.bincount(t, minlength=width)
+            more += np.bincount(t[values != weights[t]], minlength=width)
+            self.norm += np.bincount(e, weights=values * values, minlength=n)
+        self.norm = np.sqrt(self.norm)
         often = df * FREQUENT_SHARE >= max(n, 1)
         between = (df * MIDDLE_SHARE >= max(n, 1)) & ~often
+        self.frequent, self.middle = (np.where(x, np.cumsum(x) - 1, -1).astype(np.int32) for x in (often, between))
         # Example -> column.  Column c is in block c modulo their number: examples with the same heaviest frequent term
         # stand side by side and so in different blocks, whose other examples then add little to a bound.
         heaviest, most = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.float32)
-        at = np.flatnonzero(often[terms])
-        np.maximum.at(most, example[at], values[at].astype(np.float32))
-        top = at[values[at].astype(np.float32) == most[example[at]]][::-1]
-        row = np.cumsum(often) - 1
-        heaviest[example[top]] = row[terms[top]]
+        has, has_between = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for e, part in self._parts():
+            has_between += np.bincount(e[between[terms[part]]], minlength=n)
+            at = np.flatnonzero(often[terms[part]])
+            e, values = e[at], (raw(part)[at] / self.norm[e[at]]).astype(np.float32)
+            has += np.bincount(e, minlength=n)
+            np.maximum.at(most, e, values)
+            top = np.flatnonzero(values == most[e])[::-1]
+            heaviest[e[top]] = self.frequent[terms[part][at[top]]]
         self.example_of = np.argsort(heaviest, kind="stable")
         self.column_of = np.empty(n, dtype=np.int64)
         self.column_of[self.example_of] = np.arange(n)
-        del heaviest, most, top, at
-        self.frequent, self.frequent_lists = self._lists(often, example, values)
-        self.middle, self.middle_lists = self._lists(between, example, values)
-        column = self.column_of.astype(np.int32)[example]
-        del example
-        at = np.flatnonzero(often[terms])
+        self.by_norm = np.zeros(self.columns)
+        self.by_norm[self.column_of[self.norm > 0]] = 1.0 / self.norm[self.norm > 0]
         self.often = np.zeros((int(often.sum()), self.columns), dtype=np.float32)
-        self.often[self.frequent[terms[at]], column[at]] = values[at]
-        at = np.flatnonzero(between[terms])
         self.top = np.zeros((int(between.sum()), blocks), dtype=np.float32)
-        # narrow numbers, rounded up
-        np.maximum.at(self.top, (self.middle[terms[at]], column[at] % max(blocks, 1)), (values[at] * (1 + 1e-6)).astype(np.float32))
-        rare = np.flatnonzero(~(often | between)[terms])
-        rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.example, self.weight = column[rare], values[rare]  # by column
-        self.df = np.bincount(terms[rare], minlength=width)
-        self.ptr = np.cumsum(self.df) - self.df
-
-    def _lists(self, chosen: np.ndarray, example: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, Lists]:
-        """Each term's row (-1 without one) and the examples' entries of the chosen terms."""
-        row = np.full(len(chosen), -1, dtype=np.int32)
-        row[chosen] = np.arange(int(chosen.sum()))
-        at = np.flatnonzero(chosen[self.terms])
-        return row, Lists(row[self.terms[at]], values[at], example[at], len(self.ids))
+        self.frequent_lists, self.middle_lists = (Lists(x, len(self.often) + len(self.top)) for x in (has, has_between))
+        self.place = np.where(often, self.frequent, np.where(between, len(self.often) + self.middle, -1)).astype(np.int32)  # in a query
+        # A rare term adds its weight to each of its examples, before these are divided by their lengths;
+        # where it stands in one more than once, the difference is a posting of its own.
+        rare = ~(often | between)
+        self.rare, self.more = Postings(np.where(rare, df, 0), self.columns, False), Postings(np.where(rare, more, 0), self.columns, True)
+        put = [0, 0]
+        for e, part in self._parts():
+            t, values = terms[part], raw(part)
+            for i, (row, lists) in enumerate(((self.frequent, self.frequent_lists), (self.middle, self.middle_lists))):
+                at = np.flatnonzero(row[t] >= 0)
+                to, rows, unit = slice(put[i], put[i] + len(at)), row[t[at]], values[at] / self.norm[e[at]]
+                lists.places[to], lists.values[to], put[i] = self.place[t[at]], unit, to.stop
+                c = self.column_of[e[at]]
+                if i:  # narrow numbers, rounded up
+                    np.maximum.at(self.top, (rows, c % max(blocks, 1)), (unit * (1 + 1e-6)).astype(np.float32))
+                else:
+                    self.often[rows, c] = unit
+            at = np.flatnonzero(rare[t])
+            t, values, c = t[at], values[at], self.column_of[e[at]]
+            self.rare.put(t, c)
+            at = np.flatnonzero(values != weights[t])
+            self.more.put(t[at], c[at], values[at] - weights[t[at]])
+        self.rare.done()
+        self.more.done()
+        self.example = self.rare.column
+
+    def _parts(self) -> Iterator[tuple[np.ndarray, slice]]:
+        """Some entries at a time, those of an example together: (their examples, their places)."""
+        end = np.cumsum(self.sizes)
+        a = 0
+        while a < len(end):
+            b = max(a + 1, int(np.searchsorted(end, self.first[a] + ENTRIES, side="right")))
+            yield np.repeat(np.arange(a, b), self.sizes[a:b]), slice(int(self.first[a]), int(end[b - 1]))
+            a = b
+
+    @cached_property
+    def names(self) -> TermIds:
+        """Made when texts are looked up: counted terms need none."""
+        return TermIds(self.text, self.common)
+
+    @property
+    def words(self) -> dict[bytes, int]:
+        return self.names.numbers
 
     @classmethod
     def build(cls, words: list[bytes], weights: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]) -> Index:
         """``examples``: (id, label, word -> weight)."""
         values = np.array([w for _, _, v in examples for w in v.values()], dtype=np.float64)
         return cls(b"\n".join(words), weights, [x[0] for x in examples], [x[1] for x in examples], [len(v) for _, _, v in examples],
-                   np.array([t for _, _, v in examples for t in v], dtype=np.int32), lambda part: values[part].copy())
+                   np.array([t for _, _, v in examples for t in v], dtype=np.int32), lambda part: values[part])
 
     @classmethod
     def of_state(cls, state: dict) -> Index:
@@ -223,11 +331,12 @@ class Index:
 
     def vector(self, text: bytes | None) -> dict[int, float]:
         """Unit-length weights of a text's terms that some example has."""
-        t, w = self.vector_of(text)
+        t, w = next(self.vectors_of([text]))
         return dict(zip(t.tolist(), w.tolist()))
 
-    def vector_of(self, text: bytes | None) -> Vector:
-        return self.weighted(*self.names.counted(text))
+    def vectors_of(self, texts: Iterable[bytes | None]) -> Iterator[Vector]:
+        """Terms that some example has, and their unit-length weights."""
+        return (self.weighted(t, n) for t, n in self.names.counted(texts))
 
     def weighted(self, t: np.ndarray, n: np.ndarray) -> Vector:
         """The vector of counted terms."""
@@ -239,76 +348,84 @@ class Index:
         parts = [slice(a, a + k) for a, k in zip(self.first[examples].tolist(), self.sizes[examples].tolist())]
         return [(self.terms[p], self.raw(p) / self.norm[e]) for e, p in zip(examples, parts)]
 
-    def _search(self, base: np.ndarray, tops: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and more, with their cosines.
+    def _search(self, base: np.ndarray, tops: np.ndarray, queries: np.ndarray, t: np.ndarray, w: np.ndarray, size: np.ndarray,
+                k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest examples and more of a few queries, with their cosines: (query, example, cosine).
 
         ``base`` has the frequent terms' part of every column's cosine and ``tops`` the most that
-        the terms in between can add in each block, both narrow.
+        the terms in between can add in each block, both narrow; ``queries`` have the weights of these terms,
+        ``t`` and ``w`` the rare ones, ``size`` of each query, one query after another.
         """
-        n = len(self.ids)
-        common, between = self.frequent[t], self.middle[t]
-        rare = np.flatnonzero((common < 0) & (between < 0))
-        of = t[rare]
-        size = self.df[of]
-        at = _within(self.ptr[of], size)
-        added = self.weight.take(at)
-        added *= np.repeat(w[rare], size)
-        exact = np.bincount(self.example.take(at), weights=added, minlength=self.columns)
-        bound = (base.reshape(BLOCK, -1) + tops).reshape(-1)
+        m, n = len(queries), len(self.ids)
+        exact = np.empty((m, self.columns))
+        weights = w * self.weights[t]
+        end = np.cumsum(size).tolist()
+        for i, (a, b) in enumerate(zip([0, *end], end)):
+            exact[i] = self.rare.sums(t[a:b], weights[a:b], self.columns)
+        again = np.flatnonzero(self.more.df[t])
+        exact += self.more.sums(t[again], w[again], self.columns, np.repeat(np.arange(m), size)[again], m).reshape(m, -1)
+        exact *= self.by_norm
+        bound = (base.reshape(m, BLOCK, -1) + tops[:, None]).reshape(m, -1)
         bound += exact.astype(np.float32)
-        bound[n:] = -np.inf
-        if own >= 0:
-            bound[self.column_of[own]] = -np.inf
-        some = between >= 0
-        query = np.zeros(len(self.top))
-        query[between[some]] = w[some]
-        seen, middle, least = np.empty(0, dtype=np.int64), np.empty(0), -np.inf
-        for more in (*FIRST, n):  # the greatest bounds, then all that can still get in
-            if not len(seen) and GROUP * more < n:  # the greatest are in the groups with the greatest of their own
-                grouped = bound.reshape(GROUP, -1)
-                groups = grouped.max(axis=0)
-                groups = np.argpartition(groups, len(groups) - more)[len(groups) - more:]
-                left = (groups[:, None] + np.arange(GROUP) * grouped.shape[1]).reshape(-1)
-                all_taken = False
-            else:
-                left = np.flatnonzero(bound >= max(least, 0.0) - SLACK)
-                all_taken = len(left) <= more
-            if more < len(left):
-                left = left[np.argpartition(bound[left], len(left) - more)[len(left) - more:]]
-            left = left[bound[left] >= -SLACK]
-            if len(left):
-                seen, middle = np.concatenate([seen, left]), np.concatenate([middle, self.middle_lists.dot(query, self.example_of[left])])
-                bound[left] = -np.inf
-            scores = base[seen] + exact[seen] + middle
-            if len(seen) >= k:
-                least = np.partition(scores, -k)[-k]
-            if all_taken:
-                break
+        bound[:, n:] = -np.inf
+        some = np.flatnonzero(own >= 0)
+        bound[some, self.column_of[own[some]]] = -np.inf
+        of, seen, scores, added = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0), np.empty(0)
+        least = np.full(m, -np.inf)
+        for more in (FIRST, n):  # the greatest bounds, then all that can still get in
+            if more < n and GROUP * more < n:  # the greatest are in the groups with the greatest of their own
+                grouped = bound.reshape(m, GROUP, -1)
+                groups = np.argpartition(grouped.max(axis=1), grouped.shape[2] - more, axis=1)[:, grouped.shape[2] - more:]
+                left = (np.arange(GROUP)[:, None] * grouped.shape[2] + groups[:, None]).reshape(m, -1)
+                bounds = np.take_along_axis(bound, left, axis=1)
+                best = np.argpartition(bounds, left.shape[1] - more, axis=1)[:, left.shape[1] - more:]
+                q, c = np.repeat(np.arange(m), more), np.take_along_axis(left, best, axis=1).reshape(-1)
+                able = bound[q, c] > 0
+                q, c = q[able], c[able]
+            else:  # a column without a common term has a bound of 0
+                q, c = np.nonzero(bound >= np.maximum(least - SLACK, np.finfo(np.float32).tiny).astype(np.float32)[:, None])
+            of, seen = np.concatenate([of, q]), np.concatenate([seen, c])
+            bound[q, c] = -np.inf
+            part = self.middle_lists.dot(queries, q, self.example_of[c])
+            added = np.concatenate([added, part])
+            scores = np.concatenate([scores, base[q, c] + exact[q, c] + part])
+            order = np.lexsort((-scores, of))
+            size = np.bincount(of, minlength=m)
+            full = np.flatnonzero(size >= k)
+            least[full] = scores[order[np.cumsum(size)[full] - size[full] + k - 1]]
         self.scored += len(seen)
-        self.asked += 1
-        good = np.flatnonzero(scores >= max(least, 0.0) - SLACK)
-        c, middle = seen[good], middle[good]
+        self.asked += m
+        good = np.flatnonzero(scores >= np.maximum(least[of], 0.0) - SLACK)
+        of, c = of[good], seen[good]
         e = self.example_of[c]
-        query = np.zeros(len(self.often))
-        query[common[common >= 0]] = w[common >= 0]
-        return e, exact[c] + middle + self.frequent_lists.dot(query, e)
+        return of, e, exact[of, c] + added[good] + self.frequent_lists.dot(queries, of, e)
 
     def nearest_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query (examples, cosines) of the k nearest with a positive cosine; its ``without`` is left out."""
         queries, without = iter(queries), repeat(-1) if without is None else iter(without)
         while some := list(islice(queries, QUERIES)):
-            parts = []
-            for rows, matrix in ((self.frequent, self.often), (self.middle, self.top)):
-                q = np.zeros((len(some), len(matrix)), dtype=np.float32)
-                for i, (t, w) in enumerate(some):
-                    r = rows[t]
-                    q[i, r[r >= 0]] = w[r >= 0]
-                parts.append(q @ matrix)
-            for base, tops, (t, w), own in zip(*parts, some, islice(without, len(some))):
-                e, s = self._search(base, tops, t, w, k, own)
-                e, s = e[s > 0], s[s > 0]
-                best = np.lexsort((e, -np.round(s, 9)))[:k]
-                yield e[best], s[best]
+            own = np.fromiter(islice(without, len(some)), dtype=np.int64, count=len(some))
+            t, w = (np.concatenate(x) for x in zip(*some))
+            of = np.repeat(np.arange(len(some)), [len(x) for x, _ in some])
+            place = self.place[t]
+            rare = place < 0
+            q = np.zeros((len(some), len(self.often) + len(self.top)))
+            q[of[~rare], place[~rare]] = w[~rare]
+            base = q[:, :len(self.often)].astype(np.float32) @ self.often
+            tops = q[:, len(self.often):].astype(np.float32) @ self.top
+            t, w, size = t[rare], w[rare], np.bincount(of[rare], minlength=len(some))
+            starts = np.concatenate([[0], np.cumsum(size)]).tolist()
+            for a in range(0, len(some), TOGETHER):
+                few = slice(a, min(a + TOGETHER, len(some)))
+                terms = slice(starts[few.start], starts[few.stop])
+                of, e, s = self._search(base[few], tops[few], q[few], t[terms], w[terms], size[few], k, own[few])
+                of, e, s = of[s > 0], e[s > 0], s[s > 0]
+                best = np.lexsort((e, -np.round(s, 9), of))
+                end = np.cumsum(np.bincount(of, minlength=few.stop - a)).tolist()
+                for first, last in zip([0, *end], end):
+                    found = best[first:min(last, first + k)]
+                    yield e[found], s[found]
+            del base, tops, q
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         q = np.array(list(v), dtype=np.int64), np.array(list(v.values()), dtype=np.float64)
@@ -394,15 +511,13 @@ def _once(state: Broadcast, name: str, make):
 
 def _doc_frequency(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"])).numbers
-        n = np.zeros(len(names) + 2, dtype=np.int64)  # then documents, then terms that no example has
-        total = len(names)
+        names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"]))
+        n = np.zeros(len(names.numbers) + 1, dtype=np.int64)  # the last: documents
         for rb in batches:
-            for text in texts_of(rb.column(0)):
-                found = terms_of(text)
-                n[np.fromiter(map(names.get, found, repeat(-1)), dtype=np.int64, count=len(found))] += 1
-                n[total] += 1
-        seen = np.flatnonzero(n[:-1])
+            for terms, _ in names.counted(texts_of(rb.column(0))):
+                n[terms] += 1
+            n[-1] += rb.num_rows
+        seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["word", "n"])
     return run
 
@@ -431,7 +546,7 @@ def _vectors(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"]))
         for rb in batches:
-            found = [names.counted(text) for text in texts_of(rb.column(1))]
+            found = list(names.counted(texts_of(rb.column(1))))
             yield pa.RecordBatch.from_arrays(
                 [rb.column(0), pa.array([pack_rising(t) for t, _ in found], pa.binary()),
                  pa.array([pack_counts(n) for _, n in found], pa.binary())], names=["row", "terms", "counts"])
@@ -454,7 +569,7 @@ def _counts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _once(vocabulary, "names", lambda v: TermIds(v["words"], v["common"]))
         for rb in batches:
-            found = [names.counted(text) for text in texts_of(rb.column(2))]
+            found = list(names.counted(texts_of(rb.column(2))))
             yield pa.RecordBatch.from_arrays(
                 [rb.column(0), rb.column(1), pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()),
                  pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())], names=["id", "label", "terms", "counts"])
@@ -552,7 +667,7 @@ def _score(fitted: Fitted, neighbours: int, threshold: float, counted: bool):
                 pairs = zip(rb.column(1).to_pylist(), rb.column(2).to_pylist())
                 queries = (index.weighted(unpack_rising(t), unpack_counts(n)) for t, n in pairs)
             else:
-                queries = map(index.vector_of, texts_of(rb.column(1)))
+                queries = index.vectors_of(texts_of(rb.column(1)))
             vote, size, near, similar = [], [], [], []
             for e, c in index.nearest_of(queries, neighbours):
                 vote.append(index.vote(e, c))
@@ -598,7 +713,7 @@ def _accept(fitted: Fitted, neighbours: int, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _once(state, "index", Index.of_state)
         for rb in batches:
-            votes = index.votes_of(map(index.vector_of, texts_of(rb.column(at))), neighbours)
+            votes = index.votes_of(index.vectors_of(texts_of(rb.column(at))), neighbours)
             keep = scores_of(np.fromiter(votes, dtype=np.float64, count=rb.num_rows), known, scores) < threshold
             yield rb.filter(pa.array(keep, pa.bool_()))
     return run

@@ -1,8 +1,10 @@
 """Small cases of the other operators, held against brute force."""
 
+import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -440,6 +442,39 @@ def test_bounds_by_block_hold_for_every_column():
                 assert index.top[index.middle[t], index.column_of[e] % blocks] >= w
 
 
+def test_index_is_built_in_little_memory(monkeypatch):
+    """pipeline: the build took 64 bytes a term of an example beside the index, in each Python worker."""
+    monkeypatch.setattr(toxicity, "ENTRIES", 1 << 14, raising=False)
+    r = np.random.default_rng(12)
+    n, known = 4000, 20_000
+    terms = [np.unique((known * r.random(250) ** 3).astype(np.int32)) for _ in range(n)]
+    entries = sum(map(len, terms))
+    state = {"words": b"\n".join(b"w%d" % i for i in range(known)), "common": np.arange(100), "weights": r.uniform(1, 5, known),
+             "ids": np.arange(n), "labels": np.arange(n) % 2, "sizes": np.array([len(t) for t in terms]),
+             "terms": np.concatenate(terms), "counts": r.integers(1, 4, entries).astype(np.uint8)}
+    tracemalloc.start()
+    index = toxicity.Index.of_state(state)
+    peak = tracemalloc.get_traced_memory()[1] - index.often.nbytes - index.top.nbytes
+    tracemalloc.stop()
+    assert len(index.often) and len(index.top) and len(index.example)
+    assert peak < 30 * entries
+    assert "names" not in vars(index)  # counted terms are searched without a table of words
+
+
+def test_terms_counted_in_portions_are_those_of_each_text(monkeypatch):
+    texts = [b"Run runs running, RUN", None, b"", b"unknown runnable", b"common common w " * 50, b"running", "\u00e9t\u00e9 w".encode()] * 20
+    known = [b"common", b"commo*", b"run", b"runni*", b"running", b"runna*", b"w", "\u00e9t\u00e9".encode()]
+    monkeypatch.setattr(toxicity, "PORTION", 300)
+    names = toxicity.TermIds(b"\n".join(known), np.array([0, 6]))
+    got = [dict(zip(t.tolist(), n.tolist())) for t, n in names.counted(texts)]
+    want = []
+    for text in texts:
+        words = license_scan.words_of(text)
+        has = collections.Counter([*words, *(w[:5] + b"*" for w in words if len(w) > 5)])
+        want.append({known.index(w): n for w, n in has.items() if w in known})
+    assert got == want and all(list(g) == sorted(g) for g in got)
+
+
 def test_toxicity_keeps_every_term(spark):
     """Texts of terms that say nothing of the label have neighbours too, with cosines over all their terms."""
     rows = [(i, f"shared w{i} w{i + 1} {'vile' if i % 5 == 0 else 'kind'}") for i in range(300)]
