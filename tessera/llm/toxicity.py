@@ -65,7 +65,8 @@ BLOCK = 4
 GROUP = 8  # examples of which only the greatest bound is compared at first
 FIRST = 48  # examples scored before the bounds are cut
 COMMON = 32_768  # terms that are looked up first
-QUERIES = 512  # texts in one matrix product
+QUERIES = 512  # counted texts in one matrix product
+TEXTS = 256  # and texts beside the table of words, so that both take little memory
 TOGETHER = 16  # of which so many are searched at once
 PAIRS = 4096  # pairs of query and example whose terms are read at once
 ENTRIES = 1 << 18  # terms of examples that are laid out at once
@@ -400,10 +401,11 @@ class Index:
         e = self.example_of[c]
         return of, e, exact[of, c] + added[good] + self.frequent_lists.dot(queries, of, e)
 
-    def nearest_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None,
+                   batch: int = QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query (examples, cosines) of the k nearest with a positive cosine; its ``without`` is left out."""
         queries, without = iter(queries), repeat(-1) if without is None else iter(without)
-        while some := list(islice(queries, QUERIES)):
+        while some := list(islice(queries, batch)):
             own = np.fromiter(islice(without, len(some)), dtype=np.int64, count=len(some))
             t, w = (np.concatenate(x) for x in zip(*some))
             of = np.repeat(np.arange(len(some)), [len(x) for x, _ in some])
@@ -431,8 +433,8 @@ class Index:
         q = np.array(list(v), dtype=np.int64), np.array(list(v.values()), dtype=np.float64)
         return next(self.nearest_of([q], k, [without]))
 
-    def votes_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None) -> Iterator[float]:
-        return (self.vote(e, s) for e, s in self.nearest_of(queries, k, without))
+    def votes_of(self, queries: Iterable[Vector], k: int, without: Iterable[int] | None = None, batch: int = QUERIES) -> Iterator[float]:
+        return (self.vote(e, s) for e, s in self.nearest_of(queries, k, without, batch))
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
         """Distance-weighted share of toxic votes, the prior's included; -1 without neighbours."""
@@ -669,7 +671,7 @@ def _score(fitted: Fitted, neighbours: int, threshold: float, counted: bool):
             else:
                 queries = index.vectors_of(texts_of(rb.column(1)))
             vote, size, near, similar = [], [], [], []
-            for e, c in index.nearest_of(queries, neighbours):
+            for e, c in index.nearest_of(queries, neighbours, batch=QUERIES if counted else TEXTS):
                 vote.append(index.vote(e, c))
                 near.append(e[:EVIDENCE])
                 similar.append(c[:EVIDENCE])
@@ -713,7 +715,7 @@ def _accept(fitted: Fitted, neighbours: int, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _once(state, "index", Index.of_state)
         for rb in batches:
-            votes = index.votes_of(index.vectors_of(texts_of(rb.column(at))), neighbours)
+            votes = index.votes_of(index.vectors_of(texts_of(rb.column(at))), neighbours, batch=TEXTS)
             keep = scores_of(np.fromiter(votes, dtype=np.float64, count=rb.num_rows), known, scores) < threshold
             yield rb.filter(pa.array(keep, pa.bool_()))
     return run
